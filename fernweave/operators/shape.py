@@ -107,12 +107,11 @@ def unify_asset_paths(df: DataFrame, unified: str, sources: list[str], drop: boo
 
 def drop_duplicate_columns(df: DataFrame) -> DataFrame:
     """Keep the first of several columns with the same name."""
-    kept, names = [], []
+    first: dict[str, str] = {}
     for position, name in enumerate(df.columns):
-        if name not in names:
-            kept.append(df[position])
-            names.append(name)
-    return df.select(*kept)
+        first.setdefault(name, f"_{position}")
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(place).alias(name) for name, place in first.items()])
 
 
 def drop_by_prefix(df: DataFrame, prefix: str) -> DataFrame:

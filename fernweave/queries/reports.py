@@ -1 +1,260 @@
+"""Counts, profiles, quality reports, diffs, rate checks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fernweave.operators import aggregates as agg
+from fernweave.queries.registry import Tables, query
+from fernweave.queries.sinks import CHANGED_SQL, changed_customers
+
+
+@query("SELECT p_type, count(*) AS frequency FROM part WHERE p_type ILIKE '%a%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def distinct_by_frequency(t: Tables) -> DataFrame:
+    return agg.distinct_values(t.part, "p_type", search="A", order="frequency_desc")
+
+
+@query("SELECT p_name, count(*) AS frequency FROM part GROUP BY 1 ORDER BY 1 OFFSET 5 LIMIT 10")
+def distinct_page(t: Tables) -> DataFrame:
+    return agg.distinct_values(t.part, "p_name", offset=5, limit=10)
+
+
+@query("SELECT source, count(*) AS frequency FROM documents GROUP BY 1 ORDER BY 2, 1 LIMIT 7")
+def distinct_rarest(t: Tables) -> DataFrame:
+    return agg.distinct_values(t.documents, "source", order="frequency_asc", limit=7)
+
+
+@query()
+def approximate_distinct(t: Tables) -> DataFrame:
+    return agg.approximate_distinct(t.orders, "o_custkey")
+
+
+@query("SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def top_values(t: Tables) -> DataFrame:
+    return agg.value_counts(t.orders, "o_orderpriority", 3)
+
+
+@query("SELECT user_id, count(*) AS count FROM events GROUP BY 1")
+def value_distribution(t: Tables) -> DataFrame:
+    return agg.value_counts(t.events, "user_id")
+
+
+@query("""
+SELECT l_suppkey, count(*) AS total, count(*) FILTER (l_returnflag = 'R') AS flagged, round(count(*) FILTER (l_returnflag = 'R') * 100.0 / count(*), 1)::DOUBLE AS percentage
+FROM lineitem GROUP BY 1 HAVING count(*) >= 5
+""")
+def group_totals(t: Tables) -> DataFrame:
+    return agg.group_totals(t.lineitem, "l_suppkey", F.col("l_returnflag") == "R", min_size=5)
+
+
+@query("""
+SELECT source AS name, count(*) AS count, '[' || array_to_string(list_sort(list(doc_id ORDER BY doc_id)[1:5]), ',') || ']' AS examples,
+       round(count(*) * 100.0 / (SELECT count(*) FROM documents), 2)::DOUBLE AS occurrence_percentage FROM documents GROUP BY 1 HAVING count(*) >= 5
+""")
+def category_table(t: Tables) -> DataFrame:
+    return agg.category_table(t.documents, "source", "doc_id")
+
+
+@query("""
+WITH j AS (SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT unnest(['doc_id', 'lang', 'quality', 'toxic']) AS column_name, unnest([count(doc_id), count(lang), count(quality), count(toxic)]) AS non_null_count,
+ unnest([round(count(doc_id) * 100.0 / count(*), 2)::DOUBLE, round(count(lang) * 100.0 / count(*), 2)::DOUBLE, round(count(quality) * 100.0 / count(*), 2)::DOUBLE, round(count(toxic) * 100.0 / count(*), 2)::DOUBLE]) AS completeness_pct FROM j
+""")
+def completeness(t: Tables) -> DataFrame:
+    return agg.completeness(t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(t: Tables) -> DataFrame:
+    return agg.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+SELECT count(*) AS duplicate_keys, coalesce(sum(n - 1), 0)::BIGINT AS duplicate_count FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+""")
+def duplicate_total(t: Tables) -> DataFrame:
+    return agg.duplicate_total(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+_PROFILE = """
+SELECT '{c}' AS column_name, '{type}' AS data_type, count({c}) AS non_null_count, round(count({c}) * 100.0 / count(*), 2)::DOUBLE AS non_null_percentage,
+ count(DISTINCT {c}) AS unique_count, (SELECT to_json(list(v ORDER BY v))::VARCHAR FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM part ORDER BY 1 LIMIT 5)) AS sample_values,
+ {numbers} FROM part
+"""
+_NUMBERS = "min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DECIMAL(18,4)), 6)::DOUBLE AS mean, median({c})::DOUBLE AS median"
+_NO_NUMBERS = "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS median"
+
+
+@query(
+    " UNION ALL ".join(
+        _PROFILE.format(c=c, type=k, numbers=(_NO_NUMBERS if k == "string" else _NUMBERS.format(c=c)))
+        for c, k in (("p_partkey", "bigint"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"))
+    )
+)
+def column_profile(t: Tables) -> DataFrame:
+    out = agg.column_profile(t.part, ["p_partkey", "p_type", "p_size", "p_retailprice"])
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def column_profile_approximate(t: Tables) -> DataFrame:
+    return agg.column_profile(t.orders, ["o_custkey", "o_totalprice"], approximate=True)
+
+
+@query("""
+SELECT count(l_extendedprice) AS count, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice::DECIMAL(18,2)), 4)::DOUBLE AS avg,
+ round(stddev_samp(l_extendedprice), 4) AS stddev, median(l_extendedprice) AS median FROM lineitem
+""")
+def number_statistics(t: Tables) -> DataFrame:
+    out = agg.number_statistics(t.lineitem, "l_extendedprice")
+    return out.withColumns({"avg": F.round("avg", 4), "stddev": F.round("stddev", 4)})
+
+
+@query("""
+SELECT p_name, count(*) AS count, (SELECT count(DISTINCT p_name) FROM part) AS distinct_count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10
+""")
+def text_statistics(t: Tables) -> DataFrame:
+    return agg.text_statistics(t.part, "p_name")
+
+
+@query("""
+SELECT year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month, count(*) AS count, min(o_orderdate)::DATE AS first_date, max(o_orderdate)::DATE AS last_date FROM orders GROUP BY 1, 2
+""")
+def date_statistics(t: Tables) -> DataFrame:
+    return agg.date_statistics(t.orders, "o_orderdate")
+
+
+@query("""
+WITH s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS f, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS m FROM orders)
+SELECT 'totals' AS section, unnest(['total_count', 'flagged_count', 'measure_total', 'done_percentage']) AS name, unnest([n, f, round(m, 2), round(100.0 * f / n, 2)]) AS value FROM s
+UNION ALL (SELECT 'top', o_custkey::VARCHAR, sum(o_totalprice::DECIMAL(18,2))::DOUBLE FROM orders GROUP BY o_custkey ORDER BY 3 DESC, 2 LIMIT 5)
+""")
+def dashboard(t: Tables) -> DataFrame:
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    return agg.dashboard(t.orders, "o_custkey", F.col("o_orderstatus") == "F", price)
+
+
+_MERGED = """
+SELECT user_id, CASE WHEN count(DISTINCT event_type) = 0 THEN NULL ELSE to_json(list_sort(list(DISTINCT event_type)))::VARCHAR END AS event_type,
+ CASE WHEN count(DISTINCT k) = 1 THEN max(k) ELSE to_json(list_sort(list(DISTINCT k)))::VARCHAR END AS k
+FROM (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events) GROUP BY user_id
+"""
+
+
+def _merged(t: Tables) -> DataFrame:
+    rows = t.events.select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    return agg.merge_records(rows, "user_id", ["event_type", "k"], ["event_type"])[0]
+
+
+@query(_MERGED)
+def merged_records(t: Tables) -> DataFrame:
+    """One record per user; a field with several values becomes a JSON list."""
+    return _merged(t)
+
+
+@query("""
+SELECT user_id, 'k' AS field, k AS value FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k FROM events)
+QUALIFY count(*) OVER (PARTITION BY user_id) > 20
+""")
+def merged_overflow(t: Tables) -> DataFrame:
+    """Fields with too many values for a list, one value per row."""
+    rows = t.events.select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    return agg.merge_records(rows, "user_id", ["event_type", "k"], ["event_type"], max_values=20)[1]
+
+
+@query("""
+WITH e AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS value FROM events) SELECT value, count(*) AS count FROM e GROUP BY 1
+""")
+def multi_valued_counts(t: Tables) -> DataFrame:
+    """How many merged records hold each value."""
+    return agg.count_multi_valued(_merged(t), "k")
+
+
+@query("""
+SELECT unnest(['l_shipdate', 'l_suppkey']) AS column_name, unnest([count(DISTINCT l_shipdate), count(DISTINCT l_suppkey)]) AS unique_count FROM lineitem
+""")
+def distinct_per_prefix(t: Tables) -> DataFrame:
+    return agg.distinct_per_column(t.lineitem, "l_s")
+
+
+@query("""
+SELECT r_regionkey, r_name, coalesce(n, 0)::BIGINT AS nations FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 3 GROUP BY 1) x ON r_regionkey = n_regionkey
+""")
+def child_counts(t: Tables) -> DataFrame:
+    return agg.child_counts(t.region, "r_regionkey", {"nations": (t.nation.where("n_nationkey < 3"), "n_regionkey")})
+
+
+@query("""
+SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS finished,
+ (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 300000) AS big FROM customer
+""")
+def several_child_counts(t: Tables) -> DataFrame:
+    children = {
+        "finished": (t.orders.where("o_orderstatus = 'F'"), "o_custkey"),
+        "big": (t.orders.where("o_orderstatus = 'P' AND o_totalprice > 300000"), "o_custkey"),
+    }
+    return agg.child_counts(t.customer.select("c_custkey"), "c_custkey", children)
+
+
+def _rate_sql(seconds: int, limit: int) -> str:
+    return f"""
+WITH s AS (SELECT user_id, epoch(ts)::DECIMAL(20,6) AS e FROM events WHERE starts_with(event_type, 'c')),
+p AS (SELECT user_id, floor(e)::BIGINT AS second, count(*) AS requests FROM s GROUP BY 1, 2)
+SELECT user_id, second, requests, w::BIGINT AS in_window, w >= {limit} AS exceeded FROM (
+ SELECT *, sum(requests) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW) AS w FROM p)
+"""
+
+
+@query(_rate_sql(3600, 2))
+def hourly_rate(t: Tables) -> DataFrame:
+    """Requests in the hour up to each request, against a limit."""
+    return agg.rate_check(t.events, "user_id", "ts", 3600, 2, "event_type", "c")
+
+
+@query(_rate_sql(86400, 4))
+def daily_rate(t: Tables) -> DataFrame:
+    return agg.rate_check(t.events, "user_id", "ts", 86400, 4, "event_type", "c")
+
+
+@query("""
+SELECT lang, count(*) AS processed, count(*) FILTER (n_chars > 500) AS success, count(*) FILTER (NOT n_chars > 500) AS failed,
+ round(count(*) FILTER (NOT n_chars > 500) * 100.0 / count(*), 2)::DOUBLE AS error_rate FROM documents GROUP BY 1
+""")
+def extraction_metrics(t: Tables) -> DataFrame:
+    return agg.extraction_metrics(t.documents.withColumn("ok", F.col("n_chars") > 500), "ok", "lang")
+
+
+@query("SELECT user_id, max(event_id) + 1 AS next_version FROM events GROUP BY 1")
+def next_version(t: Tables) -> DataFrame:
+    return agg.next_version(t.events, "user_id", "event_id")
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+""")
+def latest_per_key(t: Tables) -> DataFrame:
+    return agg.latest_per_key(t.events, "user_id", ["ts", "event_id"], ["event_id", "event_type"])
+
+
+@query("""
+SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F'
+ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ON c_custkey = o_custkey
+""")
+def latest_success(t: Tables) -> DataFrame:
+    """Every customer with its latest finished order, also those without one."""
+    return agg.latest_success(
+        t.customer.select("c_custkey"), "c_custkey", t.orders, "o_custkey", F.col("o_orderstatus") == "F",
+        ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"],
+    )
+
+
+@query(f"""
+WITH {CHANGED_SQL} SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey,
+ CASE WHEN o.c_custkey IS NULL THEN 'new' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
+ CASE WHEN o.c_custkey IS NOT NULL AND n.c_custkey IS NOT NULL THEN 'c_acctbal' END AS changed_fields
+FROM changed n FULL JOIN customer o ON n.c_custkey = o.c_custkey
+WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR n.c_acctbal <> o.c_acctbal
+""")
+def snapshot_diff(t: Tables) -> DataFrame:
+    return agg.snapshot_diff(t.customer, changed_customers(t.customer), "c_custkey", ["c_name", "c_acctbal", "c_mktsegment"])

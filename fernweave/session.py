@@ -26,7 +26,9 @@ RUNTIME_CONF = {
 
 def build_session(app: str = "fernweave", master: str | None = None, **conf: str) -> SparkSession:
     """Start (or reuse) a session with the engine's runtime settings."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false"
+    )
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
@@ -53,3 +55,9 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 def clock(at: dt.datetime | None = None) -> Column:
     """The run's timestamp: the given instant, or the query's current time."""
     return F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from fernweave.functions.coerce import serialise
 from fernweave.functions.paths import safe_name
-from fernweave.session import clock
+from fernweave.session import clock, path_exists
 from fernweave.sinks.snapshots import sized
 
 EXECUTION_SCHEMA = (
@@ -133,12 +133,9 @@ def log_execution(
     config: dict,
 ) -> None:
     """Append one execution with its configuration; versions count from 0 per configuration."""
-    try:
+    log = spark.createDataFrame([], EXECUTION_SCHEMA)
+    if path_exists(spark, path):
         log = spark.read.schema(EXECUTION_SCHEMA).parquet(path)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        log = spark.createDataFrame([], EXECUTION_SCHEMA)
     nxt = next_execution(log, config_id)
     paths = sorted(o["path"] for o in outcome.values() if o["path"])
     errors = "; ".join(f"{n}: {o['error']}" for n, o in outcome.items() if o["error"]) or None

@@ -29,8 +29,12 @@ def _fields(line: Column, sep: str) -> Column:
     return F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, separator: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """CSV files with a header, repaired line by line; returns (rows, rejected lines).
+def read_csv_tolerant(
+    spark: SparkSession, path: str, separator: str | None = None, header: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """CSV files, repaired line by line; returns (rows, rejected lines).
+
+    Each file starts with its header line, unless ``header`` gives the one they lack.
 
     A line with an odd number of quotes gets a closing one; a line with too many fields
     is rejected, one with too few is filled with NULL.  Only the header and a few sample
@@ -39,7 +43,7 @@ def read_csv_tolerant(spark: SparkSession, path: str, separator: str | None = No
     text = spark.read.text(path)
     sample = [r["value"] for r in text.limit(20).collect()]
     sep = separator or vote_separator(sample)
-    header = sample[0]
+    header = header or sample[0]
     names = [n.strip().strip('"') for n in header.split(sep)]
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))

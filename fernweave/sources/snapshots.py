@@ -11,10 +11,11 @@ import datetime as dt
 import json
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernweave.session import path_exists
+
 COMMIT_SCHEMA = (
     "version bigint, committed_at timestamp, operation string, rows bigint, files bigint, schema string, config string"
 )
@@ -33,12 +34,10 @@ class VersionNotFound(ValueError):
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """The commit table; empty when nothing was written yet."""
-    try:
-        return spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/_commits")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    log = f"{path}/_commits"
+    if not path_exists(spark, log):
         return spark.createDataFrame([], COMMIT_SCHEMA)
+    return spark.read.schema(COMMIT_SCHEMA).parquet(log)
 
 
 def _live(spark: SparkSession, path: str) -> DataFrame:
