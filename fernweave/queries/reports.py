@@ -179,10 +179,12 @@ def distinct_per_prefix(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT r_regionkey, r_name, coalesce(n, 0)::BIGINT AS nations FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 3 GROUP BY 1) x ON r_regionkey = n_regionkey
+SELECT p_partkey, p_name, coalesce(n, 0)::BIGINT AS returned FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1) x ON p_partkey = l_partkey
 """)
 def child_counts(t: Tables) -> DataFrame:
-    return agg.child_counts(t.region, "r_regionkey", {"nations": (t.nation.where("n_nationkey < 3"), "n_regionkey")})
+    """Parts with their number of returned large lines, 0 for most."""
+    returned = t.lineitem.where("l_returnflag = 'R' AND l_quantity > 45")
+    return agg.child_counts(t.part.select("p_partkey", "p_name"), "p_partkey", {"returned": (returned, "l_partkey")})
 
 
 @query("""

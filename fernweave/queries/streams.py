@@ -1 +1,54 @@
+"""Incremental ingest, streaming upsert and rate windows, run over what is there now."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fernweave.queries.registry import Tables, query
+from fernweave.sources.snapshots import read_snapshot
+from fernweave.streaming import ingest
+
+
+def _arrivals(t: Tables, folder: str, files_per_trigger: int | None = 2) -> DataFrame:
+    """The events as files to be picked up a few at a time, or all at once."""
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartitionByRange(6, "ts").write.parquet(folder)
+    return ingest.file_stream(t.spark, folder, events.schema, files_per_trigger)
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props, 4 AS _dataset_id FROM events")
+def incremental_ingest(t: Tables) -> DataFrame:
+    """Files appended in several stamped batches; each row arrives once."""
+    path = t.scratch("ingested")
+    ingest.ingest(_arrivals(t, t.scratch("arrivals")), path, t.scratch("checkpoint"), 4).awaitTermination()
+    return t.spark.read.parquet(path).drop("_batch_id", "_extraction_timestamp")
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def streaming_upsert(t: Tables) -> DataFrame:
+    """The latest event of every user, kept up to date batch by batch."""
+    path = t.scratch("latest")
+    ingest.stream_upsert(_arrivals(t, t.scratch("arrivals")), path, t.scratch("checkpoint"), ["user_id"], ["ts", "event_id"]).awaitTermination()
+    return read_snapshot(t.spark, path)
+
+
+_WINDOWS = """
+WITH s AS (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '55 minutes', time_bucket(INTERVAL '5 minutes', ts), INTERVAL '5 minutes')) AS window_start FROM events)
+SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, user_id, count(*) AS requests FROM s GROUP BY 1, 2, 3
+"""
+
+
+@query(_WINDOWS)
+def rate_windows(t: Tables) -> DataFrame:
+    """Requests per user and sliding hour."""
+    return ingest.rate_windows(t.events, "user_id", "ts")
+
+
+@query(_WINDOWS)
+def streaming_rate_windows(t: Tables) -> DataFrame:
+    """The same over a stream, stored as each window's count changes; the last count of a window stands."""
+    path = t.scratch("windows")
+    counts = ingest.rate_windows(_arrivals(t, t.scratch("arrivals"), None), "user_id", "ts")
+    ingest.store_updates(counts, path, t.scratch("checkpoint")).awaitTermination()
+    return ingest.read_updates(t.spark, path, ["window_start", "window_end", "user_id"])

@@ -63,3 +63,20 @@ def rate_windows(
     return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), who, "requests"
     )
+
+
+def store_updates(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store the rows of an aggregate that changed in each batch, under the batch's own folder."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
+
+    writer = results.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last stored state of every key."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "_batch_id")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch_id").alias("_l"))
+    return latest.select(*keys, *[F.col(f"_l.{v}").alias(v) for v in values])

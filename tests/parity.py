@@ -63,7 +63,11 @@ def kind(name: str) -> str:
 
 def compare(con: duckdb.DuckDBPyConnection, df, sql: str) -> list[str]:
     """Differences between a Spark result and the SQL result; empty when they agree."""
-    got_columns, got = normal(df.columns, [tuple(r) for r in df.collect()])
+    return compare_rows(con, df, [tuple(r) for r in df.collect()], sql)
+
+
+def compare_rows(con: duckdb.DuckDBPyConnection, df, rows: list[tuple], sql: str) -> list[str]:
+    got_columns, got = normal(df.columns, rows)
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     kinds = {d[0]: kind(str(d[1])) for d in result.description}
@@ -104,8 +108,9 @@ def main() -> None:
         try:
             df = run(spark, args.dir)
             if name in oracles:
-                problems = compare(con, df, oracles[name])
-                note = "ok" if not problems else " | ".join(problems)
+                rows = [tuple(r) for r in df.collect()]
+                problems = compare_rows(con, df, rows, oracles[name])
+                note = f"{len(rows)} rows " + " | ".join(problems)
             else:
                 note = f"rows only: {df.count()}"
                 problems = []
@@ -113,7 +118,7 @@ def main() -> None:
             problems = [traceback.format_exc()[-1500:] if args.names else str(error)[:400]]
             note = problems[0]
         bad += bool(problems)
-        print(f"{'BAD ' if problems else 'ok  '} {area}.{name} {time.time() - start:.1f}s {note if problems or name not in oracles else ''}", flush=True)
+        print(f"{'BAD ' if problems else 'ok  '} {area}.{name} {time.time() - start:.1f}s {note}", flush=True)
     print(f"{bad} bad")
 
 
