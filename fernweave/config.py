@@ -20,6 +20,8 @@ class Relationship:
 
     ``condition`` is an extra SQL condition over ``table.column`` names, added to the
     key equality (an equality is always needed, so no join compares all pairs).
+    ``cardinality`` (``one_to_one``, ``one_to_many``, ``many_to_one``, ``many_to_many``)
+    says on which side a key occurs once; outer joins are cheaper when it is known.
     """
 
     left_table: str
@@ -29,6 +31,7 @@ class Relationship:
     how: str = "inner"
     condition: str | None = None
     active: bool = True
+    cardinality: str = "many_to_many"
 
 
 @dataclass(frozen=True)

@@ -41,29 +41,35 @@ def keyed_join(
     how: str = "inner",
     extra: str | None = None,
     right_unique: bool = False,
+    left_unique: bool = False,
 ) -> DataFrame:
     """Equi-join of two frames with disjoint column names.
 
-    ``right_unique`` says a key occurs once on the right, so a plain left join suffices.
+    ``left_unique`` / ``right_unique`` say that a key occurs once on that side.  Then one
+    outer join keeps the other side's rows and can still split that side's hot keys.
     """
     if not pairs:
         raise ValueError("a join needs at least one key pair")
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown join type {how!r}")
     condition = reduce(operator.and_, [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in pairs])
     if extra:
         condition = condition & F.expr(extra)
-    if how == "inner" or (how == "left" and right_unique):
-        return left.join(right, condition, how)
-    if how not in ("left", "right", "full"):
-        raise ValueError(f"unknown join type {how!r}")
     columns = [*left.columns, *right.columns]
-    out = left.join(right, condition, "inner")
 
     def keys(df: DataFrame, position: int) -> DataFrame:
         return df if extra else df.select(*{f"`{p[position]}`" for p in pairs}).distinct()
 
-    if how in ("left", "full"):
+    keep_left, keep_right = how in ("left", "full"), how in ("right", "full")
+    main = "inner"
+    if keep_left and right_unique:
+        main, keep_left = "left", False
+    elif keep_right and left_unique:
+        main, keep_right = "right", False
+    out = left.join(right, condition, main)
+    if keep_left:
         out = out.unionByName(_with_nulls(left.join(keys(right, 1), condition, "left_anti"), right, columns))
-    if how in ("right", "full"):
+    if keep_right:
         out = out.unionByName(_with_nulls(right.join(keys(left, 0), condition, "left_anti"), left, columns))
     return out
 
@@ -143,6 +149,7 @@ def join_related(
     qualified = {t: df.select(*[F.col(f"`{c}`").alias(_q(t, c)) for c in df.columns]) for t, df in tables.items()}
     out = qualified[start]
     unified: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    rows_repeat = False  # once a join may repeat rows, no key of the result so far is known to be unique
     for new, r in steps:
         a, b = (r.left_table, r.left_column), (r.right_table, r.right_column)
         here, there = (a, b) if new == r.right_table else (b, a)
@@ -154,7 +161,11 @@ def join_related(
                 r.condition,
             )
         how = r.how if r.how in ("inner", "left", "right", "full") else default_how
-        out = keyed_join(out, qualified[new], [(_q(*here), _q(*there))], how, extra)
+        one_left, one_right = r.cardinality.startswith("one_to"), r.cardinality.endswith("to_one")
+        new_unique = one_right if new == r.right_table else one_left
+        old_unique = not rows_repeat and (one_left if new == r.right_table else one_right)
+        rows_repeat = rows_repeat or not new_unique
+        out = keyed_join(out, qualified[new], [(_q(*here), _q(*there))], how, extra, new_unique, old_unique)
         group = next((g for g in unified.values() if a in g or b in g), None)
         if group is None:
             unified[a] = [a, b]
@@ -192,12 +203,15 @@ def unlinked_tables(tables: list[str], relationships: list[Relationship]) -> lis
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None, suffix: str = "_right") -> DataFrame:
-    """Left join of a lookup; clashing names of the lookup get a suffix."""
+    """Left join of a lookup; clashing names of the lookup get a suffix.
+
+    A lookup normally lists a key once; one that does not still gives every match.
+    """
     right_on = right_on or on
     renamed = {c: f"{c}{suffix}" for c in right.columns if c in left.columns}
     lookup = right.withColumnsRenamed(renamed)
     key = renamed.get(right_on, right_on)
-    joined = keyed_join(left, lookup, [(on, key)], "left")
+    joined = keyed_join(left, lookup, [(on, key)], "left", right_unique=True)
     return joined.drop(key) if on == right_on else joined
 
 

@@ -67,7 +67,7 @@ def nonstandard_values(mappings: DataFrame, terms: DataFrame) -> DataFrame:
     return mappings.join(allowed, ["group_id", "standard_value"], "left_anti")
 
 
-def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
+def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]], nulls: bool = False) -> DataFrame:
     """Distinct values of key columns with their frequency: table_name, column_name, value, n.
 
     Each column is read on its own (the scan prunes to it) and counted map-side.
@@ -76,7 +76,8 @@ def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) ->
     for table, column in columns:
         value = F.col(column).cast("string").alias("value")
         names = [F.lit(table).alias("table_name"), F.lit(column).alias("column_name")]
-        parts.append(frames[table].select(*names, value).where("value IS NOT NULL"))
+        part = frames[table].select(*names, value)
+        parts.append(part if nulls else part.where("value IS NOT NULL"))
     return reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name", "value").agg(F.count("*").alias("n"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernweave.sources.snapshots import read_snapshot
 
@@ -35,14 +39,20 @@ def change_feed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     after = new.select(F.col(key).alias("_new_key"), F.struct(*columns).alias("_after"))
     joined = before.join(after, F.col("_old_key") == F.col("_new_key"), "full")
 
-    def change(kind: str, row: str):
+    def differs(field: T.StructField) -> Column:
+        a, b = F.col(f"_before.`{field.name}`"), F.col(f"_after.`{field.name}`")
+        if isinstance(field.dataType, T.MapType):  # maps have no equality of their own
+            a, b = F.to_json(a), F.to_json(b)
+        return ~a.eqNullSafe(b)
+
+    def change(kind: str, row: str) -> Column:
         return F.struct(F.lit(kind).alias("_change_type"), F.col(row).alias("_row"))
 
     changes = (
         F.when(F.col("_old_key").isNull(), F.array(change("insert", "_after")))
         .when(F.col("_new_key").isNull(), F.array(change("delete", "_before")))
         .when(
-            ~F.to_json("_before").eqNullSafe(F.to_json("_after")),
+            reduce(operator.or_, [differs(f) for f in old.schema]),
             F.array(change("update_pre", "_before"), change("update_post", "_after")),
         )
     )

@@ -19,8 +19,8 @@ AT = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 STATUS = {"O": "open", "F": "finished"}
 
 LINKS = [
-    Relationship("customer", "c_custkey", "orders", "o_custkey", "full"),
-    Relationship("customer", "c_nationkey", "nation", "n_nationkey", "left"),
+    Relationship("customer", "c_custkey", "orders", "o_custkey", "full", cardinality="one_to_many"),
+    Relationship("customer", "c_nationkey", "nation", "n_nationkey", "left", cardinality="many_to_one"),
 ]
 
 FLAGSHIP = SilverConfig(

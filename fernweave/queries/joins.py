@@ -74,8 +74,8 @@ FROM orders FULL JOIN customer ON o_custkey = c_custkey FULL JOIN (SELECT * FROM
 def link_join(t: Tables) -> DataFrame:
     """Groups joined by links; an unknown join type means full, a second path between joined groups is left out."""
     links = [
-        Relationship("orders", "o_custkey", "customer", "c_custkey", "whatever"),
-        Relationship("customer", "c_nationkey", "nation", "n_nationkey", "full"),
+        Relationship("orders", "o_custkey", "customer", "c_custkey", "whatever", cardinality="many_to_one"),
+        Relationship("customer", "c_nationkey", "nation", "n_nationkey", "full", cardinality="many_to_one"),
         Relationship("nation", "n_nationkey", "customer", "c_nationkey", "inner"),
     ]
     tables = {

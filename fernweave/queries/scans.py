@@ -173,4 +173,4 @@ UNION ALL {_KEYS_SQL})
 def key_constraints(t: Tables) -> DataFrame:
     """Primary and foreign keys the data itself supports."""
     frames = {n: getattr(t, n) for n in ("customer", "orders", "nation", "lineitem")}
-    return catalog.key_constraints(frames, _KEYS, catalog.table_catalog(frames))
+    return catalog.key_constraints(frames, _KEYS)

@@ -39,16 +39,19 @@ def write_snapshot(
     config: dict | None = None,
     partition_by: list[str] | None = None,
     at: dt.datetime | None = None,
-    resize: bool = True,
+    resize: bool = False,
 ) -> Commit:
     """Write a new version holding exactly these rows, with this schema.
 
-    Rows are counted while they are written, not by a second job.
+    Rows are counted while they are written, not by a second job.  ``resize`` shuffles
+    the output into files of the advisory size; without it a join's or aggregate's
+    output is sized by adaptive execution anyway and a plain copy is not shuffled at all.
+    Partitioned output is always resized, or every task would open a file per value.
     """
     spark = df.sparkSession
     version = _next_version(spark, path)
     seen = Observation()
-    out = sized(df, partition_by) if resize else df
+    out = sized(df, partition_by) if resize or partition_by else df
     out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     folder = f"{path}/_version={version}"
     writer = out.write.mode("overwrite")
@@ -101,10 +104,10 @@ def compact(spark: SparkSession, path: str, cluster_by: list[str] | None = None,
         return None
     df = read_snapshot(spark, path, version)
     if not cluster_by:
-        return write_snapshot(df, path, operation="compact")
+        return write_snapshot(df, path, operation="compact", resize=True)
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
     ranged = df.repartitionByRange(*[F.col(c) for c in cluster_by], spread).sortWithinPartitions(*cluster_by)
-    return write_snapshot(ranged, path, operation="compact", resize=False)
+    return write_snapshot(ranged, path, operation="compact")
 
 
 def expired_versions(log: DataFrame, now: dt.datetime, retention: dt.timedelta = RETENTION) -> DataFrame:

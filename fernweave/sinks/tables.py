@@ -30,7 +30,7 @@ def append_batch(
     stamped = df.withColumns(
         {"_dataset_id": F.lit(dataset_id), "_extraction_timestamp": clock(at), "_batch_id": F.lit(batch_id)}
     )
-    sized(stamped).write.mode("append").parquet(path)
+    stamped.write.mode("append").parquet(path)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -59,23 +59,23 @@ def extract(frames: dict[str, DataFrame], columns: list[str], limits: dict[str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def key_constraints(frames: dict[str, DataFrame], columns: list[tuple[str, str]], rows: DataFrame) -> DataFrame:
+def key_constraints(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
     """Keys the data supports: a column that is filled and unique, and columns contained in one.
 
-    ``rows`` is :func:`table_catalog`.  Result: table_name, column_name, constraint_type,
-    ref_table, ref_column.  All columns share one distinct shuffle.
+    Result: table_name, column_name, constraint_type, ref_table, ref_column.  All columns
+    share one distinct shuffle.
     """
-    values = column_keys(frames, columns)
+    values = column_keys(frames, columns, nulls=True)
     per_column = values.groupBy("table_name", "column_name").agg(
-        F.count("*").alias("n_distinct"), F.sum("n").alias("n_filled")
+        F.count("value").alias("n_distinct"), F.sum("n").alias("row_count")
     )
-    profiled = per_column.join(rows.select("table_name", "row_count"), "table_name")
-    unique = profiled.where("n_distinct = n_filled AND n_filled = row_count")
+    # every row has its own value exactly when there are as many distinct values as rows
+    unique = per_column.where("n_distinct = row_count")
     primary = unique.select(
         "table_name", "column_name", F.lit("PRIMARY KEY").alias("constraint_type"),
         F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("string").alias("ref_column"),
     )
-    targets = values.join(unique.select("table_name", "column_name"), ["table_name", "column_name"], "left_semi").select(
+    targets = values.join(unique.select("table_name", "column_name"), ["table_name", "column_name"]).select(
         F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), "value"
     )
     hits = values.select("table_name", "column_name", "value").join(targets, "value").where("table_name != ref_table")

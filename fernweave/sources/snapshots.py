@@ -44,7 +44,7 @@ def _live(spark: SparkSession, path: str) -> DataFrame:
     """Versions that can be read: written and not expired."""
     log = commits(spark, path)
     gone = log.where("operation = 'expire'").select("version")
-    return log.where("operation != 'expire'").join(F.broadcast(gone.distinct()), "version", "left_anti")
+    return log.where("operation != 'expire'").join(gone, "version", "left_anti")
 
 
 def resolve_version(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from fernweave.operators.sets import keep_last
 from fernweave.sinks.snapshots import upsert
-from fernweave.sources.snapshots import commits
+from fernweave.sources.snapshots import Commit
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,21 +34,42 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, dataset_id: int) -> St
     return writer.trigger(availableNow=True).start()
 
 
+def store_updates(results: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Store each batch's rows under the batch's own folder, for :func:`read_updates`."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
+
+    writer = results.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], sequence: list[str]) -> StreamingQuery:
-    """Upsert each batch into a versioned table: the last row of a key wins.
+    """Upsert by key: within a batch the last row in sequence wins, and later batches win over earlier.
 
-    The commit carries the batch id; a batch that is already committed is left out.
+    A batch writes its own rows only, never the whole table, and replaces its own folder
+    when it is retried.  :func:`read_updates` gives the current rows and
+    :func:`fold_updates` merges them into a versioned table from time to time.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = commits(spark, path).where(F.get_json_object("config", "$.batch_id").cast("bigint") == batch_id)
-        if done.isEmpty():
-            upsert(batch, path, keys, sequence, config={"batch_id": batch_id})
+        keep_last(batch, keys, sequence).write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last stored row of every key (a running maximum per key)."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "_batch_id")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch_id").alias("_l"))
+    return latest.select(*keys, *[F.col(f"_l.{v}").alias(v) for v in values])
+
+
+def fold_updates(spark: SparkSession, path: str, table: str, keys: list[str]) -> Commit:
+    """Merge everything stored so far into a versioned table."""
+    return upsert(read_updates(spark, path, keys), table, keys)
+
+
 def rate_windows(
     log: DataFrame, who: str, at: str, window: str = "1 hour", slide: str = "5 minutes", lateness: str = "10 minutes"
 ) -> DataFrame:
@@ -63,20 +85,3 @@ def rate_windows(
     return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), who, "requests"
     )
-
-
-def store_updates(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store the rows of an aggregate that changed in each batch, under the batch's own folder."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
-
-    writer = results.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
-
-
-def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last stored state of every key."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "_batch_id")]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch_id").alias("_l"))
-    return latest.select(*keys, *[F.col(f"_l.{v}").alias(v) for v in values])
