@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernweave.operators.aggregates import snapshot_diff
 from fernweave.operators.sets import keep_last
@@ -19,8 +20,11 @@ def _next_version(spark: SparkSession, path: str) -> int:
     return commits(spark, path).agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
 
 
-def _log(spark: SparkSession, path: str, row: tuple) -> None:
-    spark.createDataFrame([row], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+def _log(spark: SparkSession, path: str, row: dict) -> None:
+    """Append one commit row."""
+    fields = T.StructType.fromDDL(COMMIT_SCHEMA)
+    values = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in fields]
+    spark.range(1, numPartitions=1).select(*values).write.mode("append").parquet(f"{path}/_commits")
 
 
 def sized(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -59,7 +63,8 @@ def write_snapshot(
     files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
     when = at or dt.datetime.now(dt.timezone.utc)
     rows = seen.get["rows"]
-    _log(spark, path, (version, when, operation, rows, files, df.schema.json(), json.dumps(config) if config else None))
+    commit = {"version": version, "committed_at": when, "operation": operation, "rows": rows, "files": files}
+    _log(spark, path, {**commit, "schema": df.schema.json(), "config": json.dumps(config) if config else None})
     return Commit(version, rows, files)
 
 
@@ -127,5 +132,5 @@ def expire(spark: SparkSession, path: str, now: dt.datetime | None = None, reten
     old = expired_versions(log.where("operation != 'expire'"), now, retention).select("version").collect()
     versions = sorted({r["version"] for r in old} - gone)
     for version in versions:
-        _log(spark, path, (version, now, "expire", None, None, None, None))
+        _log(spark, path, {"version": version, "committed_at": now, "operation": "expire"})
     return versions

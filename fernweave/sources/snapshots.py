@@ -41,10 +41,12 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, path: str) -> DataFrame:
-    """Versions that can be read: written and not expired."""
-    log = commits(spark, path)
-    gone = log.where("operation = 'expire'").select("version")
-    return log.where("operation != 'expire'").join(gone, "version", "left_anti")
+    """Versions that can be read, with their time: written and not expired."""
+    expired = F.col("operation") == "expire"
+    versions = commits(spark, path).groupBy("version").agg(
+        F.bool_or(expired).alias("gone"), F.max(F.when(~expired, F.col("committed_at"))).alias("committed_at")
+    )
+    return versions.where("NOT gone").drop("gone")
 
 
 def resolve_version(
