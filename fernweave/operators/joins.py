@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import operator
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -135,17 +135,34 @@ def _q(table: str, column: str) -> str:
     return f"{table}__{column}"
 
 
+def with_actual_names(tables: dict[str, DataFrame], relationships: list[Relationship], strict: bool = True) -> list[Relationship]:
+    """Relationships with their key columns spelled as the tables spell them.
+
+    A key column that is not there is an error, or leaves the relationship out.
+    """
+    out = []
+    for r in relationships:
+        if not r.active or not {r.left_table, r.right_table} <= set(tables):
+            continue
+        left = {c.lower(): c for c in tables[r.left_table].columns}.get(r.left_column.lower())
+        right = {c.lower(): c for c in tables[r.right_table].columns}.get(r.right_column.lower())
+        if left and right:
+            out.append(replace(r, left_column=left, right_column=right))
+        elif strict:
+            raise ValueError(f"no such key: {r.left_table}.{r.left_column} = {r.right_table}.{r.right_column}")
+    return out
+
+
 def join_related(
-    tables: dict[str, DataFrame], relationships: list[Relationship], default_how: str = "inner"
+    tables: dict[str, DataFrame], relationships: list[Relationship], default_how: str = "inner", strict: bool = True
 ) -> tuple[DataFrame, list[MappedColumn]]:
-    """Join tables along their relationships.
+    """Join tables along their relationships; key columns are found ignoring case.
 
     Join keys of a relationship become one column under the left column's name, the
     first side that has a value; other clashing names get their table in front.  An
     unknown join type means ``default_how``, always with the result so far on the left.
     """
-    names = list(tables)
-    start, steps = join_order(names, relationships)
+    start, steps = join_order(list(tables), with_actual_names(tables, relationships, strict))
     qualified = {t: df.select(*[F.col(f"`{c}`").alias(_q(t, c)) for c in df.columns]) for t, df in tables.items()}
     out = qualified[start]
     unified: dict[tuple[str, str], list[tuple[str, str]]] = {}

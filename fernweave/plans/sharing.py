@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernweave.operators.predicates import predicate_tree
 from fernweave.sources.snapshots import read_snapshot
 
 QUERY_CAP = 10_000
@@ -87,3 +88,18 @@ def accessible_tables(
     granted = grants.join(me, "recipient_id", "left_semi").select("share_id")
     live = shares.where("is_active").join(granted, "share_id", "left_semi").select("share_id")
     return tables.join(live, "share_id", "left_semi").select("table_id").distinct()
+
+
+def shared_rows(
+    spark: SparkSession,
+    path: str,
+    predicate: dict | None = None,
+    limit: int | None = None,
+    version: int | None = None,
+    pinned: int | None = None,
+) -> DataFrame:
+    """Rows of a shared table: a pinned version wins over the requested one; filter and limit are optional."""
+    df = read_snapshot(spark, path, version=version, pinned=pinned)
+    if predicate:
+        df = df.where(predicate_tree(df, predicate))
+    return df if limit is None else df.limit(limit)

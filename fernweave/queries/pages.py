@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.operators import aggregates, paging
+from fernweave.plans import grid
 from fernweave.queries.registry import Tables, query
+from fernweave.sinks.snapshots import write_snapshot
 
 
 @query("SELECT count(*) AS total FROM orders WHERE o_totalprice > 100000")
@@ -62,3 +64,33 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 """)
 def newest_history(t: Tables) -> DataFrame:
     return paging.history(t.events, "user_id", ["ts", "event_id"], 5)
+
+
+_GRID = {
+    "version": 0,
+    "column_filters": [{"column": "day", "operator": "gte", "value": "1998-01-01"}, {"column": "o_orderpriority", "operator": "contains", "value": "high"}],
+    "sort_by": "day",
+    "sort_order": "desc",
+    "offset": 10,
+    "limit": 40,
+}
+_GRID_ROWS = """SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders WHERE o_orderdate::DATE >= DATE '1998-01-01' AND o_orderpriority ILIKE '%high%'"""
+
+
+def _grid(t: Tables) -> grid.GridResult:
+    path = t.scratch("grid")
+    df = t.orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
+    write_snapshot(df, path)
+    write_snapshot(df.where("o_orderkey < 0"), path)
+    return grid.versioned_grid_query(t.spark, path, _GRID, ["o_orderkey"])
+
+
+@query(f"{_GRID_ROWS} ORDER BY o_orderdate::DATE DESC, o_orderkey OFFSET 10 LIMIT 40")
+def grid_request(t: Tables) -> DataFrame:
+    """One grid request over an old version: date-aware filter and sort, one page."""
+    return _grid(t).rows
+
+
+@query(f"SELECT count(*) AS total FROM ({_GRID_ROWS})")
+def grid_request_total(t: Tables) -> DataFrame:
+    return _grid(t).total

@@ -202,3 +202,17 @@ def change_feed(t: Tables) -> DataFrame:
 def read_only_query(t: Tables) -> DataFrame:
     t.lineitem.createOrReplaceTempView("shared_lines")
     return sharing.read_only_query(t.spark, "SELECT l_returnflag, count(*) AS n FROM shared_lines GROUP BY l_returnflag;")
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM lineitem WHERE l_quantity >= 40 AND NOT l_returnflag = 'N'")
+def shared_rows(t: Tables) -> DataFrame:
+    """A consumer asks for the latest version but is pinned to the first."""
+    path = t.scratch("shared")
+    write_snapshot(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), path)
+    write_snapshot(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag").where("l_quantity < 3"), path)
+
+    def node(op: str, name: str, value: str, kind: str) -> dict:
+        return {"op": op, "children": [{"op": "column", "name": name}, {"op": "literal", "value": value, "valueType": kind}]}
+
+    wanted = [node("greaterThanOrEqual", "l_quantity", "40", "double"), {"op": "not", "children": [node("equal", "l_returnflag", "N", "string")]}]
+    return sharing.shared_rows(t.spark, path, {"op": "and", "children": wanted}, pinned=0)

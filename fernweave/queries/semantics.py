@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fernweave.operators import aggregates, joins, predicates, semantics
 from fernweave.operators.joins import unlinked_tables as find_unlinked
-from fernweave.plans import unify
+from fernweave.plans import discovery, unify
 from fernweave.queries.registry import Tables, query
 
 CATALOG = """
@@ -136,7 +136,7 @@ def discover_by_overlap(t: Tables) -> DataFrame:
     return found.withColumns({"overlap_ratio": F.round("overlap_ratio", 6), "confidence": F.round("confidence", 6)})
 
 
-@query(_catalog("""
+_BY_NAME = """
 , keyed AS (SELECT *, is_primary_key OR column_name IN ('id', 'pk', 'key', 'code', 'numero', 'codigo') AS k FROM columns),
 keys AS (SELECT * FROM keyed WHERE k QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY is_primary_key DESC, column_id) = 1),
 refs AS (SELECT k.*, t.connection_id, CASE WHEN lower(column_name) LIKE '%_\\_id' ESCAPE '\\' THEN regexp_extract(lower(column_name), '^(.+)_id$', 1)
@@ -151,7 +151,10 @@ SELECT n.table_id AS left_table_id, p.column_id AS left_column_id, r.table_id AS
  least(round((CASE WHEN r.data_type = p.data_type OR (r.data_type IN ('int', 'bigint') AND p.data_type IN ('int', 'bigint')) OR (r.data_type IN ('varchar', 'text') AND p.data_type IN ('varchar', 'text')) THEN 0.85 ELSE 0.6 END
   + CASE WHEN n.connection_id = r.connection_id THEN 0.1 ELSE 0 END)::DOUBLE, 4), 1.0)::DOUBLE AS confidence
 FROM refs r JOIN named n ON n.v = r.ref JOIN keys p ON p.table_id = n.table_id WHERE n.table_id <> r.table_id
-"""))
+"""
+
+
+@query(_catalog(_BY_NAME))
 def discover_by_name(t: Tables) -> DataFrame:
     return semantics.discover_names(tables(t), columns(t))
 
@@ -164,6 +167,21 @@ def discover_by_foreign_key(t: Tables) -> DataFrame:
     return semantics.discover_foreign_keys(columns(t))
 
 
+_NAME_PARTS = _BY_NAME.split("SELECT n.table_id AS left_table_id", 1)
+
+
+@query(_catalog(f"""{_NAME_PARTS[0]}, by_name AS (SELECT n.table_id AS left_table_id{_NAME_PARTS[1]}),
+found AS (SELECT left_table_id, left_column_id, right_table_id, right_column_id, confidence, 'name' AS source FROM by_name
+  UNION ALL SELECT p.table_id, p.column_id, c.table_id, c.column_id, 1.0, 'foreign_key' FROM columns c JOIN columns p ON p.column_id = c.fk_column_id WHERE c.is_foreign_key)
+SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM relationships x WHERE least(x.left_column_id, x.right_column_id) = least(f.left_column_id, f.right_column_id)
+  AND greatest(x.left_column_id, x.right_column_id) = greatest(f.left_column_id, f.right_column_id))
+QUALIFY row_number() OVER (PARTITION BY least(left_column_id, right_column_id), greatest(left_column_id, right_column_id) ORDER BY confidence DESC, source, left_column_id, right_column_id) = 1
+"""))
+def suggested_relationships(t: Tables) -> DataFrame:
+    """All methods together: best per pair, known relationships left out."""
+    return discovery.suggest_relationships(tables(t), columns(t), relationships(t))
+
+
 @query(_catalog("""
 SELECT relationship_id, CASE WHEN x.is_primary_key AND y.is_primary_key THEN 'one_to_one' WHEN x.is_primary_key THEN 'one_to_many' WHEN y.is_primary_key THEN 'many_to_one' ELSE 'many_to_many' END AS cardinality
 FROM relationships r JOIN columns x ON x.column_id = r.left_column_id JOIN columns y ON y.column_id = r.right_column_id

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fernweave.operators.aggregates import snapshot_diff
 from fernweave.operators.sets import keep_last
+from fernweave.sources.files import list_files
 from fernweave.sources.snapshots import COMMIT_SCHEMA, Commit, VersionNotFound, commits, read_snapshot, resolve_version
 
 RETENTION = dt.timedelta(hours=168)
@@ -60,12 +61,13 @@ def write_snapshot(
     folder = f"{path}/_version={version}"
     writer = out.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
-    files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    stored = list_files(spark, folder, "*.parquet").agg(F.count("*").alias("n"), F.sum("length").alias("size")).first()
+    files, size = stored["n"], stored["size"] or 0
     when = at or dt.datetime.now(dt.timezone.utc)
     rows = seen.get["rows"]
-    commit = {"version": version, "committed_at": when, "operation": operation, "rows": rows, "files": files}
+    commit = {"version": version, "committed_at": when, "operation": operation, "rows": rows, "files": files, "bytes": size}
     _log(spark, path, {**commit, "schema": df.schema.json(), "config": json.dumps(config) if config else None})
-    return Commit(version, rows, files)
+    return Commit(version, rows, files, size)
 
 
 def write_if_changed(df: DataFrame, path: str, key: str, fields: list[str], **kwargs) -> Commit | None:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from fernweave.session import path_exists
 
 COMMIT_SCHEMA = (
-    "version bigint, committed_at timestamp, operation string, rows bigint, files bigint, schema string, config string"
+    "version bigint, committed_at timestamp, operation string, rows bigint, files bigint, bytes bigint, schema string, "
+    "config string"
 )
 
 
@@ -26,6 +27,7 @@ class Commit:
     version: int
     rows: int
     files: int
+    bytes: int
 
 
 class VersionNotFound(ValueError):

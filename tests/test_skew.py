@@ -112,3 +112,48 @@ def test_pairs_in_either_direction(spark):
     assert sorted(r["t"] for r in sets.best_pairs(df, "a", "b", "score", ["t"]).collect()) == ["y", "z"]
     known = spark.createDataFrame([(2, 1)], "a int, b int")
     assert [r["t"] for r in sets.exclude_pairs(df, known, "a", "b").collect()] == ["z"]
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Settings under which test data counts as large: no broadcast, tiny skew threshold."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("known", [True, False])
+def test_hot_keys_are_split_in_every_join(spark, skewed, small_partitions, how, known):
+    """A requester with a third of the log is read by several tasks, also in outer joins."""
+    people = spark.range(5, 105).select(F.col("id").alias("person"), F.col("id").cast("string").alias("name"))
+    people = people.unionByName(spark.sql("SELECT 0L AS person, 'zero' AS name"))
+    log = skewed.repartition(8).select("who", "seq", "value", F.sha2(F.col("seq").cast("string"), 256).alias("pad"))
+    out = joins.keyed_join(log, people, [("who", "person")], how, right_unique=known)
+    rows = out.collect()
+    final = plan(out)
+    assert "skew=true" in final
+    names = {r["person"]: r["name"] for r in people.collect()}
+    kept = [r["who"] for r in log.select("who").collect() if how in ("left", "full") or r["who"] in names]
+    assert Counter(r["who"] for r in rows if r["seq"] is not None) == Counter(kept)
+    lonely = {p for p in names if p > 96} | {1, 2, 3, 4} & set(names)
+    assert {r["person"] for r in rows if r["seq"] is None} == (lonely if how in ("right", "full") else set())
+
+
+def test_catalog_merge_replaces_what_was_extracted_again(spark):
+    from fernweave.sources.catalog import column_catalog, merge_catalog
+
+    old = column_catalog(spark, {"a": spark.range(1), "b": spark.range(1)})
+    new = column_catalog(spark, {"a": spark.range(1).selectExpr("CAST(id AS STRING) AS id", "1 AS x")})
+    merged = {(r["table_name"], r["column_name"]): r["data_type"] for r in merge_catalog(old, new).collect()}
+    assert merged == {("a", "id"): "string", ("a", "x"): "int", ("b", "id"): "bigint"}
