@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.functions.arrays import explode_array
+
 _ROW = r"(?s)<tr[^>]*\bdata-ri\b[^>]*>(.*?)</tr>"
 _CELL = r"(?s)<td[^>]*>(.*?)</td>"
 _LINK = r'(?is)<a\s[^>]*href="([^"]*)"'
@@ -17,19 +21,31 @@ def plain_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def record_cells(row: Column, fields: int) -> Column:
     """Cell texts of a table row from its first date-like cell on, padded to ``fields``; NULL without a date."""
-    cells = F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), plain_text)
-    first = F.array_position(F.transform(cells, lambda x: x.rlike(_DATE)), True)
-    rest = F.slice(cells, F.greatest(first, F.lit(1)).cast("int"), fields)
-    padded = F.concat(rest, F.array_repeat(F.lit(""), F.lit(fields) - F.size(rest)))
-    return F.when(first > 0, padded)
+    def from_date(cells: Column, first: Column) -> Column:
+        rest = F.slice(cells, F.greatest(first, F.lit(1)).cast("int"), fields)
+        padded = F.slice(F.concat(rest, F.array_repeat(F.lit(""), fields)), 1, fields)
+        return F.when(first > 0, padded)
+
+    def record(cells: Column) -> Column:
+        dated = F.transform(cells, lambda x: x.rlike(_DATE))
+        return _bind(F.array_position(dated, True), lambda first: from_date(cells, first))
+
+    return _bind(F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), plain_text), record)
 
 
 def table_records(df: DataFrame, key: str, html: str, names: list[str]) -> DataFrame:
     """One record per dated row of the page's data tables."""
-    rows = df.select(key, F.explode(F.regexp_extract_all(F.col(html), F.lit(_ROW), F.lit(1))).alias("_row"))
-    cells = rows.select(key, record_cells(F.col("_row"), len(names)).alias("_cells")).where("_cells IS NOT NULL")
+    rows = explode_array(df, [key], F.regexp_extract_all(F.col(html), F.lit(_ROW), F.lit(1)), "_row")
+    # a row without a date gives no element, so nothing is parsed again by a filter
+    record = _bind(record_cells(F.col("_row"), len(names)), lambda r: F.when(r.isNotNull(), F.array(r)))
+    cells = explode_array(rows, [key], record, "_cells")
     return cells.select(key, *[F.col("_cells")[i].alias(n) for i, n in enumerate(names)])
 
 
@@ -41,5 +57,4 @@ def stated_total(html: Column) -> Column:
 
 def links(df: DataFrame, key: str, html: str) -> DataFrame:
     """Every link target of a page, with its position."""
-    found = F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(1))
-    return df.select(key, F.posexplode(found).alias("position", "href"))
+    return explode_array(df, [key], F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(1)), "href", "position")

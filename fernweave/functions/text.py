@@ -32,7 +32,8 @@ def normalize_spaces(c: Column) -> Column:
 
 
 def remove_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Accented letters become plain; text of one-byte characters has none and is passed as it is."""
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, ACCENTED, PLAIN))
 
 
 @F.pandas_udf(T.StringType())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernweave.functions.arrays import explode_array
 from fernweave.operators.joins import keyed_join
 from fernweave.operators.quantiles import exact_quantile
 from fernweave.operators.ranking import first_per_key
@@ -239,7 +240,7 @@ def count_multi_valued(df: DataFrame, column: str, skip_blank: bool = True) -> D
     Text that only looks like a list counts as itself.
     """
     parsed = F.when(F.col(column).startswith("["), F.from_json(column, "array<string>"))
-    values = df.select(F.explode(F.coalesce(parsed, F.array(F.col(column)))).alias("value"))
+    values = explode_array(df, [], F.coalesce(parsed, F.array(F.col(column))), "value")
     if skip_blank:
         values = values.where("trim(value) != ''")
     return values.groupBy("value").agg(F.count("*").alias("count"))

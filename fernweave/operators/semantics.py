@@ -70,15 +70,16 @@ def nonstandard_values(mappings: DataFrame, terms: DataFrame) -> DataFrame:
 def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]], nulls: bool = False) -> DataFrame:
     """Distinct values of key columns with their frequency: table_name, column_name, value, n.
 
-    Each column is read on its own (the scan prunes to it) and counted map-side.
+    Each column is read on its own (the scan prunes to it) and counted in its own type
+    before values become text.
     """
     parts = []
     for table, column in columns:
-        value = F.col(column).cast("string").alias("value")
+        rows = frames[table].select(F.col(column).alias("value"))
+        counted = (rows if nulls else rows.where("value IS NOT NULL")).groupBy("value").agg(F.count("*").alias("n"))
         names = [F.lit(table).alias("table_name"), F.lit(column).alias("column_name")]
-        part = frames[table].select(*names, value)
-        parts.append(part if nulls else part.where("value IS NOT NULL"))
-    return reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name", "value").agg(F.count("*").alias("n"))
+        parts.append(counted.select(*names, F.col("value").cast("string").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def discover_overlap(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernweave.functions.arrays import explode_map
 from fernweave.functions.coerce import lake_safe_frame
 from fernweave.functions.paths import asset_path, location_parts, media_type
 from fernweave.session import clock
@@ -137,12 +138,10 @@ def flatten_json_long(df: DataFrame, key: str, column: str, categories: bool = F
     With ``categories`` the JSON has two levels and the field is ``{category}_{field}``.
     """
     if not categories:
-        entries = F.from_json(column, "map<string,string>")
-        return df.select(key, F.explode(entries).alias("field", "value"))
-    outer = df.select(key, F.explode(F.from_json(column, "map<string,map<string,string>>")).alias("category", "fields"))
-    return outer.select(key, "category", F.explode("fields").alias("name", "value")).select(
-        key, F.concat_ws("_", "category", "name").alias("field"), "value"
-    )
+        return explode_map(df, [key], F.from_json(column, "map<string,string>"), "field", "value")
+    outer = explode_map(df, [key], F.from_json(column, "map<string,map<string,string>>"), "category", "fields")
+    inner = explode_map(outer, [key, "category"], F.col("fields"), "name", "value")
+    return inner.select(key, F.concat_ws("_", "category", "name").alias("field"), "value")
 
 
 def pick_json(c: Column, picks: dict[str, tuple[str, str, object]]) -> list[Column]:

@@ -6,10 +6,12 @@ and no row ids are joined back.
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,14 @@ from fernweave.config import Extraction
 
 Extractor = Callable[[str], object]
 
+# what runs in tasks travels with them, so workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class RetryableError(Exception):
-    """A failure that may pass, such as an overloaded service."""
+    """A failure that may pass, such as an overloaded service; any error with ``retryable`` set counts as one."""
+
+    retryable = True
 
 
 def keyword_flag(words: list[str]) -> Extractor:
@@ -42,18 +49,17 @@ def run_extractor(text: str | None, extractor: Extractor, allowed: tuple, retrie
     """(value, ok, error) for one text; blank text is a success without a value."""
     if text is None or not text.strip():
         return None, True, None
+    problem = "no attempt was made"
     for attempt in range(retries):
         try:
             value = extractor(text)
-            if value not in allowed:
-                return None, False, f"not an allowed value: {value!r}"
-            return value, True, None
-        except RetryableError as error:
+            return (value, True, None) if value in allowed else (None, False, f"not an allowed value: {value!r}")
+        except Exception as error:  # noqa: BLE001 - the row's error column carries any failure
             problem = str(error)
+            if not getattr(error, "retryable", False):
+                break
             if attempt + 1 < retries:
                 time.sleep(backoff * 2**attempt)
-        except Exception as error:  # noqa: BLE001 - the row's error column carries any failure
-            return None, False, str(error)
     return None, False, problem
 
 

@@ -57,9 +57,10 @@ def mappings(t: Tables) -> DataFrame:
 
 def relationships(t: Tables) -> DataFrame:
     pairs = t.lineitem.groupBy(F.col("l_orderkey").alias("left_column_id"), F.col("l_partkey").alias("right_column_id")).agg(
-        F.round(0.5 + F.max("l_discount") * 4, 2).alias("confidence"), (F.max("l_returnflag") != "N").alias("is_active"),
-        F.max("l_linestatus").alias("status"),
-    )
+        F.round(0.5 + F.max("l_discount") * 4, 2).alias("confidence"),
+        (F.bool_or(F.col("l_returnflag") == "R") | F.bool_and(F.col("l_returnflag") == "A")).alias("is_active"),
+        F.when(F.bool_or(F.col("l_linestatus") == "O"), "O").otherwise("F").alias("status"),
+    )
     owner = columns(t).select("column_id", "table_id")
     left = owner.select(F.col("column_id").alias("left_column_id"), F.col("table_id").alias("left_table_id"))
     right = owner.select(F.col("column_id").alias("right_column_id"), F.col("table_id").alias("right_table_id"))

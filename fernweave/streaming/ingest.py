@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from fernweave.functions.arrays import explode_array
 from fernweave.operators.sets import keep_last
 from fernweave.sinks.snapshots import upsert
 from fernweave.sources.snapshots import Commit
@@ -73,15 +74,26 @@ def fold_updates(spark: SparkSession, path: str, table: str, keys: list[str]) ->
 def rate_windows(
     log: DataFrame, who: str, at: str, window: str = "1 hour", slide: str = "5 minutes", lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Requests per requester and sliding window; rows later than the watermark are dropped.
+    """Requests per requester and sliding window; on a stream, rows later than the watermark are dropped.
 
     Works on a stream or a plain frame.  Counts are combined before the shuffle, so a
-    busy requester costs one row per window and task.
+    busy requester costs one row per window and task.  A plain frame is first counted per
+    slide, and only those counts are copied to the windows they fall in; the window must
+    then be a whole number of slides.
     """
     timed = log.withColumn(at, F.col(at).cast("timestamp"))
-    if log.isStreaming:
-        timed = timed.withWatermark(at, lateness)
-    counted = timed.groupBy(F.window(at, window, slide), who).agg(F.count("*").alias("requests"))
+    if not log.isStreaming:
+        return _windows_from_slides(timed, who, at, window, slide)
+    counted = timed.withWatermark(at, lateness).groupBy(F.window(at, window, slide), who).agg(F.count("*").alias("requests"))
     return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), who, "requests"
     )
+
+
+def _windows_from_slides(timed: DataFrame, who: str, at: str, window: str, slide: str) -> DataFrame:
+    slides = timed.groupBy(F.window(at, slide).alias("_slide"), who).agg(F.count("*").alias("_n"))
+    length, step = F.expr(f"INTERVAL {window}"), F.expr(f"INTERVAL {slide}")
+    first = F.col("_slide.end") - length
+    starts = explode_array(slides, [who, "_n"], F.sequence(first, F.col("_slide.start"), step), "window_start")
+    counted = starts.groupBy("window_start", who).agg(F.sum("_n").alias("requests"))
+    return counted.select("window_start", (F.col("window_start") + length).alias("window_end"), who, "requests")

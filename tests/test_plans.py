@@ -24,7 +24,7 @@ def test_no_all_pairs_join_and_no_row_python(spark, name):
 
 
 def test_windows_are_always_partitioned(spark):
-    for name in ("newest_history", "first_rows_per_group", "hourly_rate", "keep_last_per_key"):
+    for name in ("newest_history", "first_rows_per_group", "hourly_rate", "prefer_filled"):
         df = queries.all_queries()[name](spark, FOLDER)
         assert "Exchange SinglePartition" not in plan(df)
 

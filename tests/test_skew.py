@@ -71,8 +71,9 @@ def plan(df) -> str:
 
 
 def test_rows_per_key_are_limited_before_the_shuffle(skewed):
+    assert "partial_max_by" in plan(sets.keep_last(skewed, ["who"], ["seq"])).split("Exchange hashpartitioning(who", 1)[1]
     for df in (
-        sets.keep_last(skewed, ["who"], ["seq"]), sets.prefer_filled(skewed, ["who"], "value", ["seq"]),
+        sets.prefer_filled(skewed, ["who"], "value", ["seq"]),
         ranking.first_per_key(skewed, ["who"], [F.col("seq")], 5), paging.history(skewed, "who", ["seq"], 3),
     ):
         text = plan(df)
