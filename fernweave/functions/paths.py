@@ -32,6 +32,19 @@ def safe_name(text: str | None, max_length: int = 255, default: str = "unnamed")
     return name[:max_length].rstrip("_-") or default
 
 
+def identifier(text: str, connection_id: int | None = None) -> str:
+    """A catalog name for a connection: letters, digits and ``_``, never starting with a digit."""
+    name = re.sub(r"[^A-Za-z0-9_]", "_", text) or "conn"
+    name = name if name[0].isalpha() or name[0] == "_" else f"_{name}"
+    return (name if connection_id is None else f"{name}_{connection_id}").lower()
+
+
+def shared_table_name(text: str) -> str:
+    """A shared table's name: plain lower-case letters and digits joined by single ``_``."""
+    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    return re.sub(r"[^a-z0-9]+", "_", plain).strip("_")[:255] or "table"
+
+
 def safe_name_column(c: Column, max_length: int = 255, default: str = "unnamed") -> Column:
     """The same rule for a column of names."""
     ascii_only = F.regexp_replace(remove_accents(c), r"[^\x00-\x7F]", "")
@@ -53,13 +66,10 @@ def unique_name(base: str, suffix: str, taken: set[str]) -> str:
 
 
 def location_parts(c: Column) -> dict[str, Column]:
-    """Scheme, bucket and key of a ``scheme://bucket/key`` location."""
-    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/]+)/?(.*)$"
-    return {
-        "scheme": F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")),
-        "bucket": F.nullif(F.regexp_extract(c, pattern, 2), F.lit("")),
-        "key": F.nullif(F.regexp_extract(c, pattern, 3), F.lit("")),
-    }
+    """Scheme, bucket and key of ``scheme://bucket/key`` or ``bucket/key``; absent parts are NULL."""
+    pattern = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?([^/]*)/?(.*)$"
+    names = {"scheme": 1, "bucket": 2, "key": 3}
+    return {n: F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) for n, i in names.items()}
 
 
 def base_name(c: Column) -> Column:
@@ -75,5 +85,5 @@ def media_type(c: Column) -> Column:
 
 
 def asset_path(c: Column, prefix: str) -> Column:
-    """Where a copied asset lives: prefix and file name; NULL for a blank source."""
-    return F.when(F.trim(c) != "", F.concat(F.lit(prefix.rstrip("/") + "/"), base_name(c)))
+    """Where a copied asset lives: prefix and file name; NULL for an empty source."""
+    return F.when(c != "", F.concat(F.lit(prefix.rstrip("/") + "/"), base_name(c)))

@@ -40,8 +40,9 @@ BROWSER = {
     "in": "in", "not_in": "not_in", "is_null": "null", "is_not_null": "not_null", "between": "between",
 }
 VIEWER = {
-    "equals": "eq", "not_equals": "ne", "greater_than": "gt", "greater_than_or_equal": "ge", "less_than": "lt",
-    "less_than_or_equal": "le", "contains": "contains", "starts_with": "starts", "ends_with": "ends", "in": "in",
+    "equals": "eq", "not_equals": "ne", "greater_than": "gt", "greater_than_equals": "ge", "less_than": "lt",
+    "less_than_equals": "le", "contains": "contains", "starts_with": "starts", "ends_with": "ends", "in": "in",
+    "is_null": "null", "is_not_null": "not_null",
 }
 
 
@@ -129,7 +130,7 @@ def resolve(cond: dict, columns: Iterable[str], column_ids: dict[int, str] | Non
 def _operand(cond: dict, op: str) -> object:
     if op == "between" and "value_min" in cond:
         return [cond.get("value_min"), cond.get("value_max")]
-    return cond.get("value")
+    return cond["values"] if cond.get("values") is not None else cond.get("value")
 
 
 def combine(parts: list[Column], logic: str) -> Column:

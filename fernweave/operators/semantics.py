@@ -62,9 +62,12 @@ def nonstandard_values(mappings: DataFrame, terms: DataFrame) -> DataFrame:
     """Mappings whose standard value is not in its group's dictionary list.
 
     ``mappings``: group_id, standard_value, …; ``terms``: group_id, standard_values (array).
+    A group without a list allows every value.
     """
+    listed = terms.where(F.size("standard_values") > 0).select("group_id").distinct()
     allowed = terms.select("group_id", F.explode("standard_values").alias("standard_value")).distinct()
-    return mappings.join(allowed, ["group_id", "standard_value"], "left_anti")
+    checked = mappings.join(listed, "group_id", "left_semi")
+    return checked.join(allowed, ["group_id", "standard_value"], "left_anti")
 
 
 def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]], nulls: bool = False) -> DataFrame:

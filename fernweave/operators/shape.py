@@ -156,11 +156,8 @@ def rename_mapped(df: DataFrame, table: str, mapping: dict[str, str]) -> DataFra
     """Rename by ``table.column`` first, then by ``column``; ``_base64`` twins follow their column."""
     def renamed(name: str) -> str:
         stem = name.removesuffix("_base64")
-        new = mapping.get(f"{table}.{name}", mapping.get(name))
-        if new is None and stem != name:
-            new = mapping.get(f"{table}.{stem}", mapping.get(stem))
-            new = f"{new}_base64" if new else None
-        return new or name
+        new = mapping.get(f"{table}.{stem}", mapping.get(stem, stem))
+        return new if stem == name else f"{new}_base64"
 
     return df.withColumnsRenamed({c: renamed(c) for c in df.columns})
 
@@ -214,15 +211,17 @@ def attach_files(df: DataFrame, path_column: str, files: DataFrame) -> DataFrame
 
 
 def asset_copy_plan(df: DataFrame, column: str, destination: str, bucket: str = "") -> DataFrame:
-    """One row per distinct asset: where it lies and where its copy goes."""
-    paths = df.select(F.trim(F.col(column)).alias("source")).where("source != ''").distinct()
+    """One row per distinct asset: where it lies and where its copy goes.
+
+    A path without a scheme lies in ``bucket``; assets without a bucket or key are left out.
+    """
+    paths = df.select(F.col(column).alias("source")).where("source != ''").distinct()
     parts = location_parts(F.col("source"))
-    return paths.select(
-        "source",
-        F.coalesce(parts["bucket"], F.lit(bucket)).alias("bucket"),
-        F.coalesce(parts["key"], F.col("source")).alias("key"),
-        asset_path(F.coalesce(parts["key"], F.col("source")), destination).alias("destination"),
-    )
+    whole = parts["scheme"].isNotNull()
+    here = F.when(whole, parts["bucket"]).otherwise(F.lit(bucket))
+    key = F.when(whole, parts["key"]).otherwise(F.regexp_replace("source", "^/+|/+$", ""))
+    plan = paths.select("source", here.alias("bucket"), key.alias("key")).where("bucket != '' AND key != ''")
+    return plan.withColumn("destination", asset_path(F.col("key"), destination))
 
 
 def lake_safe(df: DataFrame) -> DataFrame:

@@ -143,10 +143,10 @@ SELECT * FROM part WHERE p_size <> 7 AND p_size BETWEEN 3 AND 45 AND p_name LIKE
 def browser_filter(t: Tables) -> DataFrame:
     conditions = [
         {"column": "p_size", "operator": "neq", "value": "7"},
-        {"column": "p_size", "operator": "between", "value": [3, 45]},
+        {"column": "p_size", "operator": "between", "values": [3, 45]},
         {"column": "p_name", "operator": "like", "value": "%ring%"},
         {"column": "p_brand", "operator": "ilike", "value": "brand%"},
-        {"column": "p_type", "operator": "not_in", "value": ["SMALL"]},
+        {"column": "p_type", "operator": "not_in", "values": ["SMALL"]},
     ]
     return predicates.filter_rows(t.part, {"conditions": conditions}, predicates.BROWSER)
 
@@ -160,7 +160,7 @@ def viewer_filter(t: Tables) -> DataFrame:
         {"column": "p_name", "operator": "contains", "value": "bolt"},
         {"column": "p_brand", "operator": "starts_with", "value": "Brand"},
         {"column": "p_type", "operator": "ends_with", "value": "Y"},
-        {"column": "p_size", "operator": "greater_than_or_equal", "value": 10},
+        {"column": "p_size", "operator": "greater_than_equals", "value": 10},
         {"column": "p_partkey", "operator": "not_equals", "value": 5},
     ]
     return predicates.filter_rows(t.part, {"conditions": conditions}, predicates.VIEWER)

@@ -107,13 +107,13 @@ def column_unification(t: Tables) -> DataFrame:
 
 @query("""
 SELECT l_partkey AS group_id, l_returnflag AS standard_value, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE NOT (l_returnflag = 'A' OR (p_size > 25 AND l_returnflag = 'R'))
+WHERE p_size < 40 AND NOT (l_returnflag = 'A' OR (p_size > 25 AND l_returnflag = 'R'))
 """)
 def nonstandard_values(t: Tables) -> DataFrame:
-    """Mapped values that their group's dictionary does not list."""
-    listed = t.part.select(
-        F.col("p_partkey").alias("group_id"), F.when(F.col("p_size") > 25, F.array(F.lit("A"), F.lit("R"))).otherwise(F.array(F.lit("A"))).alias("standard_values")
-    )
+    """Mapped values that their group's dictionary does not list; some groups have no list."""
+    size, none = F.col("p_size"), F.array().cast("array<string>")
+    values = F.when(size >= 40, none).when(size > 25, F.array(F.lit("A"), F.lit("R"))).otherwise(F.array(F.lit("A")))
+    listed = t.part.select(F.col("p_partkey").alias("group_id"), values.alias("standard_values"))
     used = t.lineitem.select(F.col("l_partkey").alias("group_id"), F.col("l_returnflag").alias("standard_value"), "l_orderkey")
     return semantics.nonstandard_values(used, listed).select("group_id", "standard_value", "l_orderkey")
 

@@ -228,8 +228,8 @@ _KEY = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/?(.*)$', 1)"
 
 @query(f"""
 SELECT DISTINCT url AS source, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)', 1) AS bucket, {_KEY} AS key,
-       CASE WHEN trim({_KEY}) <> '' THEN 's3://lake/copies/' || regexp_extract({_KEY}, '([^/]*)$', 1) END AS destination
-FROM pages
+       's3://lake/copies/' || regexp_extract({_KEY}, '([^/]*)$', 1) AS destination
+FROM pages WHERE {_KEY} <> ''
 """)
 def asset_copy_plan(t: Tables) -> DataFrame:
     return shape.asset_copy_plan(t.pages, "url", "s3://lake/copies")
@@ -238,10 +238,14 @@ def asset_copy_plan(t: Tables) -> DataFrame:
 @query(f"""
 SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '') AS scheme,
        nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)', 1), '') AS bucket, nullif({_KEY}, '') AS key
-FROM pages
+FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, NULL, regexp_extract(url, '://([^/]+)', 1), nullif({_KEY}, '') FROM pages WHERE page_id % 2 = 1
 """)
 def storage_location(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", *[c.alias(n) for n, c in location_parts(F.col("url")).items()])
+    """Locations with a scheme (even pages) and without one."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    location = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(bare)
+    return t.pages.select("page_id", *[c.alias(n) for n, c in location_parts(location).items()])
 
 
 @query("""

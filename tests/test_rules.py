@@ -137,6 +137,12 @@ def test_safe_name():
     assert paths.safe_name("abc_def", 4) == "abc"
 
 
+def test_identifiers():
+    assert paths.identifier("My Base-1", 4) == "my_base_1_4"
+    assert paths.identifier("1x") == "_1x" and paths.identifier("", 2) == "conn_2"
+    assert paths.shared_table_name(" Relatório: 2ª via ") == "relatorio_2a_via" and paths.shared_table_name("--") == "table"
+
+
 def test_unique_name():
     assert paths.unique_name("a", "x", set()) == "a"
     assert paths.unique_name("a", "x", {"a"}) == "a_x"

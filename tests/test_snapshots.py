@@ -106,7 +106,9 @@ def test_execution_versions_count_per_config(spark, path):
     assert rows(tables.known_paths(log)) == [("p1",)]
 
 
-def test_validation_of_an_empty_export(spark):
-    empty = spark.createDataFrame([], "record_type string")
-    row = tables.validate_export(empty, has_manifest=True).first()
-    assert not row["valid"] and row["errors"] == "no rows"
+def test_validation_of_exports(spark, path):
+    absent = tables.validate_export(spark, path, path).first()
+    assert not absent["valid"] and "cannot read" in absent["errors"]
+    spark.createDataFrame([], "record_type string").write.parquet(path)
+    empty = tables.validate_export(spark, path, path).first()
+    assert empty["valid"] and empty["row_count"] == 0 and empty["warnings"] == "table is empty"
