@@ -102,7 +102,7 @@ def serialise(c: Column, dtype: T.DataType) -> Column:
 def missing_to_null(c: Column) -> Column:
     """Words that stand for "missing" become NULL; everything else becomes text."""
     text = c.cast("string")
-    return F.when(~F.lower(F.trim(text)).isin(*MISSING_WORDS), text)
+    return F.when(~F.lower(text).isin(*MISSING_WORDS), text)
 
 
 def clean_missing(df: DataFrame, columns: list[str], fill_empty: bool = True) -> DataFrame:

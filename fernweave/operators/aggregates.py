@@ -25,9 +25,9 @@ def total_count(df: DataFrame, name: str = "total") -> DataFrame:
 
 def _value_order(column: str, order: str) -> list[Column]:
     orders = {
-        "value_asc": [F.col(column).asc()],
-        "frequency_desc": [F.col("frequency").desc(), F.col(column).asc()],
-        "frequency_asc": [F.col("frequency").asc(), F.col(column).asc()],
+        "value_asc": [F.col(column).asc_nulls_last()],
+        "frequency_desc": [F.col("frequency").desc(), F.col(column).asc_nulls_last()],
+        "frequency_asc": [F.col("frequency").asc(), F.col(column).asc_nulls_last()],
     }
     if order not in orders:
         raise ValueError(f"unknown order {order!r}")
@@ -37,11 +37,10 @@ def _value_order(column: str, order: str) -> list[Column]:
 def distinct_values(
     df: DataFrame, column: str, search: str | None = None, order: str = "value_asc", offset: int = 0, limit: int = 100
 ) -> DataFrame:
-    """One page of a column's distinct non-null values with how often each occurs."""
-    rows = df.where(F.col(column).isNotNull())
+    """One page of a column's distinct values, NULL among them, with how often each occurs."""
     if search:
-        rows = rows.where(F.lower(F.col(column).cast("string")).contains(search.lower()))
-    counted = rows.groupBy(column).agg(F.count("*").alias("frequency"))
+        df = df.where(F.lower(F.col(column).cast("string")).contains(search.lower()))
+    counted = df.groupBy(column).agg(F.count("*").alias("frequency"))
     return counted.orderBy(*_value_order(column, order)).offset(offset).limit(limit)
 
 

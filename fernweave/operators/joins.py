@@ -159,55 +159,61 @@ def join_related(
     """Join tables along their relationships; key columns are found ignoring case.
 
     Join keys of a relationship become one column under the left column's name, the
-    first side that has a value; other clashing names get their table in front.  An
-    unknown join type means ``default_how``, always with the result so far on the left.
+    first side that has a value, and later joins on such a key use that column; other
+    clashing names get their table in front.  An unknown join type means
+    ``default_how``, always with the result so far on the left.
     """
     start, steps = join_order(list(tables), with_actual_names(tables, relationships, strict))
     qualified = {t: df.select(*[F.col(f"`{c}`").alias(_q(t, c)) for c in df.columns]) for t, df in tables.items()}
     out = qualified[start]
-    unified: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    groups: list[list[tuple[str, str]]] = []  # columns unified with each other, first the one that names them
+    key_of = {(t, c): _q(t, c) for t, df in tables.items() for c in df.columns}
     rows_repeat = False  # once a join may repeat rows, no key of the result so far is known to be unique
-    for new, r in steps:
+    for number, (new, r) in enumerate(steps):
         a, b = (r.left_table, r.left_column), (r.right_table, r.right_column)
         here, there = (a, b) if new == r.right_table else (b, a)
-        extra = None
-        if r.condition:
-            extra = re.sub(
-                r"\b(\w+)\.(\w+)\b",
-                lambda m: _q(*m.groups()) if m.group(1) in tables else m.group(0),
-                r.condition,
-            )
+        extra = _qualified_condition(r.condition, tables) if r.condition else None
         how = r.how if r.how in ("inner", "left", "right", "full") else default_how
         one_left, one_right = r.cardinality.startswith("one_to"), r.cardinality.endswith("to_one")
         new_unique = one_right if new == r.right_table else one_left
         old_unique = not rows_repeat and (one_left if new == r.right_table else one_right)
         rows_repeat = rows_repeat or not new_unique
-        out = keyed_join(out, qualified[new], [(_q(*here), _q(*there))], how, extra, new_unique, old_unique)
-        group = next((g for g in unified.values() if a in g or b in g), None)
+        key = key_of[here]
+        out = keyed_join(out, qualified[new], [(key, key_of[there])], how, extra, new_unique, old_unique)
+        if how in ("right", "full"):  # the key may now be on the new side only
+            out = out.withColumn(f"__key{number}", F.coalesce(F.col(f"`{key}`"), F.col(f"`{key_of[there]}`")))
+            key = f"__key{number}"
+        group = next((g for g in groups if a in g or b in g), None)
         if group is None:
-            unified[a] = [a, b]
-        else:
-            group.extend(k for k in (a, b) if k not in group)
-    return _named_output(out, tables, unified)
+            groups.append(group := [a, b])
+        group.extend(k for k in (a, b) if k not in group)
+        key_of.update(dict.fromkeys(group, key))
+    return _named_output(out, tables, groups, key_of)
+
+
+def _qualified_condition(condition: str, tables: dict[str, DataFrame]) -> str:
+    """``table.column`` names as the columns are called while joining."""
+    return re.sub(r"\b(\w+)\.(\w+)\b", lambda m: _q(*m.groups()) if m.group(1) in tables else m.group(0), condition)
 
 
 def _named_output(
-    joined: DataFrame, tables: dict[str, DataFrame], unified: dict[tuple[str, str], list[tuple[str, str]]]
+    joined: DataFrame, tables: dict[str, DataFrame], groups: list[list[tuple[str, str]]], key_of: dict[tuple[str, str], str]
 ) -> tuple[DataFrame, list[MappedColumn]]:
-    members = {m: key for key, group in unified.items() for m in group}
-    key_names = [key[1] for key in unified]
-    plain = {t: [c for c in df.columns if (t, c) not in members] for t, df in tables.items()}
+    unified = {member for group in groups for member in group}
+    key_names = [group[0][1] for group in groups]
+    plain = {t: [c for c in df.columns if (t, c) not in unified] for t, df in tables.items()}
     names = prefixed_names({**plain, "": key_names})
     columns: list[Column] = []
     mapping: list[MappedColumn] = []
-    for key, group in unified.items():
-        output = key[1] if key_names.count(key[1]) == 1 else f"{key[0]}_{key[1]}"
-        columns.append(F.coalesce(*[F.col(_q(*m)) for m in group]).alias(output))
+    for group in groups:
+        table, column = group[0]
+        output = column if key_names.count(column) == 1 else f"{table}_{column}"
+        columns.append(F.col(f"`{key_of[group[0]]}`").alias(output))
         mapping += [MappedColumn(t, c, output, False, True) for t, c in group]
     for table, cols in plain.items():
         for c in cols:
             output = names[table, c]
-            columns.append(F.col(_q(table, c)).alias(output))
+            columns.append(F.col(f"`{_q(table, c)}`").alias(output))
             mapping.append(MappedColumn(table, c, output, output != c, False))
     return joined.select(*columns), mapping
 

@@ -256,8 +256,10 @@ def relationship_list(
     connection_id: int | None = None,
     status: str | None = None,
     min_confidence: float | None = None,
+    offset: int = 0,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Relationships or suggestions with table names, matched at either end."""
+    """Relationships or suggestions with table names, matched at either end; a page of them by confidence."""
     out = relationships
     for side in ("left", "right"):
         named = tables.select(
@@ -273,6 +275,8 @@ def relationship_list(
         out = out.where(F.col("status") == status)
     if min_confidence is not None:
         out = out.where(F.col("confidence") >= min_confidence)
+    if limit is not None:
+        out = out.orderBy(F.col("confidence").desc(), "relationship_id").offset(offset).limit(limit)
     return out
 
 

@@ -30,29 +30,33 @@ def select_columns(df: DataFrame, wanted: Iterable[str] | None = None) -> DataFr
 
 
 def prefixed_names(tables: dict[str, list[str]]) -> dict[tuple[str, str], str]:
-    """Output name per (table, column): the table's name in front where names clash."""
-    seen = Counter(c for cols in tables.values() for c in cols)
-    return {(t, c): (f"{t}_{c}" if seen[c] > 1 else c) for t, cols in tables.items() for c in cols}
+    """Output name per (table, column): the table's name in front where names clash, ignoring case."""
+    seen = Counter(c.lower() for cols in tables.values() for c in cols)
+    return {(t, c): (f"{t}_{c}" if seen[c.lower()] > 1 else c) for t, cols in tables.items() for c in cols}
 
 
 def rename_clashes(
-    frames: list[tuple[str, DataFrame]], keep_first: Iterable[str] = SOURCE_STAMPS
+    frames: list[tuple[str, DataFrame]], join_columns: Iterable[str] = (), keep_first: Iterable[str] = SOURCE_STAMPS
 ) -> tuple[list[DataFrame], dict[tuple[int, str], str]]:
     """Make column names of several frames distinct, ignoring case.
 
-    The first frame keeps its names; later ones get ``{table}_{column}``, or
-    ``g{index}_{column}`` when that is taken too.  Columns in ``keep_first`` stay in the
-    first frame only.  Also returns the new name per (frame index, column).
+    A name that several frames have becomes ``{table}_{column}`` in each, or
+    ``g{index}_{column}`` when that is taken; join columns and names starting with ``_``
+    stay.  Columns in ``keep_first`` stay in the first frame only.  Also returns the new
+    name per (frame index, column).
     """
-    taken: set[str] = set()
-    out, names = [], {}
-    for index, (table, df) in enumerate(frames):
-        columns = [c for c in df.columns if not (index and c in keep_first)]
-        for c in columns:
-            options = [c, f"{table}_{c}", f"g{index}_{c}"]
-            names[index, c] = next(n for n in options if n.lower() not in taken)
-            taken.add(names[index, c].lower())
-        out.append(df.select(*[F.col(f"`{c}`").alias(names[index, c]) for c in columns]))
+    joined, first_only = {c.lower() for c in join_columns}, set(keep_first)
+    kept = [[c for c in df.columns if not (i and c in first_only)] for i, (_, df) in enumerate(frames)]
+    seen = Counter(c.lower() for columns in kept for c in columns)
+    taken, names, out = set(seen), {}, []
+    for i, (table, df) in enumerate(frames):
+        for c in kept[i]:
+            names[i, c] = c
+            if seen[c.lower()] > 1 and c.lower() not in joined and not c.startswith("_"):
+                by_table = f"{table}_{c}"
+                names[i, c] = f"g{i}_{c}" if by_table.lower() in taken else by_table
+                taken.add(names[i, c].lower())
+        out.append(df.select(*[F.col(f"`{c}`").alias(names[i, c]) for c in kept[i]]))
     return out, names
 
 

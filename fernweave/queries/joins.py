@@ -86,6 +86,25 @@ def link_join(t: Tables) -> DataFrame:
     return joins.join_related(tables, links, default_how="full")[0]
 
 
+@query("""
+WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1),
+s AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT coalesce(c_custkey, o_custkey, s_suppkey) AS c_custkey, c_name, orders, s_name FROM c FULL JOIN o ON c_custkey = o_custkey FULL JOIN s ON coalesce(c_custkey, o_custkey) = s_suppkey
+""")
+def shared_key_full_joins(t: Tables) -> DataFrame:
+    """Three sources with gaps joined in full on one key: a key is one row, wherever it occurs."""
+    tables = {
+        "customer": t.customer.where("c_custkey % 7 != 0").select("c_custkey", "c_name"),
+        "orders": t.orders.where("o_custkey % 5 != 0").groupBy("o_custkey").agg(F.count("*").alias("orders")),
+        "supplier": t.supplier.where("s_suppkey % 3 != 0").select("s_suppkey", "s_name"),
+    }
+    links = [
+        Relationship("customer", "C_CUSTKEY", "orders", "o_custkey", "full", cardinality="one_to_one"),
+        Relationship("customer", "c_custkey", "supplier", "S_suppkey", "full", cardinality="one_to_one"),
+    ]
+    return joins.join_related(tables, links)[0]
+
+
 @query("""
 SELECT o.o_orderkey, c.c_name, n.n_name AS n_name, o.o_totalprice FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 300000 ORDER BY o.o_orderkey LIMIT 50

@@ -102,7 +102,7 @@ def rule_results(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN lang END AS tag, '' AS void FROM documents
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN lang WHEN 4 THEN ' NULL' END AS tag, '' AS void FROM documents
 """)
 def missing_words(t: Tables) -> DataFrame:
     """Words for "missing" become NULL; a column without any value becomes empty text."""

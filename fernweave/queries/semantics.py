@@ -225,10 +225,10 @@ def graph_connections(t: Tables) -> DataFrame:
 
 @query(_catalog("""
 SELECT relationship_id, x.table_name AS left_table, y.table_name AS right_table, confidence FROM relationships r JOIN tables x ON x.table_id = left_table_id JOIN tables y ON y.table_id = right_table_id
-WHERE (x.connection_id = 7 OR y.connection_id = 7) AND status = 'O' AND confidence >= 0.7
+WHERE (x.connection_id = 7 OR y.connection_id = 7) AND status = 'O' AND confidence >= 0.6 ORDER BY confidence DESC, relationship_id OFFSET 5 LIMIT 50
 """))
 def relationship_list(t: Tables) -> DataFrame:
-    found = semantics.relationship_list(relationships(t), tables(t), connection_id=7, status="O", min_confidence=0.7)
+    found = semantics.relationship_list(relationships(t), tables(t), connection_id=7, status="O", min_confidence=0.6, offset=5, limit=50)
     return found.select("relationship_id", "left_table", "right_table", "confidence")
 
 

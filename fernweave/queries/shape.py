@@ -52,14 +52,14 @@ def collision_prefix(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS "Key", o_orderstatus AS status, 'orders' AS _source_table, o_orderkey AS late_key, o_totalprice AS late_STATUS FROM orders
+SELECT o_orderkey AS "early_Key", o_orderstatus AS early_status, 'orders' AS _source_table, o_orderkey AS late_key, o_totalprice AS late_STATUS FROM orders
 """)
 def collision_rename(t: Tables) -> DataFrame:
-    """Names that differ only in case clash; the first frame keeps names and provenance."""
+    """Names that differ only in case clash and get their table; the first frame keeps its provenance."""
     first = t.orders.select(F.col("o_orderkey").alias("Key"), F.col("o_orderstatus").alias("status"), F.lit("orders").alias("_source_table"))
     second = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("STATUS"), F.lit("late").alias("_source_table"))
     (a, b), names = shape.rename_clashes([("early", first), ("late", second)])
-    return joins.keyed_join(a, b, [("Key", names[1, "key"])])
+    return joins.keyed_join(a, b, [(names[0, "Key"], names[1, "key"])])
 
 
 @query("SELECT n_nationkey, c_custkey, 'customer' AS _source_table FROM customer JOIN nation ON c_nationkey = n_nationkey")

@@ -8,7 +8,7 @@ from fernweave.config import ColumnGroup, Extraction, Relationship, SilverConfig
 from fernweave.functions import coerce, paths, templates
 from fernweave.operators.joins import UnlinkedTablesError, connected_components, join_order
 from fernweave.operators.predicates import resolve, split_phases
-from fernweave.operators.shape import prefixed_names
+from fernweave.operators.shape import prefixed_names, rename_clashes
 from fernweave.plans.bronze import plan_bronze
 from fernweave.plans.silver import NameClash, check_names
 from fernweave.plans.unify import MappedGroup, SourceColumn, unified_columns
@@ -86,6 +86,14 @@ def test_prefixed_names():
     assert names == {("a", "id"): "a_id", ("a", "x"): "x", ("b", "id"): "b_id", ("b", "y"): "y"}
 
 
+def test_clashing_names_of_frames(spark):
+    a = spark.createDataFrame([], "id int, x int, x_g int, _source_table string")
+    b = spark.createDataFrame([], "ID int, X int, t_X int, _source_table string")
+    frames, names = rename_clashes([("s", a), ("t", b)], join_columns=["id"])
+    assert frames[0].columns == ["id", "s_x", "x_g", "_source_table"]
+    assert frames[1].columns == ["ID", "g1_X", "t_X"] and names[1, "X"] == "g1_X"
+
+
 def test_unified_columns_allocate_free_names():
     columns = [
         SourceColumn(1, "a", "key", "int"), SourceColumn(2, "b", "key", "bigint"), SourceColumn(3, "a", "note", "text"),

@@ -113,7 +113,7 @@ def test_mixed_date_forms(spark):
 
 
 def test_missing_and_flags(spark):
-    assert apply(spark, ["NaN", " null ", "x", "", None], coerce.missing_to_null) == [None, None, "x", None, None]
+    assert apply(spark, ["NaN", "NULL", " null ", "x", "", None], coerce.missing_to_null) == [None, None, " null ", "x", None, None]
     assert apply(spark, ["Yes", " 1", "n", "maybe", None], coerce.to_flag) == [True, True, False, False, False]
     assert apply(spark, ["1.5", "x", None], coerce.to_number) == [1.5, 0.0, 0.0]
 
