@@ -104,54 +104,62 @@ def _numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def sample_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
-    """The ``n`` smallest distinct values, as text."""
-    return df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct().orderBy("value").limit(n)
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The column in a form that can be grouped; maps as JSON."""
+    return F.to_json(column) if isinstance(df.schema[column].dataType, T.MapType) else F.col(column)
+
+
+PROFILE = {
+    "data_type": "string", "non_null_count": "bigint", "non_null_percentage": "double", "unique_count": "bigint",
+    "sample_values": "string", "min": "double", "max": "double", "mean": "double", "median": "double",
+}
+
+
+def _exact_column_profile(df: DataFrame, column: str, samples: int) -> DataFrame:
+    """One column's profile from its value counts, which are made map-side and shuffled once."""
+    counted = df.select(_comparable(df, column).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    number = F.col("v").cast("double") if _numeric(df, column) else F.lit(None).cast("double")
+    smallest = counted.where("v IS NOT NULL").select(F.col("v").cast("string").alias("v")).orderBy("v").limit(samples)
+    filled = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+    stats = counted.agg(
+        filled.alias("non_null_count"), percent(filled, F.sum("n")).alias("non_null_percentage"),
+        F.count("v").alias("unique_count"), F.min(number).alias("min"), F.max(number).alias("max"),
+        F.try_divide(F.sum(number * F.col("n")), filled).alias("mean"),
+    )
+    extra = {
+        "column_name": F.lit(column),
+        "data_type": F.lit(df.schema[column].dataType.simpleString()),
+        "sample_values": smallest.agg(F.to_json(F.array_sort(F.collect_list("v")))).scalar(),
+        "median": F.lit(exact_quantile(df, column) if _numeric(df, column) else None).cast("double"),
+    }
+    return stats.withColumns(extra).select("column_name", *PROFILE)
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, samples: int = 5) -> DataFrame:
     """Per column: type, filled count and share, distinct count, samples; for numbers min, max, mean, median.
 
-    One aggregate serves all columns.  Distinct counts and medians are exact unless
-    ``approximate``.
+    Exact profiles count each column's values on their own, so the scan reads one column
+    at a time and no row is copied per column.  ``approximate`` sketches all columns in a
+    single pass and leaves samples out.
     """
     columns = columns or df.columns
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    if not approximate:
+        return reduce(DataFrame.unionByName, [_exact_column_profile(df, c, samples) for c in columns])
     aggregates = []
     for c in columns:
         number = F.col(c).cast("double") if _numeric(df, c) else F.lit(None).cast("double")
         aggregates += [
-            F.count("*").alias(f"{c}#total"),
+            F.lit(df.schema[c].dataType.simpleString()).alias(f"{c}#data_type"),
             F.count(c).alias(f"{c}#non_null_count"),
-            distinct(F.col(c)).alias(f"{c}#unique_count"),
+            percent(F.count(c), F.count("*")).alias(f"{c}#non_null_percentage"),
+            F.approx_count_distinct(_comparable(df, c)).alias(f"{c}#unique_count"),
+            F.lit(None).alias(f"{c}#sample_values"),
             F.min(number).alias(f"{c}#min"),
             F.max(number).alias(f"{c}#max"),
-            F.avg(F.col(c).cast("decimal(38,6)") if _numeric(df, c) else number).alias(f"{c}#mean"),
-            (F.percentile_approx(number, 0.5) if approximate else F.lit(None)).alias(f"{c}#median"),
+            F.avg(number).alias(f"{c}#mean"),
+            F.percentile_approx(number, 0.5).alias(f"{c}#median"),
         ]
-    measures = {
-        "total": "bigint", "non_null_count": "bigint", "unique_count": "bigint",
-        "min": "double", "max": "double", "mean": "double", "median": "double",
-    }
-    out = _long(df.agg(*aggregates), columns, measures)
-    name = F.col("column_name")
-    if not approximate:
-        medians = {c: exact_quantile(df, c) for c in columns if _numeric(df, c)}
-        median = F.lit(None).cast("double")
-        for c, value in medians.items():
-            median = F.when(name == c, F.lit(value)).otherwise(median)
-        out = out.withColumn("median", median)
-    types = F.create_map(*[F.lit(x) for c in columns for x in (c, df.schema[c].dataType.simpleString())])
-    samples = reduce(
-        DataFrame.unionByName,
-        [sample_values(df, c).agg(F.to_json(F.array_sort(F.collect_list("value"))).alias("s")).select(F.lit(c).alias("_c"), "s") for c in columns],
-    )
-    joined = keyed_join(out, samples, [("column_name", "_c")], "left", right_unique=True)
-    return joined.select(
-        "column_name", types[name].alias("data_type"), "non_null_count",
-        percent(F.col("non_null_count"), F.col("total")).alias("non_null_percentage"),
-        "unique_count", F.col("s").alias("sample_values"), "min", "max", "mean", "median",
-    )
+    return _long(df.agg(*aggregates), columns, PROFILE)
 
 
 def number_statistics(df: DataFrame, column: str) -> DataFrame:
@@ -159,7 +167,7 @@ def number_statistics(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("double")
     return df.agg(
         F.count(column).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.avg(F.col(column).cast("decimal(38,6)")).cast("double").alias("avg"), F.stddev_samp(x).alias("stddev"),
+        F.avg(x).alias("avg"), F.stddev_samp(x).alias("stddev"),
     ).withColumn("median", F.lit(exact_quantile(df, column)).cast("double"))
 
 

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to this many rows per key Spark itself limits each input partition (its default setting).
+LIMITED_BY_SPARK = 1000
+SALTS = 64
+
 
 def first_per_key(df: DataFrame, keys: list[str | Column], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows per key.
 
     Spark limits each key to ``n`` rows within every input partition before it shuffles
-    (window group limit), so a hot key never arrives whole at one task.
+    (window group limit), so a hot key never arrives whole at one task.  It does not for
+    a large ``n``; then every key is first limited in salted parts.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
+    def limited(rows: DataFrame, parts: list[str | Column]) -> DataFrame:
+        ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
+        return ranked.where(F.col("_rank") <= n).drop("_rank")
+
+    if n > LIMITED_BY_SPARK:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        df = limited(salted, [*keys, "_salt"]).drop("_salt")
+    return limited(df, keys)

@@ -53,6 +53,8 @@ def union_all_columns(frames: list[DataFrame]) -> DataFrame:
 def keep_last(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
     """One row per key: the one latest in the sequence (a running maximum, combined before the shuffle)."""
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     last = F.max_by(F.struct(*rest), F.struct(*sequence)).alias("_last")
     return df.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"_last.`{c}`") for c in df.columns])
 

@@ -80,6 +80,22 @@ def test_rows_per_key_are_limited_before_the_shuffle(skewed):
         assert "WindowGroupLimit" in text.split("Exchange hashpartitioning(who", 1)[1]
 
 
+def test_many_rows_per_key_are_limited_in_parts(skewed):
+    got = ranking.first_per_key(skewed, ["who"], [F.col("seq")], 1500)
+    assert plan(got).count("Window [") == 2
+    hot = [r["seq"] for r in got.where("who = 0").collect()]
+    assert sorted(hot) == [i for i in range(60_000) if i % 3 == 0 or i % 97 == 0][:1500]
+
+
+def test_profile_of_columns_with_nulls_and_maps(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 1), 'x'), (1, map('a', 1), NULL), (NULL, map('b', 1), NULL) AS t(n, m, s)")
+    rows = {r["column_name"]: r for r in aggregates.column_profile(df).collect()}
+    assert (rows["n"]["non_null_count"], rows["n"]["unique_count"], rows["n"]["mean"], rows["n"]["median"]) == (2, 1, 1.0, 1.0)
+    assert rows["n"]["non_null_percentage"] == 66.67 and rows["m"]["unique_count"] == 2 and rows["s"]["sample_values"] == '["x"]'
+    empty = {r["column_name"]: r for r in aggregates.column_profile(df.where("n > 5")).collect()}
+    assert empty["n"]["non_null_percentage"] == 0 and empty["n"]["median"] is None and empty["s"]["sample_values"] == "[]"
+
+
 def test_history_of_a_hot_key(skewed):
     newest = paging.history(skewed, "who", ["seq"], 2).where("who = 0").orderBy("seq").collect()
     total = skewed.where("who = 0").count()
