@@ -70,18 +70,22 @@ def nonstandard_values(mappings: DataFrame, terms: DataFrame) -> DataFrame:
     return checked.join(allowed, ["group_id", "standard_value"], "left_anti")
 
 
-def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]], nulls: bool = False) -> DataFrame:
+def column_keys(frames: dict[str, DataFrame], columns: list[tuple[str, str]], totals: bool = False) -> DataFrame:
     """Distinct values of key columns with their frequency: table_name, column_name, value, n.
 
     Each column is read on its own (the scan prunes to it) and counted in its own type
-    before values become text.
+    before values become text.  ``totals`` adds the table's ``row_count``.
     """
     parts = []
     for table, column in columns:
+        value = F.col("value").cast("string")
         rows = frames[table].select(F.col(column).alias("value"))
-        counted = (rows if nulls else rows.where("value IS NOT NULL")).groupBy("value").agg(F.count("*").alias("n"))
-        names = [F.lit(table).alias("table_name"), F.lit(column).alias("column_name")]
-        parts.append(counted.select(*names, F.col("value").cast("string").alias("value"), "n"))
+        # the filter joins on the text would infer, stated here so that all uses share one shuffle
+        counted = rows.where(value.isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+        out = [F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), value.alias("value"), F.col("n")]
+        if totals:
+            out.append(frames[table].agg(F.count("*")).scalar().alias("row_count"))
+        parts.append(counted.select(*out))
     return reduce(DataFrame.unionByName, parts)
 
 

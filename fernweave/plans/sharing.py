@@ -76,18 +76,21 @@ def read_only_query(spark: SparkSession, query: str, cap: int = QUERY_CAP) -> Da
     return rows.limit(cap).withColumn("truncated", more)
 
 
-def accessible_tables(
-    recipient_id: int, recipients: DataFrame, grants: DataFrame, shares: DataFrame, tables: DataFrame
-) -> DataFrame:
-    """Tables one active recipient may read through active shares.
+def live_grants(recipients: DataFrame, grants: DataFrame, shares: DataFrame) -> DataFrame:
+    """Grants of active recipients to active shares: recipient_id, share_id.
 
     ``recipients``: recipient_id, is_active; ``grants``: recipient_id, share_id; ``shares``:
-    share_id, is_active; ``tables``: share_id, table_id.
+    share_id, is_active.
     """
-    me = recipients.where(F.col("is_active") & (F.col("recipient_id") == recipient_id)).select("recipient_id")
-    granted = grants.join(me, "recipient_id", "left_semi").select("share_id")
-    live = shares.where("is_active").join(granted, "share_id", "left_semi").select("share_id")
-    return tables.join(live, "share_id", "left_semi").select("table_id").distinct()
+    granted = grants.join(recipients.where("is_active").select("recipient_id").distinct(), "recipient_id", "left_semi")
+    live = granted.join(shares.where("is_active").select("share_id").distinct(), "share_id", "left_semi")
+    return live.select("recipient_id", "share_id").distinct()
+
+
+def accessible_tables(grants: DataFrame, tables: DataFrame, recipient_id: int) -> DataFrame:
+    """Tables one recipient may read: ``grants`` from :func:`live_grants`, ``tables``: share_id, table_id."""
+    mine = grants.where(F.col("recipient_id") == recipient_id).select("share_id")
+    return tables.join(mine, "share_id", "left_semi").select("table_id").distinct()
 
 
 def shared_rows(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernweave.config import Relationship
 from fernweave.operators import joins
-from fernweave.plans.sharing import accessible_tables
+from fernweave.plans import sharing
 from fernweave.queries.registry import Tables, query
 from fernweave.queries.sinks import CHANGED_SQL, changed_customers
 
@@ -38,15 +38,15 @@ def conditional_join(t: Tables) -> DataFrame:
 
 
 _FULL = """
-WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 5 <> 0)
+WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 450000)
 SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey FROM c {how} JOIN o ON c_custkey = o_custkey
 """
 
 
 def _gapped(t: Tables, how: str) -> DataFrame:
     tables = {
-        "customer": t.customer.where("c_custkey % 7 != 0").select("c_custkey", "c_name"),
-        "orders": t.orders.where("o_custkey % 5 != 0").select("o_orderkey", "o_custkey"),
+        "customer": t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_name"),
+        "orders": t.orders.where("o_totalprice > 450000").select("o_orderkey", "o_custkey"),
     }
     return joins.join_related(tables, [Relationship("customer", "c_custkey", "orders", "o_custkey", how)])[0]
 
@@ -87,16 +87,16 @@ def link_join(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1),
-s AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0)
+WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_totalprice > 450000 GROUP BY 1),
+s AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 2000)
 SELECT coalesce(c_custkey, o_custkey, s_suppkey) AS c_custkey, c_name, orders, s_name FROM c FULL JOIN o ON c_custkey = o_custkey FULL JOIN s ON coalesce(c_custkey, o_custkey) = s_suppkey
 """)
 def shared_key_full_joins(t: Tables) -> DataFrame:
     """Three sources with gaps joined in full on one key: a key is one row, wherever it occurs."""
     tables = {
-        "customer": t.customer.where("c_custkey % 7 != 0").select("c_custkey", "c_name"),
-        "orders": t.orders.where("o_custkey % 5 != 0").groupBy("o_custkey").agg(F.count("*").alias("orders")),
-        "supplier": t.supplier.where("s_suppkey % 3 != 0").select("s_suppkey", "s_name"),
+        "customer": t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_name"),
+        "orders": t.orders.where("o_totalprice > 450000").groupBy("o_custkey").agg(F.count("*").alias("orders")),
+        "supplier": t.supplier.where("s_acctbal > 2000").select("s_suppkey", "s_name"),
     }
     links = [
         Relationship("customer", "C_CUSTKEY", "orders", "o_custkey", "full", cardinality="one_to_one"),
@@ -193,13 +193,11 @@ def metadata_star(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT l_partkey AS table_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-WHERE c_custkey = 12 AND c_acctbal > -2000 AND o_orderstatus <> 'P'
+SELECT c_custkey AS recipient_id, o_orderkey AS share_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 2000 AND o_orderstatus <> 'P'
 """)
-def accessible_shares(t: Tables) -> DataFrame:
-    """Tables one recipient reaches through active shares (customer, its orders, their parts)."""
-    recipients = t.customer.select(F.col("c_custkey").alias("recipient_id"), (F.col("c_acctbal") > -2000).alias("is_active"))
-    grants = t.orders.select(F.col("o_custkey").alias("recipient_id"), F.col("o_orderkey").alias("share_id"))
+def live_grants(t: Tables) -> DataFrame:
+    """Shares (orders) every active recipient (customer) may use."""
+    recipients = t.customer.select(F.col("c_custkey").alias("recipient_id"), (F.col("c_acctbal") > 2000).alias("is_active"))
+    granted = t.orders.select(F.col("o_custkey").alias("recipient_id"), F.col("o_orderkey").alias("share_id"))
     shares = t.orders.select(F.col("o_orderkey").alias("share_id"), (F.col("o_orderstatus") != "P").alias("is_active"))
-    shared = t.lineitem.select(F.col("l_orderkey").alias("share_id"), F.col("l_partkey").alias("table_id"))
-    return accessible_tables(12, recipients, grants, shares, shared)
+    return sharing.live_grants(recipients, granted, shares)

@@ -175,14 +175,15 @@ def stated_totals(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT path FROM (SELECT user_id AS path, event_type AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id <= 700)
+SELECT path FROM (SELECT user_id AS path, event_type AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
 WHERE r = 1 AND action IN ('view', 'click', 'purchase')
 """)
 def log_replay(t: Tables) -> DataFrame:
     """Paths active at a version of an action log (users as paths, events as actions)."""
     action = F.when(F.col("event_type").isin("view", "click", "purchase"), "add").otherwise("remove")
     log = t.events.select(F.col("event_id").alias("version"), F.col("user_id").alias("path"), action.alias("action"))
-    return sharing.replay_log(log, "path", "action", ["version"], 700)
+    newest = log.agg(F.max("version")).first()[0]
+    return sharing.replay_log(log, "path", "action", ["version"], newest // 2)
 
 
 @query(f"""

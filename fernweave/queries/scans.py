@@ -43,16 +43,16 @@ def snapshot_as_of(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
-FROM customer WHERE c_custkey % 11 <> 0
+SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_nationkey = 4 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM customer WHERE c_nationkey <> 3
 """)
 def csv_tolerant(t: Tables) -> DataFrame:
     """Lines with an open quote are closed, with too many fields rejected, with too few filled."""
-    key = F.col("c_custkey")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
     row = (
-        F.when(key % 11 == 0, F.concat_ws(";", key, "c_name", "c_mktsegment", F.lit("surplus")))
-        .when(key % 5 == 0, F.concat_ws(";", key, "c_name"))
-        .when(key % 7 == 0, F.concat(F.concat_ws(";", key, "c_name", F.concat(F.lit('"'), "c_mktsegment"))))
+        F.when(nation == 3, F.concat_ws(";", key, "c_name", "c_mktsegment", F.lit("surplus")))
+        .when(nation == 4, F.concat_ws(";", key, "c_name"))
+        .when(nation == 5, F.concat(F.concat_ws(";", key, "c_name", F.concat(F.lit('"'), "c_mktsegment"))))
         .otherwise(F.concat_ws(";", key, F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment"))
     )
     folder = t.scratch("csv")
@@ -60,11 +60,11 @@ def csv_tolerant(t: Tables) -> DataFrame:
     return files.read_csv_tolerant(t.spark, folder, header="c_custkey;c_name;c_mktsegment")[0]
 
 
-@query("SELECT conv_id, turn, role, md5(text) AS text_hash FROM conversations WHERE turn % 3 <> 2")
+@query("SELECT conv_id, turn, role, md5(text) AS text_hash FROM conversations WHERE role <> 'assistant'")
 def json_tolerant(t: Tables) -> DataFrame:
     folder, whole = t.scratch("json"), F.to_json(F.struct("conv_id", "turn", "role", "text"))
     cut = F.expr("substring(whole, 1, length(whole) - 1)")
-    damaged = t.conversations.withColumn("whole", whole).select(F.when(F.col("turn") % 3 == 2, cut).otherwise(F.col("whole")).alias("value"))
+    damaged = t.conversations.withColumn("whole", whole).select(F.when(F.col("role") == "assistant", cut).otherwise(F.col("whole")).alias("value"))
     damaged.write.text(folder)
     good, _ = files.read_json_tolerant(t.spark, folder, t.conversations.schema)
     return good.select("conv_id", "turn", "role", F.md5("text").alias("text_hash"))

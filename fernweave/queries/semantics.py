@@ -93,11 +93,11 @@ def value_mapping_table(t: Tables) -> DataFrame:
 
 @query("""
 SELECT c_custkey, s_suppkey, coalesce(c_nationkey, s_nationkey) AS nation, coalesce(s_acctbal, c_acctbal) AS balance FROM
-(SELECT * FROM customer WHERE c_custkey % 4 <> 0) c FULL JOIN supplier ON c_custkey = s_suppkey
+(SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') c FULL JOIN supplier ON c_custkey = s_suppkey
 """)
 def column_unification(t: Tables) -> DataFrame:
     """The first value present, in mapping order, then the sources are dropped."""
-    customer = t.customer.where("c_custkey % 4 != 0").select("c_custkey", "c_nationkey", "c_acctbal")
+    customer = t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_nationkey", "c_acctbal")
     joined = joins.keyed_join(customer, t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), [("c_custkey", "s_suppkey")], "full")
     return joined.select(
         "c_custkey", "s_suppkey", semantics.unify([F.col("c_nationkey"), F.col("s_nationkey")]).alias("nation"),

@@ -81,11 +81,11 @@ def asset_paths(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url END AS url, url AS mirror FROM pages)
+WITH u AS (SELECT page_id, CASE WHEN url LIKE 'https:%' THEN url END AS url, url AS mirror FROM pages)
 SELECT page_id, url, mirror, coalesce('a/' || regexp_extract(url, '([^/]*)$', 1), 'a/' || regexp_extract(mirror, '([^/]*)$', 1)) AS _image_bronze_path FROM u
 """)
 def unified_asset_path(t: Tables) -> DataFrame:
-    urls = t.pages.select("page_id", F.when(F.col("page_id") % 3 != 0, F.col("url")).alias("url"), F.col("url").alias("mirror"))
+    urls = t.pages.select("page_id", F.when(F.col("url").startswith("https:"), F.col("url")).alias("url"), F.col("url").alias("mirror"))
     return shape.unify_asset_paths(shape.add_asset_paths(urls, ["url", "mirror"], "a"), "image", ["url", "mirror"], drop=True)
 
 
@@ -236,15 +236,11 @@ def asset_copy_plan(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '') AS scheme,
-       nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)', 1), '') AS bucket, nullif({_KEY}, '') AS key
-FROM pages WHERE page_id % 2 = 0
-UNION ALL SELECT page_id, NULL, regexp_extract(url, '://([^/]+)', 1), nullif({_KEY}, '') FROM pages WHERE page_id % 2 = 1
+SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 'https' END AS scheme, regexp_extract(url, '://([^/]+)', 1) AS bucket, nullif({_KEY}, '') AS key FROM pages
 """)
 def storage_location(t: Tables) -> DataFrame:
-    """Locations with a scheme (even pages) and without one."""
-    bare = F.regexp_replace("url", "^[a-z]+://", "")
-    location = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(bare)
+    """Locations with a scheme and, where it is cut off, without one."""
+    location = F.regexp_replace("url", "^http://", "")
     return t.pages.select("page_id", *[c.alias(n) for n, c in location_parts(location).items()])
 
 

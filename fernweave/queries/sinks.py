@@ -42,18 +42,18 @@ def append_batches(t: Tables) -> DataFrame:
 
 def changed_customers(customer: DataFrame) -> DataFrame:
     """The customer table some time later: rows gone, changed and added."""
-    kept = customer.where("c_custkey % 97 != 0").withColumn(
-        "c_acctbal", F.when(F.col("c_custkey") % 13 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    kept = customer.where("c_acctbal <= 9000").withColumn(
+        "c_acctbal", F.when(F.col("c_mktsegment") == "MACHINERY", F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     )
-    added = customer.where("c_custkey % 50 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000)
+    added = customer.where("c_acctbal < 0").withColumn("c_custkey", F.col("c_custkey") + 1000000000000)
     return kept.unionByName(added)
 
 
 CHANGED_SQL = """
 changed AS (
-  SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 13 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment
-  FROM customer WHERE c_custkey % 97 <> 0
-  UNION ALL SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 50 = 0
+  SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment
+  FROM customer WHERE c_acctbal <= 9000
+  UNION ALL SELECT c_custkey + 1000000000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0
 )"""
 
 

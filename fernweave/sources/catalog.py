@@ -65,9 +65,9 @@ def key_constraints(frames: dict[str, DataFrame], columns: list[tuple[str, str]]
     Result: table_name, column_name, constraint_type, ref_table, ref_column.  All columns
     share one distinct shuffle.
     """
-    values = column_keys(frames, columns, nulls=True)
+    values = column_keys(frames, columns, totals=True)
     per_column = values.groupBy("table_name", "column_name").agg(
-        F.count("value").alias("n_distinct"), F.sum("n").alias("row_count")
+        F.count("value").alias("n_distinct"), F.max("row_count").alias("row_count")
     )
     # every row has its own value exactly when there are as many distinct values as rows
     unique = per_column.where("n_distinct = row_count")

@@ -117,3 +117,13 @@ def test_change_feed_with_nulls_and_maps(spark):
     new = spark.sql("SELECT 1 AS k, CAST(NULL AS STRING) AS v, map('a', 1) AS m UNION ALL SELECT 2, 'x', map('a', 2)")
     got = sorted((r["_change_type"], r["k"]) for r in sharing.change_feed(old, new, "k").collect())
     assert got == [("update_post", 2), ("update_pre", 2)]
+
+
+def test_access_needs_an_active_recipient_and_share(spark):
+    recipients = spark.sql("SELECT * FROM VALUES (1, true), (2, false) AS t(recipient_id, is_active)")
+    grants = spark.sql("SELECT * FROM VALUES (1, 10), (1, 11), (2, 10) AS t(recipient_id, share_id)")
+    shares = spark.sql("SELECT * FROM VALUES (10, true), (11, false) AS t(share_id, is_active)")
+    tables = spark.sql("SELECT * FROM VALUES (10, 100), (10, 101), (11, 102) AS t(share_id, table_id)")
+    live = sharing.live_grants(recipients, grants, shares)
+    assert sorted(r[0] for r in sharing.accessible_tables(live, tables, 1).collect()) == [100, 101]
+    assert sharing.accessible_tables(live, tables, 2).isEmpty()
