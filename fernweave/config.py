@@ -5,15 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
-@dataclass(frozen=True)
-class ColumnRef:
-    """A column of a named table; ``id`` is how requests refer to it."""
-
-    id: int
-    table: str
-    name: str
-
-
 @dataclass(frozen=True)
 class Relationship:
     """A declared link between two tables.

@@ -25,24 +25,33 @@ MIN_SHARE = 0.5
 
 
 def detect_date_formats(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> dict[str, str]:
-    """Date format of each text column that looks like dates, from an ordered sample.
+    """Date format of each text column whose non-blank values mostly look like dates.
 
-    One job reads the first twenty non-blank values of every column (a top-k per
-    column, so nothing is shuffled but those values) and counts matches per form.
+    One job counts the values that fit each form: over the whole column, or with
+    ``order_by`` over its first twenty values in that order (a top-k per column).
     """
     if not columns:
         return {}
-    samples = []
-    for name in columns:
-        value = F.trim(F.col(f"`{name}`"))
-        keys = [F.col(k) for k in order_by] if order_by else [F.col(f"`{name}`")]
-        samples.append(
-            df.where(value != "").orderBy(*keys).limit(SAMPLE_SIZE).select(F.lit(name).alias("name"), value.alias("value"))
-        )
-    hits = [F.count_if(F.col("value").rlike(p)).alias(f"f{i}") for i, (p, _) in enumerate(DATE_FORMS)]
-    counted = reduce(DataFrame.unionByName, samples).groupBy("name").agg(F.count("*").alias("n"), *hits)
+
+    def hits(value: Column) -> list[Column]:
+        return [F.count_if(value.rlike(p)).alias(f"f{i}") for i, (p, _) in enumerate(DATE_FORMS)]
+
+    if order_by:
+        samples = []
+        for name in columns:
+            value = F.trim(F.col(f"`{name}`"))
+            first = df.where(value != "").orderBy(*order_by).limit(SAMPLE_SIZE)
+            samples.append(first.select(F.lit(name).alias("name"), value.alias("value")))
+        rows = reduce(DataFrame.unionByName, samples).groupBy("name").agg(F.count("*").alias("n"), *hits(F.col("value")))
+    else:
+        measures = []
+        for name in columns:
+            value = F.trim(F.col(f"`{name}`"))
+            measures.append(F.struct(F.lit(name).alias("name"), F.count_if(value != "").alias("n"), *hits(value)).alias(name))
+        one = df.agg(*measures)
+        rows = one.select(F.explode(F.array(*[F.col(f"`{name}`") for name in columns])).alias("m")).select("m.*").where("n > 0")
     found = {}
-    for row in counted.collect():  # one row per requested column
+    for row in rows.collect():  # one row per requested column
         # both separators of a form count together; the more frequent one names the format
         groups = [(0, 1), (2,), (3,), (4, 5)]
         for group in groups:
@@ -76,12 +85,25 @@ def as_date(name: str, dtype: T.DataType, formats: dict[str, str]) -> Column | N
     return None
 
 
-def date_literal(value: object) -> Column:
-    """A filter value as a date: ISO date or datetime, ``dd/MM/yyyy`` or ``dd-MM-yyyy``."""
+def _value_format(value: object) -> tuple[str, str] | None:
+    """The text of a date value and its format, or None."""
     text = str(value).strip()
     if re.match(r"^\d{4}-\d{2}-\d{2}([T ].*)?$", text):
-        return F.try_to_date(F.lit(text[:10]), "yyyy-MM-dd")
+        return text[:10], "yyyy-MM-dd"
     for sep in "/-":
         if re.match(rf"^\d{{2}}{sep}\d{{2}}{sep}\d{{4}}$", text):
-            return F.try_to_date(F.lit(text), f"dd{sep}MM{sep}yyyy")
-    raise ValueError(f"not a date: {text!r}")
+            return text, f"dd{sep}MM{sep}yyyy"
+    return None
+
+
+def looks_like_date(value: object) -> bool:
+    """Whether a filter value has a date form."""
+    return _value_format(value) is not None
+
+
+def date_literal(value: object) -> Column:
+    """A filter value as a date: ISO date or datetime, ``dd/MM/yyyy`` or ``dd-MM-yyyy``."""
+    found = _value_format(value)
+    if found is None:
+        raise ValueError(f"not a date: {str(value)!r}")
+    return F.try_to_date(F.lit(found[0]), found[1])

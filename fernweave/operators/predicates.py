@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernweave.functions.dates import as_date, date_literal, detect_date_formats
+from fernweave.functions.dates import as_date, date_literal, detect_date_formats, looks_like_date
 
 _COMPARE: dict[str, Callable] = {
     "eq": operator.eq,
@@ -133,6 +133,10 @@ def _operand(cond: dict, op: str) -> object:
     return cond["values"] if cond.get("values") is not None else cond.get("value")
 
 
+def _all_dates(operand: object) -> bool:
+    return all(map(looks_like_date, operand if isinstance(operand, (list, tuple, set)) else [operand]))
+
+
 def combine(parts: list[Column], logic: str) -> Column:
     if logic.upper() not in ("AND", "OR"):
         raise FilterError(f"unknown logic {logic!r}")
@@ -164,6 +168,8 @@ def filter_rows(
                 raise FilterError(f"unknown operator {cond.get('operator')!r}")
             dtype = df.schema[name].dataType
             date = as_date(name, dtype, date_formats) if date_formats is not None else None
+            if isinstance(dtype, T.StringType) and not _all_dates(_operand(cond, op)):
+                date = None  # a text column compares as dates only with date values
             parts.append(condition(F.col(f"`{name}`"), op, _operand(cond, op), dtype, date))
         except FilterError:
             if strict:
@@ -174,19 +180,17 @@ def filter_rows(
 def grid_filter(df: DataFrame, filters: list[dict], logic: str = "AND", order_by: list[str] | None = None) -> DataFrame:
     """Grid filter: case-insensitive text tests and date-aware comparisons.
 
-    Text columns used in a comparison are sampled once, all in one job, to find the
-    ones that hold dates.
+    Text columns compared with date values are examined, all in one job, to find the
+    ones that hold dates.  Other values need no such look at the data.
     """
     aware = {*_COMPARE, "between", "in", "not_in"}
-    texts = sorted(
-        {
-            f["column"]
-            for f in filters
-            if f["column"] in df.columns
-            and GRID.get(f["operator"]) in aware
-            and isinstance(df.schema[f["column"]].dataType, T.StringType)
-        }
-    )
+
+    def may_hold_dates(f: dict) -> bool:
+        if f["column"] not in df.columns or GRID.get(f["operator"]) not in aware:
+            return False
+        return isinstance(df.schema[f["column"]].dataType, T.StringType) and _all_dates(f.get("value"))
+
+    texts = sorted({f["column"] for f in filters if may_hold_dates(f)})
     formats = detect_date_formats(df, texts, order_by)
     return filter_rows(df, {"logic": logic, "conditions": filters}, GRID, date_formats=formats)
 

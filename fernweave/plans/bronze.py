@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +73,23 @@ def build_group(
     return stamp_source(add_asset_paths(joined, present, prefix) if present else joined, start, at), mapping
 
 
+def group_mappings(
+    frames: dict[str, DataFrame], plan: BronzePlan, columns: dict[str, list[str]] | None = None
+) -> dict[str, list[MappedColumn]]:
+    """Where every source column ends up, per group; nothing is read for it."""
+    return {g.name: build_group(frames, g, columns)[1] for g in plan.groups}
+
+
+def group_links(plan: BronzePlan, mappings: dict[str, list[MappedColumn]]) -> list[Relationship]:
+    """The plan's links in terms of the stored groups and their column names."""
+    place = {(m.table, m.column): (group, m.output) for group, ms in mappings.items() for m in ms}
+    links = []
+    for r in plan.links:
+        (left, left_column), (right, right_column) = place[r.left_table, r.left_column], place[r.right_table, r.right_column]
+        links.append(replace(r, left_table=left, left_column=left_column, right_table=right, right_column=right_column))
+    return links
+
+
 def mapping_table(spark: SparkSession, mappings: dict[str, list[MappedColumn]]) -> DataFrame:
     """Where every source column ended up, per group."""
     rows = [(g, m.table, m.column, m.output, m.is_prefixed, m.is_unified) for g, ms in mappings.items() for m in ms]

@@ -27,7 +27,7 @@ def grid_query(df: DataFrame, request: dict, key: list[str]) -> GridResult:
 
     ``key`` completes the order, so pages neither repeat nor skip rows.
     """
-    filtered = grid_filter(df, request.get("column_filters") or [], request.get("logic", "AND"), key)
+    filtered = grid_filter(df, request.get("column_filters") or [], request.get("logic", "AND"))
     order = [F.col(k) for k in key]
     if request.get("sort_by"):
         if request["sort_by"] not in df.columns:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.config import Relationship, SilverConfig
@@ -19,9 +19,11 @@ from fernweave.operators.joins import join_related
 from fernweave.operators.predicates import FilterPhases, filter_rows, split_phases
 from fernweave.operators.semantics import map_values, unify
 from fernweave.operators.sets import union_all_columns
-from fernweave.operators.shape import stamp_silver, unify_asset_paths
+from fernweave.operators.shape import rename_clashes, stamp_silver, unify_asset_paths
 from fernweave.plans.extract import Extractor, extract_column
 from fernweave.plans.transform import apply_steps, steps_by_column
+from fernweave.sinks.snapshots import write_snapshot
+from fernweave.sources.snapshots import Commit, read_snapshot, resolve_version
 
 
 class NameClash(ValueError):
@@ -60,6 +62,15 @@ def combine_sources(
     return join_related(tables, relationships, default_how)[0]
 
 
+def combine_groups(
+    groups: dict[str, DataFrame], links: list[Relationship], default_how: str = "full", labels: dict[str, str] | None = None
+) -> DataFrame:
+    """Combine stored groups: clashing names get the group's label in front, provenance comes from the first."""
+    keys = {c for r in links for c in (r.left_column, r.right_column)}
+    frames, _ = rename_clashes([((labels or {}).get(n, n), df) for n, df in groups.items()], keys)
+    return combine_sources(dict(zip(groups, frames, strict=True)), links, default_how)
+
+
 def unify_and_transform(df: DataFrame, config: SilverConfig) -> DataFrame:
     """Unified columns, value maps and text changes in one projection."""
     steps = steps_by_column(config.transformations, df.columns, config.column_ids)
@@ -127,6 +138,26 @@ def transform(
     return filter_rows(out, split.after_extract, column_ids=late)
 
 
+def run_silver(
+    spark: SparkSession,
+    sources: dict[str, tuple[str, int | None]],
+    links: list[Relationship],
+    config: SilverConfig,
+    target: str,
+    extractors: dict[str, Extractor] | None = None,
+    labels: dict[str, str] | None = None,
+    at: dt.datetime | None = None,
+) -> Commit:
+    """Read stored groups (path, version or None for the latest), transform, write a new version.
+
+    The commit records the versions that were read.
+    """
+    versions = {n: resolve_version(spark, path, version) for n, (path, version) in sources.items()}
+    groups = {n: read_snapshot(spark, path, versions[n]) for n, (path, _) in sources.items()}
+    df = transform(combine_groups(groups, links, labels=labels), config, extractors, at)
+    return write_snapshot(df, target, config={"id": config.id, "sources": versions}, at=at)
+
+
 def virtual_view(
     tables: dict[str, DataFrame], relationships: list[Relationship], config: SilverConfig, default_how: str = "full"
 ) -> DataFrame:

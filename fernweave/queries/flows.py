@@ -201,6 +201,42 @@ def bronze_run(t: Tables) -> DataFrame:
     return read_snapshot(t.spark, outcome["part_two"]["path"]).drop("_ingestion_timestamp")
 
 
+STORED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "region": ["r_regionkey", "r_name"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"],
+    "part": ["p_partkey", "p_name"],
+    "supplier": ["s_suppkey", "s_name"],
+}
+
+
+@query("""
+WITH one AS (SELECT r_regionkey, n_nationkey, c_custkey, r_name, n_name, c_name, o_orderkey, o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+two AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, r_regionkey, n_nationkey, c_custkey, r_name, n_name, upper(c_name) AS c_name, l_partkey, l_suppkey, l_quantity, l_extendedprice, p_name, s_name,
+ coalesce(CASE o_orderstatus WHEN 'O' THEN 'open' ELSE o_orderstatus END, l_returnflag) AS state, 'customer' AS _source_table, 3 AS _transform_config_id
+FROM one FULL JOIN two ON o_orderkey = l_orderkey WHERE l_quantity > 10 AND upper(c_name) LIKE '%1'
+""")
+def silver_from_bronze(t: Tables) -> DataFrame:
+    """Sources ingested per connection, the stored groups joined along their link, transformed and stored."""
+    frames, plan, folder = _bronze_frames(t), bronze.plan_bronze(CONNECTIONS, RELATIONSHIPS), t.scratch("lake")
+    outcome = bronze.run_bronze(frames, plan, folder, STORED, at=AT)
+    links = bronze.group_links(plan, bronze.group_mappings(frames, plan, STORED))
+    config = SilverConfig(
+        id=3,
+        filters={"conditions": [{"column_name": "l_quantity", "operator": ">", "value": 10}, {"column_id": 1, "operator": "LIKE", "value": "%1"}]},
+        groups=(ColumnGroup("state", ("o_orderstatus", "l_returnflag"), {"o_orderstatus": {"O": "open"}}),),
+        transformations=(Transformation(1, "uppercase"),),
+        drop_unified_sources=True,
+        column_ids={1: "c_name"},
+    )
+    sources = {name: (o["path"], 0) for name, o in outcome.items()}
+    silver.run_silver(t.spark, sources, links, config, f"{folder}/silver", at=AT)
+    return read_snapshot(t.spark, f"{folder}/silver").drop("_silver_timestamp", "_ingestion_timestamp")
+
+
 COLUMNS = [
     unify.SourceColumn(1, "customer", "c_name", "varchar"),
     unify.SourceColumn(2, "customer", "c_nationkey", "int"),

@@ -132,3 +132,10 @@ def test_predicate_literals_cannot_inject(df):
 def test_dict_filter_reports_unknown_columns(df):
     rows, unknown = p.dict_filter(df, {"n": [10, 30], "nope": 1})
     assert ids(rows) == [1, 3, 5] and unknown == ["nope"]
+
+
+def test_text_dates_compare_as_dates_only_with_dates(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, '02/01/2024'), (2, '01/02/2024'), (3, 'none') AS t(id, day)")
+    assert grid(df, "day", "lt", "2024-01-15") == [1]
+    assert grid(df, "day", "eq", "none") == [3]
+    assert grid(df, "day", "in", ["none", "02/01/2024"]) == [1, 3]

@@ -6,7 +6,7 @@ import pytest
 
 from fernweave.config import ColumnGroup, Extraction, Relationship, SilverConfig, Transformation
 from fernweave.operators.joins import UnlinkedTablesError
-from fernweave.plans import extract, sharing, silver
+from fernweave.plans import bronze, extract, sharing, silver
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +127,13 @@ def test_access_needs_an_active_recipient_and_share(spark):
     live = sharing.live_grants(recipients, grants, shares)
     assert sorted(r[0] for r in sharing.accessible_tables(live, tables, 1).collect()) == [100, 101]
     assert sharing.accessible_tables(live, tables, 2).isEmpty()
+
+
+def test_mapping_and_links_of_stored_groups(spark):
+    frames = {n: spark.createDataFrame([], f"id int, {n}_x int") for n in ("a", "b", "c")}
+    plan = bronze.plan_bronze({"a": "one", "b": "one", "c": "two"}, [Relationship("a", "ID", "b", "id"), Relationship("b", "id", "c", "id")])
+    mappings = bronze.group_mappings(frames, plan)
+    found = {(r["group_name"], r["table_name"], r["column_name"]): (r["output_name"], r["is_unified"]) for r in bronze.mapping_table(spark, mappings).collect()}
+    assert found["part_one", "b", "id"] == ("id", True) and found["part_two", "c", "id"] == ("id", False)
+    link = bronze.group_links(plan, mappings)[0]
+    assert (link.left_table, link.left_column, link.right_table, link.right_column) == ("part_one", "id", "part_two", "id")

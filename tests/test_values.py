@@ -107,6 +107,12 @@ def test_half_of_the_samples_is_enough(spark):
     assert dates.detect_date_formats(df, ["a"]) == {"a": "yyyy-MM-dd"}
 
 
+def test_formats_from_an_ordered_sample(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") < 15, "01/02/2024").otherwise("junk").alias("a"))
+    assert dates.detect_date_formats(df, ["a"], ["id"]) == {"a": "dd/MM/yyyy"}
+    assert dates.detect_date_formats(df, ["a"]) == {}
+
+
 def test_mixed_date_forms(spark):
     got = apply(spark, ["01/02/2024", "2024-02-01T10:00:00Z", "01-02-24", "x"], dates.parse_any_date)
     assert [str(v) for v in got] == ["2024-02-01", "2024-02-01", "2024-02-01", "None"]
