@@ -170,7 +170,7 @@ def _bronze_frames(t: Tables) -> dict[str, DataFrame]:
 
 
 @query("""
-SELECT 'part_one' AS group_name, count(*) AS row_count FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+SELECT 'part_one' AS group_name, count(*) AS row_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 UNION ALL
 SELECT 'part_two', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 """)
