@@ -25,7 +25,8 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, dataset_id: int) -> St
     """Append everything that is there now, stamped with its batch.
 
     Each batch replaces its own ``_batch_id`` folder, so a batch that is retried after a
-    lost executor or a restart is not stored twice.
+    lost executor or a restart is not stored twice.  Batch numbers come from the
+    checkpoint, which must be kept as long as the data.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumns({"_dataset_id": F.lit(dataset_id), "_extraction_timestamp": F.current_timestamp()})
