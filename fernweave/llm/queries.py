@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, token_counts
+from fernweave.llm import bpe, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,86 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text, and whether it has more than 512 tokens."""
     return token_counts.count_tokens(table(spark, sf_dir), bpe.share(spark, counter()))
+
+
+@query("""
+WITH r AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM r GROUP BY source
+), w AS (
+    SELECT *, CASE (turn - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+        2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget
+    FROM s
+), l AS (
+    SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM w
+), t AS (
+    SELECT source, source_size,
+        CASE WHEN level * weight <= cap THEN max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight ELSE cap END AS target
+    FROM l
+), b AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 1 END AS whole FROM t
+), c AS (
+    SELECT *, target - whole * source_size AS budget FROM b
+), g AS (
+    SELECT r.source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY r.source ORDER BY h) AS total FROM r GROUP BY r.source, h
+), e1 AS (
+    SELECT c.source, arg_min(g.h, g.h) - 1 AS upto, arg_min(budget - (total - words), g.h) AS small
+    FROM c JOIN g ON g.source IS NOT DISTINCT FROM c.source WHERE total > budget GROUP BY c.source
+), f AS (
+    SELECT c.*, CASE WHEN budget <= 0 THEN -1 ELSE coalesce(upto, 1::BIGINT << 60) END AS upto, coalesce(small, 0) AS small
+    FROM c LEFT JOIN e1 ON e1.source IS NOT DISTINCT FROM c.source
+), g2 AS (
+    SELECT r.source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY r.source ORDER BY h) AS total
+    FROM r JOIN f ON f.source IS NOT DISTINCT FROM r.source WHERE h > upto AND size <= small GROUP BY r.source, h
+), e2 AS (
+    SELECT f.source, arg_min(CASE WHEN words < 2 * (small - (total - words)) THEN h ELSE h - 1 END, h) AS upto2
+    FROM f JOIN g2 ON g2.source IS NOT DISTINCT FROM f.source WHERE total > small GROUP BY f.source
+), k AS (
+    SELECT f.*, CASE WHEN small <= 0 THEN -1 ELSE coalesce(upto2, 1::BIGINT << 60) END AS upto2
+    FROM f LEFT JOIN e2 ON e2.source IS NOT DISTINCT FROM f.source
+)
+SELECT r.doc_id, r.size, k.source_size, k.target,
+    (r.size * (whole + CASE WHEN h <= upto OR (size <= small AND h <= upto2) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN k ON k.source IS NOT DISTINCT FROM r.source
+""")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the production mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir))
+
+
+#: Shards of the production layout, all alike.
+SHARDS = 24
+
+
+@query("""
+WITH bits AS (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+    SELECT doc_id, coalesce(text, '') AS text, md5(doc_id::VARCHAR) AS digest FROM documents
+), crc AS (
+    SELECT doc_id, digest, coalesce(strlen(text), 0) + 8 AS size,
+        xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS text_crc32
+    FROM d, bits
+), draws AS (
+    SELECT doc_id, j, -ln((('0x' || substr(md5(doc_id::VARCHAR || '#' || j::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS cost
+    FROM d, range(0, 25) s(j)
+), best AS (
+    SELECT doc_id, arg_min(j, cost) FILTER (j < 24) AS shard, arg_min(j, cost) AS grown_shard FROM draws GROUP BY doc_id
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+    (row_number() OVER (PARTITION BY shard ORDER BY substr(digest, 1, 3), doc_id, text_crc32, size) - 1)::BIGINT AS slot,
+    grown_shard::INTEGER AS grown_shard
+FROM crc JOIN best USING (doc_id)
+""")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place in it of every document, and its shard once there is one more."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir).select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.assign_shards(docs, [1.0] * SHARDS, grown_col="grown_shard")
+    numbered = sharding.number_rows(placed, "shard", "doc_id", ["doc_id", "text_crc32", "size"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
