@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, mixing, sharding, token_counts
+from fernweave.llm import bpe, mixing, quality, sharding, sketches, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,50 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(docs, [1.0] * SHARDS, grown_col="grown_shard")
     numbered = sharding.number_rows(placed, "shard", "doc_id", ["doc_id", "text_crc32", "size"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query()
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edit, and their likeness."""
+    made = sketches.compare_edited(table(spark, sf_dir))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query("""
+WITH p AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), w AS (
+    SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS win FROM p, unnest(range(1, len(words) - 6)) t(i)
+), r AS (
+    SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS c FROM w) WHERE c > 1
+), cov AS (
+    SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid
+), l AS (
+    SELECT rid, line, len(words) AS n, words, lower(line) AS low,
+        len(regexp_extract_all(line, '[#$%&*!?|<>=~^+_]{2,}')) AS marks,
+        len(regexp_extract_all(' ' || line || ' ', '[ \t][|»•·][ \t]')) AS bars
+    FROM (SELECT rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM p, unnest(string_split(text, chr(10))) t(line))
+), j AS (
+    SELECT *, (marks >= 2 AND marks * 4 >= n) OR (bars >= 2 AND bars * 5 >= n)
+        OR (n >= 5 AND 5 * len(list_filter(range(2, n + 1), lambda k: words[k] = words[k - 1])) >= 2 * n)
+        OR """ + " OR ".join(f"contains(low, '{phrase}')" for phrase in quality.BOILERPLATE) + """ AS fails
+    FROM l WHERE n > 0
+), s AS (
+    SELECT rid, sum(n) AS n_words, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) - count(DISTINCT line) AS dup FROM j GROUP BY rid
+), m AS (
+    SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words
+    FROM p LEFT JOIN s USING (rid) LEFT JOIN cov USING (rid)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept
+FROM m
+""")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base rules, words lost with failing lines, and the verdict on every document."""
+    return quality.clean(table(spark, sf_dir)).drop("clean_text")
