@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernweave.session import work_folder
+from fernweave.llm.stored import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,13 +44,6 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(key.alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), record_hash(key).alias("hash"))
 
 
-def _stored(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read again; Spark then knows the size and plans joins by it."""
-    spark, folder = rows.sparkSession, work_folder(rows.sparkSession, purpose)
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
-
-
 def source_targets(records: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Target words of each source: (source, source_size, target).
 
@@ -93,7 +86,7 @@ def _threshold(records: DataFrame, budgets: DataFrame, nearest: bool) -> DataFra
         running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         over = sums.withColumn("total", F.col("start") + running).where("total > budget")
         edge = F.min(F.struct("bucket", (F.col("total") - F.col("words")).alias("before"), "words", "budget"))
-        state = _stored(over.groupBy("source").agg(edge.alias("e")).select("source", F.col("e.bucket").alias("prefix"), "e.before", "e.words", "e.budget"), "mix-edge")
+        state = stored(over.groupBy("source").agg(edge.alias("e")).select("source", F.col("e.bucket").alias("prefix"), "e.before", "e.words", "e.budget"), "mix-edge")
         above = shift
     upto = F.col("prefix") - 1
     if nearest:
@@ -110,14 +103,14 @@ def mix_budgets(records: DataFrame, targets: DataFrame) -> DataFrame:
     ``records`` as of ``sized``, stored, since they are read several times.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("bigint")  # nothing to weigh: taken once
-    budgets = _stored(targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    first = _stored(_threshold(records, budgets, nearest=False), "mix-first")
+    budgets = stored(targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    first = stored(_threshold(records, budgets, nearest=False), "mix-first")
     renamed = first.withColumnsRenamed({"source": "s", "open": "small"})
     rest = records.join(renamed, F.col("source").eqNullSafe(F.col("s"))).where("hash > upto and size <= small").select("source", "hash", "size")
     second = _threshold(rest, first.select("source", F.col("open").alias("budget")), nearest=True)
     second = second.select(F.col("source").alias("s2"), F.col("upto").alias("small_upto"))
     joined = budgets.drop("budget").join(renamed, F.col("source").eqNullSafe(F.col("s"))).join(second, F.col("source").eqNullSafe(F.col("s2")))
-    return _stored(joined.drop("s", "s2"), "mix-budgets")
+    return stored(joined.drop("s", "s2"), "mix-budgets")
 
 
 def repeats(size: Column, key_hash: Column) -> Column:
@@ -133,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own, the last; records with one key share their hash and so their fate; an empty table
     gives an empty result.  Other columns are not carried.
     """
-    records = _stored(sized(docs, id_col, text_col, source_col), "mix-records")
+    records = stored(sized(docs, id_col, text_col, source_col), "mix-records")
     budgets = mix_budgets(records, source_targets(records, weights, share, most)).withColumnRenamed("source", "s")
     joined = records.join(budgets, F.col("source").eqNullSafe(F.col("s")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats(F.col("size"), F.col("hash"))).alias("taken"))
@@ -141,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: each record of ``docs`` as often as it is taken, with all its columns."""
-    records = _stored(sized(docs, id_col, text_col, source_col), "mix-records")
+    records = stored(sized(docs, id_col, text_col, source_col), "mix-records")
     budgets = mix_budgets(records, source_targets(records, weights, share, most))
     budgets = budgets.select(F.col("source").alias("__fw_source"), *(c for c in budgets.columns if c not in ("source", "source_size", "target")))
     held = docs.select(F.struct(*map(F.col, docs.columns)).alias("__fw_row"), F.col(source_col).alias("__fw_own"), word_count(F.col(text_col)).alias("__fw_size"), record_hash(F.col(id_col)).alias("__fw_hash"))

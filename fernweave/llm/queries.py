@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, mixing, quality, sharding, sketches, token_counts
+from fernweave.llm import bpe, mixing, near_dedup, quality, sharding, sketches, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,33 @@ FROM m
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rules, words lost with failing lines, and the verdict on every document."""
     return quality.clean(table(spark, sf_dir)).drop("clean_text")
+
+
+@query("""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), l AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles
+    FROM w
+), n AS (
+    SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM l
+), s AS (
+    SELECT doc_id, unnest(shingles) AS shingle FROM l
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), k AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)
+), e AS (
+    SELECT a, b FROM k UNION ALL SELECT b, a FROM k
+), r AS (
+    SELECT doc_id AS node, doc_id AS other FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other
+), c AS (
+    SELECT node AS doc_id, min(other) AS component_id FROM r GROUP BY node
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+""")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near duplicates of every document, on shingles of four words."""
+    return near_dedup.near_duplicates(table(spark, sf_dir), words=4)
