@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, mixing, near_dedup, quality, sharding, sketches, token_counts
+from fernweave.llm import bpe, language, mixing, near_dedup, quality, sharding, sketches, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +214,31 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of near duplicates of every document, on shingles of four words."""
     return near_dedup.near_duplicates(table(spark, sf_dir), words=4)
+
+
+#: Folds of ids held out of each fit: (folds, the one held out).
+TOXIC_FOLD = (5, 0)
+LANGUAGE_FOLD = (4, 2)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.NoisyOr:
+    """Fitted on the labels of ids outside the held-out fold."""
+    return toxicity.fit(docs, labels.where(~toxicity.in_fold(F.col("doc_id"), *TOXIC_FOLD)))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, with its offending sentences."""
+    docs = table(spark, sf_dir)
+    model = bpe.share(spark, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.in_fold(F.col("doc_id"), *TOXIC_FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+@query()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text."""
+    docs = table(spark, sf_dir)
+    model = bpe.share(spark, language.fit(docs.where(~toxicity.in_fold(F.col("doc_id"), *LANGUAGE_FOLD))))
+    made = language.predict_languages(docs, model)
+    return made.select("doc_id", toxicity.in_fold(F.col("doc_id"), *LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score", "languages")
