@@ -6,10 +6,10 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, language, mixing, near_dedup, quality, sharding, sketches, token_counts, toxicity
+from fernweave.llm import bpe, language, mixing, near_dedup, quality, secret_scan, sharding, sketches, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,18 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.share(spark, language.fit(docs.where(~toxicity.in_fold(F.col("doc_id"), *LANGUAGE_FOLD))))
     made = language.predict_languages(docs, model)
     return made.select("doc_id", toxicity.in_fold(F.col("doc_id"), *LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def _joined(spans: str, base_only: bool) -> Column:
+    """Spans as kind:start:end, by commas."""
+    listed = F.filter(spans, lambda s: s["kind"] != "model") if base_only else F.col(spans)
+    return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query()
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, by rule and in all."""
+    docs = table(spark, sf_dir)
+    found = secret_scan.scan_documents(docs, bpe.share(spark, secret_scan.fit(docs)))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in secret_scan.RULES]
+    return found.select("doc_id", *counts, F.sha2(_joined("spans", True).cast("binary"), 256).alias("base_sha256"), _joined("spans", False).alias("spans"))
