@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.llm.components import connected_components
-from fernweave.llm.stored import stored
+from fernweave.llm.stored import sent_if_few, stored
 
 #: Words in a shingle and the least similarity, in percent.
 SHINGLE = 5
@@ -145,7 +145,7 @@ def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     """
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.join(stored(ids, "pair-ids"), "id", "left_semi"), "pair-texts")
+    texts = stored(docs.join(sent_if_few(stored(ids, "pair-ids")), "id", "left_semi"), "pair-texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
@@ -208,24 +208,15 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return members.join(least, "bucket").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY, large_bucket: int = LARGE_BUCKET) -> DataFrame:
-    """Component of each document: (id, n_shingles, component_id, kept).
-
-    Documents with ``percent`` or more of their shingles in common are linked; a component is
-    what links connect, named by its least id, and ``kept`` marks that document.  NULL and
-    blank texts have no shingles and are their own component.  Ids are whole numbers.  Rows
-    with one id are told apart by their texts; where such an id is the least of several
-    groups, these are joined.  A row without id goes with the group of its text and is not
-    kept if a document with an id has the same text; otherwise its component is NULL and it
-    is kept.  An empty table gives an empty result; other columns are not carried.
-    """
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, large_bucket: int) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id, kept) for each row."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(texts.select("id", _sketched(F.col("text"), words).alias("s")).select("id", "s.*"), "signatures")
+    rows = stored(texts.select("id", F.xxhash64("text").alias("text_hash"), _sketched(F.col("text"), words).alias("s")).select("id", "text_hash", "s.*"), "signatures")
     sets = stored(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least")), "sets")
     chosen = rows.where("id is not null").join(sets, "same").where("id = least").dropDuplicates(["same", "id"])
     spread = chosen.select("id", F.explode("bands").alias("bucket"))
-    sizes = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-buckets")
-    members = stored(spread.join(sizes, "bucket").select("bucket", "id"), "members")
+    shared = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-buckets")
+    members = stored(spread.join(sent_if_few(shared), "bucket").select("bucket", "id"), "members")
     links = _links(_star_pairs(members), texts, words, percent)
 
     placed = stored(_with_component(members, links), "placed")
@@ -243,7 +234,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = stored(connected_components(links), "components").withColumnRenamed("node", "least")
     named = stored(sets.join(found, "least", "left").select("same", F.coalesce("component", "least").alias("component_id")), "named")
-    out = rows.select("id", "n_shingles", "same").join(named, "same", "left")
+    out = rows.select("id", "text_hash", "n_shingles", "same").join(named, "same", "left")
     out = out.withColumn("component_id", F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+    return out.select("id", "text_hash", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """Component of each document: (id, n_shingles, component_id, kept).
+
+    Documents with ``percent`` or more of their shingles in common are linked; a component is
+    what links connect, named by its least id, and ``kept`` marks that document.  NULL and
+    blank texts have no shingles and are their own component.  Ids are whole numbers.  Rows
+    with one id are told apart by their texts; where such an id is the least of several
+    groups, these are joined.  A row without id goes with the group of its text and is not
+    kept if a document with an id has the same text; otherwise its component is NULL and it
+    is kept.  An empty table gives an empty result; other columns are not carried.
+    """
+    found = _verdicts(docs, id_col, text_col, words, percent, large_bucket)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """The rows of ``docs`` with one document of each group, all columns as they were.
+
+    Of rows that share the group's least id, and of rows without id and with one text, one
+    stays.  NULL and blank texts are in no group and all stay.
+    """
+    found = stored(_verdicts(docs, id_col, text_col, words, percent, large_bucket), "verdicts")
+    group = F.coalesce("component_id", "text_hash")
+    judged = found.select(F.col("id").alias("__fw_id"), F.col("text_hash").alias("__fw_hash"), "kept", F.when(F.col("n_shingles") > 0, F.struct("component_id", group.alias("g"))).alias("__fw_group"))
+    gone = judged.where("not kept").select("__fw_id", "__fw_hash")
+    several = judged.where("kept and __fw_group is not null").groupBy("__fw_group").count().where("count > 1").select("__fw_group")
+    repeated = judged.where("kept").join(stored(several, "repeated-groups"), "__fw_group").select("__fw_id", "__fw_hash", "__fw_group").distinct()
+    repeated = stored(repeated, "repeated")
+    away = stored(gone.union(repeated.select("__fw_id", "__fw_hash")).distinct(), "away")
+    same_row = F.expr("d.`__fw_key` <=> a.`__fw_id` and d.`__fw_text` = a.`__fw_hash`")
+    keyed = docs.withColumns({"__fw_key": F.col(id_col).cast("bigint"), "__fw_text": F.xxhash64(text_col)}).alias("d")
+    rest = keyed.join(sent_if_few(away).alias("a"), same_row, "left_anti").select(*(f"d.`{c}`" for c in docs.columns))
+    if repeated.isEmpty():
+        return rest
+    firsts = keyed.join(sent_if_few(repeated).alias("a"), same_row).dropDuplicates(["__fw_group"])
+    return rest.unionByName(firsts.select(*(f"d.`{c}`" for c in docs.columns)))
