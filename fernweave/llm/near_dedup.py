@@ -5,11 +5,11 @@ second, shifted by one place for each coordinate, gives that coordinate's order,
 shingle's values in all coordinates lie side by side and are read in one piece.
 
 Equal shingle sets are folded to their least id first, so copies cost one group-by however
-many there are.  Then every band bucket is a star: its members are compared with its least
-member only.  Buckets whose members still belong to different components are completed:
-small ones by comparing members of different components; large ones, where a common passage
-has brought unlike texts together, by an exact prefix filter over their shingles, rarest
-first.  All links are confirmed on full shingle sets.
+many there are.  Then every band bucket is a star: its members are compared with one centre
+only.  Documents of buckets that still hold several components (a common passage or unlike
+edits of one text bring them together) go through an exact prefix filter: only pairs of
+different components that share one of their rarest shingles early enough are compared.
+All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -39,9 +39,6 @@ ROWS = 6
 UNIVERSE = 1 << 20
 RUN = 4096
 
-#: Above this many members a bucket of several components is completed by the prefix filter.
-LARGE_BUCKET = 128
-
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -159,20 +156,6 @@ def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _mixed_buckets(members: DataFrame) -> DataFrame:
-    """Buckets whose members belong to different components: (bucket, n)."""
-    sums = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    return stored(sums.where("low <> high").select("bucket", "n"), "mixed-buckets")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket that belong to different components; pairs inside a component need no test."""
-    here = members.select("bucket", F.col("id").alias("a"), F.col("component").alias("here"))
-    there = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("there"))
-    met = here.join(there, "bucket").where("here < there")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _shingles_of(docs: DataFrame, words: int) -> DataFrame:
     """One row for each distinct shingle of each document: (id, shingle, size)."""
 
@@ -189,48 +172,65 @@ def _shingles_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(spread, "id bigint, shingle bigint, size bigint")
 
 
-def _prefix_buckets(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Buckets (bucket, id) such that documents similar enough always share one.
+def _prefixes(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rarest shingles of each document with their places in its order: (shingle, id, place, size).
 
-    Of two sets with so many common shingles, the rarest ``size - ceil(size * similarity) + 1``
-    of either must meet.  A common passage is not among the rarest, so it gathers nobody.
+    Of two sets similar enough, the rarest ``size - ceil(size * similarity) + 1`` shingles of
+    either must meet.  A passage that many texts share is not among the rarest of any.
     """
-    rows = stored(_shingles_of(docs.join(ids, "id", "left_semi"), words), "hot-shingles")
-    counts = stored(rows.groupBy("shingle").count(), "shingle-counts")
+    rows = stored(_shingles_of(docs.join(sent_if_few(ids), "id", "left_semi"), words), "open-shingles")
+    counts = rows.groupBy("shingle").count()
     ranked = rows.join(counts, "shingle").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))
     kept = F.expr(f"cast(size - ceil(size * {percent} / 100) + 1 as int)")
-    return ranked.select("id", F.explode(F.slice("all", F.lit(1), kept)).alias("rare")).where("rare.count > 1").select(F.col("rare.shingle").alias("bucket"), "id")
+    placed = ranked.select("id", "size", F.posexplode(F.slice("all", F.lit(1), kept)).alias("place", "rare"))
+    return placed.where("rare.count > 1").select(F.col("rare.shingle").alias("shingle"), "id", "place", "size")
+
+
+def _open_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be similar enough, from (shingle, id, place, size, component).
+
+    The first shingle that both have bounds what can follow it in either order; pairs that
+    cannot reach the wanted overlap even so are never made.
+    """
+    here, there = (prefixes.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "place", "size", "component"))) for side in "ab")
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = left * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent
+    met = here.join(there, (here["shingle"] == there["shingle"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & enough)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's least member."""
-    least = stored(members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"), "bucket-least")
-    return members.join(least, "bucket").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    """Each member of a bucket with the bucket's centre.
+
+    The centre is the member whose buckets are the fullest in all, the least id on ties: what
+    others were copied from shares more buckets with each of them than they do among
+    themselves, so one star usually holds the whole family.
+    """
+    sizes = stored(members.groupBy("bucket").count().where("count > 1"), "bucket-sizes")
+    shared = stored(members.join(sent_if_few(sizes), "bucket"), "shared")
+    weights = stored(shared.groupBy("id").agg(F.sum("count").alias("weight")), "weights")
+    weighed = shared.join(sent_if_few(weights), "id")
+    centres = stored(weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", (-F.col("id")).alias("i"))).alias("centre")), "centres")
+    pairs = shared.join(sent_if_few(centres), "bucket").where("centre <> id")
+    return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
 
-def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, large_bucket: int) -> DataFrame:
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, text_hash, n_shingles, component_id, kept) for each row."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = stored(texts.select("id", F.xxhash64("text").alias("text_hash"), _sketched(F.col("text"), words).alias("s")).select("id", "text_hash", "s.*"), "signatures")
     sets = stored(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least")), "sets")
     chosen = rows.where("id is not null").join(sets, "same").where("id = least").dropDuplicates(["same", "id"])
     spread = chosen.select("id", F.explode("bands").alias("bucket"))
-    shared = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-buckets")
-    members = stored(spread.join(sent_if_few(shared), "bucket").select("bucket", "id"), "members")
+    several = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-buckets")
+    members = stored(spread.join(sent_if_few(several), "bucket").select("bucket", "id"), "members")
     links = _links(_star_pairs(members), texts, words, percent)
 
     placed = stored(_with_component(members, links), "placed")
-    mixed = _mixed_buckets(placed)
-    open_members = placed.join(mixed.where(F.col("n") <= large_bucket), "bucket")
-    links = stored(links.union(_links(_across(open_members), texts, words, percent)), "links")
-
-    hot = stored(placed.join(mixed.where(F.col("n") > large_bucket), "bucket").select("id").distinct(), "hot-ids")
-    if not hot.isEmpty():
-        narrow = stored(_prefix_buckets(hot, texts, words, percent), "prefix-members")
-        links = stored(links.union(_links(_star_pairs(narrow), texts, words, percent)), "links")
-        placed = stored(_with_component(narrow, links), "placed")
-        open_members = placed.join(_mixed_buckets(placed), "bucket")
-        links = links.union(_links(_across(open_members), texts, words, percent))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    open_ids = stored(placed.join(sent_if_few(stored(mixed, "mixed-buckets")), "bucket").select("id", "component").distinct(), "open-ids")
+    prefixes = stored(_prefixes(open_ids.select("id"), texts, words, percent).join(sent_if_few(open_ids), "id"), "prefixes")
+    links = links.union(_links(_open_pairs(prefixes, percent), texts, words, percent))
 
     found = stored(connected_components(links), "components").withColumnRenamed("node", "least")
     named = stored(sets.join(found, "least", "left").select("same", F.coalesce("component", "least").alias("component_id")), "named")
@@ -240,7 +240,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     return out.select("id", "text_hash", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """Component of each document: (id, n_shingles, component_id, kept).
 
     Documents with ``percent`` or more of their shingles in common are linked; a component is
@@ -251,17 +251,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept if a document with an id has the same text; otherwise its component is NULL and it
     is kept.  An empty table gives an empty result; other columns are not carried.
     """
-    found = _verdicts(docs, id_col, text_col, words, percent, large_bucket)
+    found = _verdicts(docs, id_col, text_col, words, percent)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one document of each group, all columns as they were.
 
     Of rows that share the group's least id, and of rows without id and with one text, one
     stays.  NULL and blank texts are in no group and all stay.
     """
-    found = stored(_verdicts(docs, id_col, text_col, words, percent, large_bucket), "verdicts")
+    found = stored(_verdicts(docs, id_col, text_col, words, percent), "verdicts")
     group = F.coalesce("component_id", "text_hash")
     judged = found.select(F.col("id").alias("__fw_id"), F.col("text_hash").alias("__fw_hash"), "kept", F.when(F.col("n_shingles") > 0, F.struct("component_id", group.alias("g"))).alias("__fw_group"))
     gone = judged.where("not kept").select("__fw_id", "__fw_hash")
