@@ -96,7 +96,7 @@ def _run_of(key: Column, cuts: list[int], rows: int) -> Column:
 
 
 def with_next(rows: DataFrame, key: DataFrame, key_col: str, tie_col: str, carried: list[str]) -> DataFrame:
-    """Add ``next``: the carried columns of the row that follows in ascending key, after the last the first.
+    """Add ``next_<name>`` for the carried columns: those of the row that follows in ascending key, after the last the first.
 
     Rows are dealt into runs of neighbouring keys, each sorted by itself.  Cuts between runs
     follow quantiles of the keys (``key``: the same keys, cheap to read twice), each part
@@ -109,7 +109,7 @@ def with_next(rows: DataFrame, key: DataFrame, key_col: str, tie_col: str, carri
     shares = [i / KEY_CUTS for i in range(KEY_CUTS + 1)]
     count, first, quantiles = keys.agg(F.count("*"), F.min("k"), F.percentile_approx("k", shares, 10 * KEY_CUTS)).first()
     if not count:
-        return rows.withColumn("next", F.struct(*carried))
+        return rows.withColumns({f"next_{c}": F.col(c) for c in carried})
     runs = -(-count // RUN_ROWS)
     cuts = sorted({first, *quantiles[:: max(1, KEY_CUTS // runs)]})
     numbered = keys.withColumn("run", _run_of(F.col("k"), cuts, count))
@@ -120,7 +120,7 @@ def with_next(rows: DataFrame, key: DataFrame, key_col: str, tie_col: str, carri
     own = held.withColumns({"__fw_run": _run_of(F.col("__fw_key"), cuts, count), "__fw_copy": F.lit(False)})
     copies = held.join(starts, F.col("__fw_key") == F.col("start")).withColumns({"__fw_run": F.col("before"), "__fw_copy": F.lit(True)}).drop("before", "start")
     in_run = Window.partitionBy("__fw_run").orderBy("__fw_copy", "__fw_key", tie_col)
-    linked = own.unionByName(copies).withColumn("next", F.lead(F.struct(*carried)).over(in_run))
+    linked = own.unionByName(copies).withColumns({f"next_{c}": F.lead(c).over(in_run) for c in carried})
     return linked.where(~F.col("__fw_copy")).drop("__fw_run", "__fw_copy", "__fw_key")
 
 
@@ -147,8 +147,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = with_next(text.withColumn("sketch", sketch(F.col("text"))), docs.select(F.col(id_col).alias("id")), "id", "text", ["text", "sketch"])
     cut = F.expr("char_length(text) div 4").cast("int")
     kept = F.expr("char_length(text) - char_length(text) div 4").cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), kept), F.substring(F.col("next.text"), F.lit(1), cut))
-    rows = linked.select("id", F.length("text").cast("bigint").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), kept), F.substring(F.col("next_text"), F.lit(1), cut))
+    rows = linked.select("id", F.length("text").cast("bigint").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
     return rows.select(
         F.col("id").alias(id_col), "n_chars", "edited", "sketch", "edited_sketch", resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
