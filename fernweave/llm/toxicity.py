@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -107,21 +108,26 @@ def fit_noisy_or(texts: list[str], toxic: list[int], weight: tuple[float, float]
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return NoisyOr({}, 20.0 if len(y) and y.all() else -20.0)
-    features_of: dict[str, list[str]] = {}
+    words_by_name: dict[str, int] = {}
+    features_of: list[tuple[str, ...]] = []
     bags, seen, met, fresh = [], (Counter(), Counter()), set(), []
     for text, label in zip(texts, y):
         sentences = [m.group().lower() for m in SENTENCE.finditer(text)]
-        fresh.append(2 * sum(s not in met for s in sentences) >= len(sentences))
+        digests = [hash(s) for s in sentences]
+        fresh.append(2 * sum(d not in met for d in digests) >= len(digests))
         if not fresh[-1]:
             continue  # a copy of one before: its words are no further evidence
-        met.update(sentences)
-        bag = [set(WORD.findall(s)) for s in sentences]
-        features = set()
-        for word in set().union(*bag):
-            if word not in features_of:
-                features_of[word] = word_features(word)
-            features.update(features_of[word])
-        seen[int(label)].update(features)
+        met.update(digests)
+        bag = []
+        for sentence in sentences:
+            numbers = array("i")
+            for word in sorted(set(WORD.findall(sentence))):
+                if word not in words_by_name:
+                    words_by_name[word] = len(features_of)
+                    features_of.append(tuple(word_features(word)))
+                numbers.append(words_by_name[word])
+            bag.append(numbers)
+        seen[int(label)].update({f for numbers in bag for w in numbers for f in features_of[w]})
         bags.append(bag)
     y = y[np.array(fresh, bool)]
     n_clean, n_toxic = int((~y).sum()), int(y.sum())
@@ -137,24 +143,25 @@ def fit_noisy_or(texts: list[str], toxic: list[int], weight: tuple[float, float]
     common = [f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= LEAST_DOCUMENTS]
     chosen = sorted(common, key=lambda f: (-telling(f), f))[:FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
+    hits_of = [tuple(index[f] for f in features if f in index) for features in features_of]
 
     def outset(f: str) -> float:
         """The log odds of the feature, as near to 0 as two standard errors allow."""
         a, b = seen[1][f] + 0.5, seen[0][f] + 0.5
         odds, error = math.log(a / n_toxic) - math.log(b / n_clean), 2 * math.sqrt(1 / a + 1 / b)
         return math.copysign(max(0.0, abs(odds) - error), odds)
-    cells: list[tuple[int, int]] = []
-    owner: list[int] = []
+    rows, columns, owner = array("i"), array("i"), array("i")
     plain = np.zeros(len(y))
     for d, bag in enumerate(bags):
         for words in bag:
-            hits = {index[f] for w in words for f in features_of[w] if f in index}
+            hits = sorted({h for w in words for h in hits_of[w]})
             if hits:
-                cells.extend((len(owner), h) for h in hits)
+                rows.extend([len(owner)] * len(hits))
+                columns.extend(hits)
                 owner.append(d)
             else:
                 plain[d] += 1
-    sentence, feature = (np.array(c, np.int64) for c in zip(*cells)) if cells else (np.empty(0, np.int64),) * 2
+    sentence, feature = np.array(rows, np.int64), np.array(columns, np.int64)
     owners, sample = np.array(owner, np.int64), np.where(y, weight[1], weight[0])
     sample = sample / sample.sum()
 
