@@ -1,109 +1,85 @@
-"""Dates held as text: format detection and parsing that never fails the job."""
+"""Dates held as text: which columns hold them, and parsing that never fails the job.
+
+Every value is parsed by the form it has itself.  Looking at a column only decides whether
+it is a date column at all.
+"""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ISO_PREFIX = "iso-datetime"
-
-# Accepted date forms in order of preference (pattern, format).
+# Accepted date forms (name, pattern, format of the leading characters).
 DATE_FORMS = (
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", ISO_PREFIX),
-    (r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yy"),
-    (r"^\d{2}-\d{2}-\d{2}$", "dd-MM-yy"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
+    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    ("iso-datetime", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", "yyyy-MM-dd"),
+    ("dd/MM/yy", r"^\d{2}/\d{2}/\d{2}$", "dd/MM/yy"),
+    ("dd-MM-yy", r"^\d{2}-\d{2}-\d{2}$", "dd-MM-yy"),
 )
-SAMPLE_SIZE = 20
 MIN_SHARE = 0.5
 
 
-def detect_date_formats(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> dict[str, str]:
-    """Date format of each text column whose non-blank values mostly look like dates.
+def detect_date_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Text columns at least half of whose non-blank values have a date form, with the commonest form.
 
-    One job counts the values that fit each form: over the whole column, or with
-    ``order_by`` over its first twenty values in that order (a top-k per column).
+    One job over the whole columns.
     """
     if not columns:
         return {}
-
-    def hits(value: Column) -> list[Column]:
-        return [F.count_if(value.rlike(p)).alias(f"f{i}") for i, (p, _) in enumerate(DATE_FORMS)]
-
-    if order_by:
-        samples = []
-        for name in columns:
-            value = F.trim(F.col(f"`{name}`"))
-            first = df.where(value != "").orderBy(*order_by).limit(SAMPLE_SIZE)
-            samples.append(first.select(F.lit(name).alias("name"), value.alias("value")))
-        rows = reduce(DataFrame.unionByName, samples).groupBy("name").agg(F.count("*").alias("n"), *hits(F.col("value")))
-    else:
-        measures = []
-        for name in columns:
-            value = F.trim(F.col(f"`{name}`"))
-            measures.append(F.struct(F.lit(name).alias("name"), F.count_if(value != "").alias("n"), *hits(value)).alias(name))
-        one = df.agg(*measures)
-        rows = one.select(F.explode(F.array(*[F.col(f"`{name}`") for name in columns])).alias("m")).select("m.*").where("n > 0")
+    measures = []
+    for name in columns:
+        value = F.trim(F.col(f"`{name}`"))
+        hits = [F.count_if(value.rlike(pattern)).alias(form) for form, pattern, _ in DATE_FORMS]
+        measures.append(F.struct(F.lit(name).alias("name"), F.count_if(value != "").alias("filled"), *hits).alias(name))
+    one = df.agg(*measures)
+    rows = one.select(F.explode(F.array(*[F.col(f"`{name}`") for name in columns])).alias("m")).select("m.*").where("filled > 0")
     found = {}
     for row in rows.collect():  # one row per requested column
-        # both separators of a form count together; the more frequent one names the format
-        groups = [(0, 1), (2,), (3,), (4, 5)]
-        for group in groups:
-            if sum(row[f"f{i}"] for i in group) / row["n"] >= MIN_SHARE:
-                found[row["name"]] = DATE_FORMS[max(group, key=lambda i: row[f"f{i}"])][1]
-                break
+        counts = {form: row[form] for form, _, _ in DATE_FORMS}
+        if sum(counts.values()) >= MIN_SHARE * row["filled"]:
+            found[row["name"]] = max(counts, key=counts.get)
     return found
 
 
-def parse_date(c: Column, fmt: str) -> Column:
-    """Text to date by a detected format; NULL when a value does not parse."""
-    if fmt == ISO_PREFIX:
-        return F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
-    return F.try_to_date(F.trim(c), fmt)
-
-
 def parse_any_date(c: Column) -> Column:
-    """Text to date where rows differ in form."""
-    return F.coalesce(*[F.when(c.rlike(p), parse_date(c, fmt)) for p, fmt in DATE_FORMS])
+    """Text to date, each value by its own form; NULL where it has none or names no day."""
+    value = F.trim(c)
+    return F.coalesce(*[F.when(value.rlike(p), F.try_to_date(F.substring(value, 1, len(fmt)), fmt)) for _, p, fmt in DATE_FORMS])
 
 
 def as_date(name: str, dtype: T.DataType, formats: dict[str, str]) -> Column | None:
-    """The column as a date, or None when it holds no dates."""
+    """The column as a date, or None when it holds no dates; ``formats`` names the text columns that do."""
     c = F.col(f"`{name}`")
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
     if isinstance(dtype, T.StringType) and name in formats:
-        return parse_date(c, formats[name])
+        return parse_any_date(c)
     return None
 
 
-def _value_format(value: object) -> tuple[str, str] | None:
-    """The text of a date value and its format, or None."""
+def _value_form(value: object) -> tuple[str, str] | None:
+    """The text of a filter value's day and its format, or None; two-digit years are not accepted."""
     text = str(value).strip()
-    if re.match(r"^\d{4}-\d{2}-\d{2}([T ].*)?$", text):
-        return text[:10], "yyyy-MM-dd"
-    for sep in "/-":
-        if re.match(rf"^\d{{2}}{sep}\d{{2}}{sep}\d{{4}}$", text):
-            return text, f"dd{sep}MM{sep}yyyy"
-    return None
+    forms = (fmt for _, pattern, fmt in DATE_FORMS if "yyyy" in fmt and re.match(pattern, text))
+    fmt = next(forms, None)
+    return (text[: len(fmt)], fmt) if fmt else None
 
 
 def looks_like_date(value: object) -> bool:
     """Whether a filter value has a date form."""
-    return _value_format(value) is not None
+    return _value_form(value) is not None
 
 
 def date_literal(value: object) -> Column:
     """A filter value as a date: ISO date or datetime, ``dd/MM/yyyy`` or ``dd-MM-yyyy``."""
-    found = _value_format(value)
+    found = _value_form(value)
     if found is None:
         raise ValueError(f"not a date: {str(value)!r}")
     return F.try_to_date(F.lit(found[0]), found[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
@@ -29,7 +30,9 @@ def safe_name(text: str | None, max_length: int = 255, default: str = "unnamed")
     """A configuration name as a path part: plain letters, digits, ``_`` and ``-``."""
     plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode()
     name = re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9_-]", "_", plain)).strip("_-").lower()
-    return name[:max_length].rstrip("_-") or default
+    if len(name) > max_length:  # a digest keeps long names apart
+        name = name[: max_length - 9].rstrip("_-") + "_" + hashlib.sha256(name.encode()).hexdigest()[:8]
+    return name or default
 
 
 def identifier(text: str, connection_id: int | None = None) -> str:
@@ -42,7 +45,7 @@ def identifier(text: str, connection_id: int | None = None) -> str:
 def shared_table_name(text: str) -> str:
     """A shared table's name: plain lower-case letters and digits joined by single ``_``."""
     plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
-    return re.sub(r"[^a-z0-9]+", "_", plain).strip("_")[:255] or "table"
+    return safe_name(re.sub(r"[^a-z0-9]+", "_", plain), default="table")
 
 
 def safe_name_column(c: Column, max_length: int = 255, default: str = "unnamed") -> Column:
@@ -50,7 +53,9 @@ def safe_name_column(c: Column, max_length: int = 255, default: str = "unnamed")
     ascii_only = F.regexp_replace(remove_accents(c), r"[^\x00-\x7F]", "")
     joined = F.regexp_replace(F.regexp_replace(ascii_only, r"[^A-Za-z0-9_-]", "_"), "_+", "_")
     name = F.lower(F.regexp_replace(joined, r"^[_-]+|[_-]+$", ""))
-    name = F.regexp_replace(F.substring(name, 1, max_length), r"[_-]+$", "")
+    short = F.regexp_replace(F.substring(name, 1, max_length - 9), r"[_-]+$", "")
+    digest = F.substring(F.sha2(name.cast("binary"), 256), 1, 8)
+    name = F.when(F.length(name) > max_length, F.concat(short, F.lit("_"), digest)).otherwise(name)
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit(default)).otherwise(name)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fernweave.functions.arrays import explode_array
 from fernweave.operators.joins import keyed_join
-from fernweave.operators.quantiles import exact_quantile
+from fernweave.operators.quantiles import exact_quantile, exact_quantiles
 from fernweave.operators.ranking import first_per_key
 
 
@@ -35,13 +35,14 @@ def _value_order(column: str, order: str) -> list[Column]:
 
 
 def distinct_values(
-    df: DataFrame, column: str, search: str | None = None, order: str = "value_asc", offset: int = 0, limit: int = 100
+    df: DataFrame, column: str, search: str | None = None, order: str = "value_asc", offset: int = 0, limit: int | None = None
 ) -> DataFrame:
-    """One page of a column's distinct values, NULL among them, with how often each occurs."""
+    """A column's distinct values, NULL among them, with how often each occurs: one page, or all without a limit."""
     if search:
         df = df.where(F.lower(F.col(column).cast("string")).contains(search.lower()))
     counted = df.groupBy(column).agg(F.count("*").alias("frequency"))
-    return counted.orderBy(*_value_order(column, order)).offset(offset).limit(limit)
+    page = counted.orderBy(*_value_order(column, order)).offset(offset)
+    return page if limit is None else page.limit(limit)
 
 
 def approximate_distinct(df: DataFrame, column: str) -> DataFrame:
@@ -115,51 +116,43 @@ PROFILE = {
 }
 
 
-def _exact_column_profile(df: DataFrame, column: str, samples: int) -> DataFrame:
-    """One column's profile from its value counts, which are made map-side and shuffled once."""
-    counted = df.select(_comparable(df, column).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    number = F.col("v").cast("double") if _numeric(df, column) else F.lit(None).cast("double")
-    smallest = counted.where("v IS NOT NULL").select(F.col("v").cast("string").alias("v")).orderBy("v").limit(samples)
-    filled = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
-    stats = counted.agg(
-        filled.alias("non_null_count"), percent(filled, F.sum("n")).alias("non_null_percentage"),
-        F.count("v").alias("unique_count"), F.min(number).alias("min"), F.max(number).alias("max"),
-        F.try_divide(F.sum(number * F.col("n")), filled).alias("mean"),
-    )
-    extra = {
-        "column_name": F.lit(column),
-        "data_type": F.lit(df.schema[column].dataType.simpleString()),
-        "sample_values": smallest.agg(F.to_json(F.array_sort(F.collect_list("v")))).scalar(),
-        "median": F.lit(exact_quantile(df, column) if _numeric(df, column) else None).cast("double"),
-    }
-    return stats.withColumns(extra).select("column_name", *PROFILE)
-
-
 def column_profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, samples: int = 5) -> DataFrame:
     """Per column: type, filled count and share, distinct count, samples; for numbers min, max, mean, median.
 
-    Exact profiles count each column's values on their own, so the scan reads one column
-    at a time and no row is copied per column.  ``approximate`` sketches all columns in a
-    single pass and leaves samples out.
+    All columns share one aggregate for their totals, one count of (column, value) pairs for
+    distinct values and samples, and the passes of their medians, so the number of jobs does
+    not follow the number of columns.  ``approximate`` sketches everything in a single pass
+    and leaves samples out.
     """
     columns = columns or df.columns
-    if not approximate:
-        return reduce(DataFrame.unionByName, [_exact_column_profile(df, c, samples) for c in columns])
+    numeric = [c for c in columns if _numeric(df, c)]
+    medians = {} if approximate else exact_quantiles(df, numeric)
     aggregates = []
     for c in columns:
-        number = F.col(c).cast("double") if _numeric(df, c) else F.lit(None).cast("double")
+        number = F.col(f"`{c}`").cast("double") if _numeric(df, c) else F.lit(None).cast("double")
         aggregates += [
             F.lit(df.schema[c].dataType.simpleString()).alias(f"{c}#data_type"),
-            F.count(c).alias(f"{c}#non_null_count"),
-            percent(F.count(c), F.count("*")).alias(f"{c}#non_null_percentage"),
-            F.approx_count_distinct(_comparable(df, c)).alias(f"{c}#unique_count"),
+            F.count(f"`{c}`").alias(f"{c}#non_null_count"),
+            percent(F.count(f"`{c}`"), F.count("*")).alias(f"{c}#non_null_percentage"),
+            (F.approx_count_distinct(_comparable(df, c)) if approximate else F.lit(0)).alias(f"{c}#unique_count"),
             F.lit(None).alias(f"{c}#sample_values"),
             F.min(number).alias(f"{c}#min"),
             F.max(number).alias(f"{c}#max"),
             F.avg(number).alias(f"{c}#mean"),
-            F.percentile_approx(number, 0.5).alias(f"{c}#median"),
+            (F.percentile_approx(number, 0.5) if approximate else F.lit(medians.get(c)).cast("double")).alias(f"{c}#median"),
         ]
-    return _long(df.agg(*aggregates), columns, PROFILE)
+    totals = _long(df.agg(*aggregates), columns, PROFILE)
+    if approximate:
+        return totals
+    entries = F.array(*[F.struct(F.lit(c).alias("_column"), _comparable(df, c).cast("string").alias("_value")) for c in columns])
+    counted = df.select(F.explode(entries).alias("_e")).select("_e.*").where("_value IS NOT NULL").distinct()
+    distinct = counted.groupBy("_column").agg(F.count("*").alias("_n"))
+    least = first_per_key(counted, ["_column"], [F.col("_value")], samples)
+    shown = least.groupBy("_column").agg(F.to_json(F.array_sort(F.collect_list("_value"))).alias("_shown"))
+    known = totals.join(distinct, F.col("column_name") == F.col("_column"), "left").drop("_column")
+    known = known.join(shown, F.col("column_name") == F.col("_column"), "left")
+    known = known.withColumns({"unique_count": F.coalesce("_n", F.lit(0)), "sample_values": F.coalesce("_shown", F.lit("[]"))})
+    return known.select("column_name", *PROFILE)
 
 
 def number_statistics(df: DataFrame, column: str) -> DataFrame:
@@ -218,33 +211,33 @@ def merge_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return long.where("value IS NOT NULL").distinct()
 
 
-def merge_records(
-    df: DataFrame, key: str, fields: list[str], list_fields: list[str] = (), max_values: int = 1000
-) -> tuple[DataFrame, DataFrame]:
+def merge_records(df: DataFrame, key: str, fields: list[str], list_fields: list[str] = (), part_size: int = 1000) -> DataFrame:
     """One record per key; a field with several values becomes a sorted JSON list.
 
-    Values are made distinct per key before they meet, and a (key, field) with more than
-    ``max_values`` of them is NULL here and comes whole, one value per row, in the
-    second frame, so no list outgrows a task.
+    Values are made distinct per key before they meet.  A field with more than about
+    ``part_size`` values of one key is dealt over several rows of that key, numbered by
+    ``part``, so every value is there and no list outgrows a task.  Part 0 always exists and
+    holds all fields that need no other.
     """
     values = merge_values(df, key, fields)
     sized = values.groupBy(F.col(key).alias("_key"), F.col("field").alias("_field")).agg(F.count("*").alias("_n"))
-    on = [(key, "_key"), ("field", "_field")]
-    short = keyed_join(values, sized.where(F.col("_n") <= max_values), on).drop("_key", "_field")
-    overflow = keyed_join(values, sized.where(F.col("_n") > max_values), on).drop("_key", "_field", "_n")
-    lists = short.groupBy(key, "field").agg(F.array_sort(F.collect_list("value")).alias("items"))
+    counted = keyed_join(values, sized, [(key, "_key"), ("field", "_field")], right_unique=True).drop("_key", "_field")
+    part = F.pmod(F.xxhash64("value"), F.ceil(F.col("_n") / F.lit(part_size))).cast("int")
+    lists = counted.withColumn("part", part).groupBy(key, "field", "part").agg(F.array_sort(F.collect_list("value")).alias("items"), F.first("_n").alias("_n"))
     as_list = F.col("field").isin(*list_fields) if list_fields else F.lit(False)
-    text = F.when((F.size("items") == 1) & ~as_list, F.col("items")[0]).otherwise(F.to_json("items"))
-    found = lists.groupBy(key).pivot("field", fields).agg(F.first(text))
-    ids = df.select(F.col(key).alias("_id")).distinct()
-    merged = keyed_join(ids, found, [("_id", key)], "left", right_unique=True)
-    return merged.select(F.col("_id").alias(key), *fields), overflow
+    text = F.when((F.col("_n") == 1) & ~as_list, F.col("items")[0]).otherwise(F.to_json("items"))
+    found = lists.groupBy(key, "part").pivot("field", fields).agg(F.first(text))
+    ids = df.select(F.col(key).alias("_id"), F.lit(0).alias("_part")).distinct()
+    first = keyed_join(ids, found.where("part = 0"), [("_id", key)], "left", right_unique=True)
+    first = first.select(F.col("_id").alias(key), F.col("_part").alias("part"), *fields)
+    return first.unionByName(found.where("part > 0"))
 
 
 def count_multi_valued(df: DataFrame, column: str, skip_blank: bool = True) -> DataFrame:
     """How often each value occurs in a column that holds single values or JSON lists.
 
-    Text that only looks like a list counts as itself.
+    Text that only looks like a list counts as itself.  Where the lists would be merged from
+    rows first, count those with :func:`count_merged`.
     """
     parsed = F.when(F.col(column).startswith("["), F.from_json(column, "array<string>"))
     values = explode_array(df, [], F.coalesce(parsed, F.array(F.col(column))), "value")
@@ -253,6 +246,12 @@ def count_multi_valued(df: DataFrame, column: str, skip_blank: bool = True) -> D
     return values.groupBy("value").agg(F.count("*").alias("count"))
 
 
+def count_merged(df: DataFrame, key: str, column: str) -> DataFrame:
+    """How many keys hold each value of a field, without building their lists."""
+    values = merge_values(df, key, [column]).where("trim(value) != ''")
+    return values.groupBy("value").agg(F.count("*").alias("count"))
+
+
 def distinct_per_column(df: DataFrame, prefix: str = "") -> DataFrame:
     """Distinct values per column with the prefix, all in one aggregate."""
     columns = [c for c in df.columns if c.startswith(prefix)]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fernweave.config import Relationship
 from fernweave.operators.shape import prefixed_names
+from fernweave.session import stored
 
 
 class UnlinkedTablesError(ValueError):
@@ -162,6 +163,10 @@ def join_related(
     first side that has a value, and later joins on such a key use that column; other
     clashing names get their table in front.  An unknown join type means
     ``default_how``, always with the result so far on the left.
+
+    An outer join of keys that may repeat on both sides reads its sides more than once.
+    From the second step on the result so far is stored below the shared folder first, so the
+    plan and the work grow in proportion to the tables, not with a power of them.
     """
     start, steps = join_order(list(tables), with_actual_names(tables, relationships, strict))
     qualified = {t: df.select(*[F.col(f"`{c}`").alias(_q(t, c)) for c in df.columns]) for t, df in tables.items()}
@@ -179,6 +184,9 @@ def join_related(
         old_unique = not rows_repeat and (one_left if new == r.right_table else one_right)
         rows_repeat = rows_repeat or not new_unique
         key = key_of[here]
+        once = how == "inner" or (how == "left" and new_unique) or (how == "right" and old_unique)
+        if number and not once:  # the join reads its left side more than once
+            out = stored(out, "joined")
         out = keyed_join(out, qualified[new], [(key, key_of[there])], how, extra, new_unique, old_unique)
         if how in ("right", "full"):  # the key may now be on the new side only
             out = out.withColumn(f"__key{number}", F.coalesce(F.col(f"`{key}`"), F.col(f"`{key_of[there]}`")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernweave.functions.dates import as_date, detect_date_formats
-from fernweave.operators.ranking import first_per_key
+from fernweave.operators.ranking import LIMITED_BY_SPARK, first_per_key
 
 MAX_PAGE = 100_000
 DELIVERY_CAP = 50_000
@@ -63,8 +63,9 @@ def total_pages(rows: int, size: int) -> int:
 
 
 def page_with_more(df: DataFrame, order: list[Column], offset: int, limit: int, cap: int = DELIVERY_CAP) -> DataFrame:
-    """A delivery page of at most ``cap`` rows with ``has_more``: is there a row behind it."""
-    limit = min(limit, cap)
+    """A delivery page with ``has_more``: is there a row behind it.  More than ``cap`` rows at once raise."""
+    if not 0 < limit <= cap:
+        raise ValueError(f"limit must be 1 to {cap}")
     ordered = df.orderBy(*order)
     behind = ordered.offset(offset).limit(limit + 1).agg(F.count("*") > limit).scalar()
     return ordered.offset(offset).limit(limit).withColumn("has_more", behind)
@@ -97,4 +98,6 @@ def history(df: DataFrame, key: str, sequence: list[str], n: int) -> DataFrame:
 def first_rows_desc(df: DataFrame, key: str, sequence: list[str], n: int) -> DataFrame:
     """Each key's last ``n`` rows, numbered from the end (``_from_end``)."""
     newest_first = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in sequence])
+    if n > LIMITED_BY_SPARK:
+        df = first_per_key(df, [key], [F.col(c).desc() for c in sequence], n)
     return df.withColumn("_from_end", F.row_number().over(newest_first)).where(F.col("_from_end") <= n)

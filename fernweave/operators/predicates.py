@@ -177,11 +177,12 @@ def filter_rows(
     return df.where(combine(parts, (request or {}).get("logic", "AND"))) if parts else df
 
 
-def grid_filter(df: DataFrame, filters: list[dict], logic: str = "AND", order_by: list[str] | None = None) -> DataFrame:
+def grid_filter(df: DataFrame, filters: list[dict], logic: str = "AND") -> DataFrame:
     """Grid filter: case-insensitive text tests and date-aware comparisons.
 
     Text columns compared with date values are examined, all in one job, to find the
-    ones that hold dates.  Other values need no such look at the data.
+    ones that hold dates; their values may differ in form.  Other filter values need no such
+    look at the data.
     """
     aware = {*_COMPARE, "between", "in", "not_in"}
 
@@ -191,7 +192,7 @@ def grid_filter(df: DataFrame, filters: list[dict], logic: str = "AND", order_by
         return isinstance(df.schema[f["column"]].dataType, T.StringType) and _all_dates(f.get("value"))
 
     texts = sorted({f["column"] for f in filters if may_hold_dates(f)})
-    formats = detect_date_formats(df, texts, order_by)
+    formats = detect_date_formats(df, texts)
     return filter_rows(df, {"logic": logic, "conditions": filters}, GRID, date_formats=formats)
 
 

@@ -65,12 +65,53 @@ def table_changes(spark: SparkSession, path: str, start: int, end: int, key: str
     return change_feed(read_snapshot(spark, path, start), read_snapshot(spark, path, end), key)
 
 
+#: Functions that run any method of the JVM or read what is no view.
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+#: Functions that may stand in place of a table.
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "stack"}
+
+
+def _sequence(found: object) -> list:
+    return [found.apply(i) for i in range(found.size())]
+
+
+def _only_views(spark: SparkSession, query: str) -> None:
+    """Raise unless every relation of the parsed query is a temporary view and every function harmless."""
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n)")
+    nodes, relations, named = [parsed], [], set()
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            relations.append([str(p).lower() for p in _sequence(node.multipartIdentifier())])
+        elif "UnresolvedIdentifier" in kind or kind == "RelationTimeTravel":
+            raise ValueError("only names of registered views can be read")
+        elif kind == "UnresolvedTableValuedFunction" and str(_sequence(node.name())[-1]).lower() not in TABLE_FUNCTIONS:
+            raise ValueError("this table function is not allowed")
+        elif kind == "UnresolvedFunction" and str(_sequence(node.nameParts())[-1]).lower() in FORBIDDEN_FUNCTIONS:
+            raise ValueError("this function is not allowed")
+        elif kind == "SubqueryAlias":
+            named.add(str(node.alias()).lower())
+        below = _sequence(node.children()) + _sequence(node.innerChildren())
+        if "catalyst.plans.logical" in node.getClass().getName() or kind.startswith("Unresolved") and "Relation" in kind:
+            below += _sequence(node.expressions())
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            below.append(node.plan())
+        nodes += below
+    for name in relations:
+        if len(name) != 1 or name[0] not in views | named:
+            raise ValueError(f"no registered view {'.'.join(name)}")
+
+
 def read_only_query(spark: SparkSession, query: str, cap: int = QUERY_CAP) -> DataFrame:
     """At most ``cap`` rows of a query over registered views, each with ``truncated``.
 
     The text is used as a subquery, where only a query parses: commands and statement
-    lists are rejected before anything runs.
+    lists are rejected before anything runs.  So are relations that are no temporary view
+    (files, stored tables), identifiers made up at run time, and functions that call Java.
     """
+    _only_views(spark, query)
     rows = spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n)")
     more = rows.limit(cap + 1).agg(F.count("*") > cap).scalar()
     return rows.limit(cap).withColumn("truncated", more)

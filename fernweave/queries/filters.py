@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.functions.dates import detect_date_formats
-from fernweave.operators import joins, predicates
+from fernweave.operators import joins, paging, predicates
 from fernweave.queries.registry import Tables, query
 
 
@@ -125,6 +125,35 @@ def grid_dash_dates(t: Tables) -> DataFrame:
     )
 
 
+_MIXED = """CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y')
+ WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE strftime(o_orderdate, '%d/%m/%y') END"""
+
+
+def _mixed_dates(t: Tables) -> DataFrame:
+    forms = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yy")
+    day = F.coalesce(*[F.when(F.col("o_orderkey") % 5 == i, F.date_format("o_orderdate", form)) for i, form in enumerate(forms)])
+    return t.orders.where("year(o_orderdate) < 2000 OR o_orderkey % 5 != 4").select("o_orderkey", day.alias("day"))
+
+
+@query(f"""
+SELECT o_orderkey, {_MIXED} AS day FROM orders
+WHERE CASE WHEN o_orderkey % 5 = 4 THEN strptime(strftime(o_orderdate, '%d/%m/20%y'), '%d/%m/%Y')::DATE ELSE o_orderdate::DATE END >= DATE '1997-01-01'
+ AND (year(o_orderdate) < 2000 OR o_orderkey % 5 <> 4)
+""")
+def grid_mixed_dates(t: Tables) -> DataFrame:
+    """Values of one column in several date forms all compare as dates; two-digit years lie in 2000 to 2099."""
+    return predicates.grid_filter(_mixed_dates(t), [{"column": "day", "operator": "gte", "value": "1997-01-01"}])
+
+
+@query(f"""
+SELECT o_orderkey, {_MIXED} AS day FROM orders WHERE o_orderkey % 5 < 4 ORDER BY o_orderdate::DATE, o_orderkey LIMIT 500
+""")
+def mixed_dates_sorted(t: Tables) -> DataFrame:
+    """Sorting follows the day, whatever form it is written in."""
+    rows = _mixed_dates(t).where("o_orderkey % 5 < 4")
+    return paging.page(rows, [*paging.date_aware_keys(rows, "day"), F.col("o_orderkey")], 0, 500)
+
+
 @query("""
 SELECT unnest(['slash', 'dash', 'iso', 'stamp', 'short']) AS column_name, unnest(['dd/MM/yyyy', 'dd-MM-yyyy', 'yyyy-MM-dd', 'iso-datetime', 'dd/MM/yy']) AS format, (SELECT count(*) FROM orders) AS rows
 """)

@@ -37,6 +37,43 @@ def conditional_join(t: Tables) -> DataFrame:
     return joins.join_related(tables, [link])[0]
 
 
+_CONDITION = """
+SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, o_totalprice, c_name, c_acctbal FROM orders {how} JOIN customer ON o_custkey = c_custkey AND o_totalprice > 30 * c_acctbal
+"""
+
+
+def _conditional(t: Tables, how: str) -> DataFrame:
+    link = Relationship("orders", "o_custkey", "customer", "c_custkey", how, condition="orders.o_totalprice > 30 * customer.c_acctbal")
+    tables = {"orders": t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "customer": t.customer.select("c_custkey", "c_name", "c_acctbal")}
+    return joins.join_related(tables, [link])[0]
+
+
+@query(_CONDITION.format(how="LEFT").replace("coalesce(o_custkey, c_custkey)", "o_custkey"))
+def conditional_left_join(t: Tables) -> DataFrame:
+    """Rows whose partner fails the condition stay, without it."""
+    return _conditional(t, "left")
+
+
+@query(_CONDITION.format(how="FULL"))
+def conditional_full_join(t: Tables) -> DataFrame:
+    return _conditional(t, "full")
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS k, count(*) AS customers FROM customer GROUP BY 1), b AS (SELECT o_custkey + 5 AS k, count(*) AS orders FROM orders GROUP BY 1),
+ c AS (SELECT s_suppkey * 7 AS k, count(*) AS suppliers FROM supplier GROUP BY 1), d AS (SELECT p_partkey + 11 AS k, count(*) AS parts FROM part GROUP BY 1),
+ e AS (SELECT user_id * 3 AS k, count(*) AS events FROM events GROUP BY 1)
+SELECT k, customers, orders, suppliers, parts, events FROM a FULL JOIN b USING (k) FULL JOIN c USING (k) FULL JOIN d USING (k) FULL JOIN e USING (k)
+""")
+def chained_full_joins(t: Tables) -> DataFrame:
+    """Five tables, full joins on a unified key, no cardinality declared."""
+    keys = {"a": (t.customer, F.col("c_custkey"), "customers"), "b": (t.orders, F.col("o_custkey") + 5, "orders"), "c": (t.supplier, F.col("s_suppkey") * 7, "suppliers")}
+    keys |= {"d": (t.part, F.col("p_partkey") + 11, "parts"), "e": (t.events, F.col("user_id") * 3, "events")}
+    tables = {name: df.groupBy(key.alias("k")).agg(F.count("*").alias(n)) for name, (df, key, n) in keys.items()}
+    links = [Relationship("a", "k", other, "k", "full") for other in "bcde"]
+    return joins.join_related(tables, links)[0]
+
+
 _FULL = """
 WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 450000)
 SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey FROM c {how} JOIN o ON c_custkey = o_custkey

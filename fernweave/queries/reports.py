@@ -137,7 +137,7 @@ def dashboard(t: Tables) -> DataFrame:
 
 
 _MERGED = """
-SELECT user_id, CASE WHEN count(DISTINCT event_type) = 0 THEN NULL ELSE to_json(list_sort(list(DISTINCT event_type)))::VARCHAR END AS event_type,
+SELECT user_id, 0 AS part, CASE WHEN count(DISTINCT event_type) = 0 THEN NULL ELSE to_json(list_sort(list(DISTINCT event_type)))::VARCHAR END AS event_type,
  CASE WHEN count(DISTINCT k) = 1 THEN max(k) ELSE to_json(list_sort(list(DISTINCT k)))::VARCHAR END AS k
 FROM (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events) GROUP BY user_id
 """
@@ -145,7 +145,7 @@ FROM (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM ev
 
 def _merged(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    return agg.merge_records(rows, "user_id", ["event_type", "k"], ["event_type"])[0]
+    return agg.merge_records(rows, "user_id", ["event_type", "k"], ["event_type"])
 
 
 @query(_MERGED)
@@ -159,16 +159,40 @@ SELECT user_id, 'k' AS field, k AS value FROM (SELECT DISTINCT user_id, json_ext
 QUALIFY count(*) OVER (PARTITION BY user_id) > 20
 """)
 def merged_overflow(t: Tables) -> DataFrame:
-    """Fields with too many values for a list, one value per row."""
+    """The values of fields that are dealt over several rows, read back from them."""
     rows = t.events.select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    return agg.merge_records(rows, "user_id", ["event_type", "k"], ["event_type"], max_values=20)[1]
+    merged = agg.merge_records(rows, "user_id", ["event_type", "k"], ["event_type"], part_size=20)
+    items = F.coalesce(F.from_json("k", "array<string>"), F.array("k"))
+    values = merged.where("k IS NOT NULL").select("user_id", F.lit("k").alias("field"), F.explode(items).alias("value"))
+    several = values.groupBy(F.col("user_id").alias("u")).count().where("count > 20")
+    return values.join(several, F.col("user_id") == F.col("u")).select("user_id", "field", "value")
+
+
+@query("""
+SELECT user_id, count(DISTINCT json_extract_string(props, '$.k')) AS n_values FROM events GROUP BY 1
+""")
+def merged_parts(t: Tables) -> DataFrame:
+    """Values of one field per user, counted over all parts: none is lost by dealing them out."""
+    rows = t.events.select("user_id", F.get_json_object("props", "$.k").alias("k"))
+    merged = agg.merge_records(rows, "user_id", ["k"], ["k"], part_size=3)
+    sizes = F.coalesce(F.size(F.from_json("k", "array<string>")), F.lit(0))
+    return merged.groupBy("user_id").agg(F.sum(F.greatest(sizes, F.lit(0))).alias("n_values"))
 
 
 @query("""
 WITH e AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS value FROM events) SELECT value, count(*) AS count FROM e GROUP BY 1
 """)
 def multi_valued_counts(t: Tables) -> DataFrame:
-    """How many merged records hold each value."""
+    """How many users hold each value."""
+    rows = t.events.select("user_id", F.get_json_object("props", "$.k").alias("k"))
+    return agg.count_merged(rows, "user_id", "k")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS value FROM events) SELECT value, count(*) AS count FROM e GROUP BY 1
+""")
+def multi_valued_list_counts(t: Tables) -> DataFrame:
+    """The same from the merged records' lists, over all their parts."""
     return agg.count_multi_valued(_merged(t), "k")
 
 

@@ -67,6 +67,19 @@ def upsert_by_key(t: Tables) -> DataFrame:
     return read_snapshot(t.spark, path)
 
 
+@query(f"""
+WITH {CHANGED_SQL} SELECT n.c_custkey, coalesce(o.c_name, NULL) AS c_name, coalesce(o.c_nationkey, NULL) AS c_nationkey, n.c_acctbal, coalesce(o.c_mktsegment, NULL) AS c_mktsegment
+ FROM changed n LEFT JOIN customer o ON n.c_custkey = o.c_custkey
+UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM changed)
+""")
+def upsert_partial_columns(t: Tables) -> DataFrame:
+    """A batch with two columns only: the others keep their values, new rows have none."""
+    path = t.scratch("upsert-partial")
+    snapshots.upsert(t.customer, path, ["c_custkey"])
+    snapshots.upsert(changed_customers(t.customer).select("c_custkey", "c_acctbal"), path, ["c_custkey"])
+    return read_snapshot(t.spark, path)
+
+
 @query(f"""
 WITH {CHANGED_SQL} SELECT 0 AS version, (SELECT count(*) FROM customer) AS rows UNION ALL SELECT 1, (SELECT count(*) FROM changed)
 """)
@@ -92,7 +105,7 @@ def sized_write(t: Tables) -> DataFrame:
     path = t.scratch("sized")
     small = t.orders.repartition(16, "o_orderkey")
     done = snapshots.write_snapshot(small, path, resize=True)
-    return t.spark.read.parquet(f"{path}/_commits").select(F.lit(done.files < 16).alias("fewer_files"), "rows")
+    return commits(t.spark, path).select(F.lit(done.files < 16).alias("fewer_files"), "rows")
 
 
 @query("SELECT * FROM orders")

@@ -27,15 +27,15 @@ def incremental_ingest(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def streaming_upsert(t: Tables) -> DataFrame:
-    """The latest event of every user, kept up to date batch by batch and folded into a table."""
+    """The latest event of every user over several batches, the newest files first, folded into a table."""
     path, table, keys = t.scratch("updates"), t.scratch("latest"), ["user_id"]
     by_time = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     first, folder = F.lit("2024-01-15").cast("timestamp"), t.scratch("arrivals")
-    by_time.where(F.col("ts") < first).write.parquet(folder)
-    by_time.where(F.col("ts") >= first).write.mode("append").parquet(folder)
-    stream = ingest.file_stream(t.spark, folder, by_time.schema)
+    by_time.where(F.col("ts") >= first).coalesce(1).write.parquet(folder)
+    by_time.where(F.col("ts") < first).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.file_stream(t.spark, folder, by_time.schema, 1)
     ingest.stream_upsert(stream, path, t.scratch("checkpoint"), keys, ["ts", "event_id"]).awaitTermination()
-    ingest.fold_updates(t.spark, path, table, keys)
+    ingest.fold_updates(t.spark, path, table, keys, ["ts", "event_id"])
     return read_snapshot(t.spark, table)
 
 

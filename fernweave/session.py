@@ -6,7 +6,7 @@ import datetime as dt
 import tempfile
 import uuid
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1024 * 1024
@@ -45,13 +45,21 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="fernweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written below the shared folder and read again, so that what follows plans from files."""
+    folder = work_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def clock(at: dt.datetime | None = None) -> Column:
     """The run's timestamp: the given instant, or the query's current time."""
     return F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()

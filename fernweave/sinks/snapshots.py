@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import operator
+import threading
+import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +21,39 @@ from fernweave.sources.snapshots import COMMIT_SCHEMA, Commit, VersionNotFound,
 
 RETENTION = dt.timedelta(hours=168)
 
+_claiming = threading.Lock()
 
-def _next_version(spark: SparkSession, path: str) -> int:
-    return commits(spark, path).agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
+
+def _claim_version(spark: SparkSession, path: str) -> int:
+    """The next version number, taken by creating its file; a writer that finds it taken tries the next.
+
+    File systems that create files atomically never give one number to two writers; on a local
+    disk, which does not, writers of one process take turns.  A writer that dies leaves its
+    number unused.
+    """
+    version = commits(spark, path).agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def taken(number: int) -> bool:
+        try:
+            return not files.createNewFile(hadoop.Path(f"{path}/_claims/{number}"))
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return True
+            raise
+
+    with _claiming:
+        while taken(version):
+            version += 1
+    return version
 
 
 def _log(spark: SparkSession, path: str, row: dict) -> None:
-    """Append one commit row."""
+    """Append one commit row, in a folder of its own so that writers do not share one while writing."""
     fields = T.StructType.fromDDL(COMMIT_SCHEMA)
     values = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in fields]
-    spark.range(1, numPartitions=1).select(*values).write.mode("append").parquet(f"{path}/_commits")
+    spark.range(1, numPartitions=1).select(*values).write.parquet(f"{path}/_commits/{uuid.uuid4().hex}")
 
 
 def sized(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -54,7 +82,7 @@ def write_snapshot(
     Partitioned output is always resized, or every task would open a file per value.
     """
     spark = df.sparkSession
-    version = _next_version(spark, path)
+    version = _claim_version(spark, path)
     seen = Observation()
     out = sized(df, partition_by) if resize or partition_by else df
     out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -82,13 +110,25 @@ def write_if_changed(df: DataFrame, path: str, key: str, fields: list[str], **kw
     return write_snapshot(df, path, **kwargs)
 
 
+def _check_keys(df: DataFrame, keys: list[str], repeated: bool) -> None:
+    """Raise on NULL keys and, if asked, on keys that occur twice."""
+    missing = reduce(operator.or_, [F.col(k).isNull() for k in keys])
+    if not df.where(missing).isEmpty():
+        raise ValueError(f"NULL in the key {keys}")
+    if repeated and not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"repeated keys {keys} need a sequence")
+
+
 def upsert(df: DataFrame, path: str, keys: list[str], sequence: list[str] | None = None, **kwargs) -> Commit:
     """Update rows with a known key, insert the others, keep the rest.
 
-    Several new rows of one key must be ordered by ``sequence``; the last wins.  A first
-    write, or a table without the key columns, starts from the new rows alone.
+    A column the batch lacks keeps its value in updated rows and is NULL in inserted ones; a
+    new column is added.  Several new rows of one key must be ordered by ``sequence``; the
+    last wins.  NULL keys, and repeated keys without a sequence, raise.  A first write, or a
+    table without the key columns, starts from the new rows alone.
     """
     spark = df.sparkSession
+    _check_keys(df, keys, repeated=sequence is None)
     fresh = keep_last(df, keys, sequence) if sequence else df
     try:
         current = read_snapshot(spark, path)
@@ -97,6 +137,9 @@ def upsert(df: DataFrame, path: str, keys: list[str], sequence: list[str] | None
     if not set(keys) <= set(current.columns):
         return write_snapshot(fresh, path, operation="recreate", **kwargs)
     kept = current.join(fresh.select(*keys), keys, "left_anti")
+    lacking = [c for c in current.columns if c not in fresh.columns]
+    if lacking:
+        fresh = fresh.join(current.select(*keys, *lacking), keys, "left")
     return write_snapshot(fresh.unionByName(kept, allowMissingColumns=True), path, operation="upsert", **kwargs)
 
 

@@ -41,8 +41,10 @@ def merge_catalog(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
-    """The first rows by key, at most a hundred."""
-    return df.orderBy(*order).limit(min(n, PREVIEW_CAP))
+    """The first rows by key; more than a hundred raise."""
+    if not 0 < n <= PREVIEW_CAP:
+        raise ValueError(f"a preview has 1 to {PREVIEW_CAP} rows")
+    return df.orderBy(*order).limit(n)
 
 
 def extract(frames: dict[str, DataFrame], columns: list[str], limits: dict[str, int] | None = None) -> DataFrame:

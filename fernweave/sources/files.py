@@ -92,9 +92,9 @@ def find_files(
     extensions: tuple[str, ...] | None = IMAGE_EXTENSIONS,
     since: str | None = None,
     offset: int = 0,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Files by name part, extension and date; newest first, one page."""
+    """Files by name part, extension and date; newest first, all of them or one page."""
     base = F.lower(F.substring_index("path", "/", -1))
     if extensions:
         files = files.where(F.substring_index(base, ".", -1).isin(*extensions))
@@ -102,7 +102,8 @@ def find_files(
         files = files.where(base.contains(name.lower()))
     if since:
         files = files.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
-    return files.orderBy(F.col("modificationTime").desc(), "path").offset(offset).limit(limit)
+    newest = files.orderBy(F.col("modificationTime").desc(), "path").offset(offset)
+    return newest if limit is None else newest.limit(limit)
 
 
 def read_binary(spark: SparkSession, folder: str) -> DataFrame:

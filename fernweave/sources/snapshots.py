@@ -2,7 +2,9 @@
 
 ``path/_version=n/`` holds a snapshot and ``path/_commits/`` one row per finished write.
 Data is written first and its commit row last, so a write that dies leaves a folder no
-reader looks at.  A table has one writer at a time.
+reader looks at.  Writers may overlap: each has a version of its own, the highest finished
+one is the latest.  Upserts build on the version they read, so those of one table must
+follow each other.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     log = f"{path}/_commits"
     if not path_exists(spark, log):
         return spark.createDataFrame([], COMMIT_SCHEMA)
-    return spark.read.schema(COMMIT_SCHEMA).parquet(log)
+    return spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(log)
 
 
 def _live(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +76,10 @@ def read_snapshot(
     return spark.read.parquet(f"{path}/_version={resolve_version(spark, path, version, as_of, pinned)}")
 
 
-def history(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
-    """Commits, newest first."""
-    return commits(spark, path).orderBy(F.col("committed_at").desc(), F.col("version").desc()).limit(limit)
+def history(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Commits, newest first; all, or the newest ``limit``."""
+    newest = commits(spark, path).orderBy(F.col("committed_at").desc(), F.col("version").desc())
+    return newest if limit is None else newest.limit(limit)
 
 
 def table_schema(df: DataFrame) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from fernweave.functions.arrays import explode_array
 from fernweave.operators.sets import keep_last
 from fernweave.sinks.snapshots import upsert
-from fernweave.sources.snapshots import Commit
+from fernweave.session import path_exists
+from fernweave.sources.snapshots import Commit, read_snapshot
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,17 +24,33 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
     return reader.parquet(folder)
 
 
+def _claim(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Mark a folder as filled from this checkpoint; raise if another one has filled it.
+
+    Batch numbers start again with a new checkpoint, so its batches would replace stored ones.
+    """
+    mark = "_checkpoint-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = [f.getPath().getName() for f in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_checkpoint-*")) or []]
+    if any(m != mark for m in marks):
+        raise ValueError(f"{path} was filled from another checkpoint; use that one, or another folder")
+    if not marks:
+        files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{mark}"), True).close()
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, dataset_id: int) -> StreamingQuery:
     """Append everything that is there now, stamped with its batch.
 
-    Each batch replaces its own ``_batch_id`` folder, so a batch that is retried after a
-    lost executor or a restart is not stored twice.  Batch numbers come from the
-    checkpoint, which must be kept as long as the data.
+    Each batch replaces its own folder, so a batch that is retried after a lost executor or a
+    restart is not stored twice.  Batches are numbered by the checkpoint; a folder filled from
+    another checkpoint is refused.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumns({"_dataset_id": F.lit(dataset_id), "_extraction_timestamp": F.current_timestamp()})
         stamped.write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
 
+    _claim(stream.sparkSession, path, checkpoint)
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
@@ -41,12 +60,13 @@ def store_updates(results: DataFrame, path: str, checkpoint: str, mode: str = "u
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
 
+    _claim(results.sparkSession, path, checkpoint)
     writer = results.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], sequence: list[str]) -> StreamingQuery:
-    """Upsert by key: within a batch the last row in sequence wins, and later batches win over earlier.
+    """Upsert by key: the last row in sequence wins, whichever batch brought it.
 
     A batch writes its own rows only, never the whole table, and replaces its own folder
     when it is retried.  :func:`read_updates` gives the current rows and
@@ -55,21 +75,25 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
     def store(batch: DataFrame, batch_id: int) -> None:
         keep_last(batch, keys, sequence).write.mode("overwrite").parquet(f"{path}/_batch_id={batch_id}")
 
+    _claim(stream.sparkSession, path, checkpoint)
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last stored row of every key (a running maximum per key)."""
+def read_updates(spark: SparkSession, path: str, keys: list[str], sequence: list[str] = ()) -> DataFrame:
+    """The last stored row of every key: by sequence, then by batch (a running maximum per key)."""
     rows = spark.read.parquet(path)
     values = [c for c in rows.columns if c not in (*keys, "_batch_id")]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch_id").alias("_l"))
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*sequence, "_batch_id")).alias("_l"))
     return latest.select(*keys, *[F.col(f"_l.{v}").alias(v) for v in values])
 
 
-def fold_updates(spark: SparkSession, path: str, table: str, keys: list[str]) -> Commit:
-    """Merge everything stored so far into a versioned table."""
-    return upsert(read_updates(spark, path, keys), table, keys)
+def fold_updates(spark: SparkSession, path: str, table: str, keys: list[str], sequence: list[str] = ()) -> Commit:
+    """Merge everything stored so far into a versioned table; of two rows of a key the later in sequence stays."""
+    fresh = read_updates(spark, path, keys, sequence)
+    if sequence and path_exists(spark, f"{table}/_commits"):
+        fresh = keep_last(fresh.unionByName(read_snapshot(spark, table), allowMissingColumns=True), keys, list(sequence))
+    return upsert(fresh, table, keys)
 
 
 def rate_windows(

@@ -137,3 +137,27 @@ def test_mapping_and_links_of_stored_groups(spark):
     assert found["part_one", "b", "id"] == ("id", True) and found["part_two", "c", "id"] == ("id", False)
     link = bronze.group_links(plan, mappings)[0]
     assert (link.left_table, link.left_column, link.right_table, link.right_column) == ("part_one", "id", "part_two", "id")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT `java_method`('java.lang.System', 'currentTimeMillis')",
+        "SELECT * FROM no_such_view", "SELECT * FROM seen WHERE id IN (SELECT n_nationkey FROM parquet.`/root/testdata/sf0.001/nation.parquet`)",
+        "WITH c AS (SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`) SELECT * FROM c", "SELECT (SELECT max(id) FROM other.seen)", "SELECT * FROM seen WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)",
+        "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/nation.parquet`')", "SELECT id, try_reflect('java.lang.System', 'nanoTime') FROM seen",
+    ],
+)
+def test_only_registered_views_can_be_read(spark, text):
+    spark.range(3).createOrReplaceTempView("seen")
+    with pytest.raises(Exception):
+        sharing.read_only_query(spark, text)
+
+
+def test_queries_over_views_run(spark):
+    spark.range(3).createOrReplaceTempView("seen")
+    for text in (
+        "SELECT * FROM seen s JOIN SEEN t ON s.id = t.id", "WITH c AS (SELECT id FROM seen) SELECT * FROM c WHERE id IN (SELECT id FROM seen)",
+        "SELECT id, (SELECT max(id) FROM seen) AS m FROM seen ORDER BY id", "SELECT * FROM seen LATERAL VIEW explode(array(1)) e AS x", "SELECT explode(array(1, 2, 3))",
+    ):
+        assert sharing.read_only_query(spark, text).count() == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import random
 from collections import Counter, defaultdict
 
@@ -102,13 +104,22 @@ def test_history_of_a_hot_key(skewed):
     assert [r["version"] for r in newest] == [total - 2, total - 1]
 
 
-def test_merged_lists_stop_at_the_bound_and_the_rest_is_kept(skewed):
-    short, rest = aggregates.merge_records(skewed.withColumn("many", F.col("seq")), "who", ["value", "many"], ["value"], max_values=100)
-    assert short.count() == 97
-    hot = short.where("who = 0").first()
-    assert hot["many"] is None and hot["value"].startswith('["v0","v1"')
-    assert rest.where("who = 0").count() == skewed.where("who = 0").count()
-    assert rest.select("field").distinct().collect()[0][0] == "many"
+def test_merged_lists_are_dealt_over_parts_and_nothing_is_lost(skewed):
+    merged = aggregates.merge_records(skewed.withColumn("many", F.col("seq")), "who", ["value", "many"], ["value"], part_size=100)
+    assert merged.where("part = 0").count() == 97
+    hot = merged.where("who = 0").collect()
+    assert next(r for r in hot if r["part"] == 0)["value"].startswith('["v0","v1"')
+    many = [v for r in hot if r["many"] for v in json.loads(r["many"])]
+    assert len(many) == len(set(many)) == skewed.where("who = 0").count()
+    assert max(len(json.loads(r["many"])) for r in hot if r["many"]) < 200
+
+
+def test_1500_values_of_one_key(spark):
+    rows = spark.range(1500).selectExpr("1 AS k", "concat('v', id) AS v")
+    merged = aggregates.merge_records(rows, "k", ["v"])
+    assert sorted(v for r in merged.collect() for v in json.loads(r["v"])) == sorted(f"v{i}" for i in range(1500))
+    assert aggregates.count_merged(rows, "k", "v").count() == 1500
+    assert aggregates.count_multi_valued(merged, "v").count() == 1500
 
 
 def test_category_examples_are_few(skewed):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from fernweave.session import work_folder
 from fernweave.sinks import snapshots, tables
@@ -112,3 +113,26 @@ def test_validation_of_exports(spark, path):
     spark.createDataFrame([], "record_type string").write.parquet(path)
     empty = tables.validate_export(spark, path, path).first()
     assert empty["valid"] and empty["row_count"] == 0 and empty["warnings"] == "table is empty"
+
+
+def test_two_writers_keep_both_results(spark, path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda n: (snapshots.write_snapshot(spark.range(n), path), n), (11, 12, 13, 14)))
+    assert len({c.version for c, _ in done}) == 4
+    assert all(read_snapshot(spark, path, version=c.version).count() == n for c, n in done)
+
+
+def test_upsert_keeps_columns_the_batch_lacks(spark, path):
+    snapshots.upsert(spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k int, name string, v int"), path, ["k"])
+    snapshots.upsert(spark.createDataFrame([(1, 11), (3, 30)], "k int, v int"), path, ["k"])
+    assert rows(read_snapshot(spark, path).select("k", F.coalesce("name", F.lit("-")), "v")) == [(1, "a", 11), (2, "b", 20), (3, "-", 30)]
+
+
+def test_upsert_refuses_null_and_repeated_keys(spark, path):
+    for bad in ([(None, 1)], [(1, 1), (1, 2)]):
+        with pytest.raises(ValueError):
+            snapshots.upsert(spark.createDataFrame(bad, "k int, v int"), path, ["k"])
+    snapshots.upsert(spark.createDataFrame([(1, 1), (1, 2)], "k int, v int"), path, ["k"], ["v"])
+    assert rows(read_snapshot(spark, path)) == [(1, 2)]

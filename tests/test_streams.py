@@ -40,9 +40,31 @@ def test_ingest_takes_each_file_once(spark, folders):
 
 def test_a_batch_stored_again_is_not_doubled(spark, folders):
     arrive(spark, folders["in"], [(1, "2024-01-01 00:00:00", "a")])
-    for check in ("one", "two"):  # a lost checkpoint replays batch 0
-        ingest.ingest(stream(spark, folders["in"]), folders["out"], folders["check"] + check, 7).awaitTermination()
-    assert spark.read.parquet(folders["out"]).count() == 1
+    ingest.ingest(stream(spark, folders["in"]), folders["out"], folders["check"], 7).awaitTermination()
+    spark.read.parquet(folders["out"]).drop("_batch_id").write.parquet(f"{folders['out']}/_batch_id=1")  # died before its commit
+    arrive(spark, folders["in"], [(2, "2024-01-01 00:00:00", "b")])
+    ingest.ingest(stream(spark, folders["in"]), folders["out"], folders["check"], 7).awaitTermination()
+    assert sorted(r["user"] for r in spark.read.parquet(folders["out"]).collect()) == [1, 2]
+
+
+def test_another_checkpoint_is_refused(spark, folders):
+    arrive(spark, folders["in"], [(1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 00:00:00", "b")])
+    ingest.ingest(stream(spark, folders["in"]), folders["out"], folders["check"], 7).awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest.ingest(stream(spark, folders["in"]), folders["out"], folders["check"] + "2", 7)
+    assert spark.read.parquet(folders["out"]).count() == 2
+
+
+def test_an_older_row_in_a_later_batch_loses(spark, folders):
+    arrive(spark, folders["in"], [(1, "2024-01-09 00:00:00", "new")])
+    arrive(spark, folders["in"], [(1, "2024-01-03 00:00:00", "old")])
+    ingest.stream_upsert(stream(spark, folders["in"]), folders["out"], folders["check"], ["user"], ["ts"]).awaitTermination()
+    assert ingest.read_updates(spark, folders["out"], ["user"], ["ts"]).first()["value"] == "new"
+    ingest.fold_updates(spark, folders["out"], folders["table"], ["user"], ["ts"])
+    arrive(spark, folders["in"], [(1, "2024-01-05 00:00:00", "older than stored"), (2, "2024-01-01 00:00:00", "x")])
+    ingest.stream_upsert(stream(spark, folders["in"]), folders["out"], folders["check"], ["user"], ["ts"]).awaitTermination()
+    ingest.fold_updates(spark, folders["out"], folders["table"], ["user"], ["ts"])
+    assert {r["user"]: r["value"] for r in read_snapshot(spark, folders["table"]).collect()} == {1: "new", 2: "x"}
 
 
 def test_upsert_later_batches_win(spark, folders):

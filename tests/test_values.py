@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fernweave.functions import coerce, dates, html, paths, templates, text
-from fernweave.operators.quantiles import exact_quantile
+from fernweave.operators.quantiles import exact_quantile, exact_quantiles
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -97,7 +97,7 @@ def test_date_forms_vote(spark):
         "a string, b string, c string, d string, e string",
     )
     assert dates.detect_date_formats(df, df.columns) == {"a": "dd/MM/yyyy", "b": "yyyy-MM-dd", "d": "dd-MM-yy"}
-    parsed = df.select(dates.parse_date(F.col("a"), "dd/MM/yyyy"), dates.parse_date(F.col("b"), "yyyy-MM-dd")).collect()
+    parsed = df.select(dates.parse_any_date(F.col("a")), dates.parse_any_date(F.col("b"))).collect()
     assert [str(v) for v in parsed[0]] == ["2024-02-01", "2024-01-02"]
     assert parsed[1][1] is None and parsed[2][0] is None  # no failure under ANSI rules
 
@@ -107,12 +107,18 @@ def test_half_of_the_samples_is_enough(spark):
     assert dates.detect_date_formats(df, ["a"]) == {"a": "yyyy-MM-dd"}
 
 
-def test_formats_from_an_ordered_sample(spark):
-    df = spark.range(100).select("id", F.when(F.col("id") < 15, "01/02/2024").otherwise("junk").alias("a"))
-    assert dates.detect_date_formats(df, ["a"], ["id"]) == {"a": "dd/MM/yyyy"}
+def test_the_whole_column_decides(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") < 25, "01/02/2024").otherwise("junk").alias("a"))
     assert dates.detect_date_formats(df, ["a"]) == {}
 
 
+def test_no_row_of_a_rarer_form_is_lost(spark):
+    from fernweave.operators.predicates import grid_filter
+
+    df = spark.createDataFrame([(f"0{i}/02/1998",) for i in range(1, 7)] + [(f"0{i}-02-1998",) for i in range(1, 5)], "day string")
+    assert grid_filter(df, [{"column": "day", "operator": "gte", "value": "1997-01-01"}]).count() == 10
+
+
 def test_mixed_date_forms(spark):
     got = apply(spark, ["01/02/2024", "2024-02-01T10:00:00Z", "01-02-24", "x"], dates.parse_any_date)
     assert [str(v) for v in got] == ["2024-02-01", "2024-02-01", "2024-02-01", "None"]
@@ -167,3 +173,30 @@ def test_exact_quantile_of_a_large_skewed_column(spark):
     for q in (0.1, 0.5, 0.77):
         assert exact_quantile(df, "v", q) == pytest.approx(np.quantile(values, q))
     assert exact_quantile(df.where("v < 0"), "v") is None
+
+
+def test_exact_quantile_of_infinities_nan_outliers_and_large_integers(spark):
+    n = 20_001
+    df = spark.range(n).selectExpr(
+        "if(id = 7, double('Infinity'), double(id)) AS inf", "if(id % 10 = 0, double('NaN'), double(id)) AS nan", "if(id < 3, 1e300, double(id)) AS far",
+        "9007199254740992 + id AS big", "cast(id AS decimal(30,2)) / 4 AS dec", "if(id % 3 = 0, NULL, int(id)) AS gaps",
+    )
+    got = exact_quantiles(df, df.columns)
+    assert got["inf"] == 10001.0 and got["far"] == 10003.0 and got["big"] == 9007199254740992 + 10000
+    assert got["nan"] == sorted(float(i) for i in range(n) if i % 10)[n // 2] and float(got["dec"]) == 2500.0
+    gaps = [i for i in range(n) if i % 3]
+    assert got["gaps"] == (gaps[len(gaps) // 2 - 1] + gaps[len(gaps) // 2]) / 2
+    assert exact_quantile(df.where("nan is NULL"), "nan") is None
+
+
+def test_jobs_of_a_profile_do_not_follow_the_columns(spark):
+    from fernweave.operators.aggregates import column_profile
+
+    def jobs(n: int) -> int:
+        tracker, group = spark.sparkContext.statusTracker(), f"profile-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        column_profile(spark.range(500).selectExpr(*[f"id * {i + 1} AS c{i}" for i in range(n)])).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(12) <= jobs(2) + 1
