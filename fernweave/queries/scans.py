@@ -60,6 +60,33 @@ def csv_tolerant(t: Tables) -> DataFrame:
     return files.read_csv_tolerant(t.spark, folder, header="c_custkey;c_name;c_mktsegment")[0]
 
 
+def _mixed_files(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as two kinds of files: another order of columns, another separator, quoted line breaks, surplus fields."""
+    name = F.concat(F.lit('"'), F.regexp_replace("s_name", "#", "\n"), F.lit('"'))
+    left = t.supplier.where("s_suppkey % 2 = 0").select(F.concat_ws(";", "s_suppkey", name).alias("line"), F.col("s_suppkey").alias("at"))
+    surplus = F.when(F.col("s_suppkey") % 5 == 0, F.lit("more"))
+    right = t.supplier.where("s_suppkey % 2 = 1").select(F.concat_ws(",", "s_name", "s_suppkey", surplus).alias("line"), F.col("s_suppkey").alias("at"))
+    folder = t.scratch("csv-mixed")
+    for rows, header in ((left, "s_suppkey;s_name"), (right, "s_name,s_suppkey")):
+        first = t.spark.range(1).select(F.lit(header).alias("line"), F.lit(-1).cast("long").alias("at"))
+        first.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("line").write.mode("append").text(folder)
+    return files.read_csv_tolerant(t.spark, folder)
+
+
+@query("""
+SELECT s_suppkey::VARCHAR AS s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, '#', chr(10)) ELSE s_name END AS s_name FROM supplier
+WHERE s_suppkey % 2 = 0 OR s_suppkey % 5 <> 0
+""")
+def csv_mixed_files(t: Tables) -> DataFrame:
+    """Every file has its own header and separator; line breaks inside quotes stay in their field."""
+    return _mixed_files(t)[0]
+
+
+@query("SELECT s_name || ',' || s_suppkey || ',more' AS value FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 5 = 0")
+def csv_rejected_lines(t: Tables) -> DataFrame:
+    return _mixed_files(t)[1]
+
+
 @query("SELECT conv_id, turn, role, md5(text) AS text_hash FROM conversations WHERE role <> 'assistant'")
 def json_tolerant(t: Tables) -> DataFrame:
     folder, whole = t.scratch("json"), F.to_json(F.struct("conv_id", "turn", "role", "text"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,32 +31,80 @@ def _fields(line: Column, sep: str) -> Column:
     return F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
 
 
-def read_csv_tolerant(
-    spark: SparkSession, path: str, separator: str | None = None, header: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """CSV files, repaired line by line; returns (rows, rejected lines).
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
 
-    Each file starts with its header line, unless ``header`` gives the one they lack.
+def _stitched(lines: DataFrame, sep: str, width: int) -> DataFrame:
+    """Lines (value, file, place) with records that a quoted line break had cut put together again.
 
-    A line with an odd number of quotes gets a closing one; a line with too many fields
-    is rejected, one with too few is filled with NULL.  Only the header and a few sample
-    lines are read on the driver; lines are then parsed where they lie.
+    A line with an odd number of quotes opens such a record if the next odd line of its file
+    has fewer fields than the file's records, and is thus no record itself.  Only files with
+    odd lines are put in order; each of them by one task.
     """
-    text = spark.read.text(path)
-    sample = [r["value"] for r in text.limit(20).collect()]
-    sep = separator or vote_separator(sample)
-    header = header or sample[0]
-    names = [n.strip().strip('"') for n in header.split(sep)]
     line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    lines = text.where((line != header) & (F.trim(line) != "")).select(
-        F.when(quotes % 2 == 1, F.concat(line, F.lit('"'))).otherwise(line).alias("value")
-    )
+    odd = lines.withColumn("_odd", _quotes(line) % 2 == 1)
+    damaged = odd.where("_odd").select("file").distinct()
+    marked = odd.where("_odd").withColumn("_part", _fields(line, sep) < width)
+    order = Window.partitionBy("file").orderBy("place")
+    after, before = F.lead("_part").over(order), F.lag("_part").over(order)
+    marked = marked.select("file", "place", (~F.col("_part") & F.coalesce(after, F.lit(False))).alias("_opens"), (F.col("_part") & F.coalesce(~before, F.lit(False))).alias("_closes"))
+    flagged = odd.join(damaged, "file", "left_semi").join(marked, ["file", "place"], "left")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum(F.coalesce(F.col("_opens").cast("int"), F.lit(0)) - F.coalesce(F.col("_closes").cast("int"), F.lit(0))).over(past), F.lit(0))
+    numbered = flagged.withColumn("_new", (depth == 0).cast("int")).withColumn("_record", F.sum("_new").over(order))
+    parts = numbered.groupBy("file", "_record").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("p"))
+    whole = parts.select(F.array_join("p.value", "\n").alias("value"), "file", F.col("p")[0]["place"].alias("place"))
+    return odd.join(damaged, "file", "left_anti").select("value", "file", "place").unionByName(whole)
+
+
+def _parsed(lines: DataFrame, names: list[str], sep: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the lines of one kind of file, and the lines with too many fields."""
+    line = F.col("value")
+    records = _stitched(lines, sep, len(names))
+    closed = records.select(F.when(_quotes(line) % 2 == 1, F.concat(line, F.lit('"'))).otherwise(line).alias("value"))
     fits = _fields(line, sep) <= len(names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}
-    parsed = lines.where(fits).select(F.from_csv(line, schema.toDDL(), options).alias("_r")).select("_r.*")
-    return parsed, lines.where(~fits)
+    options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "multiLine": "true"}
+    rows = closed.where(fits).select(F.from_csv(line, schema.toDDL(), options).alias("_r")).select("_r.*")
+    return rows, closed.where(~fits)
+
+
+def read_csv_tolerant(
+    spark: SparkSession, path: str, separator: str | None = None, header: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """CSV files, repaired line by line; returns (rows, rejected lines).
+
+    Each file starts with its own header line and may have its own separator, unless
+    ``header`` gives the one that all lack.  Columns are matched by name; a file without a
+    column has NULL there.  A quoted line break belongs to its field.  A line with an odd
+    number of quotes gets a closing one; a line with too many fields is rejected, one with
+    too few is filled with NULL.  Only the different headers, with a few lines of one file
+    each, come to the driver.
+    """
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    text = spark.read.text(path).select("value", *at).withColumn("place", F.monotonically_increasing_id())
+    filled = F.trim("value") != ""
+    if header is not None:
+        sep = separator or vote_separator([header, *(r["value"] for r in text.limit(20).collect())])
+        return _parsed(text.where(filled), _names(header, sep), sep)
+    firsts = text.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"), F.min("place").alias("first"))
+    kinds = firsts.groupBy("header").agg(F.min(F.struct("file", "first")).alias("f")).collect()  # one row per different header
+    lines = text.join(firsts, "file").where(filled & (F.col("place") != F.col("first")))
+    rows, rejected = [], []
+    for kind in sorted(kinds, key=lambda k: k["f"]["file"]):
+        some = text.where((F.col("file") == kind["f"]["file"]) & (F.col("place") < kind["f"]["first"] + 20)).limit(20)
+        sep = separator or vote_separator([kind["header"], *(r["value"] for r in some.collect())])
+        good, bad = _parsed(lines.where(F.col("header") == kind["header"]).select("value", "file", "place"), _names(kind["header"], sep), sep)
+        rows.append(good)
+        rejected.append(bad)
+    if not rows:
+        raise ValueError(f"no lines in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows), reduce(DataFrame.unionByName, rejected)
+
+
+def _names(header: str, sep: str) -> list[str]:
+    return [n.strip().strip('"') for n in header.split(sep)]
 
 
 def read_json_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
