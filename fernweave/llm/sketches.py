@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernweave.llm.stored import sent_if_few, stored
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 #: Words in a shingle, hashes in a sketch, bits of a hash.
@@ -101,7 +103,8 @@ def with_next(rows: DataFrame, key: DataFrame, key_col: str, tie_col: str, carri
     Rows are dealt into runs of neighbouring keys, each sorted by itself.  Cuts between runs
     follow quantiles of the keys (``key``: the same keys, cheap to read twice), each part
     being divided evenly.  A copy of each run's first row goes to the run before it, so that
-    its last row finds its successor.  Keys are whole numbers, NULL comes first; rows of one
+    its last row finds its successor; these first rows are few and found by a broadcast, so
+    that the rows are shuffled once only.  Keys are whole numbers, NULL comes first; rows of one
     key follow each other by ``tie_col``.
     """
     low = F.lit(-(2**63)).cast("bigint")
@@ -115,10 +118,10 @@ def with_next(rows: DataFrame, key: DataFrame, key_col: str, tie_col: str, carri
     numbered = keys.withColumn("run", _run_of(F.col("k"), cuts, count))
     starts = numbered.groupBy("run").agg(F.min("k").alias("start"))
     following = F.coalesce(F.lead("start").over(Window.orderBy("run")), F.lit(first).cast("bigint"))
-    starts = starts.select(F.col("run").alias("before"), following.alias("start"))
+    starts = stored(starts.select(F.col("run").alias("before"), following.alias("start")), "run-starts")
     held = rows.withColumn("__fw_key", F.coalesce(F.col(key_col).cast("bigint"), low))
     own = held.withColumns({"__fw_run": _run_of(F.col("__fw_key"), cuts, count), "__fw_copy": F.lit(False)})
-    copies = held.join(starts, F.col("__fw_key") == F.col("start")).withColumns({"__fw_run": F.col("before"), "__fw_copy": F.lit(True)}).drop("before", "start")
+    copies = held.join(sent_if_few(starts), F.col("__fw_key") == F.col("start")).withColumns({"__fw_run": F.col("before"), "__fw_copy": F.lit(True)}).drop("before", "start")
     in_run = Window.partitionBy("__fw_run").orderBy("__fw_copy", "__fw_key", tie_col)
     linked = own.unionByName(copies).withColumns({f"next_{c}": F.lead(c).over(in_run) for c in carried})
     return linked.where(~F.col("__fw_copy")).drop("__fw_run", "__fw_copy", "__fw_key")
