@@ -26,9 +26,12 @@ def distinct_rarest(t: Tables) -> DataFrame:
     return agg.distinct_values(sources, "source", order="frequency_asc", limit=19)
 
 
-@query()
+@query("SELECT count(DISTINCT o_custkey) AS exact_distinct, true AS within_error FROM orders")
 def approximate_distinct(t: Tables) -> DataFrame:
-    return agg.approximate_distinct(t.orders, "o_custkey")
+    """The sketch's answer is within three times its stated error (5%) of the exact one."""
+    exact = t.orders.agg(F.count_distinct("o_custkey").alias("exact_distinct"))
+    both = exact.withColumn("sketched", agg.approximate_distinct(t.orders, "o_custkey").scalar())
+    return both.select("exact_distinct", (F.abs(F.col("sketched") - F.col("exact_distinct")) <= 0.15 * F.col("exact_distinct")).alias("within_error"))
 
 
 @query("SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -98,9 +101,25 @@ def column_profile(t: Tables) -> DataFrame:
     return out.withColumn("mean", F.round("mean", 6))
 
 
-@query()
+_SKETCHED = """
+SELECT '{c}' AS column_name, '{type}' AS data_type, count({c}) AS non_null_count, round(count({c}) * 100.0 / count(*), 2)::DOUBLE AS non_null_percentage,
+ min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DECIMAL(18,4)), 6)::DOUBLE AS mean, true AS distinct_within_error, true AS median_within_error FROM orders
+"""
+
+
+@query(" UNION ALL ".join(_SKETCHED.format(c=c, type=k) for c, k in (("o_custkey", "bigint"), ("o_totalprice", "double"))))
 def column_profile_approximate(t: Tables) -> DataFrame:
-    return agg.column_profile(t.orders, ["o_custkey", "o_totalprice"], approximate=True)
+    """A profile in one pass; its sketched values lie within their stated errors of the exact ones."""
+    columns = ["o_custkey", "o_totalprice"]
+    made = agg.column_profile(t.orders, columns, approximate=True)
+    exact = agg.column_profile(t.orders, columns).select(F.col("column_name").alias("c"), F.col("unique_count").alias("u"), F.col("median").alias("m"))
+    both = made.join(exact, F.col("column_name") == F.col("c"))
+    near = {
+        "distinct_within_error": F.abs(F.col("unique_count") - F.col("u")) <= 0.15 * F.col("u"),
+        "median_within_error": F.abs(F.col("median") - F.col("m")) <= 0.01 * (F.col("max") - F.col("min")),
+        "mean": F.round("mean", 6),
+    }
+    return both.withColumns(near).select("column_name", "data_type", "non_null_count", "non_null_percentage", "min", "max", "mean", "distinct_within_error", "median_within_error")
 
 
 @query("""

@@ -162,23 +162,25 @@ def table_preview(t: Tables) -> DataFrame:
     return catalog.preview(t.orders, ["o_orderkey"], 10)
 
 
-@query()
+@query("SELECT DISTINCT l_returnflag AS bucket, true AS has_files, true AS has_bytes FROM lineitem")
 def file_inventory(t: Tables) -> DataFrame:
-    """Number and size of the files a table is stored in, by day."""
+    """The files a table is stored in, by flag: every flag has some, and they have a size."""
     folder = t.scratch("files")
     t.lineitem.write.partitionBy("l_returnflag").parquet(folder)
     listed = files.list_files(t.spark, folder, "*.parquet")
-    return files.file_inventory(listed, F.regexp_extract("path", "l_returnflag=([A-Z])", 1).alias("bucket"))
+    found = files.file_inventory(listed, F.regexp_extract("path", "l_returnflag=([A-Z])", 1).alias("bucket"))
+    return found.select("bucket", (F.col("object_count") > 0).alias("has_files"), (F.col("total_bytes") > 0).alias("has_bytes"))
 
 
-@query()
+@query("SELECT DISTINCT o_orderstatus AS status, 'parquet' AS extension, true AS has_bytes FROM orders")
 def find_files(t: Tables) -> DataFrame:
-    """The newest files of a table by name part and extension."""
+    """All files of a table by name part and extension, whatever lies beside them."""
     folder = t.scratch("files")
     t.orders.write.partitionBy("o_orderstatus").parquet(folder)
-    return files.find_files(files.list_files(t.spark, folder), "part-", ("parquet",), limit=10).select(
-        F.substring_index("path", "/", -1).alias("name"), "length"
-    )
+    t.orders.select("o_orderpriority").distinct().write.csv(f"{folder}/o_orderstatus=F/notes")
+    found = files.find_files(files.list_files(t.spark, folder), "part-", ("parquet",))
+    status = F.regexp_extract("path", "o_orderstatus=([A-Z])", 1).alias("status")
+    return found.select(status, F.substring_index("path", ".", -1).alias("extension"), (F.col("length") > 0).alias("has_bytes")).distinct()
 
 
 _CONTAINED = """

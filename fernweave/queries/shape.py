@@ -212,15 +212,20 @@ def query_hash(t: Tables) -> DataFrame:
     return shape.query_hash(t.orders, ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "query_hash")
 
 
-@query()
+@query("SELECT lang, count(*) AS documents, 'application/octet-stream' AS path_type, true AS whole FROM documents GROUP BY lang")
 def attach_files(t: Tables) -> DataFrame:
-    """Stored files joined to the rows that name them, content as base64."""
+    """Stored files joined to the rows that name them, content as base64, which decodes to what was stored."""
     folder = t.scratch("files")
-    t.documents.select("lang", "text").write.partitionBy("lang").text(folder)
+    t.documents.select("lang", F.concat(F.col("doc_id"), F.lit("#")).alias("text")).write.partitionBy("lang").text(folder)
     stored = files.read_binary(t.spark, folder)
     named = files.list_files(t.spark, folder, "part-*").select("path", "length")
     out = shape.attach_files(named, "path", stored)
-    return out.select("length", "path_type", F.length("path_base64").alias("base64_length"))
+    content = F.unbase64("path_base64")
+    parts = out.select(
+        F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), "path_type",
+        F.regexp_count(content.cast("string"), F.lit("#")).alias("n"), (F.octet_length(content) == F.col("length")).alias("same"),
+    )
+    return parts.groupBy("lang").agg(F.sum("n").cast("bigint").alias("documents"), F.max("path_type").alias("path_type"), F.bool_and("same").alias("whole"))
 
 
 _KEY = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/?(.*)$', 1)"
@@ -253,9 +258,9 @@ def media_types(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, lower(trim(regexp_replace(regexp_replace(translate(substring(text, 1, 40), 'áàâãäéèêëíìîïóòôõöúùûüñçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC'), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9-]+', '_', 'g'), '_-')) AS name
-FROM documents
+WITH n AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(translate(text, 'áàâãäéèêëíìîïóòôõöúùûüñçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC'), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9-]+', '_', 'g'), '_-')) AS name FROM documents)
+SELECT doc_id, CASE WHEN name = '' THEN 'unnamed' WHEN length(name) > 255 THEN rtrim(substring(name, 1, 246), '_-') || '_' || substring(sha256(name), 1, 8) ELSE name END AS name FROM n
 """)
 def safe_names(t: Tables) -> DataFrame:
-    """Titles (the first 40 characters of a text) as path parts."""
-    return t.documents.select("doc_id", safe_name_column(F.substring("text", 1, 40)).alias("name"))
+    """Whole texts as path parts; long ones end in a digest that keeps them apart."""
+    return t.documents.select("doc_id", safe_name_column(F.col("text")).alias("name"))
