@@ -229,12 +229,12 @@ def expression_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, c_nationkey, s_suppkey, s_nationkey FROM (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') c
+SELECT c_custkey, c_nationkey, s_suppkey, s_nationkey FROM (SELECT c_custkey + 50 AS c_custkey, c_nationkey FROM customer) c
 FULL JOIN supplier ON c_custkey = s_suppkey WHERE coalesce(c_nationkey, s_nationkey) = 5
 """)
 def ambiguous_filter(t: Tables) -> DataFrame:
     """A name two joined tables have filters on the first value present, after the join."""
-    customer = t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_nationkey")
+    customer = t.customer.select((F.col("c_custkey") + 50).alias("c_custkey"), "c_nationkey")
     joined = joins.keyed_join(customer, t.supplier.select("s_suppkey", "s_nationkey"), [("c_custkey", "s_suppkey")], "full")
     return predicates.ambiguous_filter(joined, ["c_nationkey", "s_nationkey"], "eq", "5")
 

@@ -75,15 +75,15 @@ def chained_full_joins(t: Tables) -> DataFrame:
 
 
 _FULL = """
-WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 450000)
+WITH c AS (SELECT c_custkey + 100 AS c_custkey, c_name FROM customer), o AS (SELECT o_orderkey, o_custkey FROM orders)
 SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, o_orderkey FROM c {how} JOIN o ON c_custkey = o_custkey
 """
 
 
 def _gapped(t: Tables, how: str) -> DataFrame:
     tables = {
-        "customer": t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_name"),
-        "orders": t.orders.where("o_totalprice > 450000").select("o_orderkey", "o_custkey"),
+        "customer": t.customer.select((F.col("c_custkey") + 100).alias("c_custkey"), "c_name"),
+        "orders": t.orders.select("o_orderkey", "o_custkey"),
     }
     return joins.join_related(tables, [Relationship("customer", "c_custkey", "orders", "o_custkey", how)])[0]
 
@@ -106,7 +106,7 @@ def unified_key_right_join(t: Tables) -> DataFrame:
 
 @query("""
 SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, o_totalprice, coalesce(c_nationkey, n_nationkey) AS c_nationkey, c_name, n_name
-FROM orders FULL JOIN customer ON o_custkey = c_custkey FULL JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) n ON c_nationkey = n_nationkey
+FROM orders FULL JOIN customer ON o_custkey = c_custkey FULL JOIN (SELECT n_nationkey + 1 AS n_nationkey, n_name FROM nation) n ON c_nationkey = n_nationkey
 """)
 def link_join(t: Tables) -> DataFrame:
     """Groups joined by links; an unknown join type means full, a second path between joined groups is left out."""
@@ -118,22 +118,22 @@ def link_join(t: Tables) -> DataFrame:
     tables = {
         "orders": t.orders.select("o_orderkey", "o_custkey", "o_totalprice"),
         "customer": t.customer.select("c_custkey", "c_name", "c_nationkey"),
-        "nation": t.nation.where("n_nationkey != 3").select("n_nationkey", "n_name"),
+        "nation": t.nation.select((F.col("n_nationkey") + 1).alias("n_nationkey"), "n_name"),
     }
     return joins.join_related(tables, links, default_how="full")[0]
 
 
 @query("""
-WITH c AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_totalprice > 450000 GROUP BY 1),
-s AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 2000)
+WITH c AS (SELECT c_custkey + 100 AS c_custkey, c_name FROM customer), o AS (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1),
+s AS (SELECT s_suppkey + 40 AS s_suppkey, s_name FROM supplier)
 SELECT coalesce(c_custkey, o_custkey, s_suppkey) AS c_custkey, c_name, orders, s_name FROM c FULL JOIN o ON c_custkey = o_custkey FULL JOIN s ON coalesce(c_custkey, o_custkey) = s_suppkey
 """)
 def shared_key_full_joins(t: Tables) -> DataFrame:
     """Three sources with gaps joined in full on one key: a key is one row, wherever it occurs."""
     tables = {
-        "customer": t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_name"),
-        "orders": t.orders.where("o_totalprice > 450000").groupBy("o_custkey").agg(F.count("*").alias("orders")),
-        "supplier": t.supplier.where("s_acctbal > 2000").select("s_suppkey", "s_name"),
+        "customer": t.customer.select((F.col("c_custkey") + 100).alias("c_custkey"), "c_name"),
+        "orders": t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders")),
+        "supplier": t.supplier.select((F.col("s_suppkey") + 40).alias("s_suppkey"), "s_name"),
     }
     links = [
         Relationship("customer", "C_CUSTKEY", "orders", "o_custkey", "full", cardinality="one_to_one"),
@@ -169,10 +169,11 @@ def suffixed_lookup(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, coalesce(n_name, '') AS nation_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 4) n ON c_nationkey = n_nationkey
+SELECT c_custkey, coalesce(n_name, '') AS nation_name FROM customer LEFT JOIN (SELECT n_nationkey + 1 AS n_nationkey, n_name FROM nation) n ON c_nationkey = n_nationkey
 """)
 def name_lookup(t: Tables) -> DataFrame:
-    out = joins.name_lookup(t.customer, "c_nationkey", t.nation.where("n_nationkey != 4"), "n_nationkey", "n_name", "nation_name")
+    shifted = t.nation.withColumn("n_nationkey", F.col("n_nationkey") + 1)
+    out = joins.name_lookup(t.customer, "c_nationkey", shifted, "n_nationkey", "n_name", "nation_name")
     return out.select("c_custkey", "nation_name")
 
 
@@ -220,11 +221,11 @@ def composite_enrichment(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'
+SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey + 1
 """)
 def metadata_star(t: Tables) -> DataFrame:
     """Column, table, schema and connection style chain of lookups."""
-    tables = {"supplier": t.supplier.select("s_suppkey", "s_name", "s_nationkey"), "nation": t.nation, "region": t.region.where("r_name != 'ASIA'")}
+    tables = {"supplier": t.supplier.select("s_suppkey", "s_name", "s_nationkey"), "nation": t.nation, "region": t.region.withColumn("r_regionkey", F.col("r_regionkey") + 1)}
     links = [Relationship("supplier", "s_nationkey", "nation", "n_nationkey"), Relationship("nation", "n_regionkey", "region", "r_regionkey")]
     return joins.join_related(tables, links)[0].select("s_suppkey", "s_name", "n_name", "r_name")
 

@@ -82,22 +82,22 @@ def value_mapping(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, CASE WHEN l_suppkey < 90 THEN s_name ELSE l_suppkey::VARCHAR END AS supplier FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, coalesce(s_name, l_suppkey::VARCHAR) AS supplier FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey + 20
 """)
 def value_mapping_table(t: Tables) -> DataFrame:
     """Value map held in a table of any size."""
-    mapping = t.supplier.where("s_suppkey < 90").select(F.col("s_suppkey").cast("string").alias("source_value"), F.col("s_name").alias("standard_value"))
+    mapping = t.supplier.select((F.col("s_suppkey") + 20).cast("string").alias("source_value"), F.col("s_name").alias("standard_value"))
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey")
     return semantics.map_values_table(lines, "l_suppkey", mapping, "supplier").drop("l_suppkey")
 
 
 @query("""
 SELECT c_custkey, s_suppkey, coalesce(c_nationkey, s_nationkey) AS nation, coalesce(s_acctbal, c_acctbal) AS balance FROM
-(SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') c FULL JOIN supplier ON c_custkey = s_suppkey
+(SELECT c_custkey + 50 AS c_custkey, c_nationkey, c_acctbal FROM customer) c FULL JOIN supplier ON c_custkey = s_suppkey
 """)
 def column_unification(t: Tables) -> DataFrame:
     """The first value present, in mapping order, then the sources are dropped."""
-    customer = t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", "c_nationkey", "c_acctbal")
+    customer = t.customer.select((F.col("c_custkey") + 50).alias("c_custkey"), "c_nationkey", "c_acctbal")
     joined = joins.keyed_join(customer, t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), [("c_custkey", "s_suppkey")], "full")
     return joined.select(
         "c_custkey", "s_suppkey", semantics.unify([F.col("c_nationkey"), F.col("s_nationkey")]).alias("nation"),
