@@ -6,13 +6,16 @@ and no row ids are joined back.
 
 from __future__ import annotations
 
+import operator
 import sys
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,19 +33,32 @@ class RetryableError(Exception):
     retryable = True
 
 
-def keyword_flag(words: list[str]) -> Extractor:
-    """Whether a text contains any of the words."""
-    low = [w.lower() for w in words]
-    return lambda text: any(w in text.lower() for w in low)
+@dataclass(frozen=True)
+class KeywordRule:
+    """The first value one of whose words a text contains, case aside; as a callable, and as a column that needs no Python."""
 
+    words: dict[object, list[str]]
+    default: object
 
-def keyword_choice(words: dict[str, list[str]], default: str) -> Extractor:
-    """The first value one of whose words a text contains."""
-    def choose(text: str) -> str:
+    def __call__(self, text: str) -> object:
         low = text.lower()
-        return next((value for value, ws in words.items() if any(w.lower() in low for w in ws)), default)
+        return next((value for value, words in self.words.items() if any(w.lower() in low for w in words)), self.default)
+
+    def column(self, text: Column) -> Column:
+        low, value = F.lower(text), F.lit(self.default)
+        for answer, words in reversed(self.words.items()):
+            value = F.when(reduce(operator.or_, [F.contains(low, F.lit(w.lower())) for w in words], F.lit(False)), F.lit(answer)).otherwise(value)
+        return value
 
-    return choose
+
+def keyword_flag(words: list[str]) -> KeywordRule:
+    """Whether a text contains any of the words."""
+    return KeywordRule({True: words}, False)
+
+
+def keyword_choice(words: dict[str, list[str]], default: str) -> KeywordRule:
+    """The first value one of whose words a text contains."""
+    return KeywordRule(words, default)
 
 
 def run_extractor(text: str | None, extractor: Extractor, allowed: tuple, retries: int, backoff: float) -> tuple:
@@ -68,7 +84,8 @@ def extract_column(
 ) -> DataFrame:
     """Add the extracted column, NULL where the text is blank or extraction failed.
 
-    ``keep_status`` also keeps ``_<output>_ok`` and ``_<output>_error``.
+    ``keep_status`` also keeps ``_<output>_ok`` and ``_<output>_error``.  An extractor that has a
+    ``column`` form is evaluated by Spark itself; any other callable runs on Arrow batches.
     """
     if extraction.values is not None and len(extraction.values) < 2:
         raise ValueError("a choice needs at least two values")
@@ -76,6 +93,14 @@ def extract_column(
     dtype = T.StringType() if extraction.values else T.BooleanType()
     fields = [T.StructField("value", dtype), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())]
 
+    if hasattr(extractor, "column"):
+        text = F.col(f"`{extraction.source}`").cast("string")
+        value = F.when(text.rlike(r"(?U)\S"), extractor.column(text))
+        fine = value.isNull() | value.isin(*allowed)
+        out = df.withColumn(extraction.output, F.when(fine, value))
+        error = F.when(~fine, F.concat(F.lit("not an allowed value: "), value.cast("string")))
+        return out.withColumns({f"_{extraction.output}_ok": fine, f"_{extraction.output}_error": error}) if keep_status else out
+
     def batch(texts: pd.Series) -> pd.DataFrame:
         rows = [run_extractor(t, extractor, allowed, retries, backoff) for t in texts]
         return pd.DataFrame(rows, columns=["value", "ok", "error"], dtype=object)

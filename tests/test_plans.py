@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernweave import queries
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"python_rule", "extract_flag", "extract_choice_then_filter", "all_accents_removed"}
+PYTHON = {"python_rule", "all_accents_removed"}
 
 
 def plan(df) -> str:

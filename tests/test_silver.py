@@ -161,3 +161,12 @@ def test_queries_over_views_run(spark):
         "SELECT id, (SELECT max(id) FROM seen) AS m FROM seen ORDER BY id", "SELECT * FROM seen LATERAL VIEW explode(array(1)) e AS x", "SELECT explode(array(1, 2, 3))",
     ):
         assert sharing.read_only_query(spark, text).count() == 3
+
+
+def test_keyword_rules_agree_in_both_forms(spark):
+    texts = ["See HTTP://x", "www", "none", "", " ", None, "Que the", "QUE"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rule, values in ((extract.keyword_flag(["http", "WWW"]), None), (extract.keyword_choice({"a": ["the"], "b": ["que"]}, "c"), ("a", "b", "c"))):
+        native = extract.extract_column(df, Extraction("t", "v", values), rule)
+        python = extract.extract_column(df, Extraction("t", "v", values), lambda text, rule=rule: rule(text))
+        assert [r["v"] for r in native.collect()] == [r["v"] for r in python.collect()]
