@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.llm.sampling import least_hashes
+
 #: Fixed rules, in their order: pattern, the group whose length counts, and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 RULES = {
@@ -216,9 +218,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_fin
     findings there is no network, and only the rules speak.
     """
     text = F.col(text_col)
-    usable = docs.where(text.isNotNull() & (F.length(text) <= fit_chars)).select(text.alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    usable = docs.where(text.isNotNull() & (F.length(text) <= fit_chars)).select(text.alias("t"), F.concat_ws(" ", F.col(id_col).cast("string"), F.xxhash64(text)).alias("k"))
     likely = F.rlike("t", F.lit(ASSIGN.replace("(?i:", "(?i)(?:", 1) + r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
-    rows = usable.where(likely).orderBy("h", "t").limit(fit_finding).union(usable.orderBy("h", "t").limit(fit_other)).collect()
+    finding, every = usable.agg(F.count_if(likely), F.count("*")).first()
+    drawn = least_hashes(usable.where(likely), F.col("k"), fit_finding, finding).union(least_hashes(usable, F.col("k"), fit_other, every))
+    rows = drawn.select("t").collect()
     return fit_net(*examples(sorted({r[0] for r in rows})), recall)
 
 
