@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.llm.sampling import least_hashes
+
 #: Labelled documents of either kind that a fit reads at most, and their greatest length.
 FIT_TOXIC = 2000
 FIT_CLEAN = 4000
@@ -189,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__fw_id")).agg(F.max(label_col).alias("__fw_label"))
     counts = {r[0]: r[1] for r in known.groupBy("__fw_label").count().collect()}
-    order = F.xxhash64(F.col("__fw_id").cast("string"))
-    sample = [known.where(F.col("__fw_label") == kind).orderBy(order, "__fw_id").limit(most) for kind, most in ((1, fit_toxic), (0, fit_clean))]
+    key = F.col("__fw_id").cast("string")
+    sample = [least_hashes(known.where(F.col("__fw_label") == kind), key, most, counts.get(kind, 0)) for kind, most in ((1, fit_toxic), (0, fit_clean))]
     few = F.broadcast(sample[0].union(sample[1]))  # at most fit_toxic + fit_clean rows
     rows = docs.join(few, F.col(id_col) == F.col("__fw_id")).where(F.length(text_col) <= fit_chars).select("__fw_label", F.col(text_col).alias("t"), "__fw_id")
     got = rows.dropDuplicates(["__fw_id"]).orderBy("__fw_id").collect()

@@ -8,13 +8,23 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import ODD
 
 from fernweave.llm import bpe, language, queries, secret_scan, toxicity
+from fernweave.llm.sampling import least_hashes
 
 LARGER = "/root/testdata/sf0.1"
 
 
+def test_samples_are_bounded_and_the_same_again(spark):
+    rows = spark.range(50_000).selectExpr("cast(id AS string) AS k")
+    for most, count in ((500, 50_000), (60_000, 50_000), (0, 50_000)):
+        got = sorted(r.k for r in least_hashes(rows, F.col("k"), most, count).collect())
+        assert len(got) == min(most, count)
+        assert got == sorted(r.k for r in least_hashes(rows.repartition(7), F.col("k"), most, count).collect())
+
+
 # toxicity
 
 
