@@ -222,6 +222,17 @@ def decode_column(packed: Column | str, codec: Broadcast) -> Column:
     return decode(packed)
 
 
+def coded_column(text: Column | str, codec: Broadcast) -> Column:
+    """Packed ids of each whole text and the bytes they decode to, in one visit to Python."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def coded(texts: pa.Array) -> pa.Array:
+        ids = [codec.value.encode(t) for t in _each(texts)]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.value.decode, ids), pa.binary())], names=["ids", "decoded"])
+
+    return coded(text)
+
+
 def round_trip(docs: DataFrame, codec: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each text and decode its ids again: (id, ids, n_tokens, decoded).
 
@@ -229,7 +240,5 @@ def round_trip(docs: DataFrame, codec: Broadcast, id_col: str = "doc_id", text_c
     Repeated rows and NULL ids are returned as they come; an empty table gives an empty
     result.  Other columns of ``docs`` are not carried, so their names cannot clash.
     """
-    encoded = docs.select(F.col(id_col), encode_column(F.col(text_col), codec).alias("ids"))
-    return encoded.select(
-        id_col, "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), decode_column("ids", codec).alias("decoded")
-    )
+    made = docs.select(F.col(id_col), coded_column(F.col(text_col), codec).alias("__fw_c"))
+    return made.select(id_col, "__fw_c.ids", F.expr("cast(octet_length(__fw_c.ids) div 4 as bigint)").alias("n_tokens"), "__fw_c.decoded")

@@ -92,6 +92,8 @@ def test_rows_of_any_kind(spark, odd, empty, library):
     assert sorted((str(r.doc_id), tuple(ids(r.ids)), bytes(r.decoded)) for r in coded.collect()) == want
     counted = token_counts.count_tokens(odd, counter, limit=5)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in counted.collect()) == sorted((k, len(b), len(t), len(t) > 5) for k, t, b in want)
+    apart = odd.select("doc_id", bpe.encode_column("text", codec).alias("packed")).withColumn("back", bpe.decode_column("packed", codec))
+    assert sorted((str(r.doc_id), tuple(ids(r.packed)), bytes(r.back)) for r in apart.collect()) == want
     assert bpe.round_trip(empty, codec).count() == 0 and token_counts.count_tokens(empty, counter).count() == 0
 
 
