@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.llm.pretokens import pieces
+from fernweave.llm.stored import small_batches
 
 #: Bounds of the memo tables; a full table is emptied.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 300_000
 MEMO_PIECE_CHARS = 48
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 300_000
 
 #: Ids decoded in one step.
 DECODE_RUN = 1 << 16
@@ -195,6 +196,7 @@ class Codec:
 
 def share(spark: SparkSession, codec: Codec) -> Broadcast:
     """The codec on every executor; its size is that of the vocabulary, whatever the data."""
+    small_batches(spark)
     return spark.sparkContext.broadcast(codec)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.llm.components import connected_components
-from fernweave.llm.stored import sent_if_few, stored
+from fernweave.llm.stored import sent_if_few, small_batches, stored
 
 #: Words in a shingle and the least similarity, in percent.
 SHINGLE = 5
@@ -217,6 +217,7 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, text_hash, n_shingles, component_id, kept) for each row."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = stored(texts.select("id", F.xxhash64("text").alias("text_hash"), _sketched(F.col("text"), words).alias("s")).select("id", "text_hash", "s.*"), "signatures")
     sets = stored(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least")), "sets")

@@ -40,7 +40,7 @@ STEPS = 300
 RATE = 0.1
 DECAY = 1e-4
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 #: A sentence with at least one letter, from its first letter on; and its words.
 SENTENCE = re.compile(r"[^\W\d_][^.!?\n]*")
