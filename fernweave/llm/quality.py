@@ -1,8 +1,10 @@
 """Clean texts line by line, then reject those that lose too much.
 
-Each line is judged by itself: noise (words carrying runs of marks), navigation (words
-between bars or bullets), stutter (words that repeat the word before) and boilerplate
-(licence, consent and subscription phrases).  Failing lines are removed.  A text is rejected
+Each line is judged by its own words: noise (words carrying runs of marks, or marks that
+stand alone), navigation (words between bars, bullets, slashes or arrows), stutter (words
+that repeat the word before), boilerplate (licence, consent and subscription phrases) and
+punctuation (several words, none of which closes a sentence).  Short lines without a closing
+mark are navigation where several follow one another.  Failing lines are removed.  A text is rejected
 if the removed lines held more than a given share of its words, or by the base rules on its
 length and on repeated passages.
 """
@@ -16,9 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: A run of marks, and a bar or bullet that stands by itself.
+#: A run of marks, a bar or bullet that stands by itself, what else parts a trail of links, and words of marks alone.
 MARKS = r"[#$%&*!?|<>=~^+_]{2,}"
 BARS = r"[ \t][|»•·][ \t]"
+TRAIL = r"(?<![^ \t])[|»•·>/›→\\](?![^ \t])"
+ALONE = r"(?<![^ \t])[#$%&*!?|~^_@]+(?![^ \t])"
+
+#: A word that closes a sentence or a clause before a list, with quotes and brackets after its mark.
+CLOSED = r"[.!?…:;。！？：；।؟۔][\"'”’»›)\]}」』]*(?![^ \t\r])"
+
+#: Least words of a line that must hold a closed word, most words of a link in a menu, and links in a row that make one.
+OPEN_WORDS = 8
+LINK_WORDS = 3
+MENU_LINES = 3
 
 #: Phrases of lines that belong to a page and not to its text.
 BOILERPLATE = (
@@ -43,18 +55,34 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
-    """Whether a line of ``n_words`` words fails one of the rules."""
+def line_fails(line: Column, n_words: Column, is_open: Column) -> Column:
+    """Whether a line of ``n_words`` words, ``is_open`` without a closed one, fails one of the rules on single lines."""
     marks, bars = _count(line, MARKS), _count(F.concat(F.lit(" "), line, F.lit(" ")), BARS)
     noise = (marks >= 2) & (marks * 4 >= n_words)
     navigation = (bars >= 2) & (bars * 5 >= n_words)
     words = _words(line)
     stutter = F.transform(F.array(words), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))))[0]
+    trail, alone = _count(line, TRAIL), _count(line, ALONE)
+    unclosed = is_open & ((n_words >= OPEN_WORDS) | (trail >= 2) & (trail * 5 >= n_words) | (alone >= 2) & (alone * 4 >= n_words))
     low = F.lower(line)
     phrase = F.lit(False)
     for words_of_it in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(words_of_it))
-    return noise | navigation | phrase | (stutter * 5 >= n_words * 2) & (n_words >= 5)
+    return noise | navigation | unclosed | phrase | (stutter * 5 >= n_words * 2) & (n_words >= 5)
+
+
+def in_menu(lines: Column, i: Column) -> Column:
+    """Whether line ``i`` lies in a row of MENU_LINES or more links."""
+    def link(k: int) -> Column:
+        return F.coalesce(F.get(lines, i + k)["link"], F.lit(False))
+
+    rows = F.lit(False)
+    for first in range(1 - MENU_LINES, 1):
+        row = link(first)
+        for k in range(first + 1, first + MENU_LINES):
+            row = row & link(k)
+        rows = rows | row
+    return rows
 
 
 def repeated_words(words: Column) -> Column:
@@ -101,7 +129,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = docs.select(F.col(id_col).alias("__fw_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = text.withColumns({"words": _words(F.col("text")), "lines": F.split("text", "\n", -1)})
     counted = F.filter(F.transform("lines", lambda x: F.struct(x.alias("line"), _count(x, WORD).alias("n"))), lambda x: x["n"] > 0)
-    judged = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"]).alias("fails")))
+    opened = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), (~F.rlike(x["line"], F.lit(CLOSED))).alias("open")))
+    parts = parts.withColumn("alone", F.transform(opened, lambda x: F.struct(
+        x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"], x["open"]).alias("fails"), (x["open"] & (x["n"] <= LINK_WORDS)).alias("link")
+    )))
+    judged = F.transform("alone", lambda x, i: F.struct(x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | x["link"] & in_menu(F.col("alone"), i)).alias("fails")))
     parts = parts.withColumn("judged", judged)
     full = F.transform("judged", lambda x: x["line"])
     rows = parts.select(

@@ -155,6 +155,19 @@ def test_failing_lines_are_removed(spark):
     assert lost.clean_text == good and not lost.kept
 
 
+def test_lines_without_punctuation_and_menus_are_removed(spark):
+    good = "This is a line of the text that says what it has to say, and it ends here."
+    kept = [good, f"{good}\nA heading\n{good}", "Two short\nlines", good, "he / she / they said so, and went.", "a line that stops in its midst. And then it goes on without"]
+    bad = ["Home\nAbout us\nContact\nImprint", "Shop > Shoes > Boots", "home / news / sport", "# a * b $ c", "words that go on and on and never come to any end"]
+    text = "\n".join(x for pair in zip(kept, [*bad, good]) for x in pair)
+    (row,) = quality.clean(documents(spark, [(0, text, None, None, None)])).collect()
+    lost = "\n".join(bad).split("\n")
+    assert row.clean_text.split("\n") == [x for x in text.split("\n") if x not in lost]
+    assert row.n_lost_words == sum(len(WORD.findall(x)) for x in lost)
+    (menu,) = quality.clean(documents(spark, [(0, "\n".join(f"Link {chr(97 + i)}" for i in range(20)), None, None, None)])).collect()
+    assert not menu.base_failed and not menu.kept and menu.clean_text == ""
+
+
 def test_quality_agrees_with_labels(spark, small):
     folder = small.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
