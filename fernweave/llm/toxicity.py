@@ -3,7 +3,9 @@
 A document is a bag of sentences.  Each sentence has a logistic score over its words and
 word beginnings; the document is toxic unless no sentence is: P = 1 - prod(1 - p).  Only
 document labels are needed: the gradient of the noisy-or hands each document's label down
-to those of its sentences that explain it.
+to those of its sentences that explain it.  Labels that no sentence explains belong to a
+background term of the document, whatever its length.  Sentences below 0.5 count together
+only for what they exceed as many sentences of clean documents by, so that length adds nothing.
 
 The model is fitted in numpy on a bounded sample of labelled documents (the bounds are
 parameters) and sent to the executors; every whole text is scored there.
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from fernweave.llm.sampling import least_hashes
 
-#: Labelled documents of either kind that a fit reads at most, and their greatest length.
+#: Labelled documents of either kind that a fit reads at most, and characters of all together.
 FIT_TOXIC = 2000
 FIT_CLEAN = 4000
-FIT_CHARS = 20_000
+FIT_CHARS = 24_000_000
 
 #: Features kept, documents a feature must occur in, lengths of word beginnings.
 FEATURES = 4000
@@ -42,6 +44,11 @@ DECAY = 1e-4
 
 MEMO_WORDS = 150_000
 
+#: Names among the weights that no word can have: log odds of a document that no sentence explains, and mean and
+#: mean square of what sentences below 0.5 of clean documents add.  So many means and standard errors are allowed for.
+BACKGROUND, MEAN, SQUARE = " background", " mean", " square"
+MEANS, ERRORS = 2, 3
+
 #: A sentence with at least one letter, from its first letter on; and its words.
 SENTENCE = re.compile(r"[^\W\d_][^.!?\n]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -54,7 +61,10 @@ def word_features(word: str) -> list[str]:
 
 @dataclass
 class NoisyOr:
-    """Weights of features and the bias of a sentence."""
+    """Weights of features and the bias of a sentence.
+
+    Without BACKGROUND, MEAN and SQUARE among the weights it is the plain noisy-or of all sentences.
+    """
 
     weights: dict[str, float]
     bias: float
@@ -85,14 +95,25 @@ class NoisyOr:
         memo, low = self._memo, text.lower()
         if not any(memo[w] if w in memo else self._word(w) for w in set(WORD.findall(low))):
             sentences = sum(1 for _ in SENTENCE.finditer(text))
-            return -math.expm1(-sentences * _softplus(self.bias)), []
-        total, found = 0.0, []
+            added = sentences * _softplus(self.bias)
+            return -math.expm1(-(self._total(added, 0.0, sentences) if self.bias < 0 else self._total(0.0, added, 0))), []
+        small, large, n_small, found = 0.0, 0.0, 0, []
         for m in SENTENCE.finditer(text):
             z = self.logit(set(WORD.findall(m.group().lower())))
-            total += _softplus(z)
             if z >= 0:
+                large += _softplus(z)
                 found.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
-        return -math.expm1(-total), found
+            else:
+                small += _softplus(z)
+                n_small += 1
+        return -math.expm1(-self._total(small, large, n_small)), found
+
+    def _total(self, small: float, large: float, n_small: int) -> float:
+        """What sentences below 0.5, the others and the background add up to; 0 without a sentence."""
+        if BACKGROUND not in self.weights or not (n_small or large):
+            return small + large
+        allowed = MEANS * n_small * self.weights[MEAN] + ERRORS * math.sqrt(n_small * self.weights[SQUARE])
+        return _softplus(self.weights[BACKGROUND]) + max(0.0, small - allowed) + large
 
 
 def _softplus(z: float) -> float:
@@ -168,25 +189,47 @@ def fit_noisy_or(texts: list[str], toxic: list[int], weight: tuple[float, float]
     sample = sample / sample.sum()
 
     start = np.array([outset(f) for f in chosen])
-    w, b = start.copy(), -6.0
-    first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, b, c = start.copy(), -6.0, -4.0
+    first, second = np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)
     for step in range(1, STEPS + 1):
         z = np.clip(b + np.bincount(sentence, w[feature], len(owners)), -30, 30)
-        total = np.bincount(owners, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, b)
+        total = np.bincount(owners, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, b) + np.logaddexp(0, c)
         slope = sample * np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)
         by_sentence = slope[owners] / (1 + np.exp(-z))
-        g = np.append(np.bincount(feature, by_sentence[sentence], len(w)) + DECAY * (w - start), by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
+        of_bias = by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-b))
+        g = np.concatenate([np.bincount(feature, by_sentence[sentence], len(w)) + DECAY * (w - start), [of_bias, slope.sum() / (1 + np.exp(-c))]])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return NoisyOr({f: float(v) for f, v in zip(chosen, w) if abs(v) > 0.05}, float(b))
+        w, b, c = w - move[:-2], b - move[-2], c - move[-1]
+    w[np.abs(w) <= 0.05] = 0.0
+    z = b + np.bincount(sentence, w[feature], len(owners))
+    added, at_bias = np.logaddexp(0, z), float(np.logaddexp(0, b))
+    below = z < 0
+    small, n_small = np.bincount(owners, np.where(below, added, 0.0), len(y)), np.bincount(owners, below, len(y))
+    large = np.bincount(owners, np.where(below, 0.0, added), len(y))
+    squares = np.bincount(owners, np.where(below, added, 0.0) ** 2, len(y))
+    if b < 0:
+        small, n_small, squares = small + plain * at_bias, n_small + plain, squares + plain * at_bias**2
+    else:
+        large = large + plain * at_bias
+    among = max(1.0, float(n_small[~y].sum()))
+    mean, square = max(float(small[~y].sum()) / among, at_bias), max(float(squares[~y].sum()) / among, at_bias**2)
+    told = large + np.maximum(0.0, small - MEANS * n_small * mean - ERRORS * np.sqrt(n_small * square))
+    share = float(1 / (1 + np.exp(-c)))
+    for _ in range(STEPS):  # share of documents toxic for what no counted sentence explains
+        share = float((sample * y * share / (1 - (1 - share) * np.exp(-told))).sum())
+        share = min(max(share, 1e-9), 1 - 1e-9)
+    model = NoisyOr({f: float(v) for f, v in zip(chosen, w) if v}, float(b))
+    model.weights |= {BACKGROUND: math.log(share / (1 - share)), MEAN: mean, SQUARE: square}
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN, fit_chars: int = FIT_CHARS) -> NoisyOr:
-    """Fit on at most ``fit_toxic`` and ``fit_clean`` labelled documents of at most ``fit_chars`` characters.
+    """Fit on at most ``fit_toxic`` and ``fit_clean`` labelled documents of at most ``fit_chars`` characters in all.
 
     They are those with the least hashes of their ids, weighted to the shares of all labelled
-    rows.  Rows without id, label or text are left out; of several labels of one id the
+    rows.  Documents are read whole, long ones too; either kind has its part of ``fit_chars``,
+    and one that no longer fits into what is left of it is passed over.  Rows without id, label or text are left out; of several labels of one id the
     greatest counts.  Without documents of both kinds every text gets the same verdict.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__fw_id")).agg(F.max(label_col).alias("__fw_label"))
@@ -194,7 +237,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     key = F.col("__fw_id").cast("string")
     sample = [least_hashes(known.where(F.col("__fw_label") == kind), key, most, counts.get(kind, 0)) for kind, most in ((1, fit_toxic), (0, fit_clean))]
     few = F.broadcast(sample[0].union(sample[1]))  # at most fit_toxic + fit_clean rows
-    rows = docs.join(few, F.col(id_col) == F.col("__fw_id")).where(F.length(text_col) <= fit_chars).select("__fw_label", F.col(text_col).alias("t"), "__fw_id")
+    rows = docs.join(few, F.col(id_col) == F.col("__fw_id")).where(F.col(text_col).isNotNull()).select("__fw_label", F.col(text_col).alias("t"), "__fw_id")
+    sizes = rows.groupBy("__fw_label", "__fw_id").agg(F.max(F.length("t")).alias("n")).orderBy(F.xxhash64("__fw_id"), "__fw_id").collect()
+    left = {1: fit_chars * fit_toxic // max(1, fit_toxic + fit_clean), 0: fit_chars * fit_clean // max(1, fit_toxic + fit_clean)}
+    fitting = []
+    for label, key, size in sizes:
+        if size <= left[label]:
+            left[label] -= size
+            fitting.append((key,))
+    if len(fitting) < len(sizes):
+        chosen = docs.sparkSession.createDataFrame(fitting, rows.select("__fw_id").schema)
+        rows = rows.join(F.broadcast(chosen), "__fw_id", "left_semi").select("__fw_label", "t", "__fw_id")
     got = rows.dropDuplicates(["__fw_id"]).orderBy("__fw_id").collect()
     taken = Counter(r[0] for r in got)
     weight = tuple(counts.get(kind, 0) / max(1, taken[kind]) for kind in (0, 1))

@@ -60,6 +60,37 @@ def test_the_offending_sentence_is_located():
     assert model.score("Wordaa wordba wordca. Wordea wordfa.")[0] < 0.5
 
 
+def test_long_clean_texts_are_clean():
+    texts, labels = bags()
+    toxic = [t.replace("vile", "wordaa").replace("nasty", "wordba") for t in texts[:30:3]]  # labels that no word explains
+    model = toxicity.fit_noisy_or(texts + toxic, labels + [1] * len(toxic))
+    ordinary = ". ".join(t.rstrip(".") for t, label in zip(texts, labels) if not label)
+    long = ". ".join([ordinary] * 100)
+    assert sum(1 for _ in toxicity.SENTENCE.finditer(long)) >= 100_000
+    for text in (long, "Qqq zzz. " * 100_000):
+        assert model.score(text)[0] < 0.2
+    assert model.score(long + ". you are vile.")[0] >= 0.5
+
+
+def test_long_labelled_documents_are_read(spark):
+    texts, labels = bags()
+    rows = [(i, ". ".join([t.rstrip(".")] * (60 if i == 0 else 1))) for i, t in enumerate(texts)]
+    assert len(rows[0][1]) > 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+
+    def fitted(texts, *_):
+        got.append(sorted(texts))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "fit_noisy_or", fitted)
+        marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+        toxicity.fit(docs, marks)
+        toxicity.fit(docs, marks, fit_chars=60_000)
+    assert got[0] == sorted(t for _, t in rows)
+    assert 0 < len(got[1]) < len(rows) and sum(map(len, got[1])) <= 60_000
+
+
 def test_score_is_the_noisy_or_of_sentences():
     model = toxicity.NoisyOr({"bad": 3.0, "^wors": 1.0}, -2.0)
     def p(z):
