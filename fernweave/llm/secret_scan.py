@@ -108,6 +108,7 @@ class CharNet:
     out: np.ndarray
     scale: np.ndarray
     threshold: float = 2.0
+    reached: float = 0.0
 
     def _layers(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         ids, flags = x[:, :WINDOW], x[:, WINDOW:]
@@ -172,7 +173,8 @@ def fit_net(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharNet | N
         a, b = a - 0.05 * (((p - y[held]) * z).mean() + 0.01 * (a - 1)), b - 0.05 * ((p - y[held]).mean() + 0.01 * b)
     net.scale = np.array([a, b])
     true = np.sort(net.probability(x[held][y[held] == 1]))
-    net.threshold = max(0.5, float(true[int(np.floor((1 - recall) * len(true)))]) - 1e-9)
+    net.threshold = float(true[int(np.floor((1 - recall) * len(true)))]) - 1e-9
+    net.reached = float((true >= net.threshold).mean())
     return net
 
 

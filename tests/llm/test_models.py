@@ -211,6 +211,17 @@ def test_network_finds_held_out_secrets_and_leaves_names_alone(spark, net):
     assert secret_scan.find(plain, net) == [[]] * len(plain)
 
 
+def test_threshold_reaches_the_wanted_recall_when_classes_overlap():
+    draw = np.random.RandomState(5)
+    texts = ["".join(draw.choice(secret_scan.KEY_LETTERS, 24)) for _ in range(400)]
+    x, y = np.array([secret_scan.window(t, 0, 24) for t in texts]), (draw.rand(400) < 0.25).astype(int)
+    net = secret_scan.fit_net(x, y)
+    held = np.random.RandomState(7).permutation(len(x))[: len(x) // 4]
+    p = net.probability(x[held][y[held] == 1])
+    assert net.threshold < 0.5
+    assert net.reached >= secret_scan.RECALL and (p >= net.threshold).mean() == pytest.approx(net.reached)
+
+
 def test_gradients_are_those_of_the_loss():
     draw = np.random.RandomState(3)
     shapes = ((97, secret_scan.VECTOR), ((secret_scan.VECTOR + 1) * secret_scan.WIDTH, secret_scan.FILTERS), (secret_scan.FILTERS,), (2 * secret_scan.FILTERS + 1,))
