@@ -1,6 +1,6 @@
 """Find secrets: fixed rules, and a small character network over every other candidate.
 
-Candidates are long runs of key-like characters.  A convolutional network in numpy reads
+Candidates are runs of key-like characters that are no plain words, or what the rules leave of them.  A convolutional network in numpy reads
 each with its surrounding characters.  It is trained on labelled findings of the corpus
 itself: what the rules find is a secret, other candidates and ordinary words are not.  Each
 secret is also shown in strange surroundings, as it is and in other letters, and each word
@@ -32,8 +32,11 @@ RULES = {
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 KINDS = (*RULES, "model")
 
-#: What the network looks at: runs of these characters that hold more than plain letters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: What the network looks at: runs of these characters, but for words in one case or with a capital, also joined, unless they are long and MIXED.
+LEAST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST)
+PLAIN = re.compile(r"[+/_=.-]*(?:(?:[A-Z]?[a-z]{1,23}|[A-Z]{1,24})(?:[+/_=.-]+|\Z))*")
+LONG = 16
 MIXED = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9+/_=]|.*[a-z][A-Z])")
 LONG_WORD = re.compile(r"\S{8,}")
 
@@ -71,11 +74,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Key-like runs that no span found so far touches."""
+    """Key-like runs, and the pieces of them on either side of spans found so far."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if MIXED.match(m[0]) and not any(s < m.end() and m.start() < e for _, s, e, _ in taken):
-            found.append(m.span())
+        at, pieces = m.start(), []
+        for _, s, e, _ in taken:  # in order of their starts
+            if s < m.end() and at < e:
+                pieces.append((at, s))
+                at = max(at, e)
+        for start, end in [*pieces, (at, m.end())]:
+            piece = text[start:end]
+            if len(piece) >= LEAST and (not PLAIN.fullmatch(piece) or len(piece) >= LONG and MIXED.match(piece)):
+                found.append((start, end))
     return found
 
 
