@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled documents of each language that a fit reads, on average of the hash, and languages and trigrams kept.
@@ -127,7 +127,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     """Count trigrams of about ``fit_documents`` documents of each language (all, where there are fewer).
 
     Documents are drawn by a hash of id and text.  Rows without text or label are left out.  The counts of
-    the ``most_languages`` commonest labels and the commonest trigrams reach the driver.
+    the ``most_languages`` commonest labels and of the trigrams that rank highest within any of
+    them reach the driver, so that rare languages keep theirs; further labels are never predicted.
     Without labelled rows the mixture has no language.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
@@ -149,10 +150,12 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
             for lang, grams in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams), pa.int64()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counted = drawn.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("gram").agg(
-        F.sum("n").alias("n"), *(F.sum(F.when(F.col("lang") == r[0], F.col("n")).otherwise(0)).alias(f"l{i}") for i, r in enumerate(sizes))
+    counted = drawn.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))  # one row for each trigram of a language
+    pivoted = ranked.groupBy("gram").agg(
+        F.min("place").alias("place"), *(F.sum(F.when(F.col("lang") == r[0], F.col("n")).otherwise(0)).alias(f"l{i}") for i, r in enumerate(sizes))
     )
-    rows = counted.orderBy(F.desc("n"), "gram").limit(MOST_TRIGRAMS).collect()
+    rows = pivoted.orderBy("place", "gram").limit(MOST_TRIGRAMS).collect()
     table = np.array([r[2:] for r in rows], float).reshape(len(rows), len(sizes)) + SMOOTHING
     totals = np.array([r[1] for r in sizes], float)
     return Mixture([r[0] for r in sizes], np.array([r[0] for r in rows], np.int64), np.log(table / table.sum(axis=0)), totals / totals.sum())

@@ -145,6 +145,20 @@ def test_a_document_in_two_languages(spark, mixture):
     assert [x for x, _ in mixture.proportions(de)] == ["de"]
 
 
+def test_a_rare_language_keeps_its_trigrams(spark, monkeypatch):
+    draw = np.random.RandomState(4)
+
+    def words(letters: str, n: int) -> str:
+        return " ".join("".join(draw.choice(list(letters), 5)) for _ in range(n))
+
+    rows = [(i, words("abcdefghijklm", 200), "one") for i in range(40)] + [(100 + i, words("nopqrstuvwxyz", 200), "two") for i in range(40)] + [(200 + i, words("אבגד", 6), "rare") for i in range(5)]
+    monkeypatch.setattr(language, "MOST_TRIGRAMS", 300)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.grams) == 300
+    for letters, want in (("אבגד", "rare"), ("abcdefghijklm", "one"), ("nopqrstuvwxyz", "two")):
+        assert model.proportions(words(letters, 30))[0][0] == want
+
+
 def test_estimated_proportions_are_the_best(mixture):
     """No other mixture of two languages is likelier."""
     draw = np.random.RandomState(2)
