@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import bpe, language, mixing, near_dedup, quality, secret_scan, sharding, sketches, token_counts, toxicity
+from fernweave.llm import bpe, divergence, hard_negatives, language, mixing, near_dedup, quality, secret_scan, sharding, simhash, sketches, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -257,3 +257,74 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_documents(docs, bpe.share(spark, secret_scan.fit(docs)))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in secret_scan.RULES]
     return found.select("doc_id", *counts, F.sha2(_joined("spans", True).cast("binary"), 256).alias("base_sha256"), _joined("spans", False).alias("spans"))
+
+
+@query("""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every text and the group of those within four bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir))
+    return found.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query("""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), o AS (
+    SELECT rid, lang, source, term, count(*)::BIGINT AS n FROM (SELECT rid, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL
+), k AS (
+    SELECT lang, term FROM o GROUP BY ALL HAVING count(*) >= 30
+), vs AS (
+    SELECT lang, count(*) AS v FROM k GROUP BY ALL
+), g AS (
+    SELECT DISTINCT lang, source FROM d
+), c AS (
+    SELECT lang, source, term, sum(n)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY ALL
+), f AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+    SELECT lang, source, term, n, (1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT)::BIGINT AS p FROM f JOIN vs USING (lang)
+), u AS (
+    SELECT lang, term, sum(n)::HUGEINT AS n FROM f GROUP BY ALL
+), q AS (
+    SELECT lang, term, (1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT)::BIGINT AS q FROM u JOIN vs USING (lang)
+), r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+        ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+""")
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from the others of its language, and the terms it has more of."""
+    return divergence.audit(table(spark, sf_dir))
