@@ -6,10 +6,10 @@ import math
 import random
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values of each column drawn in a pass, on average; a range of at most this many is drawn whole.
+#: Values of each range drawn in a pass, on average; a range of at most this many is drawn whole.
 SAMPLE = 4000
 
 
@@ -29,73 +29,82 @@ def _between(first: object, second: object, share: float) -> object:
     return first + (second - first) * share
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[str, object]:
-    """The interpolated quantile of several numeric columns, None where a column has no value.
+def _split(df: DataFrame, column: str, within: tuple, a: object, b: object) -> list[Column]:
+    """Counts of a column's values inside the open range: below a, equal, between, equal to b, above b."""
+    x, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    low, high, first, last = (None if v is None else F.lit(v).cast(kind) for v in (*within, a, b))
+    inside = _inside(x, low, high)
+    return [F.count_if(inside & part) for part in (x < first, x == first, (x > first) & (x < last), (x == last) & (x != first), x > last)]
 
-    Every pass draws a bounded sample of each column's open range, takes two of the drawn
-    values that lie closely around the wanted rank, and counts the rows below and between
-    them.  The range shrinks by rows and not by value, so infinities and outliers do no harm;
-    values are compared in the column's own type.  A pass is two jobs for all columns
-    together, and the rows in question fall about twentyfold with each.
-    """
-    counts = df.agg(*(F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).first()
-    found: dict[str, object] = dict.fromkeys(columns)
-    ranks, open_ = {}, {}
-    for i, c in enumerate(columns):
-        if counts[i]:
-            position = q * (counts[i] - 1)
-            ranks[c] = (math.floor(position), position - math.floor(position))
-            open_[c] = (None, None, 0, counts[i])  # least and greatest value in question, rows below, rows inside
-    draw = random.Random(0)
-
-    def inside(c: str, low: object, high: object):
-        x = F.col(f"`{c}`")
-        above = x.isNotNull() if low is None else x >= F.lit(low).cast(df.schema[c].dataType)
-        return above if high is None else above & (x <= F.lit(high).cast(df.schema[c].dataType))
 
+def _inside(x: Column, low: Column | None, high: Column | None) -> Column:
+    above = x.isNotNull() if low is None else x > low
+    return above if high is None else above & (x < high)
+
+
+def select_ranks(df: DataFrame, counts: dict[str, int], wanted: list[tuple[str, int]], sample: int = SAMPLE) -> tuple[dict, int]:
+    """Values at the given ranks (column, rank from 0), and the passes it took.
+
+    ``counts`` has each column's filled rows.  The open range of a rank lies strictly between
+    two values.  A pass draws about ``sample`` rows of it, takes two drawn values closely
+    around the rank as cuts, and counts the rows below, equal to the first, between, equal to
+    the second, and above.  A rank that falls on a cut is found, however many rows are equal;
+    otherwise the cuts drop out, so every pass shortens the range, in rows about twentyfold.
+    """
+    found: dict[tuple[str, int], object] = {}
+    open_ = {(c, r): (None, None, 0, counts[c]) for c, r in wanted}  # least and greatest value outside, rows below, rows inside
+    draw, passes = random.Random(0), 0
     while open_:
-        names = list(open_)
+        passes += 1
+        ranges = {(c, below, n): (low, high) for (c, _), (low, high, below, n) in open_.items()}
         picks = []
-        for i, c in enumerate(names):
-            low, high, _, n = open_[c]
-            taken = inside(c, low, high) if n <= SAMPLE else inside(c, low, high) & (F.rand(draw.getrandbits(30)) < SAMPLE / n)
-            picks.append(F.when(taken, F.col(f"`{c}`")).alias(f"s{i}"))
-        drawn = df.select(*picks).agg(*(F.collect_list(f"s{i}").alias(f"s{i}") for i in range(len(names)))).first()
-        cuts = {}
-        for i, c in enumerate(names):
-            low, high, below, n = open_[c]
-            values, (rank, share) = sorted(drawn[i], key=_order), ranks[c]
-            if n <= SAMPLE:
-                at = rank - below
-                found[c] = _between(values[at], values[at + 1] if share else values[at], share)
-                del open_[c]
+        for i, ((c, _, n), (low, high)) in enumerate(ranges.items()):
+            x, kind = F.col(f"`{c}`"), df.schema[c].dataType
+            taken = _inside(x, *(None if v is None else F.lit(v).cast(kind) for v in (low, high)))
+            if n > sample:
+                taken = taken & (F.rand(draw.getrandbits(30)) < sample / n)
+            picks.append(F.when(taken, x).alias(f"s{i}"))
+        lists = df.select(*picks).agg(*(F.collect_list(f"s{i}").alias(f"s{i}") for i in range(len(picks)))).first()
+        drawn = {key: sorted(values, key=_order) for key, values in zip(ranges, lists)}
+        cuts: dict[tuple, tuple] = {}
+        for (c, rank), (low, high, below, n) in list(open_.items()):
+            values = drawn[c, below, n]
+            if n <= sample:
+                found[c, rank] = values[rank - below]
+                del open_[c, rank]
             elif values:
                 middle, spread = (rank - below) / n * len(values), 2 * math.sqrt(len(values)) + 2
-                cuts[c] = (values[max(0, int(middle - spread))], values[min(len(values) - 1, int(middle + spread))])
+                cuts[c, rank] = (values[max(0, int(middle - spread))], values[min(len(values) - 1, int(middle + spread))])
         if not cuts:
             continue
-        sums = []
-        for i, (c, (a, b)) in enumerate(cuts.items()):
-            low, high, _, _ = open_[c]
-            x, kind = F.col(f"`{c}`"), df.schema[c].dataType
-            sums.append(F.count_if(inside(c, low, high) & (x < F.lit(a).cast(kind))).alias(f"b{i}"))
-            sums.append(F.count_if(inside(c, a, b)).alias(f"m{i}"))
-        row = df.agg(*sums).first()
-        for i, (c, (a, b)) in enumerate(cuts.items()):
-            low, high, below, n = open_[c]
-            rank, share = ranks[c]
-            under, middle = row[2 * i], row[2 * i + 1]
-            first_in = below + under <= rank
-            last_in = rank + (share > 0) < below + under + middle
-            if first_in and last_in and a == b:
-                found[c] = a
-                del open_[c]
-            elif first_in and last_in:
-                open_[c] = (a, b, below + under, middle)
-            elif first_in:
-                open_[c] = (a, high, below + under, n - under)
-            # else a rare draw that missed below: draw again
-    return found
+        row = df.agg(*(part.alias(f"p{i}_{j}") for i, (key, ab) in enumerate(cuts.items()) for j, part in enumerate(_split(df, key[0], open_[key][:2], *ab)))).first()
+        for i, ((c, rank), (a, b)) in enumerate(cuts.items()):
+            low, high, below, _ = open_.pop((c, rank))
+            for part, ends in zip(row[5 * i : 5 * i + 5], ((low, a), (a, a), (a, b), (b, b), (b, high))):
+                if rank < below + part:
+                    break
+                below += part
+            if ends in ((a, a), (b, b)):
+                found[c, rank] = ends[0]
+            else:
+                open_[c, rank] = (*ends, below, part)
+    return found, passes
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[str, object]:
+    """The interpolated quantile of several numeric columns, None where a column has no value.
+
+    Values are compared in the column's own type, and ranges shrink by rows and not by value,
+    so ties, infinities and outliers do no harm.  A pass is two jobs for all columns together.
+    """
+    counts = df.agg(*(F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).first()
+    places = {c: q * (n - 1) for c, n in zip(columns, counts) if n}
+    wanted = [(c, r) for c, place in places.items() for r in {math.floor(place), math.ceil(place)}]
+    values, _ = select_ranks(df, dict(zip(columns, counts)), wanted)
+    return {
+        c: _between(values[c, math.floor(places[c])], values[c, math.ceil(places[c])], places[c] - math.floor(places[c])) if c in places else None
+        for c in columns
+    }
 
 
 def exact_quantile(df: DataFrame, column: str, q: float = 0.5) -> object:

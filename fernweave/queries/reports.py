@@ -83,8 +83,8 @@ def duplicate_total(t: Tables) -> DataFrame:
 
 _PROFILE = """
 SELECT '{c}' AS column_name, '{type}' AS data_type, count({c}) AS non_null_count, round(count({c}) * 100.0 / count(*), 2)::DOUBLE AS non_null_percentage,
- count(DISTINCT {c}) AS unique_count, (SELECT to_json(list(v ORDER BY v))::VARCHAR FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM part ORDER BY 1 LIMIT 5)) AS sample_values,
- {numbers} FROM part
+ count(DISTINCT {c}) AS unique_count, (SELECT to_json(list(v ORDER BY v))::VARCHAR FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {table} ORDER BY 1 LIMIT 5)) AS sample_values,
+ {numbers} FROM {table}
 """
 _NUMBERS = "min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DECIMAL(18,4)), 6)::DOUBLE AS mean, median({c})::DOUBLE AS median"
 _NO_NUMBERS = "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS median"
@@ -92,7 +92,7 @@ _NO_NUMBERS = "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, N
 
 @query(
     " UNION ALL ".join(
-        _PROFILE.format(c=c, type=k, numbers=(_NO_NUMBERS if k == "string" else _NUMBERS.format(c=c)))
+        _PROFILE.format(c=c, type=k, table="part", numbers=(_NO_NUMBERS if k == "string" else _NUMBERS.format(c=c)))
         for c, k in (("p_partkey", "bigint"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"))
     )
 )
@@ -101,6 +101,24 @@ def column_profile(t: Tables) -> DataFrame:
     return out.withColumn("mean", F.round("mean", 6))
 
 
+_ORDERS = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+    "is_open": "int", "is_late": "bigint",
+}
+
+
+@query(
+    """WITH flagged AS (SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate), CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS is_open, o_orderkey % 2 AS is_late FROM orders) """
+    + " UNION ALL ".join(
+        _PROFILE.format(c=c, type=k, table="flagged", numbers=(_NUMBERS.format(c=c) if k in ("bigint", "int", "double") else _NO_NUMBERS)) for c, k in _ORDERS.items()
+    )
+)
+def column_profile_all(t: Tables) -> DataFrame:
+    """Every column of a table, two flags among them, one of them split evenly."""
+    flagged = t.orders.withColumns({"is_open": F.when(F.col("o_orderstatus") == "O", 1).otherwise(0), "is_late": F.col("o_orderkey") % 2})
+    return agg.column_profile(flagged, list(_ORDERS)).withColumn("mean", F.round("mean", 6))
+
+
 _SKETCHED = """
 SELECT '{c}' AS column_name, '{type}' AS data_type, count({c}) AS non_null_count, round(count({c}) * 100.0 / count(*), 2)::DOUBLE AS non_null_percentage,
  min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}::DECIMAL(18,4)), 6)::DOUBLE AS mean, true AS distinct_within_error, true AS median_within_error FROM orders

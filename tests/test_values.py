@@ -189,6 +189,33 @@ def test_exact_quantile_of_infinities_nan_outliers_and_large_integers(spark):
     assert exact_quantile(df.where("nan is NULL"), "nan") is None
 
 
+@pytest.mark.parametrize(
+    "value",
+    ["id % 2", "if(id * 200 < 99 * 30000, 0, 1)", "if(id * 100 < 49 * 30000, 0, 1)", "if(id * 100 < 48 * 30000, 0, 1)", "7", "id % 3", "if(id < 15000, -1, id)",
+     "double(if(id % 2 = 0, 'NaN', '1'))", "if(id < 14999, double('-Infinity'), double('Infinity'))", "cast(id % 2 AS decimal(20,4)) / 3", "if(id < 15000, 0.0D, -0.0D)", "id DIV 10"],
+)
+def test_quantiles_of_ties_end_in_few_passes(spark, value):
+    """Flags, constants, even and nearly even splits: every pass drops both cut values."""
+    from fernweave.operators.quantiles import select_ranks
+
+    df = spark.range(30_000).selectExpr(f"{value} AS v")
+    order = lambda x: (x != x, 0 if x != x else x)
+    values = sorted((r["v"] for r in df.collect()), key=order)
+    ranks = [("v", r) for r in (0, 7_499, 14_999, 15_000, 29_999)]
+    found, passes = select_ranks(df, {"v": len(values)}, ranks, sample=500)
+    assert passes <= 5
+    assert [order(found[r]) for r in ranks] == [order(values[r]) for _, r in ranks]
+
+
+def test_profile_of_flag_columns_ends(spark):
+    from fernweave.operators.aggregates import column_profile, number_statistics
+
+    df = spark.range(20_000).selectExpr("id % 2 AS even", "if(id * 200 < 99 * 20000, 0, 1) AS near", "3 AS same")
+    medians = {r["column_name"]: r["median"] for r in column_profile(df).collect()}
+    assert medians == {"even": 0.5, "near": 1.0, "same": 3.0}
+    assert number_statistics(df, "even").first()["median"] == 0.5
+
+
 def test_jobs_of_a_profile_do_not_follow_the_columns(spark):
     from fernweave.operators.aggregates import column_profile
 
