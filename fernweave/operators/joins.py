@@ -2,9 +2,10 @@
 
 Join strategy is left to Catalyst and adaptive execution: a side is broadcast only when
 its measured size is below ``spark.sql.autoBroadcastJoinThreshold``, and hot keys are
-split by the skew-join rule.  That rule cannot split the side whose unmatched rows an
-outer join must keep, so outer joins over repeated keys are built from an inner join
-(both sides splittable) and anti joins against distinct keys.
+split by the skew-join rule.  That rule cannot split both sides of an outer join, so the
+heaviest keys of large sides are counted first: rows of all other keys take the plain outer
+join, which reads each side once and lets filters through to the scans; the few heavy keys
+take an inner join and anti joins, whose sides can be split.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernweave.config import Relationship
 from fernweave.operators.shape import prefixed_names
-from fernweave.session import stored
 
 
 class UnlinkedTablesError(ValueError):
@@ -35,6 +36,32 @@ def _with_nulls(df: DataFrame, other: DataFrame, columns: list[str]) -> DataFram
     return df.select(*[F.col(f"`{c}`") for c in df.columns], *absent).select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Rows from which a key counts as heavy, keys looked for, and bytes from which a side may hold any.
+HOT_ROWS = 1_000_000
+HOT_KEYS, TRACKED = 1000, 100_000
+HOT_BYTES = 256 << 20
+
+#: Key types whose equal values have equal hashes.
+_HASHED = (T.IntegralType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType)
+
+
+def _hashed(columns: list[str]) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+
+
+def hot_keys(df: DataFrame, columns: list[str]) -> set[int]:
+    """Hashes of the keys that hold ``HOT_ROWS`` rows or more: at most ``HOT_KEYS``.
+
+    One pass over the key columns with a sketch of bounded size; a frame that Spark estimates
+    below ``HOT_BYTES`` is not read, as one task can hold it all.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < HOT_BYTES:
+        return set()
+    keys = df.select(_hashed(columns).alias("h"), reduce(operator.and_, [F.col(f"`{c}`").isNotNull() for c in columns]).alias("known"))
+    top = keys.where("known").agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {TRACKED})")).first()[0]
+    return {entry["item"] for entry in top or [] if entry["count"] >= HOT_ROWS}
+
+
 def keyed_join(
     left: DataFrame,
     right: DataFrame,
@@ -43,11 +70,14 @@ def keyed_join(
     extra: str | None = None,
     right_unique: bool = False,
     left_unique: bool = False,
+    hot: set[int] | None = None,
 ) -> DataFrame:
     """Equi-join of two frames with disjoint column names.
 
     ``left_unique`` / ``right_unique`` say that a key occurs once on that side.  Then one
     outer join keeps the other side's rows and can still split that side's hot keys.
+    Otherwise an outer join treats the keys with the hashes ``hot`` apart, by default those
+    that ``hot_keys`` finds on either side; any set of hashes gives the same rows.
     """
     if not pairs:
         raise ValueError("a join needs at least one key pair")
@@ -56,25 +86,34 @@ def keyed_join(
     condition = reduce(operator.and_, [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in pairs])
     if extra:
         condition = condition & F.expr(extra)
-    columns = [*left.columns, *right.columns]
-
-    def keys(df: DataFrame, position: int) -> DataFrame:
-        return df if extra else df.select(*{f"`{p[position]}`" for p in pairs}).distinct()
-
-    keep_left, keep_right = how in ("left", "full"), how in ("right", "full")
-    main = "inner"
-    if keep_left and right_unique:
-        main, keep_left = "left", False
-    elif keep_right and left_unique:
-        main, keep_right = "right", False
-    out = left.join(right, condition, main)
-    if keep_left:
-        out = out.unionByName(_with_nulls(left.join(keys(right, 1), condition, "left_anti"), right, columns))
-    if keep_right:
-        out = out.unionByName(_with_nulls(right.join(keys(left, 0), condition, "left_anti"), left, columns))
+    if how == "inner" or how == "left" and right_unique or how == "right" and left_unique:
+        return left.join(right, condition, how)
+    here, there = ([p[i] for p in pairs] for i in (0, 1))
+    kinds = [(left.schema[a].dataType, right.schema[b].dataType) for a, b in pairs]
+    if any(a != b or not isinstance(a, _HASHED) for a, b in kinds):
+        hot = set()
+    elif hot is None:
+        hot = hot_keys(left, here) | hot_keys(right, there)
+    if not hot:
+        return left.join(right, condition, how)
+
+    is_hot = [_hashed(columns).isin(sorted(hot)) for columns in (here, there)]
+    out = left.where(~is_hot[0]).join(right.where(~is_hot[1]), condition, how)
+    left, right, columns = left.where(is_hot[0]), right.where(is_hot[1]), [*left.columns, *right.columns]
+    out = out.unionByName(left.join(right, condition))
+    if how in ("left", "full"):
+        others = right if extra else right.select(*map(_quoted, there)).distinct()
+        out = out.unionByName(_with_nulls(left.join(others, condition, "left_anti"), right, columns))
+    if how in ("right", "full"):
+        others = left if extra else left.select(*map(_quoted, here)).distinct()
+        out = out.unionByName(_with_nulls(right.join(others, condition, "left_anti"), left, columns))
     return out
 
 
+def _quoted(column: str) -> str:
+    return f"`{column}`"
+
+
 @dataclass(frozen=True)
 class MappedColumn:
     """Where a source column ended up."""
@@ -154,6 +193,29 @@ def with_actual_names(tables: dict[str, DataFrame], relationships: list[Relation
     return out
 
 
+class _Unified:
+    """Key columns that relationships make one, in the order of their joins."""
+
+    def __init__(self) -> None:
+        self.groups: list[list[tuple[str, str]]] = []  # first the column that names the group
+
+    def add(self, a: tuple[str, str], b: tuple[str, str]) -> list[tuple[str, str]]:
+        group = next((g for g in self.groups if a in g or b in g), None)
+        if group is None:
+            self.groups.append(group := [a, b])
+        group.extend(k for k in (a, b) if k not in group)
+        return group
+
+
+def related_columns(tables: dict[str, DataFrame], relationships: list[Relationship], strict: bool = True) -> list[MappedColumn]:
+    """Where ``join_related`` puts every source column; nothing is joined or read."""
+    _, steps = join_order(list(tables), with_actual_names(tables, relationships, strict))
+    unified = _Unified()
+    for _, r in steps:
+        unified.add((r.left_table, r.left_column), (r.right_table, r.right_column))
+    return _mapping(tables, unified.groups)
+
+
 def join_related(
     tables: dict[str, DataFrame], relationships: list[Relationship], default_how: str = "inner", strict: bool = True
 ) -> tuple[DataFrame, list[MappedColumn]]:
@@ -164,16 +226,16 @@ def join_related(
     clashing names get their table in front.  An unknown join type means
     ``default_how``, always with the result so far on the left.
 
-    An outer join of keys that may repeat on both sides reads its sides more than once.
-    From the second step on the result so far is stored below the shared folder first, so the
-    plan and the work grow in proportion to the tables, not with a power of them.
+    The result is one lazy plan.  Before an outer join of keys that may repeat on both sides,
+    heavy keys are looked for in the tables that hold them, if these are large.
     """
     start, steps = join_order(list(tables), with_actual_names(tables, relationships, strict))
     qualified = {t: df.select(*[F.col(f"`{c}`").alias(_q(t, c)) for c in df.columns]) for t, df in tables.items()}
     out = qualified[start]
-    groups: list[list[tuple[str, str]]] = []  # columns unified with each other, first the one that names them
+    unified = _Unified()
     key_of = {(t, c): _q(t, c) for t, df in tables.items() for c in df.columns}
     rows_repeat = False  # once a join may repeat rows, no key of the result so far is known to be unique
+    heavy: dict[tuple[str, str], set[int]] = {}
     for number, (new, r) in enumerate(steps):
         a, b = (r.left_table, r.left_column), (r.right_table, r.right_column)
         here, there = (a, b) if new == r.right_table else (b, a)
@@ -184,19 +246,22 @@ def join_related(
         old_unique = not rows_repeat and (one_left if new == r.right_table else one_right)
         rows_repeat = rows_repeat or not new_unique
         key = key_of[here]
-        once = how == "inner" or (how == "left" and new_unique) or (how == "right" and old_unique)
-        if number and not once:  # the join reads its left side more than once
-            out = stored(out, "joined")
-        out = keyed_join(out, qualified[new], [(key, key_of[there])], how, extra, new_unique, old_unique)
+        group = unified.add(a, b)
+        hot: set[int] | None = set()
+        if not (how == "inner" or how == "left" and new_unique or how == "right" and old_unique):
+            for table, column in (member for member in group if member in (here, there) or key_of[member] == key):
+                if (table, column) not in heavy:
+                    heavy[table, column] = hot_keys(tables[table], [column])
+                hot |= heavy[table, column]
+        out = keyed_join(out, qualified[new], [(key, key_of[there])], how, extra, new_unique, old_unique, hot)
         if how in ("right", "full"):  # the key may now be on the new side only
             out = out.withColumn(f"__key{number}", F.coalesce(F.col(f"`{key}`"), F.col(f"`{key_of[there]}`")))
             key = f"__key{number}"
-        group = next((g for g in groups if a in g or b in g), None)
-        if group is None:
-            groups.append(group := [a, b])
-        group.extend(k for k in (a, b) if k not in group)
         key_of.update(dict.fromkeys(group, key))
-    return _named_output(out, tables, groups, key_of)
+    mapping = _mapping(tables, unified.groups)
+    columns = [F.col(f"`{key_of[group[0]]}`").alias(next(m.output for m in mapping if (m.table, m.column) == group[0])) for group in unified.groups]
+    columns += [F.col(f"`{_q(m.table, m.column)}`").alias(m.output) for m in mapping if not m.is_unified]
+    return out.select(*columns), mapping
 
 
 def _qualified_condition(condition: str, tables: dict[str, DataFrame]) -> str:
@@ -204,26 +269,18 @@ def _qualified_condition(condition: str, tables: dict[str, DataFrame]) -> str:
     return re.sub(r"\b(\w+)\.(\w+)\b", lambda m: _q(*m.groups()) if m.group(1) in tables else m.group(0), condition)
 
 
-def _named_output(
-    joined: DataFrame, tables: dict[str, DataFrame], groups: list[list[tuple[str, str]]], key_of: dict[tuple[str, str], str]
-) -> tuple[DataFrame, list[MappedColumn]]:
+def _mapping(tables: dict[str, DataFrame], groups: list[list[tuple[str, str]]]) -> list[MappedColumn]:
+    """Output names: unified keys first, then the other columns of each table."""
     unified = {member for group in groups for member in group}
     key_names = [group[0][1] for group in groups]
     plain = {t: [c for c in df.columns if (t, c) not in unified] for t, df in tables.items()}
     names = prefixed_names({**plain, "": key_names})
-    columns: list[Column] = []
     mapping: list[MappedColumn] = []
     for group in groups:
         table, column = group[0]
         output = column if key_names.count(column) == 1 else f"{table}_{column}"
-        columns.append(F.col(f"`{key_of[group[0]]}`").alias(output))
         mapping += [MappedColumn(t, c, output, False, True) for t, c in group]
-    for table, cols in plain.items():
-        for c in cols:
-            output = names[table, c]
-            columns.append(F.col(f"`{_q(table, c)}`").alias(output))
-            mapping.append(MappedColumn(table, c, output, output != c, False))
-    return joined.select(*columns), mapping
+    return mapping + [MappedColumn(t, c, names[t, c], names[t, c] != c, False) for t, cols in plain.items() for c in cols]
 
 
 def unlinked_tables(tables: list[str], relationships: list[Relationship]) -> list[str]:

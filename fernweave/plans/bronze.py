@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fernweave.config import Relationship
 from fernweave.functions.paths import safe_name
-from fernweave.operators.joins import MappedColumn, connected_components, join_order, join_related
+from fernweave.operators.joins import MappedColumn, connected_components, join_order, join_related, related_columns
 from fernweave.operators.shape import add_asset_paths, lake_safe, select_columns, stamp_source
 from fernweave.sinks.snapshots import write_snapshot
 from fernweave.sinks.tables import run_groups
@@ -77,7 +77,10 @@ def group_mappings(
     frames: dict[str, DataFrame], plan: BronzePlan, columns: dict[str, list[str]] | None = None
 ) -> dict[str, list[MappedColumn]]:
     """Where every source column ends up, per group; nothing is read for it."""
-    return {g.name: build_group(frames, g, columns)[1] for g in plan.groups}
+    def chosen(group: BronzeGroup) -> dict[str, DataFrame]:
+        return {t: lake_safe(select_columns(frames[t], (columns or {}).get(t))) for t in group.tables}
+
+    return {g.name: related_columns(chosen(g), list(g.relationships)) for g in plan.groups}
 
 
 def group_links(plan: BronzePlan, mappings: dict[str, list[MappedColumn]]) -> list[Relationship]:

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.config import Relationship, SilverConfig
-from fernweave.operators.joins import join_related
-from fernweave.operators.predicates import FilterPhases, filter_rows, split_phases
+from fernweave.operators.joins import MappedColumn, join_related, related_columns
+from fernweave.operators.predicates import FilterPhases, filter_rows, resolve, split_phases
 from fernweave.operators.semantics import map_values, unify
 from fernweave.operators.sets import union_all_columns
 from fernweave.operators.shape import rename_clashes, stamp_silver, unify_asset_paths
@@ -52,23 +52,48 @@ def check_names(source_columns: Iterable[str], config: SilverConfig) -> None:
 
 
 def combine_sources(
-    tables: dict[str, DataFrame], relationships: list[Relationship] | None, default_how: str = "full"
+    tables: dict[str, DataFrame], relationships: list[Relationship] | None, default_how: str = "full", config: SilverConfig | None = None
 ) -> DataFrame:
-    """Join the sources along their links, or stack them when there are none."""
+    """Join the sources along their links, or stack them when there are none.
+
+    With ``config``, conditions of its early filter on unified keys are applied to every
+    source that holds the key: rows that are joined have equal keys, so no join type changes
+    its result.  Conditions on other columns are moved to their sources by Catalyst, as far
+    as the join types allow.  The whole filter is still to be applied to the result.
+    """
     if len(tables) == 1:
         return next(iter(tables.values()))
     if not relationships:
         return union_all_columns(list(tables.values()))
+    if config:
+        tables = _prefiltered(tables, related_columns(tables, relationships), config)
     return join_related(tables, relationships, default_how)[0]
 
 
+def _prefiltered(tables: dict[str, DataFrame], mapping: list[MappedColumn], config: SilverConfig) -> dict[str, DataFrame]:
+    """The sources without rows whose key fails a condition that all rows must meet."""
+    outputs = list(dict.fromkeys(m.output for m in mapping))
+    early = phases(outputs, config).before or {}
+    if early.get("logic", "AND").upper() != "AND":
+        return tables
+    tables = dict(tables)
+    for cond in early.get("conditions", []):
+        members = [m for m in mapping if m.is_unified and m.output == resolve(cond, outputs, config.column_ids)]
+        if len({tables[m.table].schema[m.column].dataType for m in members}) == 1:
+            for m in members:
+                own = {k: v for k, v in cond.items() if k not in ("column_id", "column")}
+                tables[m.table] = filter_rows(tables[m.table], {"conditions": [own | {"column_name": m.column}]})
+    return tables
+
+
 def combine_groups(
-    groups: dict[str, DataFrame], links: list[Relationship], default_how: str = "full", labels: dict[str, str] | None = None
+    groups: dict[str, DataFrame], links: list[Relationship], default_how: str = "full", labels: dict[str, str] | None = None,
+    config: SilverConfig | None = None,
 ) -> DataFrame:
     """Combine stored groups: clashing names get the group's label in front, provenance comes from the first."""
     keys = {c for r in links for c in (r.left_column, r.right_column)}
     frames, _ = rename_clashes([((labels or {}).get(n, n), df) for n, df in groups.items()], keys)
-    return combine_sources(dict(zip(groups, frames, strict=True)), links, default_how)
+    return combine_sources(dict(zip(groups, frames, strict=True)), links, default_how, config)
 
 
 def unify_and_transform(df: DataFrame, config: SilverConfig) -> DataFrame:
@@ -98,7 +123,7 @@ def unify_and_transform(df: DataFrame, config: SilverConfig) -> DataFrame:
     return result
 
 
-def phases(df: DataFrame, config: SilverConfig) -> FilterPhases:
+def phases(columns: list[str], config: SilverConfig) -> FilterPhases:
     """The configured filter, split by when each condition can be decided."""
     ids = {name: cid for cid, name in config.column_ids.items()}
     transformed = {s.column for s in config.transformations}
@@ -110,7 +135,7 @@ def phases(df: DataFrame, config: SilverConfig) -> FilterPhases:
         [g.name for g in config.groups],
         changed - {None},
         sources | {ids[c] for c in sources if c in ids},
-        df.columns,
+        columns,
     )
 
 
@@ -127,7 +152,7 @@ def transform(
 ) -> DataFrame:
     """Run the whole transformation on combined sources."""
     check_names(df.columns, config)
-    split = phases(df, config)
+    split = phases(df.columns, config)
     out = filter_rows(df, split.before, column_ids=config.column_ids)
     out = unify_and_transform(out, config)
     late = _late_ids(config)
@@ -154,7 +179,7 @@ def run_silver(
     """
     versions = {n: resolve_version(spark, path, version) for n, (path, version) in sources.items()}
     groups = {n: read_snapshot(spark, path, versions[n]) for n, (path, _) in sources.items()}
-    df = transform(combine_groups(groups, links, labels=labels), config, extractors, at)
+    df = transform(combine_groups(groups, links, labels=labels, config=config), config, extractors, at)
     return write_snapshot(df, target, config={"id": config.id, "sources": versions}, at=at)
 
 
@@ -162,9 +187,9 @@ def virtual_view(
     tables: dict[str, DataFrame], relationships: list[Relationship], config: SilverConfig, default_how: str = "full"
 ) -> DataFrame:
     """The same configuration as a view: joined, mapped and filtered on demand, without stamps."""
-    df = combine_sources(tables, relationships, default_how)
+    df = combine_sources(tables, relationships, default_how, config)
     check_names(df.columns, config)
-    split = phases(df, config)
+    split = phases(df.columns, config)
     out = unify_and_transform(filter_rows(df, split.before, column_ids=config.column_ids), config)
     return filter_rows(out, split.after_transform, column_ids=_late_ids(config))
 

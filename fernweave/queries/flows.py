@@ -68,7 +68,7 @@ def virtual_view(t: Tables) -> DataFrame:
 @query(FLAGSHIP_SQL.replace("SELECT * FROM changed", "SELECT *, 7 AS _transform_config_id FROM changed"))
 def silver_flagship(t: Tables) -> DataFrame:
     """Joined, filtered, mapped, changed and stamped; written as a snapshot and read back."""
-    result = silver.transform(silver.combine_sources(_sources(t), LINKS), FLAGSHIP, at=AT)
+    result = silver.transform(silver.combine_sources(_sources(t), LINKS, config=FLAGSHIP), FLAGSHIP, at=AT)
     path = t.scratch("silver")
     write_snapshot(result, path, config={"id": FLAGSHIP.id}, at=AT)
     return read_snapshot(t.spark, path).drop("_silver_timestamp")

@@ -160,9 +160,16 @@ def small_partitions(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.fixture
+def counted_keys(monkeypatch):
+    """Test data are large enough to be looked at, and 5000 rows make a key heavy."""
+    monkeypatch.setattr(joins, "HOT_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 5000)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
 @pytest.mark.parametrize("known", [True, False])
-def test_hot_keys_are_split_in_every_join(spark, skewed, small_partitions, how, known):
+def test_hot_keys_are_split_in_every_join(spark, skewed, small_partitions, counted_keys, how, known):
     """A requester with a third of the log is read by several tasks, also in outer joins."""
     people = spark.range(5, 105).select(F.col("id").alias("person"), F.col("id").cast("string").alias("name"))
     people = people.unionByName(spark.sql("SELECT 0L AS person, 'zero' AS name"))
@@ -178,6 +185,44 @@ def test_hot_keys_are_split_in_every_join(spark, skewed, small_partitions, how,
     assert {r["person"] for r in rows if r["seq"] is None} == (lonely if how in ("right", "full") else set())
 
 
+def test_heavy_keys_are_found(spark, skewed, counted_keys):
+    zero = spark.sql("SELECT xxhash64(0L) AS h").first()["h"]
+    assert joins.hot_keys(skewed, ["who"]) == {zero}
+    assert joins.hot_keys(skewed.select(F.lit(None).cast("long").alias("who")), ["who"]) == set()
+    joins.HOT_BYTES = 1 << 40
+    assert joins.hot_keys(skewed, ["who"]) == set()
+
+
+@FEW
+@given(left=ROWS, right=ROWS, how=st.sampled_from(["left", "right", "full"]), extra=st.booleans(), heavy=st.sets(st.sampled_from([1, 2, 3, 9])))
+def test_any_choice_of_heavy_keys_gives_the_same_rows(spark, left, right, how, extra, heavy):
+    """Also with a condition, by which rows of a matching key stay alone."""
+    a, b = spark.createDataFrame(left, "a int, x int"), spark.createDataFrame(right, "b int, y int")
+    hashes = {r["h"] for r in spark.createDataFrame([(k,) for k in heavy], "k int").selectExpr("xxhash64(k) AS h").collect()}
+    condition = "x < y" if extra else None
+    got = joins.keyed_join(a, b, [("a", "b")], how, condition, hot=hashes).collect()
+    plain = a.join(b, F.expr("a = b" + " AND x < y" * extra), how).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, plain))
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_a_heavy_key_with_a_condition_is_split(spark, skewed, small_partitions, counted_keys, how):
+    people = spark.sql("SELECT explode(array(0L, 0L, 5L, 500L)) AS person").withColumn("low", F.lit(30_000))
+    log = skewed.repartition(8).select("who", "seq", F.sha2(F.col("seq").cast("string"), 256).alias("pad"))
+    out = joins.keyed_join(log, people, [("who", "person")], how, "seq < low")
+    rows = out.collect()
+    assert "skew=true" in plan(out)
+    seqs = Counter(r["seq"] for r in rows if r["seq"] is not None)
+    hot = [i for i in range(60_000) if i % 3 == 0 or i % 97 == 0]
+    assert sum(seqs[i] for i in hot) == (2 * sum(i < 30_000 for i in hot) + (sum(i >= 30_000 for i in hot) if how != "right" else 0))
+    assert [r["person"] for r in rows if r["seq"] is None] == ([500] if how != "left" else [])
+
+
+def test_keys_of_unlike_types_are_not_taken_apart(spark, counted_keys):
+    a, b = spark.range(9).selectExpr("cast(id AS int) AS a"), spark.range(4, 12).selectExpr("id AS b")
+    assert joins.keyed_join(a, b, [("a", "b")], "full", hot={42}).count() == 12
+
+
 def test_catalog_merge_replaces_what_was_extracted_again(spark):
     from fernweave.sources.catalog import column_catalog, merge_catalog
 
