@@ -21,6 +21,26 @@ def offset_page(t: Tables) -> DataFrame:
     return paging.page(t.orders, paging.sort_keys(t.orders, [("o_totalprice", "desc"), ("o_orderkey", "asc")]), 200, 100)
 
 
+_DEEP = """
+SELECT * FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) BETWEEN (SELECT count(*) * 9 // 10 + 1 FROM orders) AND (SELECT count(*) * 9 // 10 + 100 FROM orders)
+"""
+
+
+@query(_DEEP)
+def deep_page(t: Tables) -> DataFrame:
+    """A page at nine tenths of the table, from the rows around it only."""
+    order = paging.sort_keys(t.orders, [("o_totalprice", "desc"), ("o_orderkey", "asc")])
+    return paging.page(t.orders, order, t.orders.count() * 9 // 10, 100, shallow=2000)
+
+
+@query(_DEEP)
+def ranked_page(t: Tables) -> DataFrame:
+    """The same page from a table kept in ranges of the order."""
+    order = paging.sort_keys(t.orders, [("o_totalprice", "desc"), ("o_orderkey", "asc")])
+    paging.write_ranked(t.orders, order, path := t.scratch("ranked"), 1000)
+    return paging.ranked_page(t.spark, path, order, t.orders.count() * 9 // 10, 100)
+
+
 @query("SELECT * FROM orders WHERE o_orderkey > 300 ORDER BY o_orderkey LIMIT 100")
 def keyset_page(t: Tables) -> DataFrame:
     return paging.page_after(t.orders, "o_orderkey", 300, 100)
