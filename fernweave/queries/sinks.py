@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.queries.registry import Tables, query
-from fernweave.sinks import snapshots, tables
+from fernweave.sinks import buckets, snapshots, tables
 from fernweave.sources.snapshots import commits, read_snapshot
 
 JAN = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -67,6 +67,17 @@ def upsert_by_key(t: Tables) -> DataFrame:
     return read_snapshot(t.spark, path)
 
 
+@query(f"""
+WITH {CHANGED_SQL} SELECT * FROM changed UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM changed)
+""")
+def upsert_in_buckets(t: Tables) -> DataFrame:
+    """The same upsert into a table in hash buckets, of which it rewrites those it touches."""
+    path = t.scratch("upsert-buckets")
+    buckets.upsert_buckets(t.customer, path, ["c_custkey"], buckets=16)
+    buckets.upsert_buckets(changed_customers(t.customer), path, ["c_custkey"])
+    return buckets.read_buckets(t.spark, path)
+
+
 @query(f"""
 WITH {CHANGED_SQL} SELECT n.c_custkey, coalesce(o.c_name, NULL) AS c_name, coalesce(o.c_nationkey, NULL) AS c_nationkey, n.c_acctbal, coalesce(o.c_mktsegment, NULL) AS c_mktsegment
  FROM changed n LEFT JOIN customer o ON n.c_custkey = o.c_custkey

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.queries.registry import Tables, query
+from fernweave.sinks.buckets import read_buckets, upsert_buckets
 from fernweave.sources.snapshots import read_snapshot
 from fernweave.streaming import ingest
 
@@ -25,20 +26,37 @@ def incremental_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).drop("_batch_id", "_extraction_timestamp")
 
 
-@query("SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+_LATEST = "SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def _updates(t: Tables, path: str) -> None:
+    """The latest events of each batch by user, over several batches, the newest files first."""
+    events, folder = t.events.withColumn("ts", F.col("ts").cast("timestamp")), t.scratch("arrivals")
+    events.repartitionByRange(6, F.col("ts").desc()).write.parquet(folder)
+    stream = ingest.file_stream(t.spark, folder, events.schema, 2)
+    ingest.stream_upsert(stream, path, t.scratch("checkpoint"), ["user_id"], ["ts", "event_id"]).awaitTermination()
+
+
+@query(_LATEST)
 def streaming_upsert(t: Tables) -> DataFrame:
-    """The latest event of every user over several batches, the newest files first, folded into a table."""
-    path, table, keys = t.scratch("updates"), t.scratch("latest"), ["user_id"]
-    by_time = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    first, folder = F.lit("2024-01-15").cast("timestamp"), t.scratch("arrivals")
-    by_time.where(F.col("ts") >= first).coalesce(1).write.parquet(folder)
-    by_time.where(F.col("ts") < first).coalesce(1).write.mode("append").parquet(folder)
-    stream = ingest.file_stream(t.spark, folder, by_time.schema, 1)
-    ingest.stream_upsert(stream, path, t.scratch("checkpoint"), keys, ["ts", "event_id"]).awaitTermination()
-    ingest.fold_updates(t.spark, path, table, keys, ["ts", "event_id"])
+    """The latest event of every user over several batches, folded into a versioned table."""
+    path, table = t.scratch("updates"), t.scratch("latest")
+    _updates(t, path)
+    ingest.fold_updates(t.spark, path, table, ["user_id"], ["ts", "event_id"])
     return read_snapshot(t.spark, table)
 
 
+@query(_LATEST)
+def streaming_fold(t: Tables) -> DataFrame:
+    """The same folded into buckets, once with the first batches and once with those that came since."""
+    path, table = t.scratch("updates"), t.scratch("latest-buckets")
+    _updates(t, path)
+    early = ingest._latest_of(t.spark, path, ingest.new_batches(t.spark, path)[:1], ["user_id"], ["ts", "event_id"])
+    upsert_buckets(early, table, ["user_id"], ["ts", "event_id"], 8)
+    ingest.fold_new_batches(t.spark, path, table, ["user_id"], ["ts", "event_id"])
+    return read_buckets(t.spark, table)
+
+
 _WINDOWS = """
 WITH s AS (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '55 minutes', time_bucket(INTERVAL '5 minutes', ts), INTERVAL '5 minutes')) AS window_start FROM events)
 SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, user_id, count(*) AS requests FROM s GROUP BY 1, 2, 3

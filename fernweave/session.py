@@ -69,3 +69,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def matching_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files and folders that a path pattern matches."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [f.getPath().getName() for f in found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []]

@@ -28,8 +28,9 @@ def _claim_version(spark: SparkSession, path: str) -> int:
     """The next version number, taken by creating its file; a writer that finds it taken tries the next.
 
     File systems that create files atomically never give one number to two writers; on a local
-    disk, which does not, writers of one process take turns.  A writer that dies leaves its
-    number unused.
+    disk, which does not, writers of one process take turns.  Where a store lets two writers
+    have one number, each still has its own folder, and the later commit is read.  A writer
+    that dies leaves its number unused.
     """
     version = commits(spark, path).agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -49,11 +50,11 @@ def _claim_version(spark: SparkSession, path: str) -> int:
     return version
 
 
-def _log(spark: SparkSession, path: str, row: dict) -> None:
-    """Append one commit row, in a folder of its own so that writers do not share one while writing."""
+def _log(spark: SparkSession, path: str, rows: list[dict]) -> None:
+    """Append commit rows in one write, in a folder of its own so that writers do not share one while writing."""
     fields = T.StructType.fromDDL(COMMIT_SCHEMA)
-    values = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in fields]
-    spark.range(1, numPartitions=1).select(*values).write.parquet(f"{path}/_commits/{uuid.uuid4().hex}")
+    data = [tuple(row.get(f.name) for f in fields) for row in rows]
+    spark.createDataFrame(data, fields).coalesce(1).write.parquet(f"{path}/_commits/{uuid.uuid4().hex}")
 
 
 def sized(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -86,15 +87,15 @@ def write_snapshot(
     seen = Observation()
     out = sized(df, partition_by) if resize or partition_by else df
     out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
-    folder = f"{path}/_version={version}"
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
-    stored = list_files(spark, folder, "*.parquet").agg(F.count("*").alias("n"), F.sum("length").alias("size")).first()
+    folder = f"_data/{version}-{uuid.uuid4().hex}"  # its own, should two writers ever get one number
+    writer = out.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{folder}")
+    stored = list_files(spark, f"{path}/{folder}", "*.parquet").agg(F.count("*").alias("n"), F.sum("length").alias("size")).first()
     files, size = stored["n"], stored["size"] or 0
     when = at or dt.datetime.now(dt.timezone.utc)
     rows = seen.get["rows"]
-    commit = {"version": version, "committed_at": when, "operation": operation, "rows": rows, "files": files, "bytes": size}
-    _log(spark, path, {**commit, "schema": df.schema.json(), "config": json.dumps(config) if config else None})
+    commit = {"version": version, "committed_at": when, "operation": operation, "rows": rows, "files": files, "bytes": size, "folder": folder}
+    _log(spark, path, [{**commit, "schema": df.schema.json(), "config": json.dumps(config) if config else None}])
     return Commit(version, rows, files, size)
 
 
@@ -110,12 +111,17 @@ def write_if_changed(df: DataFrame, path: str, key: str, fields: list[str], **kw
     return write_snapshot(df, path, **kwargs)
 
 
-def _check_keys(df: DataFrame, keys: list[str], repeated: bool) -> None:
-    """Raise on NULL keys and, if asked, on keys that occur twice."""
-    missing = reduce(operator.or_, [F.col(k).isNull() for k in keys])
-    if not df.where(missing).isEmpty():
+def check_keys(df: DataFrame, keys: list[str], repeated: bool) -> None:
+    """Raise on NULL keys and, if asked, on keys that occur twice; one job."""
+    missing = F.coalesce(F.bool_or(reduce(operator.or_, [F.col(k).isNull() for k in keys])), F.lit(False)).alias("missing")
+    if repeated:
+        counted = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("_n"))
+        row = counted.agg(missing, F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
+    else:
+        row = df.agg(missing, F.lit(1).alias("most")).first()
+    if row["missing"]:
         raise ValueError(f"NULL in the key {keys}")
-    if repeated and not df.groupBy(*keys).count().where("count > 1").isEmpty():
+    if repeated and row["most"] > 1:
         raise ValueError(f"repeated keys {keys} need a sequence")
 
 
@@ -128,7 +134,7 @@ def upsert(df: DataFrame, path: str, keys: list[str], sequence: list[str] | None
     table without the key columns, starts from the new rows alone.
     """
     spark = df.sparkSession
-    _check_keys(df, keys, repeated=sequence is None)
+    check_keys(df, keys, repeated=sequence is None)
     fresh = keep_last(df, keys, sequence) if sequence else df
     try:
         current = read_snapshot(spark, path)
@@ -176,6 +182,6 @@ def expire(spark: SparkSession, path: str, now: dt.datetime | None = None, reten
     gone = {r["version"] for r in log.where("operation = 'expire'").select("version").collect()}
     old = expired_versions(log.where("operation != 'expire'"), now, retention).select("version").collect()
     versions = sorted({r["version"] for r in old} - gone)
-    for version in versions:
-        _log(spark, path, {"version": version, "committed_at": now, "operation": "expire"})
+    if versions:
+        _log(spark, path, [{"version": version, "committed_at": now, "operation": "expire"} for version in versions])
     return versions

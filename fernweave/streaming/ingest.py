@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fernweave.functions.arrays import explode_array
 from fernweave.operators.sets import keep_last
+from fernweave.sinks.buckets import BUCKETS, is_bucketed, read_buckets, upsert_buckets
 from fernweave.sinks.snapshots import upsert
-from fernweave.session import path_exists
+from fernweave.session import matching_names, path_exists
 from fernweave.sources.snapshots import Commit, read_snapshot
 
 
@@ -24,19 +25,26 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
     return reader.parquet(folder)
 
 
+def _mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True).close()
+
+
 def _claim(spark: SparkSession, path: str, checkpoint: str) -> None:
     """Mark a folder as filled from this checkpoint; raise if another one has filled it.
 
     Batch numbers start again with a new checkpoint, so its batches would replace stored ones.
+    The marks are looked at again after one's own is set, so of two that start at once not both
+    go on.
     """
     mark = "_checkpoint-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = [f.getPath().getName() for f in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_checkpoint-*")) or []]
-    if any(m != mark for m in marks):
+    if mark not in (marks := matching_names(spark, f"{path}/_checkpoint-*")):
+        if not marks:
+            _mark(spark, f"{path}/{mark}")
+        marks = matching_names(spark, f"{path}/_checkpoint-*")
+    if marks != [mark]:
         raise ValueError(f"{path} was filled from another checkpoint; use that one, or another folder")
-    if not marks:
-        files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{mark}"), True).close()
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, dataset_id: int) -> StreamingQuery:
@@ -96,6 +104,47 @@ def fold_updates(spark: SparkSession, path: str, table: str, keys: list[str], se
     return upsert(fresh, table, keys)
 
 
+def new_batches(spark: SparkSession, path: str) -> list[int]:
+    """Finished batches of :func:`stream_upsert` that :func:`fold_new_batches` has not merged yet."""
+    folded = max((int(n) for n in matching_names(spark, f"{path}/_folded/*")), default=-1)
+    done = {n for n in matching_names(spark, f"{path}/_batch_id=*") if path_exists(spark, f"{path}/{n}/_SUCCESS")}
+    return sorted(b for b in (int(n.split("=")[1]) for n in done) if b > folded)
+
+
+def _latest_of(spark: SparkSession, path: str, batches: list[int], keys: list[str], sequence: list[str]) -> DataFrame:
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/_batch_id={b}" for b in batches])
+    values = [c for c in rows.columns if c not in (*keys, "_batch_id")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*sequence, "_batch_id")).alias("_l"))
+    return latest.select(*keys, *[F.col(f"_l.{v}").alias(v) for v in values])
+
+
+def fold_new_batches(spark: SparkSession, path: str, table: str, keys: list[str], sequence: list[str] = (), buckets: int = BUCKETS) -> list[int]:
+    """Merge the batches that came since the last fold into a bucketed table; returns their numbers.
+
+    Only these batches are read and only the buckets of their keys rewritten.  A fold that
+    dies is done again with the next one, to the same effect: rows are ordered by
+    ``sequence``, without it the later batch wins.  Merged batches are marked, not removed.
+    """
+    batches = new_batches(spark, path)
+    if batches:
+        upsert_buckets(_latest_of(spark, path, batches, keys, sequence), table, keys, list(sequence) or None, buckets)
+        _mark(spark, f"{path}/_folded/{batches[-1]}")
+    return batches
+
+
+def read_current(spark: SparkSession, path: str, table: str, keys: list[str], sequence: list[str] = ()) -> DataFrame:
+    """The last row of every key: the bucketed table, and over it the batches not merged yet."""
+    batches = new_batches(spark, path)
+    if not is_bucketed(spark, table):
+        return _latest_of(spark, path, batches, keys, sequence)
+    held = read_buckets(spark, table)
+    if not batches:
+        return held
+    fresh = _latest_of(spark, path, batches, keys, sequence).withColumn("_new", F.lit(1))
+    both = fresh.unionByName(held.withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    return keep_last(both, keys, [*sequence, "_new"]).drop("_new")
+
+
 def rate_windows(
     log: DataFrame, who: str, at: str, window: str = "1 hour", slide: str = "5 minutes", lateness: str = "10 minutes"
 ) -> DataFrame:
