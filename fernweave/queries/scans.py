@@ -66,10 +66,11 @@ def _mixed_files(t: Tables) -> tuple[DataFrame, DataFrame]:
     left = t.supplier.where("s_suppkey % 2 = 0").select(F.concat_ws(";", "s_suppkey", name).alias("line"), F.col("s_suppkey").alias("at"))
     surplus = F.when(F.col("s_suppkey") % 5 == 0, F.lit("more"))
     right = t.supplier.where("s_suppkey % 2 = 1").select(F.concat_ws(",", "s_name", "s_suppkey", surplus).alias("line"), F.col("s_suppkey").alias("at"))
-    folder = t.scratch("csv-mixed")
+    folder, parts = t.scratch("csv-mixed"), 1 + t.supplier.count() // 500
     for rows, header in ((left, "s_suppkey;s_name"), (right, "s_name,s_suppkey")):
-        first = t.spark.range(1).select(F.lit(header).alias("line"), F.lit(-1).cast("long").alias("at"))
-        first.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("line").write.mode("append").text(folder)
+        firsts = t.spark.range(parts).select(F.lit(header).alias("line"), F.lit(-1).cast("long").alias("at"), F.col("id").alias("part"))
+        dealt = firsts.unionByName(rows.withColumn("part", F.col("at") % parts)).repartition(parts, "part").sortWithinPartitions("part", "at")
+        dealt.select("line", "part").write.partitionBy("part").mode("append").text(folder)
     return files.read_csv_tolerant(t.spark, folder)
 
 

@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernweave.session import stored
+
 SEPARATORS = (",", ";", "\t", "|")
 CORRUPT = "_corrupt_record"
 
+#: First lines of a file by which its separator is chosen.
+SAMPLED = 20
+
 # File extensions that count as images.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp")
 
 
 def vote_separator(lines: list[str]) -> str:
-    """The separator that splits most of the sampled lines into the same number of fields."""
+    """The separator that splits most of the lines at hand into the same number of fields; :func:`_separators` for files."""
     def score(sep: str) -> tuple[int, int]:
         counts = [line.count(sep) for line in lines if line]
-        common = max(set(counts), key=counts.count) if counts else 0
-        return (counts.count(common) if common else 0, common)
+        same, common = max(((counts.count(n), n) for n in counts), default=(0, 0))
+        return (same if common else 0, common)
 
     return max(SEPARATORS, key=score)
 
 
 def _fields(line: Column, sep: str) -> Column:
-    """Number of fields of a line; separators inside quotes do not count."""
+    """Number of fields of a record; separators inside quotes do not count."""
     plain = F.regexp_replace(line, '"[^"]*"', "")
     return F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
 
@@ -35,27 +42,86 @@ def _quotes(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
 
 
+def _separators(lines: DataFrame, sampled: int = SAMPLED) -> DataFrame:
+    """(file, sep): for each file the separator that splits most of its first lines into the same number of fields."""
+    order = Window.partitionBy("file").orderBy("start", "place")
+    first = lines.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sampled)
+    choices = F.array(*(F.struct(F.lit(s).alias("sep"), (_fields(F.col("value"), s) - 1).alias("n"), F.lit(-i).alias("rank")) for i, s in enumerate(SEPARATORS)))
+    counted = first.select("file", F.explode(choices).alias("c")).select("file", "c.*").groupBy("file", "sep", "rank", "n").agg(F.count("*").alias("same"))
+    common = counted.groupBy("file", "sep", "rank").agg(F.max(F.struct("same", "n")).alias("m"))
+    score = F.struct(F.when(F.col("m.n") > 0, F.col("m.same")).otherwise(0).alias("same"), "m.n", "rank")
+    return common.groupBy("file").agg(F.max_by("sep", score).alias("sep"))
+
+
+def _odd_lines(lines: DataFrame, sep: str) -> DataFrame:
+    """Lines with an odd number of quotes: (file, start, place, opens, closes).
+
+    ``opens`` is the number of separators before a last quote that begins a field, ``closes``
+    that after a first quote that ends one; NULL where the quote does not.
+    """
+    line, s = F.col("value"), re.escape(sep)
+    inner = '[^"]*+(?:""[^"]*+)*+'
+    before = F.regexp_replace(F.regexp_replace(line, f'"{inner}"(?=({s}|$))', ""), '"[^"]*+$', "")
+    after = F.regexp_replace(F.regexp_replace(line, f'^{inner}"', ""), f'"{inner}"', "")
+    count = lambda text: F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
+    opens = F.when(F.rlike(line, F.lit(f'(^|{s}) *"{inner}$')), count(before))
+    closes = F.when(F.rlike(line, F.lit(f'^{inner}" *({s}|$)')), count(after))
+    return lines.where(_quotes(line) % 2 == 1).select("file", "start", "place", opens.alias("opens"), closes.alias("closes"))
+
+
+def _windows() -> tuple[Window, Window, Window]:
+    """Lines of a block, blocks of a file (one row each), and the blocks before one."""
+    files = Window.partitionBy("file").orderBy("start")
+    return Window.partitionBy("file", "start").orderBy("place"), files, files.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _turns(odd: DataFrame, width: int) -> DataFrame:
+    """Where records that a quoted line break has cut begin and end: (file, start, place, turn), turn 1 or -1.
+
+    An odd line opens such a record if the next odd line of its file closes a field and both
+    together have no more fields than the file's records; of several such lines in a row every
+    other one opens.  Blocks are looked at on their own; of the blocks before and behind they
+    need one row each.
+    """
+    block, files, past = _windows()
+    blocks = odd.groupBy("file", "start").agg(F.min_by(F.struct("closes"), "place").alias("f"), F.count("*").alias("n"))
+    blocks = blocks.select("file", "start", F.lead("f").over(files).alias("next"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("base"))
+    closing = F.coalesce(F.lead(F.struct("closes")).over(block), F.col("next"))["closes"]
+    paired = odd.join(blocks, ["file", "start"]).select(
+        "file", "start", "place", (F.col("base") + F.row_number().over(block)).alias("number"), F.coalesce(F.col("opens") + closing < width, F.lit(False)).alias("pair")
+    )
+    lone = F.max(F.when(~F.col("pair"), F.col("number")))
+    carried = paired.groupBy("file", "start").agg(lone.alias("m")).select("file", "start", F.coalesce(F.max("m").over(past), F.lit(0)).alias("past"))
+    last = F.greatest(F.coalesce(lone.over(block), F.lit(0)), F.col("past"))
+    opening = paired.join(carried, ["file", "start"]).withColumn("last", last).where(F.col("pair") & ((F.col("number") - F.col("last")) % 2 == 1))
+    closed = paired.join(opening.select("file", (F.col("number") + 1).alias("number")), ["file", "number"])
+    return opening.select("file", "start", "place", F.lit(1).alias("turn")).union(closed.select("file", "start", "place", F.lit(-1)))
+
+
 def _stitched(lines: DataFrame, sep: str, width: int) -> DataFrame:
-    """Lines (value, file, place) with records that a quoted line break had cut put together again.
+    """Values of the lines (value, file, start, place), cut records put together again.
 
-    A line with an odd number of quotes opens such a record if the next odd line of its file
-    has fewer fields than the file's records, and is thus no record itself.  Only files with
-    odd lines are put in order; each of them by one task.
+    Numbers of odd lines are stored first.  The lines of a large file are put in order block
+    by block, by as many tasks; a record left open goes on in the next block.
     """
-    line = F.col("value")
-    odd = lines.withColumn("_odd", _quotes(line) % 2 == 1)
-    damaged = odd.where("_odd").select("file").distinct()
-    marked = odd.where("_odd").withColumn("_part", _fields(line, sep) < width)
-    order = Window.partitionBy("file").orderBy("place")
-    after, before = F.lead("_part").over(order), F.lag("_part").over(order)
-    marked = marked.select("file", "place", (~F.col("_part") & F.coalesce(after, F.lit(False))).alias("_opens"), (F.col("_part") & F.coalesce(~before, F.lit(False))).alias("_closes"))
-    flagged = odd.join(damaged, "file", "left_semi").join(marked, ["file", "place"], "left")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.coalesce(F.sum(F.coalesce(F.col("_opens").cast("int"), F.lit(0)) - F.coalesce(F.col("_closes").cast("int"), F.lit(0))).over(past), F.lit(0))
-    numbered = flagged.withColumn("_new", (depth == 0).cast("int")).withColumn("_record", F.sum("_new").over(order))
-    parts = numbered.groupBy("file", "_record").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("p"))
-    whole = parts.select(F.array_join("p.value", "\n").alias("value"), "file", F.col("p")[0]["place"].alias("place"))
-    return odd.join(damaged, "file", "left_anti").select("value", "file", "place").unionByName(whole)
+    odd = stored(_odd_lines(lines, sep), "odd-lines")
+    if odd.isEmpty():
+        return lines.select("value")
+    turns = stored(_turns(odd, width), "turns")
+    cut = turns.select("file").distinct()
+    broken = lines.join(cut, "file", "left_semi")
+    block, _, past = _windows()
+    sums = broken.select("file", "start").distinct().join(
+        turns.groupBy("file", "start").agg(F.sum("turn").alias("sum"), F.max(F.when(F.col("turn") == 1, F.struct("start", "place"))).alias("last")), ["file", "start"], "left"
+    )
+    carried = sums.select("file", "start", F.coalesce(F.sum("sum").over(past), F.lit(0)).alias("open"), F.last("last", True).over(past).alias("owner"))
+    placed = broken.join(turns, ["file", "start", "place"], "left").join(carried, ["file", "start"])
+    depth = F.col("open") + F.coalesce(F.sum("turn").over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opener = F.coalesce(F.last(F.when(F.col("turn") == 1, F.struct("start", "place")), True).over(block), F.col("owner"))
+    record = placed.select("value", "file", "start", "place", F.when((depth > 0) | (F.col("turn") == 1), opener).alias("record"))
+    parts = record.where("record IS NOT NULL").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", "place", "value"))).alias("p"))
+    alone = lines.join(cut, "file", "left_anti").select("value").union(record.where("record IS NULL").select("value"))
+    return alone.union(parts.select(F.array_join("p.value", "\n")))
 
 
 def _parsed(lines: DataFrame, names: list[str], sep: str) -> tuple[DataFrame, DataFrame]:
@@ -75,27 +141,30 @@ def read_csv_tolerant(
 ) -> tuple[DataFrame, DataFrame]:
     """CSV files, repaired line by line; returns (rows, rejected lines).
 
-    Each file starts with its own header line and may have its own separator, unless
-    ``header`` gives the one that all lack.  Columns are matched by name; a file without a
-    column has NULL there.  A quoted line break belongs to its field.  A line with an odd
-    number of quotes gets a closing one; a line with too many fields is rejected, one with
-    too few is filled with NULL.  Only the different headers, with a few lines of one file
-    each, come to the driver.
+    The first filled line of each file is its header, unless ``header`` gives the one that
+    all lack; a byte order mark is passed over.  Each file's separator is chosen by its own
+    first lines, unless given.  Columns are matched by name; a file without a column has NULL
+    there.  A quoted separator or line break belongs to its field, also in headers of one
+    line.  A line with an odd number of quotes gets a closing one; a line with too many
+    fields is rejected, one with too few is filled with NULL.  Only the different pairs of
+    header and separator come to the driver.
     """
     at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     text = spark.read.text(path).select("value", *at).withColumn("place", F.monotonically_increasing_id())
-    filled = F.trim("value") != ""
-    if header is not None:
-        sep = separator or vote_separator([header, *(r["value"] for r in text.limit(20).collect())])
-        return _parsed(text.where(filled), _names(header, sep), sep)
-    firsts = text.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"), F.min("place").alias("first"))
-    kinds = firsts.groupBy("header").agg(F.min(F.struct("file", "first")).alias("f")).collect()  # one row per different header
-    lines = text.join(firsts, "file").where(filled & (F.col("place") != F.col("first")))
+    marked = (F.col("start") == 0) & F.startswith("value", F.lit("\ufeff"))
+    text = text.withColumn("value", F.when(marked, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))).where(F.trim("value") != "")
+    seps = text.select("file").distinct().withColumn("sep", F.lit(separator)) if separator else _separators(text)
+    if header is None:
+        firsts = text.groupBy("file").agg(F.min(F.struct("start", "place", "value")).alias("f"))
+        firsts = firsts.select("file", F.col("f.value").alias("header"), F.struct("f.start", "f.place").alias("_at"))
+        lines = text.join(firsts.join(seps, "file"), "file").where(F.struct("start", "place") != F.col("_at"))
+        kinds = firsts.join(seps, "file")
+    else:
+        lines, kinds = text.join(seps, "file").withColumn("header", F.lit(header)), seps.withColumn("header", F.lit(header))
     rows, rejected = [], []
-    for kind in sorted(kinds, key=lambda k: k["f"]["file"]):
-        some = text.where((F.col("file") == kind["f"]["file"]) & (F.col("place") < kind["f"]["first"] + 20)).limit(20)
-        sep = separator or vote_separator([kind["header"], *(r["value"] for r in some.collect())])
-        good, bad = _parsed(lines.where(F.col("header") == kind["header"]).select("value", "file", "place"), _names(kind["header"], sep), sep)
+    for kind in kinds.groupBy("header", "sep").agg(F.min("file").alias("f")).orderBy("f").collect():
+        own = lines.where((F.col("header") == kind["header"]) & (F.col("sep") == kind["sep"])).select("value", "file", "start", "place")
+        good, bad = _parsed(own, _names(kind["header"], kind["sep"]), kind["sep"])
         rows.append(good)
         rejected.append(bad)
     if not rows:
@@ -104,7 +173,7 @@ def read_csv_tolerant(
 
 
 def _names(header: str, sep: str) -> list[str]:
-    return [n.strip().strip('"') for n in header.split(sep)]
+    return [n.strip() for n in next(csv.reader([header], delimiter=sep, skipinitialspace=True))]
 
 
 def read_json_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
