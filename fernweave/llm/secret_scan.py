@@ -73,15 +73,29 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """Parts of a text that spans, in order of their starts, cover."""
+    parts: list[tuple[int, int]] = []
+    for _, start, end, _ in spans:
+        if parts and start <= parts[-1][1]:
+            parts[-1] = (parts[-1][0], max(end, parts[-1][1]))
+        else:
+            parts.append((start, end))
+    return parts
+
+
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Key-like runs, and the pieces of them on either side of spans found so far."""
-    found = []
+    """Key-like runs, and the pieces of them on either side of spans found so far; one pass over both."""
+    found, covered, first = [], _covered(taken), 0
     for m in CANDIDATE.finditer(text):
         at, pieces = m.start(), []
-        for _, s, e, _ in taken:  # in order of their starts
-            if s < m.end() and at < e:
-                pieces.append((at, s))
-                at = max(at, e)
+        while first < len(covered) and covered[first][1] <= at:
+            first += 1
+        here = first
+        while here < len(covered) and covered[here][0] < m.end():
+            pieces.append((at, covered[here][0]))
+            at = covered[here][1]
+            here += 1
         for start, end in [*pieces, (at, m.end())]:
             piece = text[start:end]
             if len(piece) >= LEAST and (not PLAIN.fullmatch(piece) or len(piece) >= LONG and MIXED.match(piece)):
@@ -226,14 +240,18 @@ def examples(texts: list[str], most: int = FIT_EXAMPLES) -> tuple[np.ndarray, np
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_finding: int = FIT_FINDING, fit_other: int = FIT_OTHER, fit_chars: int = FIT_CHARS, recall: float = RECALL) -> CharNet | None:
     """Fit on findings in at most ``fit_finding`` documents, and on words of ``fit_other`` more.
 
-    They are those with the least hashes, of at most ``fit_chars`` characters.  With too few
-    findings there is no network, and only the rules speak.
+    They are those with the least hashes; of a document of more than ``fit_chars`` characters
+    the part around its first finding is taken.  With too few findings there is no network,
+    and only the rules speak.  NULL texts are passed over, repeated rows are read once, other
+    columns are not read.
     """
-    text = F.col(text_col)
-    usable = docs.where(text.isNotNull() & (F.length(text) <= fit_chars)).select(text.alias("t"), F.concat_ws(" ", F.col(id_col).cast("string"), F.xxhash64(text)).alias("k"))
-    likely = F.rlike("t", F.lit(ASSIGN.replace("(?i:", "(?i)(?:", 1) + r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
+    text, secret = F.col("t"), F.lit(ASSIGN.replace("(?i:", "(?i)(?:", 1) + r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    usable = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.concat_ws(" ", F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("k"))
+    likely = F.rlike(text, secret)
     finding, every = usable.agg(F.count_if(likely), F.count("*")).first()
-    drawn = least_hashes(usable.where(likely), F.col("k"), fit_finding, finding).union(least_hashes(usable, F.col("k"), fit_other, every))
+    around = F.substr(text, F.greatest(F.lit(1), F.regexp_instr(text, secret) - fit_chars // 2), F.lit(fit_chars))
+    part = [F.when(F.length(text) <= fit_chars, text).otherwise(around).alias("t"), "k"]
+    drawn = least_hashes(usable.where(likely).select(*part), F.col("k"), fit_finding, finding).union(least_hashes(usable.select(*part), F.col("k"), fit_other, every))
     rows = drawn.select("t").collect()
     return fit_net(*examples(sorted({r[0] for r in rows})), recall)
 

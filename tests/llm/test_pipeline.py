@@ -65,4 +65,4 @@ def test_entry_point_lists_all(spark):
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
-    assert toxicity.FIT_TOXIC and set(queries.ORACLES) == {"op3_mixing", "op8_near_dedup", "op9_sharding", "op10_quality"}
+    assert toxicity.FIT_TOXIC and set(queries.ORACLES) == {"op3_mixing", "op8_near_dedup", "op9_sharding", "op10_quality", "op11_hard_negatives", "op13_divergence"}
