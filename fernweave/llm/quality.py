@@ -3,7 +3,8 @@
 Each line is judged by its own words: noise (words carrying runs of marks, or marks that
 stand alone), navigation (words between bars, bullets, slashes or arrows), stutter (words
 that repeat the word before), boilerplate (licence, consent and subscription phrases) and
-punctuation (several words, none of which closes a sentence).  Short lines without a closing
+punctuation (several words, none of which closes a sentence; lines of hard-wrapped prose are
+judged with those that carry them on).  Short lines without a closing
 mark are navigation where several follow one another.  Failing lines are removed.  A text is rejected
 if the removed lines held more than a given share of its words, or by the base rules on its
 length and on repeated passages.
@@ -32,6 +33,10 @@ OPEN_WORDS = 8
 LINK_WORDS = 3
 MENU_LINES = 3
 
+#: Most characters of a line of hard-wrapped prose, and lines on either side that may close what it leaves open.
+WRAPPED = 120
+NEAR_LINES = 4
+
 #: Phrases of lines that belong to a page and not to its text.
 BOILERPLATE = (
     "licensed under", "released under", "all rights reserved", "spdx-license-identifier", "general public license", "terms of service",
@@ -55,15 +60,18 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
 
 
-def line_fails(line: Column, n_words: Column, is_open: Column) -> Column:
-    """Whether a line of ``n_words`` words, ``is_open`` without a closed one, fails one of the rules on single lines."""
+def line_fails(line: Column, n_words: Column, is_open: Column, is_carried: Column) -> Column:
+    """Whether a line of ``n_words`` words, ``is_open`` without a closed one, fails one of the rules on lines.
+
+    ``is_carried``: the lines that carry it on, or that it carries on, hold a closed word.
+    """
     marks, bars = _count(line, MARKS), _count(F.concat(F.lit(" "), line, F.lit(" ")), BARS)
     noise = (marks >= 2) & (marks * 4 >= n_words)
     navigation = (bars >= 2) & (bars * 5 >= n_words)
     words = _words(line)
     stutter = F.transform(F.array(words), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))))[0]
     trail, alone = _count(line, TRAIL), _count(line, ALONE)
-    unclosed = is_open & ((n_words >= OPEN_WORDS) | (trail >= 2) & (trail * 5 >= n_words) | (alone >= 2) & (alone * 4 >= n_words))
+    unclosed = is_open & ((n_words >= OPEN_WORDS) & ~is_carried | (trail >= 2) & (trail * 5 >= n_words) | (alone >= 2) & (alone * 4 >= n_words))
     low = F.lower(line)
     phrase = F.lit(False)
     for words_of_it in BOILERPLATE:
@@ -71,6 +79,27 @@ def line_fails(line: Column, n_words: Column, is_open: Column) -> Column:
     return noise | navigation | unclosed | phrase | (stutter * 5 >= n_words * 2) & (n_words >= 5)
 
 
+def is_carried(lines: Column, i: Column) -> Column:
+    """Whether a line near ``i``, with nothing but wrapped lines between, holds a closed word.
+
+    A line is wrapped if the next one follows at once and begins with a word that the longer
+    of the two had no room for.
+    """
+    def goes_on(k: Column) -> Column:
+        line, after = F.get(lines, k), F.get(lines, k + 1)
+        fits = line["length"] + 1 + after["first"] <= F.greatest(line["length"], after["length"])
+        return F.coalesce((after["at"] == line["at"] + 1) & ~fits & (F.greatest(line["length"], after["length"]) <= WRAPPED), F.lit(False))
+
+    def closed(k: Column) -> Column:
+        return ~F.coalesce(F.get(lines, k)["open"], F.lit(True))
+
+    ahead, behind = F.lit(False), F.lit(False)
+    for k in range(NEAR_LINES, 0, -1):
+        ahead = goes_on(i + (k - 1)) & (closed(i + k) | ahead)
+        behind = goes_on(i - k) & (closed(i - k) | behind)
+    return ahead | behind
+
+
 def in_menu(lines: Column, i: Column) -> Column:
     """Whether line ``i`` lies in a row of MENU_LINES or more links."""
     def link(k: int) -> Column:
@@ -128,10 +157,15 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     text = docs.select(F.col(id_col).alias("__fw_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = text.withColumns({"words": _words(F.col("text")), "lines": F.split("text", "\n", -1)})
-    counted = F.filter(F.transform("lines", lambda x: F.struct(x.alias("line"), _count(x, WORD).alias("n"))), lambda x: x["n"] > 0)
-    opened = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), (~F.rlike(x["line"], F.lit(CLOSED))).alias("open")))
-    parts = parts.withColumn("alone", F.transform(opened, lambda x: F.struct(
-        x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"], x["open"]).alias("fails"), (x["open"] & (x["n"] <= LINK_WORDS)).alias("link")
+    numbered = F.transform("lines", lambda x, i: F.struct(x.alias("line"), _count(x, WORD).alias("n"), i.alias("at")))
+    parts = parts.withColumn("opened", F.transform(F.filter(numbered, lambda x: x["n"] > 0), lambda x: F.struct(
+        x["line"].alias("line"), x["n"].alias("n"), x["at"].alias("at"), (~F.rlike(x["line"], F.lit(CLOSED))).alias("open"),
+        F.length(F.rtrim(x["line"])).alias("length"), F.length(F.regexp_extract(x["line"], WORD, 0)).alias("first"),
+    )))
+    long_open = lambda x: x["open"] & (x["n"] >= OPEN_WORDS)
+    parts = parts.withColumn("alone", F.transform("opened", lambda x, i: F.struct(
+        x["line"].alias("line"), x["n"].alias("n"), (x["open"] & (x["n"] <= LINK_WORDS)).alias("link"),
+        line_fails(x["line"], x["n"], x["open"], F.when(long_open(x), is_carried(F.col("opened"), i)).otherwise(False)).alias("fails"),
     )))
     judged = F.transform("alone", lambda x, i: F.struct(x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | x["link"] & in_menu(F.col("alone"), i)).alias("fails")))
     parts = parts.withColumn("judged", judged)

@@ -149,6 +149,19 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _near() -> dict[str, str]:
+    """SQL over neighbouring lines: a closed one ahead or behind with wrapped lines between, and three links in a row."""
+    ahead = behind = "false"
+    for k in range(4, 0, -1):
+        ahead = f"(coalesce(lead(goes_on, {k - 1}) OVER o, false) AND (NOT coalesce(lead(open, {k}) OVER o, true) OR {ahead}))"
+        behind = f"(coalesce(lag(goes_on, {k}) OVER o, false) AND (NOT coalesce(lag(open, {k}) OVER o, true) OR {behind}))"
+    rows = [" AND ".join(f"coalesce(lead(link, {k}) OVER o, false)" if k >= 0 else f"coalesce(lag(link, {-k}) OVER o, false)" for k in range(first, first + 3)) for first in (-2, -1, 0)]
+    return {"ahead": ahead, "behind": behind, "menu": "(" + " OR ".join(rows) + ")"}
+
+
+_NEAR = _near()
+
+
 @query("""
 WITH p AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
@@ -160,15 +173,25 @@ WITH p AS (
 ), cov AS (
     SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid
 ), l AS (
-    SELECT rid, line, len(words) AS n, words, lower(line) AS low,
+    SELECT rid, ln, line, len(words) AS n, words, lower(line) AS low, length(rtrim(line, ' ')) AS len, length(words[1]) AS first,
         len(regexp_extract_all(line, '[#$%&*!?|<>=~^+_]{2,}')) AS marks,
-        len(regexp_extract_all(' ' || line || ' ', '[ \t][|»•·][ \t]')) AS bars
-    FROM (SELECT rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM p, unnest(string_split(text, chr(10))) t(line))
+        len(regexp_extract_all(' ' || line || ' ', '[ \t][|»•·][ \t]')) AS bars,
+        len(list_filter(string_split_regex(line, '[ \t]'), lambda w: regexp_full_match(w, '[|»•·>/›→\\\\]'))) AS trail,
+        len(list_filter(string_split_regex(line, '[ \t]'), lambda w: regexp_full_match(w, '[#$%&*!?|~^_@]+'))) AS alone,
+        NOT regexp_matches(line, '[.!?…:;。！？：；।؟۔]["''”’»›)\\]}」』]*([ \t\r]|$)') AS open
+    FROM (SELECT rid, ln, lines[ln] AS line, regexp_extract_all(lines[ln], '[^\x20\x09-\x0D]+') AS words FROM (SELECT rid, string_split(text, chr(10)) AS lines FROM p), unnest(range(1, len(lines) + 1)) t(ln))
+), g AS (
+    SELECT *, coalesce(lead(ln) OVER o = ln + 1 AND len + 1 + lead(first) OVER o > greatest(len, lead(len) OVER o) AND greatest(len, lead(len) OVER o) <= 120, false) AS goes_on, open AND n <= 3 AS link
+    FROM l WHERE n > 0 WINDOW o AS (PARTITION BY rid ORDER BY ln)
+), h AS (
+    SELECT *, """ + _NEAR["ahead"] + " OR " + _NEAR["behind"] + """ AS carried, """ + _NEAR["menu"] + """ AS menu
+    FROM g WINDOW o AS (PARTITION BY rid ORDER BY ln)
 ), j AS (
     SELECT *, (marks >= 2 AND marks * 4 >= n) OR (bars >= 2 AND bars * 5 >= n)
         OR (n >= 5 AND 5 * len(list_filter(range(2, n + 1), lambda k: words[k] = words[k - 1])) >= 2 * n)
+        OR (open AND (n >= 8 AND NOT carried OR trail >= 2 AND trail * 5 >= n OR alone >= 2 AND alone * 4 >= n)) OR (link AND menu)
         OR """ + " OR ".join(f"contains(low, '{phrase}')" for phrase in quality.BOILERPLATE) + """ AS fails
-    FROM l WHERE n > 0
+    FROM h
 ), s AS (
     SELECT rid, sum(n) AS n_words, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) - count(DISTINCT line) AS dup FROM j GROUP BY rid
 ), m AS (
