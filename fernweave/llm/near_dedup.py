@@ -179,7 +179,7 @@ def _prefixes(ids: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     either must meet.  A passage that many texts share is not among the rarest of any.
     """
     rows = stored(_shingles_of(docs.join(sent_if_few(ids), "id", "left_semi"), words), "open-shingles")
-    counts = rows.groupBy("shingle").count()
+    counts = stored(rows.groupBy("shingle").count(), "shingle-counts")  # so that the join has plain shuffles and a hot shingle can be split
     ranked = rows.join(counts, "shingle").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))
     kept = F.expr(f"cast(size - ceil(size * {percent} / 100) + 1 as int)")
     placed = ranked.select("id", "size", F.posexplode(F.slice("all", F.lit(1), kept)).alias("place", "rare"))
