@@ -66,7 +66,9 @@ def table_changes(spark: SparkSession, path: str, start: int, end: int, key: str
 
 
 #: Functions that run any method of the JVM or read what is no view.
-FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"}
+#: Leaves of an analysed query that hold no stored rows.
+HARMLESS_LEAVES = {"OneRowRelation", "Range", "LocalRelation", "CTERelationRef"}
 #: Functions that may stand in place of a table.
 TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "stack"}
 
@@ -104,15 +106,41 @@ def _only_views(spark: SparkSession, query: str) -> None:
             raise ValueError(f"no registered view {'.'.join(name)}")
 
 
+def _check_leaves(rows: DataFrame) -> None:
+    """Raise unless all rows of the analysed query come from temporary views.
+
+    An alias may make a name look registered; here every name has been resolved, so what was
+    read is seen, below subqueries and common table expressions too.
+    """
+    nodes = [rows._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "View" and node.isTempView():
+            continue
+        below = _sequence(node.children()) + _sequence(node.innerChildren())
+        if "catalyst.plans.logical" in node.getClass().getName():
+            below += _sequence(node.expressions())
+            if not node.children().size() and kind not in HARMLESS_LEAVES:
+                raise ValueError("only registered views can be read")
+        elif "execution" in node.getClass().getName() or kind.endswith("Relation"):
+            raise ValueError("only registered views can be read")
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            below.append(node.plan())
+        nodes += below
+
+
 def read_only_query(spark: SparkSession, query: str, cap: int = QUERY_CAP) -> DataFrame:
     """At most ``cap`` rows of a query over registered views, each with ``truncated``.
 
     The text is used as a subquery, where only a query parses: commands and statement
     lists are rejected before anything runs.  So are relations that are no temporary view
-    (files, stored tables), identifiers made up at run time, and functions that call Java.
+    (files, stored tables), identifiers made up at run time, and functions that call Java or
+    name files.  The analysed query is looked at again, with all names resolved.
     """
     _only_views(spark, query)
     rows = spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n)")
+    _check_leaves(rows)
     more = rows.limit(cap + 1).agg(F.count("*") > cap).scalar()
     return rows.limit(cap).withColumn("truncated", more)
 
