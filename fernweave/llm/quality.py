@@ -60,23 +60,23 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
 
 
-def line_fails(line: Column, n_words: Column, is_open: Column, is_carried: Column) -> Column:
-    """Whether a line of ``n_words`` words, ``is_open`` without a closed one, fails one of the rules on lines.
+def line_fails(line: Column, words: Column, is_open: Column, is_carried: Column) -> Column:
+    """Whether a line of these words, ``is_open`` without a closed one, fails one of the rules on lines.
 
     ``is_carried``: the lines that carry it on, or that it carries on, hold a closed word.
     """
-    marks, bars = _count(line, MARKS), _count(F.concat(F.lit(" "), line, F.lit(" ")), BARS)
+    n_words, marks = F.size(words), _count(line, MARKS)
+    bars = F.when(F.rlike(line, F.lit("[|»•·]")), _count(F.concat(F.lit(" "), line, F.lit(" ")), BARS)).otherwise(0)
     noise = (marks >= 2) & (marks * 4 >= n_words)
     navigation = (bars >= 2) & (bars * 5 >= n_words)
-    words = _words(line)
-    stutter = F.transform(F.array(words), lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))))[0]
+    stutter = F.size(F.filter(words, lambda x, i: (i > 0) & (x == F.get(words, i - 1))))
     trail, alone = _count(line, TRAIL), _count(line, ALONE)
     unclosed = is_open & ((n_words >= OPEN_WORDS) & ~is_carried | (trail >= 2) & (trail * 5 >= n_words) | (alone >= 2) & (alone * 4 >= n_words))
     low = F.lower(line)
     phrase = F.lit(False)
     for words_of_it in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(words_of_it))
-    return noise | navigation | unclosed | phrase | (stutter * 5 >= n_words * 2) & (n_words >= 5)
+    return noise | navigation | unclosed | phrase | (n_words >= 5) & (stutter * 5 >= n_words * 2)
 
 
 def is_carried(lines: Column, i: Column) -> Column:
@@ -87,8 +87,9 @@ def is_carried(lines: Column, i: Column) -> Column:
     """
     def goes_on(k: Column) -> Column:
         line, after = F.get(lines, k), F.get(lines, k + 1)
-        fits = line["length"] + 1 + after["first"] <= F.greatest(line["length"], after["length"])
-        return F.coalesce((after["at"] == line["at"] + 1) & ~fits & (F.greatest(line["length"], after["length"]) <= WRAPPED), F.lit(False))
+        longer = F.greatest(*(F.length(F.rtrim(x["line"])) for x in (line, after)))
+        fits = F.length(F.rtrim(line["line"])) + 1 + F.length(after["words"][0]) <= longer
+        return F.coalesce((after["at"] == line["at"] + 1) & ~fits & (longer <= WRAPPED), F.lit(False))
 
     def closed(k: Column) -> Column:
         return ~F.coalesce(F.get(lines, k)["open"], F.lit(True))
@@ -156,16 +157,15 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are not carried and cannot clash.
     """
     text = docs.select(F.col(id_col).alias("__fw_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = text.withColumns({"words": _words(F.col("text")), "lines": F.split("text", "\n", -1)})
-    numbered = F.transform("lines", lambda x, i: F.struct(x.alias("line"), _count(x, WORD).alias("n"), i.alias("at")))
-    parts = parts.withColumn("opened", F.transform(F.filter(numbered, lambda x: x["n"] > 0), lambda x: F.struct(
-        x["line"].alias("line"), x["n"].alias("n"), x["at"].alias("at"), (~F.rlike(x["line"], F.lit(CLOSED))).alias("open"),
-        F.length(F.rtrim(x["line"])).alias("length"), F.length(F.regexp_extract(x["line"], WORD, 0)).alias("first"),
-    )))
-    long_open = lambda x: x["open"] & (x["n"] >= OPEN_WORDS)
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), _words(x).alias("words"), i.alias("at")))
+    parts = text.withColumn("lines", F.filter(lines, lambda x: F.size(x["words"]) > 0))
+    parts = parts.withColumns({"words": F.flatten(F.transform("lines", lambda x: x["words"])), "opened": F.transform("lines", lambda x: F.struct(
+        x["line"].alias("line"), x["words"].alias("words"), x["at"].alias("at"), (~F.rlike(x["line"], F.lit(CLOSED))).alias("open"),
+    ))})
+    long_open = lambda x: x["open"] & (F.size(x["words"]) >= OPEN_WORDS)
     parts = parts.withColumn("alone", F.transform("opened", lambda x, i: F.struct(
-        x["line"].alias("line"), x["n"].alias("n"), (x["open"] & (x["n"] <= LINK_WORDS)).alias("link"),
-        line_fails(x["line"], x["n"], x["open"], F.when(long_open(x), is_carried(F.col("opened"), i)).otherwise(False)).alias("fails"),
+        x["line"].alias("line"), F.size(x["words"]).alias("n"), (x["open"] & (F.size(x["words"]) <= LINK_WORDS)).alias("link"),
+        line_fails(x["line"], x["words"], x["open"], F.when(long_open(x), is_carried(F.col("opened"), i)).otherwise(False)).alias("fails"),
     )))
     judged = F.transform("alone", lambda x, i: F.struct(x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | x["link"] & in_menu(F.col("alone"), i)).alias("fails")))
     parts = parts.withColumn("judged", judged)
