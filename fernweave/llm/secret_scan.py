@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.llm.sampling import least_hashes
+from fernweave.llm.stored import stored
 
 #: Fixed rules, in their order: pattern, the group whose length counts, and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -247,11 +248,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_fin
     """
     text, secret = F.col("t"), F.lit(ASSIGN.replace("(?i:", "(?i)(?:", 1) + r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     usable = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.concat_ws(" ", F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("k"))
-    likely = F.rlike(text, secret)
-    finding, every = usable.agg(F.count_if(likely), F.count("*")).first()
+    marked = stored(usable.select("k", F.rlike(text, secret).alias("likely")), "secret-marks")
+    finding, every = marked.agg(F.count_if("likely"), F.count("*")).first()
+    keys = least_hashes(marked.where("likely"), F.col("k"), fit_finding, finding).union(least_hashes(marked, F.col("k"), fit_other, every)).select("k").distinct()
     around = F.substr(text, F.greatest(F.lit(1), F.regexp_instr(text, secret) - fit_chars // 2), F.lit(fit_chars))
-    part = [F.when(F.length(text) <= fit_chars, text).otherwise(around).alias("t"), "k"]
-    drawn = least_hashes(usable.where(likely).select(*part), F.col("k"), fit_finding, finding).union(least_hashes(usable.select(*part), F.col("k"), fit_other, every))
+    drawn = usable.join(F.broadcast(keys), "k", "left_semi").select(F.when(F.length(text) <= fit_chars, text).otherwise(around).alias("t"))
     rows = drawn.select("t").collect()
     return fit_net(*examples(sorted({r[0] for r in rows})), recall)
 
