@@ -4,9 +4,11 @@ Candidates are runs of key-like characters that are no plain words, or what the
 each with its surrounding characters.  It is trained on labelled findings of the corpus
 itself: what the rules find is a secret, other candidates and ordinary words are not.  Each
 secret is also shown in strange surroundings, as it is and in other letters, and each word
-also as part of a name or path, so that a key is known by its looks too.
-A held-out part of the findings calibrates its probabilities and sets the threshold, the
-highest one that still finds the wanted share of secrets.
+also as part of a name or path, so that a key is known by its looks too.  Beside them stand
+made-up secrets and harmless runs of many forms (``key_forms``) in surroundings of the corpus.
+A held-out part of the examples, and whole forms that are not trained on, calibrate the
+probabilities and set the threshold: the highest one that still finds the wanted share of
+secrets, or the least one above it at which enough of what is marked is secret.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.llm.key_forms import made
 from fernweave.llm.sampling import least_hashes
 from fernweave.llm.stored import stored
 
@@ -40,6 +43,7 @@ PLAIN = re.compile(r"[+/_=.-]*(?:(?:[A-Z]?[a-z]{1,23}|[A-Z]{1,24})(?:[+/_=.-]+|\
 LONG = 16
 MIXED = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9+/_=]|.*[a-z][A-Z])")
 LONG_WORD = re.compile(r"\S{8,}")
+NAME_WORD = re.compile(r"(?<![^\s])[A-Za-z]{3,12}(?![^\s])")
 
 #: Characters read of the candidate and on either side; a longer candidate is read in several windows.
 INSIDE, ASIDE = 48, 24
@@ -48,12 +52,14 @@ WINDOW = INSIDE + 2 * ASIDE
 #: The network: size of a character's vector, width and number of filters.
 VECTOR, WIDTH, FILTERS = 8, 5, 16
 
-#: Bounds of a fit: documents with findings, documents without, their length; wanted recall.
+#: Bounds of a fit: documents with findings, documents without, their length, made-up runs of each form; wanted recall and least precision.
 FIT_FINDING = 1500
 FIT_OTHER = 500
 FIT_CHARS = 20_000
 FIT_EXAMPLES = 3000
+FIT_MADE = 200
 RECALL = 0.98
+PRECISION = 0.9
 EPOCHS = 12
 
 #: Letters of made-up keys, and what joins words to names that are none.
@@ -134,10 +140,12 @@ class CharNet:
     scale: np.ndarray
     threshold: float = 2.0
     reached: float = 0.0
+    precise: float = 0.0
 
     def _layers(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         ids, flags = x[:, :WINDOW], x[:, WINDOW:]
-        seen = np.concatenate([self.vectors[ids], flags[:, :, None]], axis=2)
+        long = flags * (flags.sum(axis=1, keepdims=True) / LONG)  # greatest answers cannot count, so the length is told
+        seen = np.concatenate([self.vectors[ids], long[:, :, None]], axis=2)
         patches = np.lib.stride_tricks.sliding_window_view(seen, WIDTH, axis=1).reshape(len(x), WINDOW - WIDTH + 1, -1)
         answers = np.maximum(patches @ self.filters + self.shift, 0)
         middle = flags[:, WIDTH // 2 : WINDOW - WIDTH // 2].astype(bool)
@@ -170,8 +178,12 @@ class CharNet:
         return [vectors, filters, shift, out]
 
 
-def fit_net(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharNet | None:
-    """Train on three quarters of the examples, calibrate and set the threshold on the rest."""
+def fit_net(x: np.ndarray, y: np.ndarray, recall: float = RECALL, precision: float = 0.0, more: tuple[np.ndarray, np.ndarray] | None = None) -> CharNet | None:
+    """Train on three quarters of the examples, calibrate and set the threshold on the rest and on ``more``.
+
+    The threshold reaches ``recall``; where less than ``precision`` of what it marks is secret,
+    it is the least one that marks so much, or marks nothing where there is none.
+    """
     draw = np.random.RandomState(7)
     if y.sum() < 8 or (1 - y).sum() < 8:
         return None
@@ -191,18 +203,43 @@ def fit_net(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharNet | N
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    z = np.concatenate([net._layers(x[held[i : i + 256]])[-1] for i in range(0, len(held), 256)])
+    x, y = x[held], y[held]
+    if more is not None and len(more[0]):
+        x, y = np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
+    z = np.concatenate([net._layers(x[i : i + 256])[-1] for i in range(0, len(x), 256)])
     a, b = 1.0, 0.0
     for _ in range(500):  # logistic calibration, with a little weight on the identity
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        a, b = a - 0.05 * (((p - y[held]) * z).mean() + 0.01 * (a - 1)), b - 0.05 * ((p - y[held]).mean() + 0.01 * b)
+        a, b = a - 0.05 * (((p - y) * z).mean() + 0.01 * (a - 1)), b - 0.05 * ((p - y).mean() + 0.01 * b)
     net.scale = np.array([a, b])
-    true = np.sort(net.probability(x[held][y[held] == 1]))
+    p = net.probability(x)
+    true = np.sort(p[y == 1])
     net.threshold = float(true[int(np.floor((1 - recall) * len(true)))]) - 1e-9
-    net.reached = float((true >= net.threshold).mean())
+    falling = np.argsort(-p, kind="stable")
+    share = np.cumsum(y[falling]) / np.arange(1, len(p) + 1)
+    if (y[p >= net.threshold]).mean() < precision:
+        enough = np.flatnonzero((share >= precision) & (np.diff(p[falling], append=-1.0) < 0))
+        net.threshold = float(p[falling][enough[-1]]) - 1e-9 if len(enough) else 2.0
+    net.reached, net.precise = float((true >= net.threshold).mean()), float(y[p >= net.threshold].mean()) if (p >= net.threshold).any() else 1.0
     return net
 
 
+def made_examples(texts: list[str], each: int = FIT_MADE, held_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled windows of made-up runs, each in the surroundings of some word of the texts."""
+    draw = np.random.RandomState(13 + held_out)
+    places = [(text, m) for text in texts for m in list(NAME_WORD.finditer(text))[:200]]
+    if not places:
+        return np.empty((0, 2 * WINDOW), np.int64), np.empty(0, np.int64)
+    words = sorted({m[0] for _, m in places})
+    rows, labels = [], []
+    for before, key, label in made(draw, words, each, held_out):
+        text, m = places[draw.randint(len(places))]
+        left = (text[max(0, m.start() - ASIDE) : m.start()] + before)[-ASIDE:]
+        rows.append(window(key, 0, min(len(key), INSIDE), left, text[m.end() : m.end() + ASIDE]))
+        labels.append(label)
+    return np.array(rows), np.array(labels)
+
+
 def examples(texts: list[str], most: int = FIT_EXAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """Labelled windows from texts: findings of the rules, and candidates and words that are none."""
     draw = np.random.RandomState(11)
@@ -238,7 +275,7 @@ def examples(texts: list[str], most: int = FIT_EXAMPLES) -> tuple[np.ndarray, np
     return (np.array(rows), np.array(labels)) if rows else (np.empty((0, 2 * WINDOW), np.int64), np.empty(0, np.int64))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_finding: int = FIT_FINDING, fit_other: int = FIT_OTHER, fit_chars: int = FIT_CHARS, recall: float = RECALL) -> CharNet | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_finding: int = FIT_FINDING, fit_other: int = FIT_OTHER, fit_chars: int = FIT_CHARS, recall: float = RECALL, precision: float = PRECISION) -> CharNet | None:
     """Fit on findings in at most ``fit_finding`` documents, and on words of ``fit_other`` more.
 
     They are those with the least hashes; of a document of more than ``fit_chars`` characters
@@ -254,7 +291,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_fin
     around = F.substr(text, F.greatest(F.lit(1), F.regexp_instr(text, secret) - fit_chars // 2), F.lit(fit_chars))
     drawn = usable.join(F.broadcast(keys), "k", "left_semi").select(F.when(F.length(text) <= fit_chars, text).otherwise(around).alias("t"))
     rows = drawn.select("t").collect()
-    return fit_net(*examples(sorted({r[0] for r in rows})), recall)
+    texts = sorted({r[0] for r in rows})
+    x, y = examples(texts)
+    if y.sum() < 8:
+        return None
+    made_x, made_y = made_examples(texts)
+    return fit_net(np.concatenate([x, made_x]), np.concatenate([y, made_y]), recall, precision, made_examples(texts, held_out=True))
 
 
 def find(texts: list[str | None], net: CharNet | None) -> list[list[Span]]:
