@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernweave.functions.arrays import explode_array
+from fernweave.operators.digests import differing_rows
 from fernweave.operators.joins import keyed_join
 from fernweave.operators.quantiles import exact_quantile, exact_quantiles
 from fernweave.operators.ranking import first_per_key
@@ -340,8 +341,14 @@ def latest_success(
     return keyed_join(owners, latest, [(owner_key, "_run_key")], "left", right_unique=True).drop("_run_key")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str], unchanged: bool = False) -> DataFrame:
-    """What changed between two snapshots: key, change (new, changed, removed) and the changed fields."""
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str], unchanged: bool = False, buckets: int | None = None) -> DataFrame:
+    """What changed between two snapshots: key, change (new, changed, removed) and the changed fields.
+
+    With ``buckets``, only rows of key buckets whose digests differ are joined; worth it where
+    few rows change.  Not for ``unchanged`` rows, which would have to be joined all the same.
+    """
+    if buckets and not unchanged:
+        old, new = differing_rows(old, new, key, fields, buckets)
     before = old.select(F.col(key).alias("_old"), *[F.col(f).alias(f"_old_{f}") for f in fields])
     after = new.select(F.col(key).alias("_new"), *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = after.join(before, F.col("_new") == F.col("_old"), "full")

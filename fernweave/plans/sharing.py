@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernweave.operators.digests import differing_rows
 from fernweave.operators.predicates import predicate_tree
 from fernweave.sources.snapshots import read_snapshot
 
@@ -60,9 +61,12 @@ def change_feed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(F.explode(changes).alias("_c")).select("_c._change_type", "_c._row.*")
 
 
-def table_changes(spark: SparkSession, path: str, start: int, end: int, key: str) -> DataFrame:
-    """The change feed between two versions of a stored table."""
-    return change_feed(read_snapshot(spark, path, start), read_snapshot(spark, path, end), key)
+def table_changes(spark: SparkSession, path: str, start: int, end: int, key: str, buckets: int | None = None) -> DataFrame:
+    """The change feed between two versions of a stored table; with ``buckets``, only key buckets that differ are joined."""
+    old, new = read_snapshot(spark, path, start), read_snapshot(spark, path, end)
+    if buckets:
+        old, new = differing_rows(old, new, key, old.columns, buckets)
+    return change_feed(old, new, key)
 
 
 #: Functions that run any method of the JVM or read what is no view.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.operators import aggregates as agg
+from fernweave.operators import sketches
+from fernweave.operators.digests import BUCKETS
 from fernweave.queries.registry import Tables, query
 from fernweave.queries.sinks import CHANGED_SQL, changed_customers
 
@@ -313,12 +315,43 @@ def latest_success(t: Tables) -> DataFrame:
     )
 
 
-@query(f"""
+_DIFFERENCES = f"""
 WITH {CHANGED_SQL} SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey,
  CASE WHEN o.c_custkey IS NULL THEN 'new' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
  CASE WHEN o.c_custkey IS NOT NULL AND n.c_custkey IS NOT NULL THEN 'c_acctbal' END AS changed_fields
 FROM changed n FULL JOIN customer o ON n.c_custkey = o.c_custkey
 WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR n.c_acctbal <> o.c_acctbal
-""")
+"""
+
+
+@query(_DIFFERENCES)
 def snapshot_diff(t: Tables) -> DataFrame:
     return agg.snapshot_diff(t.customer, changed_customers(t.customer), "c_custkey", ["c_name", "c_acctbal", "c_mktsegment"])
+
+
+@query(_DIFFERENCES)
+def snapshot_diff_by_digest(t: Tables) -> DataFrame:
+    """The same differences, joining only key buckets whose digests differ."""
+    return agg.snapshot_diff(t.customer, changed_customers(t.customer), "c_custkey", ["c_name", "c_acctbal", "c_mktsegment"], buckets=BUCKETS)
+
+
+@query("SELECT l_returnflag, l_quantity AS value, count(*) AS count, 0 AS may_be_off_by FROM lineitem GROUP BY 1, 2")
+def merged_frequent_values(t: Tables) -> DataFrame:
+    """Quantities by how often they occur, from summaries stored for each month; few values, so counts are exact."""
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("month")
+    path = t.scratch("summaries")
+    sketches.summarise_values(t.lineitem.select("l_returnflag", "l_quantity", month), "l_quantity", ["l_returnflag", "month"]).write.parquet(path)
+    merged = sketches.merge_summaries(t.spark.read.parquet(path), ["l_returnflag"])
+    return sketches.frequent_values(merged, 100, ["l_returnflag"])
+
+
+@query("SELECT o_orderstatus, count(o_custkey) AS n_values, count(DISTINCT o_custkey) AS exact_distinct, true AS within_error FROM orders GROUP BY 1")
+def merged_distinct_counts(t: Tables) -> DataFrame:
+    """Distinct customers by status from summaries stored for each month, within three standard errors of the exact count."""
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    path = t.scratch("summaries")
+    sketches.summarise_values(t.orders.select("o_orderstatus", "o_custkey", month), "o_custkey", ["o_orderstatus", "month"]).write.parquet(path)
+    merged = sketches.distinct_estimates(sketches.merge_summaries(t.spark.read.parquet(path), ["o_orderstatus"]), ["o_orderstatus"])
+    exact = t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("exact_distinct"))
+    near = F.abs(F.col("n_distinct") - F.col("exact_distinct")) <= 3 * 1.04 / 2 ** (sketches.REGISTERS / 2) * F.col("exact_distinct")
+    return merged.join(exact, "o_orderstatus").select("o_orderstatus", "n_values", "exact_distinct", near.alias("within_error"))
