@@ -139,6 +139,8 @@ def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 
     Only texts that occur in a pair are moved, and they are stored in between, so that both
     joins have plain shuffles on either side and a text with very many pairs can be split.
+    The text of ``a`` is joined first and travels with its pairs; that of ``b``, which may be
+    the centre of very many, is met where it lies.
     """
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -199,8 +201,8 @@ def _open_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _star_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's centre.
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each member of a bucket (a) with the bucket's centre (b), if their sizes allow the similarity.
 
     The centre is the member whose buckets are the fullest in all, the least id on ties: what
     others were copied from shares more buckets with each of them than they do among
@@ -208,11 +210,13 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     """
     sizes = stored(members.groupBy("bucket").count().where("count > 1"), "bucket-sizes")
     shared = stored(members.join(sent_if_few(sizes), "bucket"), "shared")
-    weights = stored(shared.groupBy("id").agg(F.sum("count").alias("weight")), "weights")
+    weights = stored(shared.groupBy("id").agg(F.sum("count").alias("weight"), F.min("size").alias("low"), F.max("size").alias("high")), "weights")
     weighed = shared.join(sent_if_few(weights), "id")
-    centres = stored(weighed.groupBy("bucket").agg(F.max_by("id", F.struct("weight", (-F.col("id")).alias("i"))).alias("centre")), "centres")
-    pairs = shared.join(sent_if_few(centres), "bucket").where("centre <> id")
-    return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    fullest = F.max_by(F.struct(F.col("id").alias("centre"), "low", "high"), F.struct("weight", F.bitwise_not("id").alias("i")))
+    centres = stored(weighed.groupBy("bucket").agg(fullest.alias("c")).select("bucket", "c.*"), "centres")
+    pairs = shared.join(sent_if_few(centres), "bucket").where(f"centre <> id and 100 * size >= {percent} * low and 100 * high >= {percent} * size")
+    once = pairs.groupBy(F.least("centre", "id").alias("x"), F.greatest("centre", "id").alias("y")).agg(F.max("centre").alias("b"))
+    return once.select(F.when(F.col("x") == F.col("b"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -222,10 +226,10 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     rows = stored(texts.select("id", F.xxhash64("text").alias("text_hash"), _sketched(F.col("text"), words).alias("s")).select("id", "text_hash", "s.*"), "signatures")
     sets = stored(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("least")), "sets")
     chosen = rows.where("id is not null").join(sets, "same").where("id = least").dropDuplicates(["same", "id"])
-    spread = chosen.select("id", F.explode("bands").alias("bucket"))
+    spread = chosen.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     several = stored(spread.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-buckets")
-    members = stored(spread.join(sent_if_few(several), "bucket").select("bucket", "id"), "members")
-    links = _links(_star_pairs(members), texts, words, percent)
+    members = stored(spread.join(sent_if_few(several), "bucket").select("bucket", "id", "size"), "members")
+    links = _links(_star_pairs(members, percent), texts, words, percent)
 
     placed = stored(_with_component(members, links), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")

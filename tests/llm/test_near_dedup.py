@@ -95,6 +95,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {r.node: r.component for r in got} == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
 
 
+def test_stars_pair_members_with_their_centre_if_sizes_allow(spark):
+    last = 2**63 - 1
+    members = [(1, 5, 100), (1, last, 100), (1, 9, 79), (1, 7, 126), (2, last, 100), (2, 5, 100), (3, last, 100), (3, -(2**63), 80), (4, 1, 3)]
+    got = near_dedup._star_pairs(spark.createDataFrame(members, "bucket long, id long, size long"), 80).collect()
+    assert sorted((r.a, r.b) for r in got) == [(-(2**63), last), (5, last)]  # the fullest is the centre, of equal ones the least id
+
+
 def test_signature_estimates_similarity():
     draw = np.random.RandomState(5)
     values = near_dedup._mixed(draw.randint(0, 2**62, 1200).astype(np.uint64))
