@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernweave.queries.registry import Tables, query
 from fernweave.sinks.buckets import read_buckets, upsert_buckets
 from fernweave.sources.snapshots import read_snapshot
-from fernweave.streaming import ingest
+from fernweave.streaming import ingest, rates
 
 
 def _arrivals(t: Tables, folder: str, files_per_trigger: int | None = 2) -> DataFrame:
@@ -76,3 +76,27 @@ def streaming_rate_windows(t: Tables) -> DataFrame:
     counts = ingest.rate_windows(_arrivals(t, t.scratch("arrivals"), None), "user_id", "ts")
     ingest.store_updates(counts, path, t.scratch("checkpoint")).awaitTermination()
     return ingest.read_updates(t.spark, path, ["window_start", "window_end", "user_id"])
+
+
+@query("""
+WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS second, event_type = 'purchase' AS held FROM events),
+cut AS (SELECT (min(ms) + max(ms)) // 2 AS half, max(ms) - 600000 AS latest FROM e),
+runs AS (SELECT e.*, held OR ms >= half AS after, max(CASE WHEN NOT held AND ms < half THEN ms END) OVER () - 600000 AS closed FROM e, cut),
+marked AS (SELECT user_id, second, after AND (second + 1) * 1000 <= closed AS late FROM runs),
+counts AS (SELECT user_id, second, late, count(*) AS requests FROM marked GROUP BY ALL)
+SELECT user_id, second, requests, CASE WHEN NOT late THEN n END AS in_window, CASE WHEN NOT late THEN n >= 3 END AS exceeded, late
+FROM (SELECT *, (sum(requests) OVER (PARTITION BY user_id, late ORDER BY second RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::BIGINT AS n FROM counts)
+WHERE late OR (second + 1) * 1000 <= (SELECT latest FROM cut)
+""")
+def streaming_trailing_rates(t: Tables) -> DataFrame:
+    """Exact counts of each user's trailing day over a stream that is stopped half-way; purchases come with the second half, mostly too late."""
+    events = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("held"))
+    half = events.agg(F.expr("(min(unix_millis(ts)) + max(unix_millis(ts))) div 2")).scalar()
+    after = F.col("held") | (F.unix_millis("ts") >= half)
+    folder, path, checkpoint = t.scratch("arrivals"), t.scratch("rates"), t.scratch("checkpoint")
+    for part in (~after, after):
+        events.where(part).select("user_id", "ts").write.mode("append").parquet(folder)
+        stream = ingest.file_stream(t.spark, folder, events.select("user_id", "ts").schema)
+        found = rates.trailing_rates(stream, "user_id", "ts", 86400, 3)
+        rates.store_trailing_rates(found, path, checkpoint).awaitTermination()
+    return t.spark.read.parquet(path).drop("_batch_id")
