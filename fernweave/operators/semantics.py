@@ -8,6 +8,7 @@ confidence, is_active), ``mappings`` (group_id, column_id).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fernweave.functions.coerce import types_joinable_column
 from fernweave.operators.ranking import first_per_key
+from fernweave.session import stored
 
 INLINE_MAP_LIMIT = 100
 
@@ -27,6 +29,13 @@ MIN_OVERLAP = 0.3
 NAME_SCORE, NAME_SCORE_OTHER_TYPE, SAME_CONNECTION_BONUS = 0.85, 0.6, 0.1
 
 
+#: Values of a referencing column in its containment sketch, and the chance that a sketch misleads.
+SKETCHED_VALUES = 4096
+MISLED = 1e-12
+
+_PAIR = ["left_table", "left_column", "right_table", "right_column"]
+
+
 def map_values(c: Column, mapping: dict[str, str], default: str | None = None) -> Column:
     """Replace values by their standard; others become the default, else stay (as text)."""
     if not mapping:
@@ -101,26 +110,77 @@ def discover_overlap(
     Distinct values meet once per value, so the work is one distinct per column and one
     equi-join; pairs within a table are left out.
     """
-    fk = column_keys(frames, references).select(
-        F.col("table_name").alias("right_table"), F.col("column_name").alias("right_column"), "value"
-    )
-    pk = column_keys(frames, keys).select(
-        F.col("table_name").alias("left_table"), F.col("column_name").alias("left_column"), "value"
-    )
-    pair = ["left_table", "left_column", "right_table", "right_column"]
-    hits = fk.join(pk, "value").where("left_table != right_table")
+    fk, pk = _side(column_keys(frames, references), "right"), _side(column_keys(frames, keys), "left")
+    return _scored_overlap(fk.join(pk, "value").where("left_table != right_table"), fk, min_ratio, samples)
+
+
+def _side(values: DataFrame, side: str) -> DataFrame:
+    return values.select(F.col("table_name").alias(f"{side}_table"), F.col("column_name").alias(f"{side}_column"), "value")
+
+
+def _scored_overlap(hits: DataFrame, fk: DataFrame, min_ratio: float, samples: int) -> DataFrame:
+    """Pairs with their share of common values and the first of these, from one row for each common value."""
     totals = fk.groupBy(F.col("right_table").alias("_t"), F.col("right_column").alias("_c")).agg(F.count("*").alias("total"))
-    counted = hits.groupBy(*pair).agg(F.count("*").alias("overlap_count"))
+    counted = hits.groupBy(*_PAIR).agg(F.count("*").alias("overlap_count"))
     scored = counted.join(totals, (F.col("right_table") == F.col("_t")) & (F.col("right_column") == F.col("_c")))
     ratio = F.col("overlap_count") / F.col("total")
     kept = scored.where(ratio >= min_ratio).select(
-        *pair, "overlap_count", ratio.alias("overlap_ratio"), (F.lit(0.5) + ratio * 0.4).alias("confidence")
+        *_PAIR, "overlap_count", ratio.alias("overlap_ratio"), (F.lit(0.5) + ratio * 0.4).alias("confidence")
     )
     if not samples:
         return kept
-    first = first_per_key(hits, pair, [F.col("value")], samples)
-    listed = first.groupBy(*pair).agg(F.to_json(F.array_sort(F.collect_list("value"))).alias("sample_matches"))
-    return kept.join(listed, pair)
+    first = first_per_key(hits, _PAIR, [F.col("value")], samples)
+    listed = first.groupBy(*_PAIR).agg(F.to_json(F.array_sort(F.collect_list("value"))).alias("sample_matches"))
+    return kept.join(listed, _PAIR)
+
+
+def _margin(sampled: int | Column) -> Column | float:
+    """How far a share measured on so many values may be off (Hoeffding), but for the chance ``MISLED``."""
+    return F.sqrt(F.lit(math.log(1 / MISLED) / 2) / sampled) if isinstance(sampled, Column) else math.sqrt(math.log(1 / MISLED) / 2 / sampled)
+
+
+def overlap_candidates(fk: DataFrame, pk: DataFrame, min_ratio: float = MIN_OVERLAP, sketch: int = SKETCHED_VALUES) -> DataFrame:
+    """Column pairs whose overlap may reach ``min_ratio``: the pair, sampled, matched, exact.
+
+    ``fk`` (right_table, right_column, value) and ``pk`` (left_table, left_column, value) hold
+    distinct values.  A column's containment sketch are its values with the least hashes, about
+    ``sketch`` of them; one of no more values is whole, so its shares are ``exact``.  Other
+    shares may be off by a margin, and a pair is left out only if it falls short even so.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("value"), 11) / F.lit(float(1 << 53))
+    totals = fk.groupBy("right_table", "right_column").agg(F.least(F.lit(1.0), F.lit(float(sketch)) / F.count("*")).alias("share"))
+    drawn = fk.join(totals, ["right_table", "right_column"]).where(place < F.col("share"))
+    sizes = drawn.groupBy("right_table", "right_column").agg(F.count("*").alias("sampled"), (F.first("share") == 1).alias("exact"))
+    met = drawn.join(pk.where(place < totals.agg(F.max("share")).scalar()), "value").where("left_table != right_table")
+    matched = met.groupBy(*_PAIR).agg(F.count("*").alias("matched"))
+    margin = F.when(F.col("exact"), 0.0).otherwise(_margin(F.col("sampled")))
+    near = matched.join(sizes, ["right_table", "right_column"]).where(F.col("matched") / F.col("sampled") + margin >= min_ratio)
+    return near.select(*_PAIR, "sampled", "matched", "exact")
+
+
+def discover_overlap_sketched(
+    frames: dict[str, DataFrame],
+    references: list[tuple[str, str]],
+    keys: list[tuple[str, str]],
+    min_ratio: float = MIN_OVERLAP,
+    samples: int = 5,
+    sketch: int = SKETCHED_VALUES,
+) -> DataFrame:
+    """The rows of :func:`discover_overlap`, for catalogs of many columns.
+
+    Where numbers count from 1 nearly every column shares values with every other, so common
+    values grow with the square of the columns.  Sketches rule most pairs out first, and a
+    value meets only the key columns that its own column may still point to.  Distinct values
+    and candidates are stored while the plan is built.  A wanted share that sketches of this
+    size cannot tell from nothing takes the plain way.
+    """
+    if min_ratio <= _margin(sketch):
+        return discover_overlap(frames, references, keys, min_ratio, samples)
+    fk = stored(_side(column_keys(frames, references), "right"), "reference-values")
+    pk = stored(_side(column_keys(frames, keys), "left"), "key-values")
+    candidates = stored(overlap_candidates(fk, pk, min_ratio, sketch).select(*_PAIR), "overlap-candidates")
+    wanted = fk.join(candidates, ["right_table", "right_column"])
+    return _scored_overlap(wanted.join(pk, ["value", "left_table", "left_column"]), fk, min_ratio, samples)
 
 
 def referenced_name(column_name: Column) -> Column:
