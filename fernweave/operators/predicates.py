@@ -57,6 +57,10 @@ def typed(value: object, dtype: T.DataType) -> Column:
             number = decimal.Decimal(value.strip())
         except decimal.InvalidOperation:
             raise FilterError(f"not a number: {value!r}") from None
+        if not number.is_finite():
+            if not isinstance(dtype, (T.FloatType, T.DoubleType)) or number.is_snan():
+                raise FilterError(f"not a number of type {dtype.simpleString()}: {value!r}")
+            return F.lit(float(number))
         if isinstance(dtype, T.DecimalType):
             return F.lit(number)
         return F.lit(int(number)) if number == number.to_integral_value() else F.lit(float(number))

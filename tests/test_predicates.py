@@ -139,3 +139,16 @@ def test_text_dates_compare_as_dates_only_with_dates(spark):
     assert grid(df, "day", "lt", "2024-01-15") == [1]
     assert grid(df, "day", "eq", "none") == [3]
     assert grid(df, "day", "in", ["none", "02/01/2024"]) == [1, 3]
+
+
+@pytest.mark.parametrize("value", ["Infinity", "-inf", "NaN", "sNaN"])
+def test_values_without_end_fit_floating_columns_only(spark, value):
+    df = spark.sql("SELECT 1 AS n, CAST(1.5 AS decimal(4, 1)) AS d, double('Infinity') AS f UNION ALL SELECT 2, 2.5, 3.0")
+    for column in ("n", "d"):
+        with pytest.raises(p.FilterError, match="not a number"):
+            p.typed(value, df.schema[column].dataType)
+    if value == "sNaN":
+        with pytest.raises(p.FilterError, match="not a number"):
+            p.typed(value, df.schema["f"].dataType)
+    else:
+        assert df.where(df["f"] == p.typed(value, df.schema["f"].dataType)).count() == (value == "Infinity")
