@@ -31,9 +31,12 @@ DELIVERY_CAP = 50_000
 SHALLOW = 200_000
 SAMPLE = 4000
 
-#: Rows in a range of a ranked table.
+#: Rows in a range of a ranked table, and in a task that writes one, at least.
 RANGE_ROWS = 100_000
 
+#: Bits that Spark's growing ids have for a row's place in its task.
+PLACE_BITS = 33
+
 
 @dataclass(frozen=True)
 class Key:
@@ -160,28 +163,33 @@ def _page(df: DataFrame, order: list[Column | Key], offset: int, limit: int, sha
 def write_ranked(df: DataFrame, order: list[Column | Key], path: str, range_rows: int | None = None) -> None:
     """Keep a table in ranges of an order, with each range's rows and the rows before it, for :func:`ranked_page`.
 
-    Spark cuts the ranges at quantiles of a sample; rows with equal keys share a range.
+    Spark deals the rows to tasks at quantiles of a sample, ``RANGE_ROWS`` or more to each
+    however small the ranges are, since what it draws for that goes through the driver.
+    A task sorts its rows and cuts them into ranges by their place.
     """
-    rows = df.count()
+    rows, most = df.count(), range_rows or RANGE_ROWS
     columns = [k.column() if isinstance(k, Key) else k for k in order]
-    ranged = df.repartitionByRange(max(1, math.ceil(rows / (range_rows or RANGE_ROWS))), *columns)
-    ranged.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{path}/rows")
-    counted = df.sparkSession.read.schema(T.StructType([*df.schema, T.StructField("_range", T.IntegerType())])).parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("rows"))
+    ranged = df.repartitionByRange(max(1, math.ceil(rows / max(most, RANGE_ROWS))), *columns).sortWithinPartitions(*columns)
+    placed = ranged.withColumn("_range", F.monotonically_increasing_id())  # the task's number in the upper bits, the row's place below
+    task = f"shiftleft(shiftright(_range, {PLACE_BITS}), {PLACE_BITS})"
+    placed.withColumn("_range", F.expr(f"{task} + (_range - {task}) div {most}")).write.partitionBy("_range").parquet(f"{path}/rows")
+    counted = df.sparkSession.read.schema(T.StructType([*df.schema, T.StructField("_range", T.LongType())])).parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.orderBy("_range")) - F.col("rows")  # one small row for each range
     counted.withColumn("before", before).write.parquet(f"{path}/ranges")
 
 
 def ranked_page(spark: SparkSession, path: str, order: list[Column | Key], offset: int, limit: int) -> DataFrame:
-    """A page of a ranked table, in the order it was written with; only the ranges that hold it are read and sorted."""
+    """A page of a ranked table, in the order it was written with; only the ranges that hold it are listed, read and sorted."""
     if offset < 0 or not 0 < limit <= MAX_PAGE:
         raise ValueError(f"offset must not be negative and limit must be 1 to {MAX_PAGE}")
-    holding = spark.read.parquet(f"{path}/ranges").where((F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset))
-    ranges = holding.agg(F.min("_range").alias("first"), F.max("_range").alias("last"), F.min("before").alias("before")).first()
-    rows = spark.read.parquet(f"{path}/rows")
-    if ranges["first"] is None:
+    ranges = spark.read.parquet(f"{path}/ranges")
+    holding = ranges.where((F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset)).orderBy("_range").collect()  # no more than the page's rows
+    known = holding or ranges.limit(1).collect()
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/_range={r['_range']}" for r in known)) if known else spark.read.parquet(f"{path}/rows")
+    if not holding:
         return rows.drop("_range").limit(0)
-    kept = rows.where(F.col("_range").between(ranges["first"], ranges["last"])).drop("_range")
-    return _sorted(kept, order).offset(offset - ranges["before"]).limit(limit)
+    kept = rows.where(F.col("_range").between(holding[0]["_range"], holding[-1]["_range"])).drop("_range")
+    return _sorted(kept, order).offset(offset - holding[0]["before"]).limit(limit)
 
 
 def page_after(df: DataFrame, key: str, after: object = None, limit: int = 1000) -> DataFrame:

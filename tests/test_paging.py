@@ -80,3 +80,15 @@ def test_page_ends_are_counted_not_sorted(table):
     assert paging.token_page(table, order, "29991", 10).first()["next_token"] is None
     text = paging.page_with_more(table, order, 100, 10)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Sort [") == 1
+
+
+def test_small_ranges_are_cut_within_few_tasks(spark, table, tmp_path):
+    """Ranges are exact and as small as asked for, but tasks, whose cuts are drawn through the driver, are few."""
+    order, path = paging.sort_keys(table, [("id", "desc")]), str(tmp_path / "small")
+    paging.write_ranked(table, order, path, 100)
+    ranges = spark.read.parquet(f"{path}/ranges")
+    assert {r["rows"] for r in ranges.collect()} == {100}
+    assert ranges.selectExpr(f"shiftright(_range, {paging.PLACE_BITS}) AS task").distinct().count() == 1
+    read = paging.ranked_page(spark, path, order, 150, 100)
+    assert [r["id"] for r in read.collect()] == list(range(29_849, 29_749, -1))
+    assert len({f.rsplit("/", 2)[1] for f in read.inputFiles()}) == 2
