@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernweave.session import small_batches
+
 # The accented letters and the plain letter each one becomes.
 ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüñçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇ"
 PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
@@ -36,14 +40,23 @@ def remove_accents(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, ACCENTED, PLAIN))
 
 
-@F.pandas_udf(T.StringType())
-def _drop_marks(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
+@F.arrow_udf(T.StringType())
+def _drop_marks(texts: pa.Array) -> pa.Array:
+    return pa.array((None if t is None else _MARKS.sub("", unicodedata.normalize("NFD", t)) for t in (v.as_py() for v in texts)), pa.string())
 
 
 def remove_all_accents(c: Column) -> Column:
-    """Every combining mark, not just the usual letters; needs Python, so opt in."""
-    return _drop_marks(c)
+    """Every combining mark, not just the usual letters; needs Python, so opt in.
+
+    Texts go to Python in small batches; those of one-byte characters have no marks and are passed as they are.
+    """
+    if session := SparkSession.getActiveSession():
+        small_batches(session)
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.when(plain, c).otherwise(_drop_marks(F.when(~plain, c)))
 
 
 def _each_run(c: Column, change: Callable[[Column], Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import re
 
 import pytest
@@ -45,6 +46,15 @@ def test_accents(spark):
     assert apply(spark, ["ação É", "ẽ", None], text.remove_all_accents) == ["acao E", "e", None]
 
 
+def test_all_accents_go_to_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    values = ["plain", "", None, "Ångström ǖ ẽ̱", "한국 Ω K", "a\u0300b", "e\u0327\u0301"]
+    want = [None if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not "\u0300" <= c <= "\u036f") for v in values]
+    assert apply(spark, values, text.remove_all_accents) == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+
 @pytest.mark.parametrize(
     ("rule", "value", "want"),
     [
