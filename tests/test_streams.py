@@ -86,3 +86,16 @@ def test_rows_behind_the_watermark_are_dropped(spark, folders):
     ingest.store_updates(counts, folders["out"], folders["check"]).awaitTermination()
     rows = ingest.read_updates(spark, folders["out"], ["window_start", "window_end", "user"]).collect()
     assert {(r["user"], r["window_start"].hour): r["requests"] for r in rows} == {(1, 10): 1, (1, 11): 1, (1, 12): 1, (2, 12): 1}
+
+
+def test_windows_of_a_stream_are_spread_and_their_state_is_on_disk(spark, folders):
+    """One file is copied to windows by many tasks; the state store is the one whose memory is bounded."""
+    spark.range(100).selectExpr("concat('u', id % 7) AS user", "timestamp_seconds(1700000000 + id * 60) AS ts").coalesce(1).write.parquet(folders["in"])
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    counts = ingest.rate_windows(spark.readStream.schema("user string, ts timestamp").parquet(folders["in"]), "user", "ts")
+    ingest.store_updates(counts, folders["out"], folders["check"]).awaitTermination()
+    assert "Repartition 8, true" in counts._jdf.queryExecution().analyzed().toString()
+    assert spark.read.text(folders["check"] + "/offsets").where("value LIKE '%RocksDBStateStoreProvider%'").count()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    plain = ingest.rate_windows(spark.read.parquet(folders["in"]), "user", "ts")
+    assert sorted(map(tuple, ingest.read_updates(spark, folders["out"], ["window_start", "window_end", "user"]).collect())) == sorted(map(tuple, plain.collect()))
