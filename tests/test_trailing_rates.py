@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql.types import StructType
 
 from fernweave.operators.aggregates import rate_check
@@ -53,3 +54,15 @@ def test_seconds_are_reported_once_the_watermark_has_passed_their_end(spark):
     assert spark.read.schema("user string").parquet(folders["out"]).count() == 0
     run(spark, folders, [("b", 1_000_011)])
     assert [(r["user"], r["second"], r["requests"], r["late"]) for r in spark.read.parquet(folders["out"]).collect()] == [("a", 1_000_000, 2, False)]
+
+
+def test_trailing_sums_of_a_group_of_requesters():
+    """Many requesters in one call, NULL and whole numbers that a double cannot tell apart among them."""
+    draw = random.Random(4)
+    who = [draw.choice([None, 2**60, 2**60 + 1, -3, 0]) for _ in range(400)]
+    arrived = pa.table({"who": pa.array(who, pa.int64()), "second": pa.array([draw.randrange(-200, 200) for _ in who], pa.int64()), "n": pa.array([1] * len(who), pa.int64())})
+    counts = rates._unpacked([rates._packed(arrived.slice(0, 150)), rates._packed(arrived.slice(150))])
+    seen = list(zip(who, arrived["second"].to_pylist()))
+    want = [sum(w == x and s - 60 <= at <= s for x, at in seen) for w, s in zip(counts["who"].to_pylist(), counts["second"].to_pylist())]
+    assert rates._Trailing("user", 60, 3)._trailing(counts).tolist() == want
+    assert counts["n"].to_pylist() == [seen.count(k) for k in zip(counts["who"].to_pylist(), counts["second"].to_pylist())]
